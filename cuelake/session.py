@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,20 @@ def local_session(cpus: str | int = 8, partitions: int = 8, app: str = "cuelake"
     return spark
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    On a cluster the package is installed or sent with --py-files; this covers a driver and workers that
+    see the same checkout but were started with another PYTHONPATH.
+    """
+    root = str(Path(__file__).resolve().parent.parent)
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the provided tables; nothing is read until an action runs."""
+    share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
