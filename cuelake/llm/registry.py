@@ -37,6 +37,28 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuelake.llm.substring import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), width=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from cuelake.llm.bpe import encode
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded_col="decoded")
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cuelake.llm.topk import top_k
 
@@ -45,7 +67,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op5_decontaminate, op10_topk)}
+    return {f.__name__: f for f in (op1_url_filter, op5_decontaminate, op7_substring, op9_bpe, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
