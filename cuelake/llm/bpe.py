@@ -7,12 +7,11 @@ as one piece, which makes the joined ids equal to those of the whole text. Docum
 by a fingerprint of their lines first, so that copies and near copies meet in one task.
 """
 
-from __future__ import annotations
-
 import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -227,7 +226,7 @@ def decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids", decoded_col: s
     """rows with decoded_col, the text of the ids. Null ids give null, no ids an empty text."""
 
     @F.pandas_udf("string")
-    def text(batches: Iterator) -> Iterator:
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = codec_for(tokenizer)
         for ids in batches:
             yield ids.map(lambda x: None if x is None else codec.decode([int(n) for n in x]))

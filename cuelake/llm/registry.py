@@ -21,6 +21,13 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuelake.llm.near_dup import find_near_duplicates
+
+    found = find_near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=5, percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cuelake.llm.decontaminate import find_contamination
 
@@ -67,7 +74,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op5_decontaminate, op7_substring, op9_bpe, op10_topk)}
+    return {f.__name__: f for f in (op1_url_filter, op2_near_dedup, op5_decontaminate, op7_substring, op9_bpe, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
