@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.llm import oracles
@@ -14,6 +14,11 @@ from cuelake.session import table
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def fold(id_col: str, parts: int) -> Column:
+    """crc32 of the id as text, modulo so many parts."""
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(parts))
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cuelake.llm.url_filter import filter_urls
 
@@ -28,6 +33,16 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuelake.llm import quality
+
+    held_out = fold("doc_id", 4) == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    out = quality.score(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cuelake.llm.decontaminate import find_contamination
 
@@ -51,6 +66,16 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuelake.llm import toxicity
+
+    held_out = fold("doc_id", 5) == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,7 +99,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_near_dedup, op5_decontaminate, op7_substring, op9_bpe, op10_topk)}
+    return {f.__name__: f for f in (op1_url_filter, op2_near_dedup, op3_quality, op5_decontaminate, op7_substring, op8_toxicity, op9_bpe, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
