@@ -59,6 +59,14 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuelake.llm.lm import score_documents
+
+    held_out = fold("doc_id", 10) == 0
+    out = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
+    return out.select("doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cuelake.llm.substring import remove_repeats
 
@@ -99,7 +107,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_near_dedup, op3_quality, op5_decontaminate, op7_substring, op8_toxicity, op9_bpe, op10_topk)}
+    return {f.__name__: f for f in (op1_url_filter, op2_near_dedup, op3_quality, op5_decontaminate, op6_lm_score, op7_substring, op8_toxicity, op9_bpe, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
