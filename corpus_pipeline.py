@@ -1,5 +1,71 @@
+"""A training-data pipeline over documents: quality, near duplicates, benchmark leaks, personal data, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all that its predecessor kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cuelake.llm import bpe, decontaminate, near_dup, pii, quality
+from cuelake.session import table
+
+#: Documents whose quality score is below this are rejected.
+LEAST_QUALITY = 0.5
+#: Stands for the secret that a deployment brings.
+PII_KEY = b"demonstration key"
+
+#: The stages train a classifier and hash shingles in numpy, hence no SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that the positive-unlabelled classifier finds poor."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, score_col="_quality_score")
+    return scored.where(F.col("_quality_score") >= LEAST_QUALITY).select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near duplicates."""
+    return near_dup.drop_near_duplicates(docs, size=5, percent=80)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold ten consecutive words of a benchmark item, or all of a shorter one."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), width=10, remove="documents")
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by keyed pseudonyms of the same format."""
+    return pii.pseudonymise(docs, PII_KEY, spans_col=None)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the kept texts."""
+    import public_tokenizers
+
+    out = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontaminate", decontaminate_stage),
+    ("pii", pii_stage),
+    ("bpe", bpe_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; a stage's result is written to the checkpoint folder for the next."""
+    from cuelake.llm.common import cut
+
+    docs = table(spark, sf_dir, "documents")
+    for n, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES) - 1:
+            docs = cut(docs)
+    return docs

@@ -43,6 +43,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuelake.llm.pii import pseudonymise
+
+    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), b"demonstration key")
+    return out.select("doc_id", F.size("pii").cast("long").alias("n_replaced"), F.array_sort(F.array_distinct("pii.kind")).alias("kinds"), "pii", "text")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cuelake.llm.decontaminate import find_contamination
 
@@ -107,7 +114,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_near_dedup, op3_quality, op5_decontaminate, op6_lm_score, op7_substring, op8_toxicity, op9_bpe, op10_topk)}
+    return {f.__name__: f for f in (op1_url_filter, op2_near_dedup, op3_quality, op4_pii, op5_decontaminate, op6_lm_score, op7_substring, op8_toxicity, op9_bpe, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
