@@ -5,8 +5,9 @@ folded into a parity bitmap (an odd sketch, Mitzenmacher, Pagh and Pham 2014) te
 an XOR which candidates can be similar enough; those are confirmed on their full shingle sets.
 
 Documents with equal sets are one class from the start. Within a bucket a class is compared with the
-bucket's leader, not with all others. Classes that their leader leaves out are then compared with the
-bucket's other components, in rounds that end only when no untested candidate is left.
+bucket's leader, not with all others; that comparison also gives the short difference of the two sets.
+Classes that their leader leaves out are then compared with the leader's other classes by sketch and by
+these differences, which tell every similarity exactly, in blocks of bounded size and without more texts.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from cuelake.llm.components import components
 BANDS, BAND_ROWS = 32, 5
 SAMPLES = BANDS * BAND_ROWS
 SKETCH_BITS = 512
+#: Nodes, and elements of their differences to the leader, that are compared with one another in a task at a time.
+BLOCK_NODES, BLOCK_ELEMENTS = 4096, 1 << 20
 _FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=U64)) | U64(1)
 _SALTS = mix(np.arange(1001, SAMPLES + 1001, dtype=U64))
 
@@ -100,24 +103,118 @@ def _signatures(size: int):
     return run
 
 
-def _confirmed(size: int, percent: int):
-    """For mapInArrow over (a, b, text_a, text_b): the pairs whose sets are similar enough, or not."""
+def _spokes(size: int, percent: int):
+    """For mapInArrow over (leader, node, sketch, leader's text, node's text): are they linked, and the hashes in one set only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 sides = []
-                for column in (2, 3):
+                for column in (3, 4):
                     sets: list[np.ndarray] = []
                     for _, _, values, ends in shingle_sets(part.column(column), size):
                         sets += np.split(values, ends[1:-1])
                     sides.append(sets)
-                linked = []
-                for x, y in zip(*sides, strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    linked.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+                differ = [np.setxor1d(x, y, assume_unique=True) for x, y in zip(*sides, strict=True)]
+                n = np.array([len(y) for y in sides[1]], np.int64)
+                apart = np.array([len(d) for d in differ], np.int64)
+                total = n + np.array([len(x) for x in sides[0]], np.int64)
+                ends = np.concatenate([[0], np.cumsum(apart)]).astype(np.int32)
+                columns = [
+                    part.column(0),
+                    part.column(1),
+                    part.column(2),
+                    pa.array(n),
+                    pa.array(similar(total, apart, percent)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate(differ)))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["leader", "node", "sketch", "n", "linked", "differ"])
+
+    return run
+
+
+def similar(total: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
+    """Is the similarity of two sets large enough? total: their sizes together; apart: elements in one of them only."""
+    return (100 * (total - apart) >= percent * (total + apart)) & (total > apart)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The runs of rows with equal values in the first so many columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.column_stack([batch.column(k).to_numpy() for k in range(keys)])
+        starts = np.flatnonzero(np.append(True, (marks[1:] != marks[:-1]).any(axis=1)))
+        for lo, hi in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            mark = tuple(marks[lo])
+            if held and mark != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = mark
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _between(percent: int, bound: int):
+    """For mapInArrow over a leader's nodes, sorted: links that join what the leader leaves apart.
+
+    Rows are (leader, i, j, block, node, n, linked, differ, sketch). Of two sets x and y with differences dx
+    and dy to the leader's, the elements in one only are those in one of dx and dy only, hence the leader's
+    differences, which are short among near copies, give every similarity exactly. The sketches first leave
+    out pairs that cannot be similar enough. Of many links that join the same two components one is told.
+    """
+
+    def joined(table: pa.Table) -> tuple[list[int], list[int]]:
+        get = lambda name: table.column(name).combine_chunks()
+        block, node, n, linked = (get(name).to_numpy(zero_copy_only=False) for name in ("block", "node", "n", "linked"))
+        crossed = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        lists = get("differ")
+        ends = lists.offsets.to_numpy()
+        values = lists.values.to_numpy()[ends[0] : ends[-1]]
+        ends = ends.astype(np.int64) - ends[0]
+        apart = np.diff(ends)
+        owner = np.repeat(np.arange(len(node)), apart)
+        order = np.argsort(values, kind="stable")
+        values, postings = values[order], owner[order]
+        place = np.empty(len(order), np.int64)
+        first = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+        number = np.zeros(len(order), np.int64)
+        number[first[1:]] = 1
+        place[order] = np.cumsum(number)
+        edges = np.append(first, len(order))
+        sketches = get("sketch").flatten().to_numpy().view(U64).reshape(len(node), -1)
+        # all that the leader links are one component
+        label = np.where(linked, len(node), np.arange(len(node)))
+        a, b = [], []
+        for x in np.flatnonzero(~linked):
+            may = label != label[x]
+            if crossed:
+                may &= block != block[x]
+            may = np.flatnonzero(may)
+            may = may[np.bitwise_count(sketches[may] ^ sketches[x]).sum(axis=1) <= bound]
+            if not len(may):
+                continue
+            mine = place[ends[x] : ends[x + 1]]
+            many = edges[mine + 1] - edges[mine]
+            at = np.repeat(edges[mine] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            common = np.bincount(postings[at], minlength=len(node))[may]
+            near = may[similar(n[x] + n[may], apart[x] + apart[may] - 2 * common, percent)]
+            for other in np.unique(label[near]):
+                y = near[label[near] == other][0]
+                a.append(int(node[x]))
+                b.append(int(node[y]))
+                label[label == other] = label[x]
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, 3):
+            a, b = joined(table)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -151,49 +248,30 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     classes = cut(sigs.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "row")).alias("least"))).withColumn("node", F.col("least.row"))
     nodes = sigs.join(classes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "n", "bands", "sketch")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
-    leaders = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("many")).where("many > 1")
-    shared = cut(buckets.join(leaders, "key").select("key", "node", "leader", "many"))
-    members = shared.select("node").distinct()
+    leaders = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("many")).where("many > 1").select("key", "leader")
+    stars = cut(buckets.join(leaders, "key").where("node <> leader").select("leader", "node").distinct())
+    members = stars.select("node").unionByName(stars.select(F.col("leader").alias("node"))).distinct()
     known = cut(nodes.select("node", "n", "sketch").join(members, "node"))
-    texts = cut(keyed.select(F.col("row").alias("node"), "text").join(members, "node"))
+    texts = keyed.select(F.col("row").alias("node"), "text").join(members, "node")
     bound = sketch_bound(percent)
 
-    def near(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that size and sketch allow, with their sketch distance."""
-        a = known.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        b = known.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        both = pairs.join(a, "a").join(b, "b")
-        return both.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_distance("sa", "sb") <= bound)).select("a", "b")
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-        b = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-        return cut(pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_confirmed(size, percent), "a long, b long, linked boolean"))
-
-    tested = confirm(near(shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()))
-    labels = components(tested.where("linked"), "a", "b")
-
-    crowded = shared.where("many > 2").select("key", "node")
-    salts = 4
-    while True:
-        component = F.coalesce("component", "node")
-        placed = crowded.join(labels, "node", "left").select("key", "node", component.alias("component"))
-        mixed = placed.groupBy("key").agg(F.min(F.struct("node", "component")).alias("leader"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "leader")
-        held = placed.join(mixed, "key").join(known, "node").select("key", "node", "component", "leader", "n", "sketch")
-        out = held.where("component <> leader.component").select("key", F.col("node").alias("p"), F.col("component").alias("pc"), F.col("n").alias("pn"), F.col("sketch").alias("ps"))
-        other = held.where("node <> leader.node").select("key", F.col("node").alias("q"), F.col("component").alias("qc"), F.col("n").alias("qn"), F.col("sketch").alias("qs"), F.col("leader.component").alias("lc"))
-        # a pair of two that their leader leaves out is met from both sides: once is enough
-        fits = (F.col("pc") != F.col("qc")) & ((F.col("qc") == F.col("lc")) | (F.col("p") < F.col("q")))
-        fits &= (100 * F.least("pn", "qn") >= percent * F.greatest("pn", "qn")) & (_distance("ps", "qs") <= bound)
-        fresh_pairs = out.join(other, (out["key"] == other["key"]) & fits).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "p", "qc", _distance("ps", "qs").alias("d")).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        # of each class and other component the nearest untested partners, more in each round
-        best = fresh_pairs.groupBy("p", "qc", F.pmod(F.xxhash64("a", "b"), F.lit(salts)).alias("s")).agg(F.min(F.struct("d", "a", "b")).alias("x"))
-        chosen = cut(best.select("x.a", "x.b").distinct())
-        if chosen.isEmpty():
-            break
-        tested = cut(tested.unionByName(confirm(chosen)))
-        labels = components(tested.where("linked"), "a", "b")
-        salts *= 16
+    # the sketches decide pairs that stand alone with their leader; the others are needed for what follows too
+    many = stars.groupBy("leader").agg(F.count("*").alias("many"))
+    a = known.select(F.col("node").alias("leader"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = known.select("node", F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_distance("sa", "sb") <= bound)
+    pairs = stars.join(many, "leader").join(a, "leader").join(b, "node").where(near | (F.col("many") > 1)).select("leader", "node", "sb")
+    told = pairs.join(texts.select(F.col("node").alias("leader"), F.col("text").alias("ta")), "leader").join(texts.select("node", F.col("text").alias("tb")), "node")
+    spokes = cut(told.select("leader", "node", "sb", "ta", "tb").mapInArrow(_spokes(size, percent), "leader long, node long, sketch array<long>, n long, linked boolean, differ array<long>"))
+
+    # nodes of a leader that it doesn't link with all its others, in blocks of bounded size
+    left = spokes.groupBy("leader").agg(F.count("*").alias("many"), F.sum(F.size("differ")).alias("elements"), F.bool_and("linked").alias("done")).where("many > 1 and not done")
+    left = left.select("leader", F.ceil(F.greatest(F.col("many") / BLOCK_NODES, F.col("elements") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
+    held = spokes.join(left, "leader").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = held.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "linked", "differ", "sketch")
+    between = held.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(_between(percent, bound), "a long, b long")
+    labels = components(spokes.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")).unionByName(between), "a", "b")
 
     ends = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = ends.groupBy("component").agg(F.min("least").alias("first"))
