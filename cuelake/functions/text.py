@@ -51,7 +51,7 @@ def append_unique_line(text: Column, line: Column) -> Column:
 
 def merge_distinct(values: Column, by: str = " / ") -> Column:
     """The distinct non-blank values of an array, in order."""
-    return F.array_join(F.array_distinct(F.filter(F.transform(values, F.trim), lambda x: x != "")), by)
+    return F.array_join(F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != "")), by)
 
 
 def normalize_newlines(text: Column) -> Column:
@@ -85,7 +85,7 @@ def parse_keywords(text: Column) -> Column:
 
     Errors: 'mixed' for more than one kind of path separator in a value, 'empty' for an empty name.
     """
-    values = F.filter(F.transform(F.split(text, LIST_SEPARATORS), F.trim), lambda x: x != "")
+    values = F.filter(F.transform(F.split(text, LIST_SEPARATORS), lambda x: F.trim(x)), lambda x: x != "")
 
     def one(v: Column) -> Column:
         kinds = sum((F.contains(v, F.lit(s)).cast("int") for s in PATH_SEPARATORS[1:]), F.contains(v, F.lit(">")).cast("int"))
@@ -102,7 +102,7 @@ def parse_keywords(text: Column) -> Column:
 
 def lenient_keywords(text: Column) -> Column:
     """I8: what can be kept of a keyword list, as text; only the first kind of path separator counts."""
-    values = F.filter(F.transform(F.split(text, LIST_SEPARATORS), F.trim), lambda x: x != "")
+    values = F.filter(F.transform(F.split(text, LIST_SEPARATORS), lambda x: F.trim(x)), lambda x: x != "")
 
     def one(v: Column) -> Column:
         out = F.lit(None).cast("string")

@@ -44,7 +44,7 @@ def seconds_to_us(text: Column) -> Column:
     whole = F.regexp_replace(F.regexp_extract(digits, r"^([0-9]*)", 1), "^0+", "")
     part = F.rpad(F.substring(F.regexp_extract(digits, r"^[0-9]*\.([0-9]*)", 1), 1, 6), 6, "0")
     exact = F.concat(whole, part).try_cast("decimal(38,0)")
-    size = F.when(F.length(whole) > 20, F.lit(10**30).cast("decimal(38,0)")).otherwise(F.coalesce(exact, F.lit(0).cast("decimal(38,0)")))
+    size = F.when(F.length(whole) > 20, F.lit(str(10**30)).cast("decimal(38,0)")).otherwise(F.coalesce(exact, F.lit(0).cast("decimal(38,0)")))
     up = F.when(size > LONG_MAX, F.lit(LONG_MAX)).otherwise(size.try_cast("long"))
     down = F.when(size > LONG_MAX, F.lit(LONG_MIN)).otherwise((-size).try_cast("long"))
     return F.when(negative, down).otherwise(up)

@@ -82,7 +82,7 @@ def fn_kw_parse(spark, sf):
 WITH v AS (SELECT p_partkey, trim(z[1]) AS v, z[2] AS i FROM (SELECT p_partkey, unnest(list_zip(regexp_split_to_array({_KEYWORDS}, '[,，]'), range(100))) AS z FROM part) WHERE z[1] IS NOT NULL),
 s AS (SELECT *, CASE WHEN contains(v, '>') THEN '>' WHEN contains(v, '<') THEN '<' WHEN contains(v, '|') THEN '|' ELSE '' END AS sep FROM v WHERE v <> ''),
 o AS (SELECT p_partkey, i, CASE WHEN sep = '' THEN trim(regexp_replace(v, '[,，<>|*]', '', 'g'))
-    ELSE array_to_string(list_filter(list_transform(string_split(v, sep), lambda x: trim(regexp_replace(x, '[,，<>|*]', '', 'g'))), lambda x: x <> ''), sep) END AS t FROM s)
+    ELSE list_reduce(list_filter(list_transform(string_split(v, sep), lambda x: trim(regexp_replace(x, '[,，<>|*]', '', 'g'))), lambda x: x <> ''), lambda a, b: a || sep || b) END AS t FROM s)
 SELECT p_partkey, string_agg(t, ', ' ORDER BY i) AS text FROM o WHERE t <> '' GROUP BY p_partkey""")
 def fn_kw_lenient(spark, sf):
     return _part(spark, sf).select("p_partkey", fx.lenient_keywords(F.expr(_KEYWORDS)).alias("text"))
