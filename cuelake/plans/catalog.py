@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["q_text", "q_signal", "q_time", "q_math"]
+MODULES = ["q_text", "q_signal", "q_time", "q_math", "q_joins"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}

@@ -120,7 +120,7 @@ def fn_fit_within(spark, sf):
     return _events(spark, sf).select("event_id", w.alias("width"), h.alias("height"))
 
 
-@query("fn_ladders", "SELECT r_regionkey, array_to_string([16, 20, 24, 28, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448, 480, 512], ',') AS rates FROM region")
+@query("fn_ladders", "SELECT r_regionkey, array_to_string([16, 20, 24, 28, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384, 448, 512], ',') AS rates FROM region")
 def fn_ladders(spark, sf):
     return table(spark, sf, "region").select("r_regionkey", F.array_join(mx.bitrate_ladder().cast("array<string>"), ",").alias("rates"))
 
