@@ -59,15 +59,12 @@ def join_asof_forward(spark, sf):
     return out.select(F.col("track").alias("track_id"), "frame", F.col("sequence").alias("next_sequence"))
 
 
-@query("join_next_active", f"""{_WITH}, c AS (SELECT c.*, lead(sequence) OVER (PARTITION BY track ORDER BY start, sequence) AS following FROM cues c)
-SELECT p.track, p.frame, min(c.sequence) AS sequence FROM probes p JOIN c ON c.track = p.track AND c.start > p.frame - 2000 AND c."end" >= p.frame GROUP BY ALL""")
+@query("join_next_active", f"""{_WITH}
+SELECT p.track, p.frame, min(c.sequence) AS sequence FROM probes p JOIN cues c ON c.track = p.track AND c.start > p.frame - 2000 AND c."end" >= p.frame GROUP BY ALL""")
 def join_next_active(spark, sf):
-    from pyspark.sql import Window
-
-    rows = cues(spark, sf).select("track", "sequence", "start", "end").distinct()
     # the earliest row with end >= frame among those that start after frame - 2000
-    held = rows.withColumn("from", F.lit(0))
-    far = joins.interval_join(probes(spark, sf), held.select("track", "sequence", (F.col("start") - 10**6).alias("low"), (F.col("start") + 1999).alias("high"), "end"), "track", "frame", "low", "high", width=10**6)
+    rows = cues(spark, sf).select("track", "sequence", "start", "end").distinct()
+    far = joins.interval_join(probes(spark, sf), rows.select("track", "sequence", (F.col("start") - 10**6).alias("low"), (F.col("start") + 1999).alias("high"), "end"), "track", "frame", "low", "high", width=10**6)
     return far.where(F.col("end") >= F.col("frame")).groupBy("track", "frame").agg(F.min("sequence").alias("sequence"))
 
 
