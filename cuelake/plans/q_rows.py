@@ -224,10 +224,11 @@ def agg_sum_duration(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("total"))
 
 
-@query("agg_weighted_avg", "SELECT l_orderkey, round(sum(l_discount * greatest(l_quantity, 1)) / greatest(sum(greatest(l_quantity, 1)), 1), 4) AS progress FROM lineitem GROUP BY 1")
+@query("agg_weighted_avg", "SELECT l_orderkey, sum(CAST(round(l_discount * 100) AS BIGINT) * CAST(greatest(l_quantity, 1) AS BIGINT)) / greatest(sum(CAST(greatest(l_quantity, 1) AS BIGINT)), 1) AS progress FROM lineitem GROUP BY 1")
 def agg_weighted_avg(spark, sf):
-    w = F.greatest(F.col("l_quantity"), F.lit(1.0))
-    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum(F.col("l_discount") * w) / F.greatest(F.sum(w), F.lit(1.0)), 4).alias("progress"))
+    w = F.greatest(F.col("l_quantity"), F.lit(1.0)).cast("long")
+    percent = F.round(F.col("l_discount") * 100).cast("long")  # whole numbers add up alike in any order
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg((F.sum(percent * w) / F.greatest(F.sum(w), F.lit(1).cast("long"))).alias("progress"))
 
 
 @query("agg_interval_coverage", """SELECT user_id, min(greatest(value, 20)) - 20 AS first, max(least(value + 5, 80)) - 20 AS last FROM events WHERE value < 80 AND value + 5 > 20 GROUP BY user_id HAVING max(least(value + 5, 80)) - min(greatest(value, 20)) >= 1""")
