@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cuelake.functions.text import clean_plain_text, extension, normalize_newlines
 from cuelake.functions.timecode import parse_ass_time, parse_subtitle_time
@@ -22,7 +23,7 @@ def codec_of(path: Column) -> Column:
     return F.when(ext.isin("ass", "ssa"), ext).when(ext.isin("vtt", "webvtt"), "webvtt").otherwise("subrip")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _legacy_text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def one(raw: bytes | None) -> str | None:
         if raw is None:
@@ -79,8 +80,8 @@ def parse_ass(files: DataFrame) -> DataFrame:
     lines = lines.withColumn("_form", F.coalesce(F.last(form, ignorenulls=True).over(order), default))
     said = lines.where(F.regexp_like("_l", F.lit("(?i)^dialogue:")) & (F.col("_section") == "[events]"))
     said = said.withColumn("_p", F.expr("split(trim(regexp_replace(_l, '(?i)^dialogue:', '')), ',', size(_form))")).where("size(_p) = size(_form)")
-    said = said.withColumn("_m", F.map_from_arrays("_form", "_p"))
-    get = lambda k: F.trim(F.try_element_at("_m", F.lit(k)))
-    cues = said.select("path", "_at", parse_ass_time(get("start")).alias("start_us"), parse_ass_time(get("end")).alias("end_us"), get("layer").try_cast("int").alias("layer"), get("style").alias("style"), get("name").alias("speaker"), F.try_element_at("_m", F.lit("text")).alias("raw_text"))
+    whole = lambda k: F.get("_p", F.nullif(F.array_position("_form", k), F.lit(0).cast("long")).cast("int") - 1)
+    get = lambda k: F.trim(whole(k))
+    cues = said.select("path", "_at", parse_ass_time(get("start")).alias("start_us"), parse_ass_time(get("end")).alias("end_us"), get("layer").try_cast("int").alias("layer"), get("style").alias("style"), get("name").alias("speaker"), whole("text").alias("raw_text"))
     kept = cues.withColumn("plain_text", clean_plain_text(F.col("raw_text"))).where("end_us > start_us and plain_text <> ''")
     return _numbered(kept, "_at").select("path", "sequence", "start_us", "end_us", "layer", "style", "speaker", "raw_text", "plain_text")
