@@ -82,12 +82,18 @@ def local_peaks(rows: DataFrame, d: Detector = Detector(), context: str = "conte
 def expand_peaks(rows: DataFrame, peaks: DataFrame, d: Detector = Detector()) -> DataFrame:
     """(context, frame, start, end) of each peak: outwards while rows qualify, until `patience` misses in a row.
 
-    A row qualifies if p reaches both the floor and a share of the peak's p, or z the floor of z. Runs of
-    rows that don't qualify are told by a window over the rows that the weakest peak would pass, and each
-    peak walks its own side once, as a fold over the rows next to it.
+    A row qualifies if p reaches both the floor and a share of the peak's p, or z the floor of z. Rows below
+    both floors qualify for no peak, so runs of `patience` of them cut a context into islands that no peak
+    leaves; each peak walks both ways within its island only, as a fold.
     """
-    held = rows.groupBy("context").agg(F.array_sort(F.collect_list(F.struct("frame", "p", "z"))).alias("_rows"))
-    both = peaks.select("context", "frame", F.col("p").alias("_peak")).join(held, "context")
+    order = Window.partitionBy("context").orderBy("frame")
+    weak = F.when((F.col("p") >= d.floor) | (F.col("z") >= d.expand_z), 0).otherwise(1)
+    marked = rows.select("context", "frame", "p", "z").withColumn("_weak", weak)
+    marked = marked.withColumn("_stop", (F.sum("_weak").over(order.rowsBetween(1 - d.patience, 0)) == d.patience).cast("int"))
+    marked = marked.withColumn("_island", F.sum("_stop").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    held = marked.groupBy("context", "_island").agg(F.array_sort(F.collect_list(F.struct("frame", "p", "z"))).alias("_rows"))
+    placed = peaks.select("context", "frame", F.col("p").alias("_peak")).join(marked.select("context", "frame", "_island"), ["context", "frame"])
+    both = placed.join(held, ["context", "_island"])
     need = F.greatest(F.lit(d.floor), F.lit(d.relative) * F.col("_peak"))
     at = F.expr("array_position(transform(_rows, r -> r.frame), frame)").cast("int")
     both = both.withColumn("_at", at).withColumn("_need", need)
@@ -118,7 +124,8 @@ def event_features(rows: DataFrame, events: DataFrame, d: Detector = Detector())
     """One row per event (context, start, end) with its peak frame and features."""
     order = Window.partitionBy("context").orderBy("frame")
     wide = rows.withColumn("_mass", F.sum("p").over(order.rowsBetween(-d.mass_radius, d.mass_radius)))
-    inside = events.select("context", F.col("start").alias("event_start"), F.col("end").alias("event_end")).join(wide, "context").where(F.col("frame").between(F.col("event_start"), F.col("event_end")))
+    frames = events.select("context", F.col("start").alias("event_start"), F.col("end").alias("event_end"), F.explode(F.sequence("start", "end")).alias("frame"))
+    inside = frames.join(wide, ["context", "frame"])
     best = F.struct(-F.col("p"), F.col("frame"))
     row = F.struct("p", "frame", "logit", "base", "_mass")
     found = inside.groupBy("context", "event_start", "event_end").agg(
@@ -165,7 +172,7 @@ def short_shots(events: DataFrame, d: Detector = Detector()) -> DataFrame:
 def detect(series: DataFrame, d: Detector = Detector()) -> DataFrame:
     """(context, cut_frame, confidence, event_start, event_end, score) from (context, frame, p)."""
     d = d.checked()
-    rows = robust_z(series, d)
+    rows = robust_z(series, d).persist()  # read by four steps; spills to disk
     peaks = local_peaks(rows, d)
     events = event_features(rows, merge_intervals(expand_peaks(rows, peaks, d)), d)
     final = short_shots(suppress(score_events(events, d), d.distance), d)
