@@ -150,21 +150,38 @@ def score_events(events: DataFrame, d: Detector = Detector()) -> DataFrame:
     return events.withColumn("score", sigmoid(total)).where(F.col("score") > d.threshold)
 
 
+def chains(events: DataFrame, gap: float, context: str = "context", frame: str = "frame") -> DataFrame:
+    """Adds _chain: events of a context less than gap frames after the one before share a number."""
+    order = Window.partitionBy(context).orderBy(frame)
+    far = F.col(frame) - F.lag(frame).over(order) >= gap
+    marked = events.withColumn("_far", F.when(far, 1).otherwise(0))
+    return marked.withColumn("_chain", F.sum("_far").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_far")
+
+
 def suppress(events: DataFrame, distance: int = 3, context: str = "context", score: str = "score", peak: str = "peak", prominence: str = "prominence", frame: str = "frame") -> DataFrame:
-    """Of events nearer than distance the strongest, chosen greedily; one fold per context."""
-    ranked = events.groupBy(context).agg(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("a"), (-F.col(peak)).alias("b"), (-F.col(prominence)).alias("c"), F.col(frame).cast("long").alias("f")))).alias("_e"))
+    """Of events nearer than distance the strongest, chosen greedily.
+
+    Events of different chains never compete, so a fold covers one chain, not a whole context.
+    """
+    key = F.struct((-F.col(score)).alias("a"), (-F.col(peak)).alias("b"), (-F.col(prominence)).alias("c"), F.col(frame).cast("long").alias("f"))
+    ranked = chains(events, distance, context, frame).groupBy(context, "_chain").agg(F.array_sort(F.collect_list(key)).alias("_e"))
     kept = F.expr(f"aggregate(_e, CAST(array() AS array<bigint>), (k, e) -> if(exists(k, x -> abs(x - e.f) < {distance}), k, concat(k, array(e.f))))")
     frames = ranked.select(context, F.explode(kept).alias(frame))
     return events.join(frames, [context, frame], "left_semi")
 
 
 def short_shots(events: DataFrame, d: Detector = Detector()) -> DataFrame:
-    """Adds confidence; in order of frames, an event soon after the last accepted one counts less."""
-    ordered = events.groupBy("context").agg(F.array_sort(F.collect_list(F.struct(F.col("frame").cast("long").alias("f"), F.col("score").alias("s")))).alias("_e"))
-    fold = f"""aggregate(_e, named_struct('last', CAST(NULL AS bigint), 'out', CAST(array() AS array<struct<f:bigint,c:double>>)), (s, e) -> (
-        named_struct('last', if(e.s * coalesce(1 / (1 + exp(-(e.f - s.last - {d.midpoint}D) / {d.softness}D)), 1D) > {d.threshold}D, e.f, s.last),
-            'out', if(e.s * coalesce(1 / (1 + exp(-(e.f - s.last - {d.midpoint}D) / {d.softness}D)), 1D) > {d.threshold}D,
-                concat(s.out, array(named_struct('f', e.f, 'c', e.s * coalesce(1 / (1 + exp(-(e.f - s.last - {d.midpoint}D) / {d.softness}D)), 1D)))), s.out))), s -> s.out)"""
+    """Adds confidence; in order of frames, an event soon after the last accepted one counts less.
+
+    At 40 times the softness past the midpoint the factor is 1.0 as a double, so chains that far apart are
+    folded by themselves. Events are those of score_events: above the threshold.
+    """
+    at = F.struct(F.col("frame").cast("long").alias("f"), F.col("score").alias("s"))
+    parts = chains(events, d.midpoint + 40 * d.softness)
+    ordered = parts.groupBy("context", "_chain").agg(F.array_sort(F.collect_list(at)).alias("_e"))
+    confidence = f"e.s * coalesce(1 / (1 + exp(-(e.f - s.last - {d.midpoint}D) / {d.softness}D)), 1D)"
+    fold = f"""aggregate(_e, named_struct('last', CAST(NULL AS bigint), 'out', CAST(array() AS array<struct<f:bigint,c:double>>)), (s, e) ->
+        if({confidence} > {d.threshold}D, named_struct('last', e.f, 'out', concat(s.out, array(named_struct('f', e.f, 'c', {confidence})))), s), s -> s.out)"""
     kept = ordered.select("context", F.explode(F.expr(fold)).alias("_k")).select("context", F.col("_k.f").alias("frame"), F.col("_k.c").alias("confidence"))
     return events.join(kept, ["context", "frame"])
 
