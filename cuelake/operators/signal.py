@@ -64,10 +64,10 @@ def robust_z(series: DataFrame, d: Detector = Detector(), context: str = "contex
     """Adds logit, base (windowed median of p) and z. Windows shrink at the ends."""
     near = Window.partitionBy(context).orderBy(frame).rowsBetween(-d.window, d.window)
     rows = series.withColumn(p, clean_probability(F.col(p))).withColumn("logit", logit(F.col(p), d.eps))
-    rows = rows.withColumn("_l", F.collect_list("logit").over(near)).withColumn("base", F.percentile(p, 0.5).over(near))
-    rows = rows.withColumn("_m", array_median(F.col("_l")))
+    rows = rows.withColumn("_l", F.collect_list("logit").over(near)).withColumn("_p", F.collect_list(p).over(near))
+    rows = rows.withColumn("_m", array_median(F.col("_l"))).withColumn("base", array_median(F.col("_p")))
     spread = array_median(F.transform("_l", lambda x: F.abs(x - F.col("_m"))))
-    return rows.withColumn("z", (F.col("logit") - F.col("_m")) / (F.lit(1.4826) * spread + d.eps)).drop("_l", "_m")
+    return rows.withColumn("z", (F.col("logit") - F.col("_m")) / (F.lit(1.4826) * spread + d.eps)).drop("_l", "_m", "_p")
 
 
 def local_peaks(rows: DataFrame, d: Detector = Detector(), context: str = "context", frame: str = "frame", p: str = "p") -> DataFrame:
@@ -163,11 +163,11 @@ def suppress(events: DataFrame, distance: int = 3, context: str = "context", sco
 
     Events of different chains never compete, so a fold covers one chain, not a whole context.
     """
-    key = F.struct((-F.col(score)).alias("a"), (-F.col(peak)).alias("b"), (-F.col(prominence)).alias("c"), F.col(frame).cast("long").alias("f"))
+    key = F.struct((-F.col(score)).alias("a"), (-F.col(peak)).alias("b"), (-F.col(prominence)).alias("c"), F.col(frame).cast("long").alias("f"), F.struct(*events.columns).alias("row"))
     ranked = chains(events, distance, context, frame).groupBy(context, "_chain").agg(F.array_sort(F.collect_list(key)).alias("_e"))
     kept = F.expr(f"aggregate(_e, CAST(array() AS array<bigint>), (k, e) -> if(exists(k, x -> abs(x - e.f) < {distance}), k, concat(k, array(e.f))))")
-    frames = ranked.select(context, F.explode(kept).alias(frame))
-    return events.join(frames, [context, frame], "left_semi")
+    left = ranked.withColumn("_kept", kept).select(F.explode(F.expr("filter(_e, e -> array_contains(_kept, e.f))")).alias("_e"))
+    return left.select("_e.row.*")
 
 
 def short_shots(events: DataFrame, d: Detector = Detector()) -> DataFrame:
@@ -176,14 +176,14 @@ def short_shots(events: DataFrame, d: Detector = Detector()) -> DataFrame:
     At 40 times the softness past the midpoint the factor is 1.0 as a double, so chains that far apart are
     folded by themselves. Events are those of score_events: above the threshold.
     """
-    at = F.struct(F.col("frame").cast("long").alias("f"), F.col("score").alias("s"))
+    at = F.struct(F.col("frame").cast("long").alias("f"), F.col("score").alias("s"), F.struct(*events.columns).alias("row"))
     parts = chains(events, d.midpoint + 40 * d.softness)
     ordered = parts.groupBy("context", "_chain").agg(F.array_sort(F.collect_list(at)).alias("_e"))
     confidence = f"e.s * coalesce(1 / (1 + exp(-(e.f - s.last - {d.midpoint}D) / {d.softness}D)), 1D)"
-    fold = f"""aggregate(_e, named_struct('last', CAST(NULL AS bigint), 'out', CAST(array() AS array<struct<f:bigint,c:double>>)), (s, e) ->
-        if({confidence} > {d.threshold}D, named_struct('last', e.f, 'out', concat(s.out, array(named_struct('f', e.f, 'c', {confidence})))), s), s -> s.out)"""
-    kept = ordered.select("context", F.explode(F.expr(fold)).alias("_k")).select("context", F.col("_k.f").alias("frame"), F.col("_k.c").alias("confidence"))
-    return events.join(kept, ["context", "frame"])
+    fold = f"""aggregate(_e, named_struct('last', CAST(NULL AS bigint), 'out', CAST(array() AS array<double>)), (s, e) ->
+        if({confidence} > {d.threshold}D, named_struct('last', e.f, 'out', concat(s.out, array({confidence}))), named_struct('last', s.last, 'out', concat(s.out, array(CAST(NULL AS double))))), s -> s.out)"""
+    pairs = ordered.select(F.explode(F.arrays_zip(F.col("_e").alias("e"), F.expr(fold).alias("c"))).alias("_k"))
+    return pairs.where("_k.c IS NOT NULL").select("_k.e.row.*", F.col("_k.c").alias("confidence"))
 
 
 def detect(series: DataFrame, d: Detector = Detector()) -> DataFrame:
