@@ -199,9 +199,10 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str
     """
     results = [c for c in (ids_col, decoded_col) if c]
     keep = [c for c in docs.columns if c.lower() not in {r.lower() for r in results} or c == text_col]
-    text, key = fresh(docs, "_text", "_cluster")
+    text_at = next(n for n, c in enumerate(keep) if c.lower() == text_col.lower())
+    (key,) = fresh(docs, "_cluster")
     lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.xxhash64(x))
-    near = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias(text)).withColumn(key, F.array_min(lines))
+    near = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn(key, F.array_min(lines))
     # tasks get rows of near fingerprints; a fingerprint with very many rows is split
     near = near.hint("rebalance", F.col(key)).drop(key)
     fields = [*near.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]
@@ -209,16 +210,16 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str
         fields.append(T.StructField("decoded", T.StringType()))
     names = [f"c{n}" for n in range(len(fields))]
     schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, fields, strict=True)])
-    run = _encoder(tokenizer, len(near.columns) - 1, decoded_col is not None)
+    run = _encoder(tokenizer, text_at, decoded_col is not None)
 
     def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in run(batches):
             yield pa.RecordBatch.from_arrays(b.columns, names=names)
 
     out = near.mapInArrow(renamed, schema)
-    final = {**{c: names[n] for n, c in enumerate(keep)}, ids_col: names[len(keep) + 1]}
+    final = {**{c: names[n] for n, c in enumerate(keep)}, ids_col: names[len(keep)]}
     if decoded_col:
-        final[decoded_col] = names[len(keep) + 2]
+        final[decoded_col] = names[len(keep) + 1]
     return out.select(*[F.col(v).alias(k) for k, v in final.items() if k not in results or k in (ids_col, decoded_col)])
 
 
