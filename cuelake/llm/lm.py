@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from cuelake.llm.common import LOWER_BYTES, U64, Words, cut, fresh, mix, pieces, shuffle_partitions, text_bytes
 
-#: Bytes of context.
-DEPTH = 5
+#: Bytes of context: with the symbol, as many as a 64-bit key holds.
+DEPTH = 7
+#: Sequences weighted at once, where subtrees of two context bytes allow it, so that a worker's memory is bounded.
+WEIGH_KEYS = 400_000
 #: Stands before a text and, as a symbol, after it; no UTF-8 text holds this byte.
 EDGE = 0xFF
 #: Smoothing of the word model.
@@ -161,17 +163,29 @@ def predict(keys: np.ndarray, levels: list[Level], depth: int = DEPTH) -> np.nda
 _PACKED = "prefixes binary, sizes binary, low binary"
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """The values' lowest bytes, then their second bytes, ..., compressed, after the length of all that."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    return len(planes).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+
+
+def expand(data: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b"", np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
 def pack(keys: np.ndarray) -> list[bytes]:
-    """Sorted keys as their high parts, how many keys each has, and the low 32 bits: about four bytes a key."""
+    """Sorted keys as their high parts, how many keys each has, and the low 32 bits, all squeezed."""
     high = (keys >> U64(32)).astype(np.uint32)
     first = np.flatnonzero(np.append(True, high[1:] != high[:-1])) if len(keys) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(first, len(keys))).astype(np.uint32)
-    return [high[first].tobytes(), sizes.tobytes(), (keys & U64(0xFFFFFFFF)).astype(np.uint32).tobytes()]
+    return [squeeze(high[first]), squeeze(sizes), squeeze((keys & U64(0xFFFFFFFF)).astype(np.uint32))]
 
 
 def unpack(prefixes: bytes, sizes: bytes, low: bytes) -> np.ndarray:
-    high = np.repeat(np.frombuffer(prefixes, np.uint32), np.frombuffer(sizes, np.uint32))
-    return (high.astype(U64) << U64(32)) | np.frombuffer(low, np.uint32)
+    high = np.repeat(expand(prefixes, np.uint32), expand(sizes, np.uint32))
+    return (high.astype(U64) << U64(32)) | expand(low, np.uint32)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +255,7 @@ def _asked(kind: int, parts: int, with_counts: bool):
                 found.add(*counted(keys, np.repeat(trains[i:j], np.diff(key_ends))))
         keys, counts = found.result()
         # byte sequences stay together by their two latest context bytes, words are spread by their hash
-        group = keys >> U64(32) if kind == BYTES else keys
+        group = _pairs(keys) if kind == BYTES else keys
         part = (mix(group) % U64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         edges = np.searchsorted(part[order], np.arange(parts + 1))
@@ -258,7 +272,7 @@ def _asked(kind: int, parts: int, with_counts: bool):
                 row.append(pa.array([keys[at].tobytes()]))
                 names.append("keys")
             if with_counts:
-                row.append(pa.array([counts[at].tobytes()]))
+                row.append(pa.array([squeeze(counts[at]) if kind == BYTES else counts[at].tobytes()]))
                 names.append("counts")
             yield pa.RecordBatch.from_arrays(row, names=names)
 
@@ -271,29 +285,45 @@ def _merged(table: pa.Table) -> pa.Table:
     for r in table.to_batches():
         for k in range(r.num_rows):
             x = {name: r.column(name)[k].as_py() for name in ("prefixes", "sizes", "low", "counts")}
-            found.add(unpack(x["prefixes"], x["sizes"], x["low"]), np.frombuffer(x["counts"], np.int64))
+            found.add(unpack(x["prefixes"], x["sizes"], x["low"]), expand(x["counts"], np.int64))
     keys, counts = found.result()
     p, s, low = pack(keys)
-    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "prefixes": [p], "sizes": [s], "low": [low], "counts": [counts.tobytes()]})
+    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "prefixes": [p], "sizes": [s], "low": [low], "counts": [squeeze(counts)]})
+
+
+def _pairs(keys: np.ndarray) -> np.ndarray:
+    """The two latest context bytes."""
+    return keys >> U64(8 * (DEPTH - 1))
 
 
-def _part_keys(batch: pa.RecordBatch, k: int) -> np.ndarray:
-    return unpack(*(batch.column(name)[k].as_py() for name in ("prefixes", "sizes", "low")))
+def _subtrees(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of a merged part, whole subtrees of two context bytes at a time."""
+    keys = unpack(*(batch.column(name)[k].as_py() for name in ("prefixes", "sizes", "low")))
+    counts = expand(batch.column("counts")[k].as_py(), np.int64)
+    pair = _pairs(keys)
+    ends = np.append(np.flatnonzero(pair[1:] != pair[:-1]) + 1, len(keys)) if len(keys) else np.zeros(0, np.int64)
+    start = 0
+    while start < len(keys):
+        fits = int(np.searchsorted(ends, start + WEIGH_KEYS, "right")) - 1
+        end = int(ends[max(fits, int(np.searchsorted(ends, start, "right")))])
+        yield keys[start:end], counts[start:end]
+        start = end
 
 
 def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow over merged parts: what the nodes of depth 2 add to those of depth 1."""
     for batch in batches:
         for k in range(batch.num_rows):
-            level = weigh(_part_keys(batch, k), np.frombuffer(batch.column("counts")[k].as_py(), np.int64), 2)[0]
-            for done in range(8):
-                parent = ((level.node[done] >> U64(16)) << U64(8)) | (level.node[done] & U64(255))
-                node, at = np.unique(parent, return_inverse=True)
-                sums = [np.bincount(at, x, minlength=len(node)) for x in (level.zeros[done], level.ones[done], level.weighted[done])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(node.astype(np.int64)), pa.array(np.full(len(node), done, np.int32)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2])],
-                    names=["node", "done", "zeros", "ones", "spread"],
-                )
+            for keys, counts in _subtrees(batch, k):
+                level = weigh(keys, counts, 2)[0]
+                for done in range(8):
+                    parent = ((level.node[done] >> U64(16)) << U64(8)) | (level.node[done] & U64(255))
+                    node, at = np.unique(parent, return_inverse=True)
+                    sums = [np.bincount(at, x, minlength=len(node)) for x in (level.zeros[done], level.ones[done], level.weighted[done])]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(node.astype(np.int64)), pa.array(np.full(len(node), done, np.int32)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2])],
+                        names=["node", "done", "zeros", "ones", "spread"],
+                    )
 
 
 def top_levels(rows: list) -> list[Level]:
@@ -318,11 +348,10 @@ def _predictions(tops: list[Level]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                keys = _part_keys(batch, k)
-                levels = [*tops, *weigh(keys, np.frombuffer(batch.column("counts")[k].as_py(), np.int64), 2)]
-                values = predict(keys, levels).astype(np.float32)
+                found = [predict(keys, [*tops, *weigh(keys, counts, 2)]).astype(np.float32) for keys, counts in _subtrees(batch, k)]
+                values = np.concatenate(found) if found else np.zeros(0, np.float32)
                 row = [batch.column(name).slice(k, 1) for name in ("part", "prefixes", "sizes", "low")]
-                yield pa.RecordBatch.from_arrays([*row, pa.array([values.tobytes()])], names=["part", "prefixes", "sizes", "low", "values"])
+                yield pa.RecordBatch.from_arrays([*row, pa.array([squeeze(values)])], names=["part", "prefixes", "sizes", "low", "values"])
 
     return run
 
@@ -333,8 +362,8 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(batch.num_rows):
             x = [batch.column(n)[k].as_py() for n in range(batch.num_columns)]
             asked, known = unpack(*x[1:4]), unpack(*x[4:7])
-            values = np.frombuffer(x[7], np.float32)[np.searchsorted(known, asked)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0]], pa.int32()), pa.array([BYTES], pa.int32()), *(pa.array([b], pa.binary()) for b in (*x[1:4], values.tobytes()))], names=["block", "kind", "prefixes", "sizes", "low", "values"])
+            values = expand(x[7], np.float32)[np.searchsorted(known, asked)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0]], pa.int32()), pa.array([BYTES], pa.int32()), *(pa.array([b], pa.binary()) for b in (*x[1:4], squeeze(values)))], names=["block", "kind", "prefixes", "sizes", "low", "values"])
 
 
 def _word_totals(table: pa.Table) -> pa.Table:
@@ -375,7 +404,7 @@ def _scored(tokens: int, distinct: int):
             if kind[k] == WORD:
                 words.append((np.frombuffer(x["low"], U64), np.frombuffer(x["values"], np.int64)))
             else:
-                bytes_.append((unpack(x["prefixes"], x["sizes"], x["low"]), np.frombuffer(x["values"], np.float32)))
+                bytes_.append((unpack(x["prefixes"], x["sizes"], x["low"]), expand(x["values"], np.float32)))
 
         def sorted_table(found: list, kind: type) -> tuple[np.ndarray, np.ndarray]:
             keys = np.concatenate([k for k, _ in found]) if found else np.zeros(0, U64)
