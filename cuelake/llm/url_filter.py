@@ -34,23 +34,64 @@ def address_of(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(host_of(url), tail))
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, quoted or not, with its character references undone; empty without one."""
+    value = rf"(?is)<[^>]*?(?<![\w-]){name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"'\s>]+))"
+    text = F.concat(*[F.regexp_extract(tag, value, k) for k in (1, 2, 3)])
+    for mark, meant in (("(?i)&(?:quot|#0*34|#x0*22);", '"'), ("(?i)&(?:apos|#0*39|#x0*27);", "'"), ("(?i)&(?:lt|#0*60|#x0*3c);", "<"), ("(?i)&(?:gt|#0*62|#x0*3e);", ">"), ("(?i)&(?:amp|#0*38|#x0*26);", "&")):
+        text = F.regexp_replace(text, mark, meant)
+    return F.trim(F.translate(text, "\t\r\n", ""))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that starts with a slash, its . and .. steps taken."""
+    steps = F.split(path, "/")
+    last = F.element_at(steps, -1)
+    kept = F.aggregate(
+        F.slice(steps, 2, F.size(steps)),
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))),
+    )
+    return F.concat(F.lit("/"), F.array_join(F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))
+
+
+def resolve(base: Column, to: Column) -> Column:
+    """The url that a reference on the page at base means (RFC 3986, 5.2). A url that has its own host stays as
+    it is; null for the page itself, other schemes (mailto:) and relative references on a page without host."""
+    host, path = host_of(base), path_of(base)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^.*/", 0))
+    plain = F.regexp_extract(to, r"(?s)^[^?#]*", 0)
+    rest = F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    return (
+        F.when((to == "") | to.startswith("#"), F.lit(None))
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.startswith("//"), F.concat(F.lit("http:"), to))
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (host == ""), F.lit(None))
+        .when(to.startswith("?"), F.concat(F.lit("http://"), host, path, to))
+        .otherwise(F.concat(F.lit("http://"), host, _without_dots(F.when(to.startswith("/"), plain).otherwise(F.concat(folder, plain))), rest))
+    )
+
+
 def html_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst) addresses: each page and the target of its canonical link or refresh redirect.
+    """(src, dst) addresses: each page and the targets of its canonical links and refresh redirects.
 
-    Targets without a scheme are taken from the page's host. Pages without such a link give no row.
+    Relative targets are resolved against the page's first <base href>, else its url; of character references
+    those for & < > " and ' are undone. Pages without such a link give no row.
     """
     html, url = F.col(html_col), F.col(url_col)
-    tag = F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    canonical = F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    meta = F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    refresh = F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1)
-    found = pages.where(html.rlike("(?i)canonical|http-equiv")).select(address_of(url).alias("src"), host_of(url).alias("host"), F.explode(F.array(canonical, refresh)).alias("to"))
-    full = (
-        F.when(F.col("to").contains("://"), F.col("to"))
-        .when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to")))
-        .when(F.col("to").startswith("/"), F.concat(F.lit("http://"), F.col("host"), F.col("to")))
-    )
-    return found.select("src", address_of(full).alias("dst")).where("src is not null and dst is not null and src <> dst").distinct()
+    every = lambda tag: F.regexp_extract_all(html, F.lit(tag), F.lit(0))
+    rel = r"(?is)<link\b[^>]*(?<![\w-])rel\s*=\s*(?:\"(?:[^\">]*\s)?canonical[\s\"]|'(?:[^'>]*\s)?canonical[\s']|canonical(?=[\s/>]))[^>]*>"
+    canonical = F.transform(every(rel), lambda tag: _attribute(tag, "href"))
+    refresh = r"(?is)<meta\b[^>]*(?<![\w-])http-equiv\s*=\s*[\"']?\s*refresh\b[^>]*>"
+    # seconds, then a url that may be named and quoted
+    told = r"(?is)^\s*(?:[\d.]+\s*[;,\s]\s*(?:url\s*=\s*)?|[;,]?\s*url\s*=\s*)(?:\"([^\"]*)|'([^']*)|(.*))"
+    contents = F.transform(every(refresh), lambda tag: _attribute(tag, "content"))
+    redirect = F.transform(contents, lambda content: F.trim(F.concat(*[F.regexp_extract(content, told, k) for k in (1, 2, 3)])))
+    base = _attribute(F.regexp_extract(html, r"(?is)<base\b[^>]*(?<![\w-])href\s*=[^>]*>", 0), "href")
+    found = pages.where(html.rlike("(?i)canonical|http-equiv")).select(url.alias("url"), base.alias("base"), F.explode(F.array_distinct(F.concat(canonical, redirect))).alias("to"))
+    based = found.select("url", F.coalesce(resolve(F.col("url"), F.col("base")), F.col("url")).alias("base"), "to")
+    links = based.select(address_of(F.col("url")).alias("src"), address_of(resolve(F.col("base"), F.col("to"))).alias("dst"))
+    return links.where("src is not null and dst is not null and src <> dst").distinct()
 
 
 def match_rules(places: DataFrame, rules: DataFrame, key: str, host: str = "host", path: str = "path") -> DataFrame:

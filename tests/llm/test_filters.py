@@ -26,6 +26,33 @@ def test_aliases_inherit_blocks_and_allows(spark):
     assert url_filter.filter_urls(pages.limit(0), rules, links.limit(0), html_col=None).count() == 0
 
 
+def test_links_in_html(spark):
+    canonical = '<link rel="canonical" href="%s">'
+    cases = [
+        (canonical % "other.html", {"site.com/a/b/other.html"}),
+        (canonical % "../x", {"site.com/a/x"}),
+        (canonical % "../../../..", {"site.com/"}),
+        (canonical % "./c/.?z=../y", {"site.com/a/b/c/?z=../y"}),
+        (canonical % "?id=1&amp;n=2#f", {"site.com/a/b/page.html?id=1&n=2"}),
+        (canonical % "/go?u=http://evil.net/", {"site.com/go?u=http://evil.net/"}),
+        (canonical % "next?u=http://evil.net/", {"site.com/a/b/next?u=http://evil.net/"}),
+        (canonical % "//cdn.org/x", {"cdn.org/x"}),
+        (canonical % "https://Else.org/A/../b", {"else.org/A/../b"}),
+        ("<LINK href=two.html REL=canonical>" + canonical % "three.html", {"site.com/a/b/two.html", "site.com/a/b/three.html"}),
+        ("<meta http-equiv=refresh content='0; URL=r1?a=1&amp;b=2'><meta content=\"5;url='r2;v'\" http-equiv=\"Refresh\">", {"site.com/a/b/r1?a=1&b=2", "site.com/a/b/r2;v"}),
+        ("<meta http-equiv=refresh content=30>" + canonical % "mailto:x@y.z" + canonical % "#top" + canonical % "", set()),
+        ('<base href="/deep/er/">' + canonical % "z", {"site.com/deep/er/z"}),
+        ("<link rel=alternate href=no.html data-note=canonical>", set()),
+        (None, set()),
+    ]
+    pages = [(f"http://N{n}.Site.com/a/b/page.html?q=1", html) for n, (html, _) in enumerate(cases)] + [(None, cases[0][0]), ("no host", cases[0][0])]
+    got = {(r["src"], r["dst"]) for r in url_filter.html_links(spark.createDataFrame(pages, "url string, html string")).collect()}
+    assert got == {(f"n{n}.site.com/a/b/page.html?q=1", f"n{n}.{d}" if d.startswith("site.com") else d) for n, (_, want) in enumerate(cases) for d in want}
+    rules = spark.createDataFrame(registry.URL_RULES, "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://ok.com/d/one", canonical % "../two"), (2, "http://ok.com/two", canonical % "http://bad.net/x")], "page_id long, url string, html string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, rules).collect()} == {1: "block", 2: "block"}
+
+
 def test_leaks_by_both_ways(spark, monkeypatch):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, "Short item"), (3, None), (4, "!!")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x ONE two, three four five six seven eight nine ten y"), (2, "a short ITEM here"), (3, None), (4, ""), (5, "one two three")], "doc_id long, text string")
