@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuelake.session import cut as cut
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one vectorised step takes at once, so that a worker's memory is bounded.
@@ -23,19 +24,6 @@ def lower_ascii(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back, which cuts its lineage.
-
-    The folder is the one the cluster names in spark.checkpoint.dir; a folder of our own is set only
-    where that is unset, as in tests.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="cuelake-checkpoint-"))
-    return df.checkpoint()
-
-
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that start like the wanted ones and that df doesn't have, whatever the case of letters."""
     have = {c.lower() for c in df.columns}

@@ -7,21 +7,29 @@ rounds end when no frontier is left, hence as many as the tree is deep. A node t
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuelake.session import cut
 
-def ancestors(nodes: DataFrame, most: int = 64) -> DataFrame:
+#: From this depth on every round is written to the checkpoint folder, so that plans stay small.
+PLAIN_ROUNDS = 8
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
     """M2: (id, ancestor, depth), each node itself included at depth 0; ends at missing parents and cycles."""
     parents = nodes.select(F.col("id").alias("_id"), F.col("parent").alias("_parent"))
     known = nodes.select(F.col("id").alias("_known"))
     level = nodes.select("id", F.col("id").alias("ancestor"), F.array("id").alias("_seen"))
     found = []
-    for depth in range(most):
+    for depth in count():
         found.append(level.select("id", "ancestor", F.lit(depth).cast("long").alias("depth")))
         up = level.join(parents, level["ancestor"] == parents["_id"]).where("_parent is not null and not array_contains(_seen, _parent)")
         level = up.join(known, up["_parent"] == known["_known"]).select("id", F.col("_parent").alias("ancestor"), F.concat("_seen", F.array("_parent")).alias("_seen"))
+        if depth >= PLAIN_ROUNDS:
+            level = cut(level)
         if level.isEmpty():
             break
     return reduce(DataFrame.unionByName, found)

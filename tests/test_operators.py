@@ -70,6 +70,13 @@ def test_trees_with_cycles_and_missing_parents(spark):
     assert sorted(r["id"] for r in trees.cascade_delete(nodes, nodes.where("id = 'b'")).collect()) == ["a", "o", "s", "x", "y"]
 
 
+def test_trees_deeper_than_64_levels(spark):
+    nodes = spark.createDataFrame([(f"n{k}", str(k), f"n{k - 1}" if k else None) for k in range(100)], "id string, name string, parent string").coalesce(1).localCheckpoint()
+    up = trees.ancestors(nodes).where("id = 'n99'").collect()
+    assert sorted((r["depth"], r["ancestor"]) for r in up) == [(d, f"n{99 - d}") for d in range(100)]
+    assert {r["id"]: r["parent"] for r in trees.repair(nodes).collect()} == {f"n{k}": f"n{k - 1}" if k else None for k in range(100)}
+
+
 def test_interval_join_over_bands(spark):
     points = spark.createDataFrame([("a", 5), ("a", 5000), ("b", 5)], "k string, t long")
     spans = spark.createDataFrame([("a", 0, 9000, 1), ("a", 4, 6, 2), ("a", 9, 2, 3)], "k string, start long, end long, id long")
