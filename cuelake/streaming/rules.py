@@ -4,22 +4,79 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def _codes(column: pa.Array) -> np.ndarray:
+    """Equal numbers for equal values, null included."""
+    return column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+
+
+def _runs(*columns: pa.Array) -> list[tuple[int, int]]:
+    """Runs [i, j) of rows that are equal in all columns."""
+    changed = np.zeros(len(columns[0]) - 1, bool)
+    for column in columns:
+        codes = _codes(column)
+        changed |= codes[1:] != codes[:-1]
+    edges = [0, *(np.flatnonzero(changed) + 1).tolist(), len(columns[0])]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def _windows(limit: int):
+    """For mapInArrow over (key, stretch, micros), sorted: (key, start of the window, further events in it)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, opened, more, kind = None, None, 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind, times, out = batch.column(0).type, batch.column(2).to_numpy(), []
+            for i, j in _runs(batch.column(0), batch.column(1)):
+                key = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+                if key != of:
+                    if opened is not None:
+                        out.append((of[0], opened, more))
+                    of, opened, more, i = key, int(times[i]), 0, i + 1
+                while i < j:
+                    end = i + int(np.searchsorted(times[i:j], opened + limit))
+                    more += end - i
+                    if end == j:
+                        break
+                    out.append((key[0], opened, more))
+                    i, opened, more = end + 1, int(times[end]), 0
+            yield told(out, kind)
+        if opened is not None:
+            yield told([(of[0], opened, more)], kind)
+
+    def told(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["_key", "_opened", "suppressed"])
+
+    return run
+
+
 def rate_limited(events: DataFrame, key: str, time: str, seconds: int) -> DataFrame:
     """O3 over a table: (key, window_no, first_ts, suppressed): a window starts with an event outside the last one.
 
-    One ordered fold per key; the state is the start of the window that is open.
+    After a gap of the limit a window always opens, so each key is cut into stretches there; gaps show in the first
+    and last events of frames as long as the limit. A stretch is read in order and only its open window is held.
     """
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.unix_micros(F.col(time)))).alias("_t"))
-    fold = f"""aggregate(_t, CAST(array() AS array<struct<s:bigint,n:bigint>>), (w, t) -> if(size(w) > 0 AND t < element_at(w, -1).s + {seconds * 1_000_000},
-        concat(slice(w, 1, size(w) - 1), array(named_struct('s', element_at(w, -1).s, 'n', element_at(w, -1).n + 1))), concat(w, array(named_struct('s', t, 'n', 0L)))))"""
-    out = rows.select(key, F.posexplode(F.expr(fold)).alias("window_no", "_w"))
-    return out.select(key, F.col("window_no").cast("long").alias("window_no"), F.timestamp_micros("_w.s").alias("first_ts"), F.col("_w.n").alias("suppressed"))
+    limit = seconds * 1_000_000
+    kind = dict(events.dtypes)[key]
+    rows = events.select(F.col(key).alias("_key"), F.unix_micros(F.col(time)).alias("_t")).where("_t is not null").withColumn("_frame", F.col("_t") - F.pmod("_t", F.lit(max(1, limit))))
+    frames = rows.groupBy("_key", "_frame").agg(F.min("_t").alias("_from"), F.max("_t").alias("_to"))
+    order = Window.partitionBy("_key").orderBy("_frame")
+    gap = (F.col("_from") - F.lag("_to").over(order) >= limit).cast("long")
+    stretches = frames.withColumn("_gap", F.coalesce(gap, F.lit(0))).withColumn("_stretch", F.sum("_gap").over(order)).select(F.col("_key").alias("_k"), F.col("_frame").alias("_f"), "_stretch")
+    placed = rows.join(stretches, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_frame") == F.col("_f"))).select("_key", "_stretch", "_t")
+    dealt = placed.repartition("_key", "_stretch").sortWithinPartitions("_key", "_stretch", "_t")
+    out = dealt.mapInArrow(_windows(limit), f"_key {kind}, _opened long, suppressed long")
+    number = F.row_number().over(Window.partitionBy("_key").orderBy("_opened")) - 1
+    return out.select(F.col("_key").alias(key), number.cast("long").alias("window_no"), F.timestamp_micros("_opened").alias("first_ts"), "suppressed")
 
 
 def rate_limited_stream(events: DataFrame, key: str, time: str, seconds: int) -> DataFrame:
@@ -41,11 +98,36 @@ def rate_limited_stream(events: DataFrame, key: str, time: str, seconds: int) ->
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, first_ts timestamp_ntz", "opened long", "append", GroupStateTimeout.NoTimeout)
 
 
+def _risen(least: float):
+    """For mapInArrow over (key, order, value), sorted: the rows that are told; only the last told value is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, of, last = False, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values, kept = batch.column(2).to_pylist(), []
+            for i, j in _runs(batch.column(0)):
+                key = batch.column(0)[i].as_py()
+                if not begun or key != of:
+                    begun, of, last = True, key, values[i]
+                    kept.append(i)
+                    i += 1
+                for k in range(i, j):
+                    v = values[k]
+                    if v is not None and last is not None and (v != v or float(v) >= float(last) + least):
+                        kept.append(k)
+                        last = v
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return run
+
+
 def throttled(rows: DataFrame, key: str, order: str, value: str, least: float) -> DataFrame:
     """Of a rising value the rows that are at least so much above the last one told."""
-    held = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_r"))
-    kept = F.expr(f"aggregate(_r, slice(_r, 1, 0), (k, r) -> if(size(k) = 0 OR r.{value} >= element_at(k, -1).{value} + {least}D, concat(k, array(r)), k))")
-    return held.select(key, F.explode(kept).alias("_k")).select(key, f"_k.{order}", f"_k.{value}")
+    held = rows.select(key, order, value)
+    dealt = held.repartition(key).sortWithinPartitions(key, order, value)
+    return dealt.mapInArrow(_risen(least), held.schema)
 
 
 def running_max(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:

@@ -98,6 +98,29 @@ def test_legacy_encodings(spark):
     assert {r["k"]: r["t"] for r in rows.select("k", subtitles.decode_text(F.col("raw")).alias("t")).collect()} == {"a": "中文", "b": "é", "c": None}
 
 
+def test_rules_hold_no_whole_key(spark):
+    times = [("a", t) for t in (0, 5, 9, 10, 19, 20, 21, 50, 61, 61, 70, 71)] + [("b", 3), (None, 1), (None, 2), ("c", None)] + [("d", t) for t in range(25_000)]
+    events = spark.createDataFrame(times, "k string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    want = []
+    for key in ("a", "b", None, "d"):
+        windows = []
+        for t in sorted(t for k, t in times if k == key):
+            if windows and t < windows[-1][0] + 10:
+                windows[-1][1] += 1
+            else:
+                windows.append([t, 0])
+        want += [(key, n, t, more) for n, (t, more) in enumerate(windows)]
+    limited = rules.rate_limited(events, "k", "ts", 10)
+    got = limited.select("k", "window_no", F.unix_seconds("first_ts"), "suppressed").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert rules.rate_limited(events.where("k = 'a'"), "k", "ts", 0).count() == 12
+    values = spark.createDataFrame([("a", n, v) for n, v in enumerate((1.0, 5.0, 11.0, 20.9, None, 21.0))] + [("b", 0, None), ("b", 1, 50.0), (None, 0, 2.0)], "k string, n long, v double")
+    told = rules.throttled(values, "k", "n", "v", 10.0)
+    assert sorted(map(tuple, told.select("k", "n").collect()), key=repr) == sorted([("a", 0), ("a", 2), ("a", 5), ("b", 0), (None, 0)], key=repr)
+    for out in (limited, told):
+        assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
 def test_rate_limit_as_a_stream(spark, sf_dir, tmp_path):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
