@@ -11,7 +11,6 @@ import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -25,8 +24,10 @@ from cuelake.llm.common import U64, fresh, mix, pieces, text_bytes
 CHUNK = 1024
 #: Bytes that the rolling hash sees.
 ROLLING = 16
-#: Encoded chunks that a task holds, as bytes of their texts; when full it starts afresh, and only reuse is lost.
-HELD_BYTES = 32 << 20
+#: Bytes of encoded chunks that a worker holds: texts, ids (4 bytes each) and what each entry takes besides. When full
+#: it starts afresh, and only reuse is lost.
+HELD_BYTES, ENTRY_BYTES = 32 << 20, 400
+_NONE = np.zeros(0, np.int32)
 _GEAR = mix(np.arange(1, 257, dtype=U64))
 
 
@@ -42,7 +43,7 @@ class Codec:
         if self.library:
             self.library.no_truncation()
             self.library.no_padding()
-        self.held: dict[bytes, tuple[int, int, list[int]]] = {}
+        self.held: dict[bytes, tuple[int, int, np.ndarray]] = {}
         self.held_bytes = 0
         self.reused = self.encoded = 0
 
@@ -69,21 +70,19 @@ class Codec:
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         return tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
-    def encode(self, text: str) -> list[int]:
-        """The whole text in one go."""
+    def encode(self, text: str) -> np.ndarray:
+        """The whole text in one go, as 32-bit ids."""
         if self.library:
-            return self.library.encode(text, add_special_tokens=False).ids
-        if any(t in text for t in self.special):
-            return self.plain.encode(text, allowed_special="all")
-        return self.plain.encode_ordinary(text)
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+        return self.plain.encode_to_numpy(text, allowed_special="all").view(np.int32)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         if self.library:
-            return self.library.decode(ids, skip_special_tokens=False)
-        return self.plain.decode_bytes(ids).decode("utf-8", "replace")
+            return self.library.decode(ids.tolist(), skip_special_tokens=False)
+        return self.plain.decode_bytes(ids.tolist()).decode("utf-8", "replace")
 
-    def chunk(self, data: bytes, certain: np.ndarray, start: int) -> tuple[int, int, list[int]]:
-        """First and last certain boundary in the chunk, and the ids between them; (-1, -1, []) without any.
+    def chunk(self, data: bytes, certain: np.ndarray, start: int) -> tuple[int, int, np.ndarray]:
+        """First and last certain boundary in the chunk, and the ids between them; (-1, -1, none) without any.
 
         certain: the certain boundaries in it, counted from where the chunk starts.
         """
@@ -94,14 +93,15 @@ class Codec:
         self.encoded += 1
         if len(certain):
             a, b = int(certain[0]) - start, int(certain[-1]) - start
-            known = (a, b, self.encode(data[a:b].decode("utf-8")) if b > a else [])
+            known = (a, b, self.encode(data[a:b].decode("utf-8")) if b > a else _NONE)
         else:
-            known = (-1, -1, [])
-        if self.held_bytes > HELD_BYTES:
+            known = (-1, -1, _NONE)
+        size = len(data) + known[2].nbytes + ENTRY_BYTES
+        if self.held_bytes + size > HELD_BYTES:
             self.held.clear()
             self.held_bytes = 0
         self.held[data] = known
-        self.held_bytes += len(data)
+        self.held_bytes += size
         return known
 
 
@@ -129,7 +129,7 @@ def certain_boundaries(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(out)
 
 
-def encode_texts(codec: Codec, column: pa.Array) -> Iterator[tuple[int, int, list[list[int]]]]:
+def encode_texts(codec: Codec, column: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     """(from, to, ids of each text) for bounded runs of the column's texts."""
     data, ends = text_bytes(column)
     for i, j in pieces(ends):
@@ -144,7 +144,7 @@ def encode_texts(codec: Codec, column: pa.Array) -> Iterator[tuple[int, int, lis
             inner = [int(c) for c in cut[cut_of[k] : cut_of[k + 1]] if lo + ROLLING <= c < hi]
             edges = [lo, *inner, hi]
             first = np.searchsorted(sure, edges)
-            ids: list[int] = []
+            ids: list[np.ndarray] = []
             pending = b""
             for n in range(len(edges) - 1):
                 piece = whole[edges[n] : edges[n + 1]]
@@ -155,12 +155,11 @@ def encode_texts(codec: Codec, column: pa.Array) -> Iterator[tuple[int, int, lis
                 if a < 0:
                     pending += piece
                     continue
-                ids += codec.encode((pending + piece[:a]).decode("utf-8"))
-                ids += core
+                ids += [codec.encode((pending + piece[:a]).decode("utf-8")), core]
                 pending = piece[b:]
             if pending:
-                ids += codec.encode(pending.decode("utf-8"))
-            out.append(ids)
+                ids.append(codec.encode(pending.decode("utf-8")))
+            out.append(np.concatenate(ids) if ids else _NONE)
         yield i, j, out
 
 
@@ -180,7 +179,7 @@ def _encoder(path: str, text_at: int, decoded: bool) -> Callable[[Iterator[pa.Re
             for i, j, ids in encode_texts(codec, batch.column(text_at)):
                 sizes = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) for x in ids], out=sizes[1:])
-                flat = np.fromiter((n for x in ids for n in x), np.int32, int(sizes[-1]))
+                flat = np.concatenate(ids) if ids else _NONE
                 columns = [*batch.slice(i, j - i).columns, pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))]
                 if decoded:
                     columns.append(pa.array([codec.decode(x) for x in ids], pa.string()))
@@ -226,10 +225,10 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str
 def decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
     """rows with decoded_col, the text of the ids. Null ids give null, no ids an empty text."""
 
-    @F.pandas_udf("string")
-    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = codec_for(tokenizer)
         for ids in batches:
-            yield ids.map(lambda x: None if x is None else codec.decode([int(n) for n in x]))
+            yield pa.array([codec.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in ids], pa.string())
 
     return rows.withColumn(decoded_col, text(F.col(ids_col)))
