@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +39,39 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+@contextmanager
+def kept() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that keeps frames on the executors' disks while the block runs; a lost part is computed again.
+
+    What leaves the block must have been cut, as the frames are released at its end.
+    """
+    held: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        held.append(df.persist(StorageLevel.DISK_ONLY))
+        return held[-1]
+
+    try:
+        yield keep
+    finally:
+        for df in held:
+            df.unpersist()
+
+
+#: What a plan may hold whose rows come in the same order whenever they are read.
+_ORDERED = re.compile(r"[\s:+|-]*(?:Project|Filter|Relation|LogicalRDD|LocalRelation|OneRowRelation|Range|Generate|MapInArrow|LocalLimit)\b")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df itself if it only reads tables, else its rows in the checkpoint folder.
+
+    Rows may be numbered only if a second reading, after an executor was lost, meets them in the same order;
+    those of a shuffle come as they arrive.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return df if all(_ORDERED.match(line) for line in plan.splitlines() if line.strip()) else cut(df)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

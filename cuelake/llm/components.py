@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from cuelake.llm.common import cut
 
+#: Links in a partition of what a round writes (16 bytes each), so that few links make few files.
+LINKS = 500_000
+
 
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
@@ -20,7 +23,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     neighbours the smallest node it knows, until every component is a star about its smallest node. Each
     step is one grouped minimum and one join on the same key, so a node with very many neighbours is
     combined before the shuffle and split by skew-join handling; nothing is gathered in one place. Every
-    round is written to the checkpoint folder.
+    round is written to the checkpoint folder; no round has more links than the one before.
 
     Null ends and loops are ignored, repeated edges count once, no edges give an empty result.
     """
@@ -35,7 +38,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         pairs = large.join(low, "a")
         small = low.select("a", F.col("m").alias("b")).unionByName(pairs.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        links = cut(small.distinct())
+        links = cut(small.distinct().coalesce(-(-before[0] // LINKS)))
         after = _fingerprint(links)
         if after == before:
             break

@@ -5,9 +5,11 @@ folded into a parity bitmap (an odd sketch, Mitzenmacher, Pagh and Pham 2014) te
 an XOR which candidates can be similar enough; those are confirmed on their full shingle sets.
 
 Documents with equal sets are one class from the start. Within a bucket a class is compared with the
-bucket's leader, not with all others; that comparison also gives the short difference of the two sets.
-Classes that their leader leaves out are then compared with the leader's other classes by sketch and by
-these differences, which tell every similarity exactly, in blocks of bounded size and without more texts.
+bucket's leader, not with all others; that comparison also gives the short difference of the two sets. The
+leader's text travels once for each LEADER_NODES of its classes. Classes that their leader leaves out are
+then compared with the leader's other classes by sketch and by these differences, which tell every
+similarity exactly, in blocks of bounded size and without more texts; for that, a leader's nodes with their
+differences are copied once for each of its blocks of BLOCK_NODES.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import LOWER_BYTES, U64, Words, cut, fresh, mix, pieces, run_hashes, signed, text_bytes
+from cuelake.llm.common import LOWER_BYTES, U64, Words, cut, fresh, kept, mix, pieces, run_hashes, settled, signed, text_bytes
 from cuelake.llm.components import components
 
 #: At a similarity of 0.85 a pair misses all bands with probability (1 - 0.85**5)**32, about 7e-9.
@@ -28,6 +30,8 @@ SAMPLES = BANDS * BAND_ROWS
 SKETCH_BITS = 512
 #: Nodes, and elements of their differences to the leader, that are compared with one another in a task at a time.
 BLOCK_NODES, BLOCK_ELEMENTS = 4096, 1 << 20
+#: Nodes of a leader that are compared with it in one group.
+LEADER_NODES = 1024
 _FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=U64)) | U64(1)
 _SALTS = mix(np.arange(1001, SAMPLES + 1001, dtype=U64))
 
@@ -104,29 +108,39 @@ def _signatures(size: int):
 
 
 def _spokes(size: int, percent: int):
-    """For mapInArrow over (leader, node, sketch, leader's text, node's text): are they linked, and the hashes in one set only."""
+    """For mapInArrow over (leader, part, node, sketch, text), sorted: the links and the hashes in one set only.
+
+    The leader's own row comes first in each part; its set is all that is held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, U64)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                sides = []
-                for column in (3, 4):
-                    sets: list[np.ndarray] = []
-                    for _, _, values, ends in shingle_sets(part.column(column), size):
-                        sets += np.split(values, ends[1:-1])
-                    sides.append(sets)
-                differ = [np.setxor1d(x, y, assume_unique=True) for x, y in zip(*sides, strict=True)]
-                n = np.array([len(y) for y in sides[1]], np.int64)
+                sets: list[np.ndarray] = []
+                for _, _, values, ends in shingle_sets(part.column(4), size):
+                    sets += np.split(values, ends[1:-1])
+                theirs = part.column(0).to_numpy() != part.column(2).to_numpy()
+                differ, total = [], []
+                for x, is_node in zip(sets, theirs.tolist(), strict=True):
+                    if is_node:
+                        differ.append(np.setxor1d(own, x, assume_unique=True))
+                        total.append(len(own) + len(x))
+                    else:
+                        own = x
+                if not differ:
+                    continue
+                at = pa.array(np.flatnonzero(theirs))
+                n = np.array([len(x) for x, is_node in zip(sets, theirs.tolist(), strict=True) if is_node], np.int64)
                 apart = np.array([len(d) for d in differ], np.int64)
-                total = n + np.array([len(x) for x in sides[0]], np.int64)
                 ends = np.concatenate([[0], np.cumsum(apart)]).astype(np.int32)
                 columns = [
-                    part.column(0),
-                    part.column(1),
-                    part.column(2),
+                    part.column(0).take(at),
+                    part.column(2).take(at),
+                    part.column(3).take(at),
                     pa.array(n),
-                    pa.array(similar(total, apart, percent)),
+                    pa.array(similar(np.array(total, np.int64), apart, percent)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate(differ)))),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["leader", "node", "sketch", "n", "linked", "differ"])
@@ -238,53 +252,61 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     the whole sequence of a shorter text. Documents are linked if 100 * intersection >= percent * union of
     their sets. component_id is the smallest id reachable. Null and empty texts have no shingle and stand
     alone. Repeated rows are one component; null ids sort before others. row_col: a unique number of docs'
-    rows, taken as it is.
+    rows, taken as it is. An empty table gives an empty result. The result stands in the checkpoint folder.
     """
+    docs = docs if row_col else settled(docs)
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     keyed = docs.select(row.cast("long").alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = dict(keyed.dtypes)["id"]
-    sigs = cut(keyed.mapInArrow(_signatures(size), f"row long, id {kind}, n long, d1 long, d2 long, bands array<long>, sketch array<long>"))
-
-    classes = cut(sigs.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "row")).alias("least"))).withColumn("node", F.col("least.row"))
-    nodes = sigs.join(classes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "n", "bands", "sketch")
-    buckets = nodes.select("node", F.explode("bands").alias("key"))
-    leaders = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("many")).where("many > 1").select("key", "leader")
-    stars = cut(buckets.join(leaders, "key").where("node <> leader").select("leader", "node").distinct())
-    members = stars.select("node").unionByName(stars.select(F.col("leader").alias("node"))).distinct()
-    known = cut(nodes.select("node", "n", "sketch").join(members, "node"))
-    texts = keyed.select(F.col("row").alias("node"), "text").join(members, "node")
     bound = sketch_bound(percent)
-
-    # the sketches decide pairs that stand alone with their leader; the others are needed for what follows too
-    many = stars.groupBy("leader").agg(F.count("*").alias("many"))
-    a = known.select(F.col("node").alias("leader"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = known.select("node", F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_distance("sa", "sb") <= bound)
-    pairs = stars.join(many, "leader").join(a, "leader").join(b, "node").where(near | (F.col("many") > 1)).select("leader", "node", "sb")
-    told = pairs.join(texts.select(F.col("node").alias("leader"), F.col("text").alias("ta")), "leader").join(texts.select("node", F.col("text").alias("tb")), "node")
-    spokes = cut(told.select("leader", "node", "sb", "ta", "tb").mapInArrow(_spokes(size, percent), "leader long, node long, sketch array<long>, n long, linked boolean, differ array<long>"))
-
-    # nodes of a leader that it doesn't link with all its others, in blocks of bounded size
-    left = spokes.groupBy("leader").agg(F.count("*").alias("many"), F.sum(F.size("differ")).alias("elements"), F.bool_and("linked").alias("done")).where("many > 1 and not done")
-    left = left.select("leader", F.ceil(F.greatest(F.col("many") / BLOCK_NODES, F.col("elements") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
-    held = spokes.join(left, "leader").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = held.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "linked", "differ", "sketch")
-    between = held.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(_between(percent, bound), "a long, b long")
-    labels = components(spokes.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")).unionByName(between), "a", "b")
-
-    ends = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = ends.groupBy("component").agg(F.min("least").alias("first"))
-    of_class = ends.join(least, "component").select("n", "d1", "d2", "first")
-    alone = F.struct("id", "row")
-    placed = sigs.select("row", "id", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left").withColumn("first", F.coalesce("first", alone))
-    return placed.select("row", "id", F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("first"))
+    with kept() as keep:
+        sigs = keep(keyed.mapInArrow(_signatures(size), f"row long, id {kind}, n long, d1 long, d2 long, bands array<long>, sketch array<long>"))
+        classes = keep(sigs.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "row")).alias("least")).withColumn("node", F.col("least.row")))
+        nodes = sigs.join(classes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "n", "bands", "sketch")
+        buckets = nodes.select("node", F.explode("bands").alias("key"))
+        leaders = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("many")).where("many > 1").select("key", "leader")
+        stars = keep(buckets.join(leaders, "key").where("node <> leader").select("leader", "node").distinct())
+        members = stars.select("node").unionByName(stars.select(F.col("leader").alias("node"))).distinct()
+        known = keep(nodes.select("node", "n", "sketch").join(members, "node"))
+        texts = keyed.select(F.col("row").alias("node"), "text").join(members, "node")
+
+        # the sketches decide pairs that stand alone with their leader; the others are needed for what follows too
+        many = stars.groupBy("leader").agg(F.count("*").alias("many"))
+        a = known.select(F.col("node").alias("leader"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+        b = known.select("node", F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_distance("sa", "sb") <= bound)
+        part = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / LEADER_NODES)).cast("int")
+        pairs = keep(stars.join(many, "leader").join(a, "leader").join(b, "node").where(near | (F.col("many") > 1)).select("leader", part.alias("part"), "node", F.col("sb").alias("sketch")))
+        own = pairs.select("leader", "part").distinct().select("leader", "part", F.col("leader").alias("node"), F.lit(None).cast("array<long>").alias("sketch"))
+        # the leader's row sorts before those of its nodes, as the least node of a bucket leads
+        told = own.unionByName(pairs).join(texts, "node").select("leader", "part", "node", "sketch", "text").repartition("leader", "part").sortWithinPartitions("leader", "part", "node")
+        spokes = keep(told.mapInArrow(_spokes(size, percent), "leader long, node long, sketch array<long>, n long, linked boolean, differ array<long>"))
+
+        # nodes of a leader that it doesn't link with all its others, in blocks of bounded size
+        left = spokes.groupBy("leader").agg(F.count("*").alias("many"), F.sum(F.size("differ")).alias("elements"), F.bool_and("linked").alias("done")).where("many > 1 and not done")
+        left = left.select("leader", F.ceil(F.greatest(F.col("many") / BLOCK_NODES, F.col("elements") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
+        held = spokes.join(left, "leader").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        held = held.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "linked", "differ", "sketch")
+        between = held.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(_between(percent, bound), "a long, b long")
+        labels = components(spokes.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")).unionByName(between), "a", "b")
+
+        ends = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = ends.groupBy("component").agg(F.min("least").alias("first"))
+        of_class = ends.join(least, "component").select("n", "d1", "d2", "first")
+        alone = F.struct("id", "row")
+        placed = sigs.select("row", "id", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left").withColumn("first", F.coalesce("first", alone))
+        return cut(placed.select("row", "id", F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("first")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: the one with the smallest id."""
+    """docs with one document of each component: the one with the smallest id, of equal ids any one.
+
+    Null and empty texts stand alone and all stay; of repeated rows one stays. The columns are those of docs,
+    whatever their names; an empty table stays empty.
+    """
+    docs = settled(docs)
     (row,) = fresh(docs, "_row")
     keyed = docs.withColumn(row, F.monotonically_increasing_id())
     found = find_near_duplicates(keyed, id_col, text_col, size, percent, row_col=row)
-    extra = cut(found.where(~F.col("first")).select(F.col("row").alias(row)))
-    return keyed.join(extra, row, "left_anti").select(*docs.columns)
+    return keyed.join(found.where(~F.col("first")).select(F.col("row").alias(row)), row, "left_anti").select(*docs.columns)
