@@ -260,14 +260,15 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kind = dict(keyed.dtypes)["id"]
     bound = sketch_bound(percent)
     with kept() as keep:
-        sigs = keep(keyed.mapInArrow(_signatures(size), f"row long, id {kind}, n long, d1 long, d2 long, bands array<long>, sketch array<long>"))
-        classes = keep(sigs.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "row")).alias("least")).withColumn("node", F.col("least.row")))
+        # plans of frames kept upon one another would repeat each other, hence the first two are cut
+        sigs = cut(keyed.mapInArrow(_signatures(size), f"row long, id {kind}, n long, d1 long, d2 long, bands array<long>, sketch array<long>"))
+        classes = cut(sigs.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "row")).alias("least"))).withColumn("node", F.col("least.row"))
         nodes = sigs.join(classes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "n", "bands", "sketch")
         buckets = nodes.select("node", F.explode("bands").alias("key"))
         leaders = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("many")).where("many > 1").select("key", "leader")
         stars = keep(buckets.join(leaders, "key").where("node <> leader").select("leader", "node").distinct())
         members = stars.select("node").unionByName(stars.select(F.col("leader").alias("node"))).distinct()
-        known = keep(nodes.select("node", "n", "sketch").join(members, "node"))
+        known = nodes.select("node", "n", "sketch").join(members, "node")
         texts = keyed.select(F.col("row").alias("node"), "text").join(members, "node")
 
         # the sketches decide pairs that stand alone with their leader; the others are needed for what follows too
@@ -280,7 +281,7 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         own = pairs.select("leader", "part").distinct().select("leader", "part", F.col("leader").alias("node"), F.lit(None).cast("array<long>").alias("sketch"))
         # the leader's row sorts before those of its nodes, as the least node of a bucket leads
         told = own.unionByName(pairs).join(texts, "node").select("leader", "part", "node", "sketch", "text").repartition("leader", "part").sortWithinPartitions("leader", "part", "node")
-        spokes = keep(told.mapInArrow(_spokes(size, percent), "leader long, node long, sketch array<long>, n long, linked boolean, differ array<long>"))
+        spokes = cut(told.mapInArrow(_spokes(size, percent), "leader long, node long, sketch array<long>, n long, linked boolean, differ array<long>"))
 
         # nodes of a leader that it doesn't link with all its others, in blocks of bounded size
         left = spokes.groupBy("leader").agg(F.count("*").alias("many"), F.sum(F.size("differ")).alias("elements"), F.bool_and("linked").alias("done")).where("many > 1 and not done")
