@@ -10,14 +10,15 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
 ROUNDS = 8
 DIGITS, HEX, LOWER, UPPER = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Dates are permuted among the days of these years.
@@ -104,7 +105,7 @@ def luhn_digit(payload: str) -> str:
 
 
 def card(p: Permuter, shown: str, back: bool = False) -> str | None:
-    """13 to 19 digits that pass the Luhn check; the first digit (the network) stays."""
+    """13 to 19 digits that pass the Luhn check; the first digit (the network, hence not 0) stays."""
     digits = re.sub(r"\D", "", shown)
     if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != digits[-1] or digits[0] == "0":
         return None
@@ -112,16 +113,6 @@ def card(p: Permuter, shown: str, back: bool = False) -> str | None:
     return refill(shown, body + luhn_digit(body))
 
 
-def number(p: Permuter, shown: str, back: bool = False) -> str | None:
-    """13 to 19 digits written like a card that fail the check: an account number, all digits but the first."""
-    digits = re.sub(r"\D", "", shown)
-    out = digits[0] + p.text(digits[1:], DIGITS, "number" + digits[0], back)
-    # a pseudonym must not become a valid card, and the walk keeps the mapping one to one
-    while luhn_digit(out[:-1]) == out[-1]:
-        out = out[0] + p.text(out[1:], DIGITS, "number" + digits[0], back)
-    return refill(shown, out)
-
-
 def phone(p: Permuter, shown: str, back: bool = False) -> str | None:
     """7 to 15 digits; the country code and the first digit after it stay."""
     digits = re.sub(r"\D", "", shown)
@@ -145,9 +136,9 @@ def ssn(p: Permuter, shown: str, back: bool = False) -> str | None:
 
 
 def address(p: Permuter, shown: str, back: bool = False) -> str | None:
-    """Four numbers up to 255; each keeps its count of digits, so that the text's length stays."""
+    """Four numbers up to 255, not all of one digit; each keeps its count of digits, so that the text's length stays."""
     parts = shown.split(".")
-    if any(int(x) > 255 or (len(x) > 1 and x[0] == "0") for x in parts):
+    if len(shown) == 7 or any(int(x) > 255 or (len(x) > 1 and x[0] == "0") for x in parts):
         return None
     spans = {1: (0, 10), 2: (10, 90), 3: (100, 156)}
     n, value = 1, 0
@@ -163,14 +154,25 @@ def address(p: Permuter, shown: str, back: bool = False) -> str | None:
     return ".".join(reversed(out))
 
 
-def day(p: Permuter, y: int, m: int, d: int, back: bool) -> dt.date | None:
+def day_number(y: int, m: int, d: int) -> int | None:
+    """The day's number, or None if there is no such day in the years taken."""
     try:
         at = dt.date(y, m, d).toordinal()
     except ValueError:
         return None
-    if not FIRST_DAY <= at <= LAST_DAY:
-        return None
-    return dt.date.fromordinal(FIRST_DAY + p.permute(at - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date", back))
+    return at if FIRST_DAY <= at <= LAST_DAY else None
+
+
+def day(p: Permuter, y: int, m: int, d: int, back: bool) -> dt.date | None:
+    """Another of all days."""
+    at = day_number(y, m, d)
+    return None if at is None else dt.date.fromordinal(FIRST_DAY + p.permute(at - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date", back))
+
+
+@cache
+def late_days() -> list[int]:
+    """The numbers of all days after the twelfth of a month."""
+    return [at for at in range(FIRST_DAY, LAST_DAY + 1) if dt.date.fromordinal(at).day > 12]
 
 
 def date_ymd(p: Permuter, shown: str, back: bool = False) -> str | None:
@@ -180,13 +182,21 @@ def date_ymd(p: Permuter, shown: str, back: bool = False) -> str | None:
 
 
 def date_dmy(p: Permuter, shown: str, back: bool = False) -> str | None:
-    """DD.MM.YYYY, DD/MM/YYYY or DD-MM-YYYY, or with the month first if only that is a date."""
+    """DD.MM.YYYY, DD/MM/YYYY or DD-MM-YYYY; with the month first if only that is a date.
+
+    Those are the days after the twelfth; they are permuted among themselves, so that each pseudonym is read
+    as its value was.
+    """
     a, b, y = (int(x) for x in re.split(r"\D", shown))
     new = day(p, y, b, a, back)
     if new:
         return f"{new.day:02d}{shown[2]}{new.month:02d}{shown[5]}{new.year:04d}"
-    new = day(p, y, a, b, back)
-    return new and f"{new.month:02d}{shown[2]}{new.day:02d}{shown[5]}{new.year:04d}"
+    at = day_number(y, a, b)
+    if at is None:
+        return None
+    late = late_days()
+    new = dt.date.fromordinal(late[p.permute(bisect_left(late, at), len(late), "month first", back)])
+    return f"{new.month:02d}{shown[2]}{new.day:02d}{shown[5]}{new.year:04d}"
 
 
 def iban(p: Permuter, shown: str, back: bool = False) -> str | None:
@@ -224,7 +234,7 @@ _NAMED: list[tuple[str, str, Callable]] = [
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", iban),
     ("date", r"(?<![\d./-])\d{4}([-/.])(?:0[1-9]|1[0-2])\g<SEP>(?:0[1-9]|[12]\d|3[01])(?![\d/-]|\.\d)", date_ymd),
     ("date", r"(?<![\d./-])\d{2}([-/.])\d{2}\g<SEP>\d{4}(?![\d/-]|\.\d)", date_dmy),
-    ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", address),
+    ("ip", r"(?<![\w.])(?<!version )(?<!release )\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", address),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", ssn),
     ("card", r"(?<![\d.-])[1-9]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d-])|(?<![\d.-])3\d{3}[ -]?\d{6}[ -]?\d{5}(?![\d-])", card),
     ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.-])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])", phone),
@@ -248,8 +258,6 @@ def replace(text: str, p: Permuter, back: bool = False) -> tuple[str, list[tuple
         kind, change = _FOUND[int(next(g for g in m.groupdict() if g[0] == "k" and m[g] is not None)[1:])]
         shown = m[0]
         new = change(p, shown, back)
-        if new is None and kind == "card" and len(re.sub(r"\D", "", shown)) == 16:
-            kind, new = "number", number(p, shown, back)
         if new is None:
             continue
         out += [text[done : m.start()], new]
@@ -264,10 +272,13 @@ def replace(text: str, p: Permuter, back: bool = False) -> tuple[str, list[tuple
 def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", spans_col: str | None = "pii", back: bool = False) -> DataFrame:
     """docs with the personal data of text_col replaced, and spans_col: array of (kind, start, end).
 
-    Cards, account and social security numbers, phones, IBANs, IP addresses, dates, e-mail names and secrets
-    are replaced where they are valid; all else stays, byte for byte. Null texts stay null, with no spans.
-    Equal values get equal pseudonyms under a key; back=True gives the originals again. Very long texts are
-    done whole, repeated rows alike. An input column named like spans_col is replaced.
+    Cards, social security numbers, phones, IBANs, IP addresses, dates from 1900 to 2099, e-mail names and
+    secrets are replaced where they are valid; all else stays, byte for byte: numbers that fail the card
+    check or start with 0, and four one-digit numbers with dots, or four after a letter, "version " or
+    "release ", which are versions more often than addresses. Null texts stay null, with no spans, empty
+    ones empty. Equal values get equal pseudonyms under a key; back=True gives the originals again. Very
+    long texts are done whole, repeated rows alike, an empty table stays empty. An input column named like
+    spans_col is replaced. Whoever has the key can invert the pseudonyms, hence it has no default.
     """
     keep = [c for c in docs.columns if spans_col is None or c.lower() != spans_col.lower()]
     at = keep.index(text_col)
