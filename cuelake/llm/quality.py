@@ -128,23 +128,26 @@ def _matrix(rows: DataFrame, text_col: str) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fit on documents whose label is 1 and on documents whatever their label; labels has the rows to learn from.
 
-    Null ids and null labels count as unlabelled.
+    Null ids and null labels count as unlabelled, null texts as empty; of repeated ids one row is taken.
+    Without positives or without documents every score is the prior.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y"))
     share = known.agg(F.avg((F.col("y") == 1).cast("double")).alias("p"), F.count("*").alias("n")).first()
     prior = ((share["p"] or 0.0) * share["n"] + 1) / (share["n"] + 2)
     order = F.xxhash64(F.col(id_col), F.lit(7))
     trusted = known.where("y = 1").orderBy(order).limit(POSITIVE_ROWS).select(F.col(id_col).alias("_id"), F.lit(1).alias("y"))
-    web = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id", F.lit(11))).limit(UNLABELLED_ROWS).withColumn("y", F.lit(0))
+    web = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id", F.lit(11))).limit(UNLABELLED_ROWS).withColumn("y", F.lit(0))
     chosen = cut(trusted.unionByName(web).groupBy("_id").agg(F.collect_set("y").alias("y")))  # at most the two bounds of rows
-    sample = cut(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id"))
+    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
+    sample = cut(found.groupBy("_id", "y").agg(F.min("text").alias("text")))  # one row an id, whatever docs repeats
     return fit(_matrix(sample.where(F.array_contains("y", 1)), "text"), _matrix(sample.where(F.array_contains("y", 0)), "text"), min(max(prior, 0.01), 0.99))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with score_col, the probability of a positive. Null and empty texts are scored by their empty features.
 
-    Very long texts are scored whole; an input column named like the result is replaced.
+    Very long texts are scored whole; repeated rows get equal scores; an empty table gives an empty result; an
+    input column named like the result is replaced.
     """
 
     keep = [c for c in docs.columns if c.lower() != score_col.lower()]
