@@ -61,12 +61,14 @@ class Lexicon:
             return [0.0] * len(NAMES)
         known, stems = self.words, self.stems
         hits, weight, top, stem_hits, stem_weight, disguised, mixed = 0, 0.0, 0.0, 0, 0.0, 0, 0
-        at, second = [], []
+        at, second, letters = [], [], 0
         for k, w in enumerate(words):
             if w.isalpha():
                 form, hidden = w, False
+                letters += len(w)
             else:
                 form, hidden = plain_form(w)
+                letters += sum(map(str.isalpha, w))
                 mixed += not w.strip(_EDGES).isalpha()
             value = known.get(form)
             if value is not None:
@@ -82,7 +84,6 @@ class Lexicon:
             if form in SECOND_PERSON:
                 second.append(k)
         aimed = sum(any(abs(k - s) <= NEAR for s in second) for k in at) if at and second else 0
-        letters = sum(map(str.isalpha, text)) if len(text) < 256 else max(1, len(text) - text.count(" "))
         capitals = len(_CAPITALS.findall(text))
         shouted = len(_SHOUTED.findall(text))
         marks = len(_MARKS.findall(text))
@@ -156,14 +157,35 @@ class Model:
     base: float
 
 
+def calibrate(held: DataFrame) -> IsotonicRegressionModel | None:
+    """The isotonic fit of label over raw, or None if one label is absent.
+
+    Equal scores enter as one weighted row. Each step of the fit becomes the point at its rows' mean score,
+    its share of positives smoothed by half a row of each label; the curve runs straight from (0, 0) over
+    these points to (1, 1). So it keeps the order of the scores, within a step too.
+    """
+    fit = IsotonicRegression(featuresCol="raw", weightCol="rows").fit
+    rows = cut(held.groupBy("raw").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("rows")))
+    both = rows.agg(F.max("label") > 0, F.min("label") < 1).first()
+    if not (both[0] and both[1]):
+        return None
+    n = F.sum("rows")
+    steps = fit(rows).transform(rows).groupBy("prediction").agg((F.sum(F.col("raw") * F.col("rows")) / n).alias("raw"), ((F.sum(F.col("label") * F.col("rows")) + 0.5) / (n + 1)).alias("label"), n.alias("rows"))
+    ends = held.sparkSession.createDataFrame([(0.0, 0.0, 1e-9), (1.0, 1.0, 1e-9)], "raw double, label double, rows double")
+    return fit(steps.select("raw", "label", "rows").unionByName(ends))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most TRAIN_ROWS documents of labels; a fifth of them is kept for the calibration.
 
-    Null ids and labels are left out. If one class is absent, every score is that class.
+    Null ids and labels are left out, null texts count as empty; of repeated ids one row is taken. If one class
+    is absent, every score is that class, or 0 without any labelled document. The lexicon holds the
+    LEXICON_WORDS terms of most weight among those that qualify.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("long").alias("y"))
     chosen = known.orderBy(F.xxhash64("_id", F.lit(5)), "_id").limit(TRAIN_ROWS)
-    sample = cut(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id"))
+    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
+    sample = cut(found.groupBy("_id", "y").agg(F.min("text").alias("text")))  # one row an id, whatever documents repeats
     kinds = {r["y"] for r in sample.select("y").distinct().collect()}
     if len(kinds) < 2:
         return Model(Lexicon({}, {}), None, None, float(max(kinds, default=0)))
@@ -172,15 +194,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = cut(VectorAssembler(inputCols=NAMES, outputCol="features").transform(_with_features(sample.select("_id", "y", "text"), lexicon, "text")).select("_id", F.col("y").cast("double").alias("label"), "features").coalesce(6))
     fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=17, maxBins=32, minInstancesPerNode=5).fit(rows.where(for_trees))
     held = fitted.transform(rows.where(~for_trees)).select("label", vector_to_array("probability")[1].alias("raw"))
-    calibration = IsotonicRegression(featuresCol="raw").fit(held) if held.select("label").distinct().count() == 2 else None
-    return Model(lexicon, fitted, calibration, 0.0)
+    return Model(lexicon, fitted, calibrate(held), 0.0)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs (but for text_col) with score_col from 0 to 1. Null and empty texts have all features zero.
+    """docs (but for text_col) with score_col, the trees' probability calibrated by the isotonic fit.
 
-    Whole texts are scored, however long; repeated rows get equal scores; an input column named like the
-    result is replaced.
+    Null and empty texts have all features zero. Whole texts are scored, however long; repeated rows get
+    equal scores; an empty table gives an empty result; an input column named like the result is replaced.
     """
     keep = [c for c in docs.columns if c.lower() != score_col.lower() and c != text_col]
     if model.trees is None:
@@ -192,6 +213,5 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     value = F.col("raw")
     if model.calibration is not None:
         out = model.calibration.transform(out.drop("prediction"))
-        # the steps of the isotonic fit, with the trees' own order kept within a step
-        value = 0.98 * F.col("prediction") + 0.02 * F.col("raw")
+        value = F.col("prediction")
     return out.select(*[F.col(f"k{n}").alias(c) for n, c in enumerate(keep)], F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)).alias(score_col))
