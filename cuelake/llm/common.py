@@ -58,6 +58,15 @@ def kept() -> Iterator[Callable[[DataFrame], DataFrame]]:
             df.unpersist()
 
 
+#: Rows in a file that narrow_cut writes, and files that it writes at least where there are as many tasks.
+FILE_ROWS, LEAST_FILES = 500_000, 8
+
+
+def narrow_cut(df: DataFrame, rows: int) -> DataFrame:
+    """cut for narrow frames of about so many rows: tasks are joined, so that few rows make few files."""
+    return cut(df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS))))
+
+
 #: What a plan may hold whose rows come in the same order whenever they are read.
 _ORDERED = re.compile(r"[\s:+|-]*(?:Project|Filter|Relation|LogicalRDD|LocalRelation|OneRowRelation|Range|Generate|MapInArrow|LocalLimit)\b")
 

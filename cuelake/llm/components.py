@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import cut
-
-#: Links in a partition of what a round writes (16 bytes each), so that few links make few files.
-LINKS = 500_000
+from cuelake.llm.common import cut, narrow_cut
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -16,7 +13,7 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def components(edges: DataFrame, src: str = "src", dst: str = "dst", rows: int | None = None) -> DataFrame:
     """(node, component) for every node of the edges; component is the smallest node reachable.
 
     Alternates the large-star and small-star steps of Kiveris and others (2014): each node hands its
@@ -25,11 +22,13 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     combined before the shuffle and split by skew-join handling; nothing is gathered in one place. Every
     round is written to the checkpoint folder; no round has more links than the one before.
 
-    Null ends and loops are ignored, repeated edges count once, no edges give an empty result.
+    Null ends and loops are ignored, repeated edges count once, no edges give an empty result. rows: about how
+    many edges there are, if that is known.
     """
     links = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
     # a is the larger end from here on
-    links = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = cut(links) if rows is None else narrow_cut(links, rows)
     before = _fingerprint(links)
     while before[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -38,7 +37,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         pairs = large.join(low, "a")
         small = low.select("a", F.col("m").alias("b")).unionByName(pairs.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        links = cut(small.distinct().coalesce(-(-before[0] // LINKS)))
+        links = narrow_cut(small.distinct(), before[0])
         after = _fingerprint(links)
         if after == before:
             break

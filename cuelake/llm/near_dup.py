@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import LOWER_BYTES, U64, Words, cut, fresh, kept, mix, pieces, run_hashes, settled, signed, text_bytes
+from cuelake.llm.common import LOWER_BYTES, U64, Words, cut, fresh, mix, narrow_cut, pieces, run_hashes, settled, signed, text_bytes
 from cuelake.llm.components import components
 
 #: At a similarity of 0.85 a pair misses all bands with probability (1 - 0.85**5)**32, about 7e-9.
@@ -259,45 +259,44 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keyed = docs.select(row.cast("long").alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = dict(keyed.dtypes)["id"]
     bound = sketch_bound(percent)
-    with kept() as keep:
-        # plans of frames kept upon one another would repeat each other, hence the first two are cut
-        sigs = cut(keyed.mapInArrow(_signatures(size), f"row long, id {kind}, n long, d1 long, d2 long, bands array<long>, sketch array<long>"))
-        classes = cut(sigs.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "row")).alias("least"))).withColumn("node", F.col("least.row"))
-        nodes = sigs.join(classes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "n", "bands", "sketch")
-        buckets = nodes.select("node", F.explode("bands").alias("key"))
-        leaders = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("many")).where("many > 1").select("key", "leader")
-        stars = keep(buckets.join(leaders, "key").where("node <> leader").select("leader", "node").distinct())
-        members = stars.select("node").unionByName(stars.select(F.col("leader").alias("node"))).distinct()
-        known = nodes.select("node", "n", "sketch").join(members, "node")
-        texts = keyed.select(F.col("row").alias("node"), "text").join(members, "node")
-
-        # the sketches decide pairs that stand alone with their leader; the others are needed for what follows too
-        many = stars.groupBy("leader").agg(F.count("*").alias("many"))
-        a = known.select(F.col("node").alias("leader"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        b = known.select("node", F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_distance("sa", "sb") <= bound)
-        part = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / LEADER_NODES)).cast("int")
-        pairs = keep(stars.join(many, "leader").join(a, "leader").join(b, "node").where(near | (F.col("many") > 1)).select("leader", part.alias("part"), "node", F.col("sb").alias("sketch")))
-        own = pairs.select("leader", "part").distinct().select("leader", "part", F.col("leader").alias("node"), F.lit(None).cast("array<long>").alias("sketch"))
-        # the leader's row sorts before those of its nodes, as the least node of a bucket leads
-        told = own.unionByName(pairs).join(texts, "node").select("leader", "part", "node", "sketch", "text").repartition("leader", "part").sortWithinPartitions("leader", "part", "node")
-        spokes = cut(told.mapInArrow(_spokes(size, percent), "leader long, node long, sketch array<long>, n long, linked boolean, differ array<long>"))
-
-        # nodes of a leader that it doesn't link with all its others, in blocks of bounded size
-        left = spokes.groupBy("leader").agg(F.count("*").alias("many"), F.sum(F.size("differ")).alias("elements"), F.bool_and("linked").alias("done")).where("many > 1 and not done")
-        left = left.select("leader", F.ceil(F.greatest(F.col("many") / BLOCK_NODES, F.col("elements") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
-        held = spokes.join(left, "leader").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-        held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        held = held.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "linked", "differ", "sketch")
-        between = held.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(_between(percent, bound), "a long, b long")
-        labels = components(spokes.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")).unionByName(between), "a", "b")
-
-        ends = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        least = ends.groupBy("component").agg(F.min("least").alias("first"))
-        of_class = ends.join(least, "component").select("n", "d1", "d2", "first")
-        alone = F.struct("id", "row")
-        placed = sigs.select("row", "id", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left").withColumn("first", F.coalesce("first", alone))
-        return cut(placed.select("row", "id", F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("first")))
+    sigs = cut(keyed.mapInArrow(_signatures(size), f"row long, id {kind}, n long, d1 long, d2 long, bands array<long>, sketch array<long>"))
+    rows = sigs.count()
+    classes = narrow_cut(sigs.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "row")).alias("least")), rows).withColumn("node", F.col("least.row"))
+    nodes = sigs.join(classes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "n", "bands", "sketch")
+    buckets = nodes.select("node", F.explode("bands").alias("key"))
+    leaders = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("many")).where("many > 1").select("key", "leader")
+    stars = narrow_cut(buckets.join(leaders, "key").where("node <> leader").select("leader", "node").distinct(), 2 * rows)
+    members = stars.select("node").unionByName(stars.select(F.col("leader").alias("node"))).distinct()
+    known = nodes.select("node", "n", "sketch").join(members, "node")
+    texts = keyed.select(F.col("row").alias("node"), "text").join(members, "node")
+
+    # the sketches decide pairs that stand alone with their leader; the others are needed for what follows too
+    many = stars.groupBy("leader").agg(F.count("*").alias("many"))
+    a = known.select(F.col("node").alias("leader"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = known.select("node", F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_distance("sa", "sb") <= bound)
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / LEADER_NODES)).cast("int")
+    pairs = narrow_cut(stars.join(many, "leader").join(a, "leader").join(b, "node").where(near | (F.col("many") > 1)).select("leader", part.alias("part"), "node", F.col("sb").alias("sketch")), 2 * rows)
+    own = pairs.select("leader", "part").distinct().select("leader", "part", F.col("leader").alias("node"), F.lit(None).cast("array<long>").alias("sketch"))
+    # the leader's row sorts before those of its nodes, as the least node of a bucket leads
+    told = own.unionByName(pairs).join(texts, "node").select("leader", "part", "node", "sketch", "text").repartition("leader", "part").sortWithinPartitions("leader", "part", "node")
+    spokes = cut(told.mapInArrow(_spokes(size, percent), "leader long, node long, sketch array<long>, n long, linked boolean, differ array<long>"))
+
+    # nodes of a leader that it doesn't link with all its others, in blocks of bounded size
+    left = spokes.groupBy("leader").agg(F.count("*").alias("many"), F.sum(F.size("differ")).alias("elements"), F.bool_and("linked").alias("done")).where("many > 1 and not done")
+    left = left.select("leader", F.ceil(F.greatest(F.col("many") / BLOCK_NODES, F.col("elements") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
+    held = spokes.join(left, "leader").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = held.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "linked", "differ", "sketch")
+    between = held.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(_between(percent, bound), "a long, b long")
+    labels = components(spokes.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")).unionByName(between), "a", "b", rows)
+
+    ends = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = ends.groupBy("component").agg(F.min("least").alias("first"))
+    of_class = ends.join(least, "component").select("n", "d1", "d2", "first")
+    alone = F.struct("id", "row")
+    placed = sigs.select("row", "id", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left").withColumn("first", F.coalesce("first", alone))
+    return narrow_cut(placed.select("row", "id", F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("first")), rows)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
