@@ -3,28 +3,36 @@
 Each byte is eight binary decisions; every decision has a tree of the bytes before it, up to DEPTH deep, and
 the Krichevsky-Trofimov estimates of all depths are mixed with the weights that the training texts give them
 (Willems, Shtarkov and Tjalkens 1995). The prediction after training is fixed, so a text's code length is a
-sum over its byte sequences of DEPTH + 1 bytes.
+sum over its byte sequences of DEPTH + 1 bytes; a node that training never reached says one half.
 
-Blocks of documents (the partitions of the input) state which byte sequences and words they hold, with the
-counts from training documents. Counts are added up in the cluster, the trees are weighted subtree by
-subtree, and every block gets back exactly the values it asked for; the whole model is never in one place.
+Blocks of documents (the partitions of the input) state once which byte sequences and words they hold, with
+the counts from training documents. Sequences are dealt out by their latest bytes; each part adds up the
+counts of its subtrees and sends what they add to the nodes above (depth 2 and less), which are put together
+from all parts. Then each part weights its subtrees and answers every block with exactly the values it asked
+for. The whole model is never in one place, and a frequent context is split by its third byte.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import LOWER_BYTES, U64, Words, cut, fresh, mix, pieces, shuffle_partitions, text_bytes
+from cuelake.llm.common import LOWER_BYTES, U64, Words, cut, mix, narrow_cut, pieces, settled, shuffle_partitions, text_bytes
 
 #: Bytes of context: with the symbol, as many as a 64-bit key holds.
 DEPTH = 7
-#: Sequences weighted at once, where subtrees of two context bytes allow it, so that a worker's memory is bounded.
-WEIGH_KEYS = 400_000
+#: Sequences are dealt out by two context bytes and the third byte's place in so many groups; whole subtrees of
+#: TOP bytes stand in one part, so that depths below TOP are put together from all parts.
+TOP, SPLIT = 3, 8
+#: Sequences weighted at once, where whole subtrees allow it, so that a worker's memory is bounded.
+WEIGH_KEYS = 200_000
+#: Blocks whose sequences make a part, about, so that parts grow in number with the input and not in size.
+PART_BLOCKS = 4
 #: Stands before a text and, as a symbol, after it; no UTF-8 text holds this byte.
 EDGE = 0xFF
 #: Smoothing of the word model.
@@ -44,9 +52,19 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
 
 
+#: Small counts, which are most, look their values up.
+_HALF, _WHOLE = lgamma(np.arange(1 << 12) + 0.5), lgamma(np.arange(1 << 13) + 1.0)
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of a sequence with so many zeros and ones."""
-    return lgamma(zeros + 0.5) + lgamma(ones + 0.5) - lgamma(zeros + ones + 1.0) - 1.1447298858494002
+    out = np.empty(len(zeros))
+    small = (zeros < len(_HALF)) & (ones < len(_HALF))
+    a, b = zeros[small], ones[small]
+    out[small] = _HALF[a] + _HALF[b] - _WHOLE[a + b]
+    a, b = zeros[~small], ones[~small]
+    out[~small] = lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1.0)
+    return out - 1.1447298858494002
 
 
 def sequences(data: np.ndarray, ends: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -70,97 +88,162 @@ def sequences(data: np.ndarray, ends: np.ndarray, depth: int = DEPTH) -> tuple[n
     return key[pick], out_ends
 
 
-class Level:
-    """The binary nodes of one depth: for the bit after a byte prefix of `done` bits, in each context."""
+@dataclass
+class Nodes:
+    """The binary nodes of one depth for one of the eight decisions.
 
-    def __init__(self, contexts: np.ndarray, counts: np.ndarray):
-        """contexts: sorted (context, symbol) keys of this depth; counts: how often each was seen."""
-        self.node, self.zeros, self.ones = [], [], []
-        symbol = (contexts & U64(255)).astype(np.int64)
-        context = contexts >> U64(8)
-        for done in range(8):
-            # a bit prefix with its length fits nine bits
-            prefix = (1 << done) | (symbol >> (8 - done))
-            node = (context << U64(8)) | prefix.astype(U64)
-            first = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
-            bit = (symbol >> (7 - done)) & 1
-            self.node.append(node[first])
-            if len(first):
-                self.ones.append(np.add.reduceat(np.where(bit == 1, counts, 0), first))
-                self.zeros.append(np.add.reduceat(np.where(bit == 0, counts, 0), first))
-            else:
-                self.ones.append(np.zeros(0, np.int64))
-                self.zeros.append(np.zeros(0, np.int64))
-        self.stop: list[np.ndarray] = [np.ones(len(n)) for n in self.node]
-        self.weighted: list[np.ndarray] = []
-
-
-def weigh(keys: np.ndarray, counts: np.ndarray, top: int, depth: int = DEPTH) -> list[Level]:
-    """Levels top..depth over all keys of some subtrees, weighted from the leaves up."""
-    levels = []
-    for d in range(top, depth + 1):
-        shift = U64(8 * (depth - d))
-        context = ((keys >> U64(8)) >> shift << U64(8)) | (keys & U64(255))
-        order = np.argsort(context, kind="stable") if d < depth else np.arange(len(keys))
-        context, number = context[order], counts[order]
-        first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.zeros(0, np.int64)
-        levels.append(Level(context[first], np.add.reduceat(number, first) if len(first) else np.zeros(0, np.int64)))
-    for d in range(depth, top - 1, -1):
-        level = levels[d - top]
-        below = levels[d - top + 1] if d < depth else None
-        for done in range(8):
-            own = log_kt(level.zeros[done], level.ones[done])
-            if below is None:
-                level.weighted.append(own)
-                continue
-            parent = ((below.node[done] >> U64(16)) << U64(8)) | (below.node[done] & U64(255))
-            spread = np.bincount(np.searchsorted(level.node[done], parent), below.weighted[done], minlength=len(own))
-            settle(level, done, own, spread)
-    return levels
+    of_row: the node of each (context, symbol) row of this depth; first: the first row of each node; zeros and
+    ones: the training counts; weighted: log of the weighted probability; stop: the share of the node's own
+    estimate in it.
+    """
+
+    of_row: np.ndarray
+    first: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    weighted: np.ndarray | None = None
+    stop: np.ndarray | None = None
 
 
-def settle(level: Level, done: int, own: np.ndarray, spread: np.ndarray) -> None:
-    """Mix a node's own estimate with its children's product, each at one half."""
-    both = np.logaddexp(own, spread) - np.log(2)
-    level.stop[done] = np.exp(own - np.log(2) - both)
-    level.weighted.append(both)
+def starts(x: np.ndarray) -> np.ndarray:
+    """Flags of the first of equal neighbours."""
+    out = np.ones(len(x), bool)
+    out[1:] = x[1:] != x[:-1]
+    return out
 
 
-def predict(keys: np.ndarray, levels: list[Level], depth: int = DEPTH) -> np.ndarray:
-    """log10 probability of each key's symbol in its context; levels are those of depths 0..depth.
+def bit_of(keys: np.ndarray, done: int) -> np.ndarray:
+    return (keys >> U64(7 - done)) & U64(1)
 
-    A node that training never reached tells nothing: its parent's estimate stands.
-    """
-    out = np.zeros(len(keys))
-    symbol = (keys & U64(255)).astype(np.int64)
+
+def nodes_of(rows: np.ndarray, counts: np.ndarray) -> list[Nodes]:
+    """Nodes over sorted (context, symbol) rows, by how many bits of the symbol are done."""
+    out = []
     for done in range(8):
-        prefix = ((1 << done) | (symbol >> (8 - done))).astype(U64)
-        bit = (symbol >> (7 - done)) & 1
-        p = np.full(len(keys), 0.5)
-        for d in range(depth, -1, -1):
-            level = levels[d]
-            node = ((keys >> U64(8) >> U64(8 * (depth - d))) << U64(8)) | prefix
-            if not len(level.node[done]):
-                continue
-            at = np.minimum(np.searchsorted(level.node[done], node), len(level.node[done]) - 1)
-            there = level.node[done][at] == node
-            zeros, ones = level.zeros[done][at], level.ones[done][at]
-            seen = there & (zeros + ones > 0)
-            own = (np.where(bit == 1, ones, zeros) + 0.5) / (zeros + ones + 1.0)
-            if d == depth:
-                mixed, reached = own, np.zeros(len(keys), bool)
-            else:
-                stop = level.stop[done][at]
-                mixed = np.where(reached, stop * own + (1 - stop) * p, own)
-            p = np.where(seen, mixed, p)
-            reached = seen if d == depth else reached | seen
-        out += np.log10(p)
+        flags = starts(rows >> U64(8 - done))
+        first = np.flatnonzero(flags)
+        ones = np.where(bit_of(rows, done) == 1, counts, 0)
+        both = np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
+        one = np.add.reduceat(ones, first) if len(first) else np.zeros(0, np.int64)
+        out.append(Nodes((np.cumsum(flags) - 1).astype(np.int32), first, both - one, one))
     return out
 
 
+def settle(own: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weighted, stop): the node's own estimate and its children's product mixed, each at one half."""
+    weighted = np.logaddexp(own, spread) - np.log(2)
+    return weighted, np.exp(own - np.log(2) - weighted)
+
+
+def parents(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows one byte of context shorter, sorted, and the place of each row's parent in them."""
+    up = (rows >> U64(16) << U64(8)) | (rows & U64(255))
+    order = np.argsort(up)
+    flags = starts(up[order])
+    of_row = np.empty(len(up), np.int64)
+    of_row[order] = np.cumsum(flags) - 1
+    return up[order][flags], of_row
+
+
+class Subtrees:
+    """Whole subtrees of `top` context bytes over sorted keys, weighted from the leaves up to that depth.
+
+    rows[k], up[k] and nodes[k] belong to depth - k: its (context, symbol) rows, each row's parent among
+    rows[k + 1], and the binary nodes.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, top: int = TOP, depth: int = DEPTH):
+        self.top, self.depth = top, depth
+        self.rows, self.up, self.nodes = [keys], [], [nodes_of(keys, counts)]
+        for _ in range(depth - top):
+            shorter, of_row = parents(self.rows[-1])
+            counts = np.bincount(of_row, counts, minlength=len(shorter)).astype(np.int64)
+            self.rows.append(shorter)
+            self.up.append(of_row)
+            self.nodes.append(nodes_of(shorter, counts))
+        for k, level in enumerate(self.nodes):
+            for done, x in enumerate(level):
+                own = log_kt(x.zeros, x.ones)
+                if not k:
+                    x.weighted = own
+                    continue
+                below = self.nodes[k - 1][done]
+                parent = x.of_row[self.up[k - 1][below.first]]
+                x.weighted, x.stop = settle(own, np.bincount(parent, below.weighted, minlength=len(own)))
+
+    def sums(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(done, node, zeros, ones, spread): what the uppermost nodes add to those one byte shorter."""
+        rows = self.rows[-1]
+        for done, x in enumerate(self.nodes[-1]):
+            node, at = np.unique(node_keys(rows[x.first], done, 1), return_inverse=True)
+            yield done, node, *(np.bincount(at, v, minlength=len(node)) for v in (x.zeros, x.ones, x.weighted))
+
+    def logs(self, above: "list[Table]") -> np.ndarray:
+        """log10 probability of each key's symbol in its context; above has the tables of depths 0..top-1."""
+        out = np.zeros(len(self.rows[0]))
+        for done in range(8):
+            rows = self.rows[-1]
+            # the share of the estimates so far, and what is left of the weight, on the way down
+            told, left, bit = np.zeros(len(rows)), np.ones(len(rows)), bit_of(rows, done)
+            for d, table in enumerate(above):
+                zeros, ones, stop = table.find(node_keys(rows, done, self.top - d), done)
+                told, left = told + left * stop * estimate(zeros, ones, bit), left * (1 - stop)
+            for k in range(len(self.nodes) - 1, -1, -1):
+                x = self.nodes[k][done]
+                if k < len(self.nodes) - 1:
+                    told, left = told[self.up[k]], left[self.up[k]]
+                own = estimate(x.zeros[x.of_row], x.ones[x.of_row], bit_of(self.rows[k], done))
+                if k:
+                    stop = x.stop[x.of_row]
+                    told, left = told + left * stop * own, left * (1 - stop)
+                else:
+                    told += left * own
+            out += np.log10(told)
+        return out
+
+
+def estimate(zeros: np.ndarray, ones: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """The Krichevsky-Trofimov probability that the next decision is the bit."""
+    return (np.where(bit == 1, ones, zeros) + 0.5) / (zeros + ones + 1.0)
+
+
+def node_keys(rows: np.ndarray, done: int, shorter: int) -> np.ndarray:
+    """Names of the rows' nodes, so many bytes of context shorter: the context and, after a one, the bits done."""
+    prefix = (U64(1) << U64(done)) | ((rows & U64(255)) >> U64(8 - done))
+    return (rows >> U64(8) >> U64(8 * shorter) << U64(8)) | prefix
+
+
+class Table:
+    """Nodes of one depth by name: zeros, ones and stop."""
+
+    def __init__(self) -> None:
+        self.by_done: list[tuple[np.ndarray, ...]] = [(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))] * 8
+
+    @staticmethod
+    def of(node: np.ndarray, done: np.ndarray, zeros: np.ndarray, ones: np.ndarray, stop: np.ndarray) -> "Table":
+        out = Table()
+        order = np.lexsort((node, done))
+        edges = np.searchsorted(done[order], np.arange(9))
+        for k in range(8):
+            at = order[edges[k] : edges[k + 1]]
+            out.by_done[k] = (node[at], zeros[at], ones[at], stop[at])
+        return out
+
+    def find(self, node: np.ndarray, done: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """zeros, ones and stop of the nodes; no counts where there is none."""
+        names, zeros, ones, stop = self.by_done[done]
+        if not len(names):
+            return np.zeros(len(node), np.int64), np.zeros(len(node), np.int64), np.ones(len(node))
+        at = np.minimum(np.searchsorted(names, node), len(names) - 1)
+        there = names[at] == node
+        return np.where(there, zeros[at], 0), np.where(there, ones[at], 0), np.where(there, stop[at], 1.0)
+
+
 # ---- the distributed part --------------------------------------------------------------------
 
 _PACKED = "prefixes binary, sizes binary, low binary"
+_ASKED = f"kind int, part int, block int, {_PACKED}, counts binary"
+_NODE = "node long, done int, zeros long, ones long"
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -192,9 +275,9 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Distinct keys, sorted, with the sums of their counts."""
     if not len(keys):
         return keys, counts
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    first = np.flatnonzero(starts(keys))
     return keys[first], np.add.reduceat(counts, first)
 
 
@@ -223,9 +306,11 @@ class Gathered:
 
 def counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and how often each stands in training texts."""
-    plain, held = np.sort(keys[train]), np.unique(keys[~train])
-    first = np.flatnonzero(np.append(True, plain[1:] != plain[:-1])) if len(plain) else np.zeros(0, np.int64)
+    plain, held = np.sort(keys[train]), np.sort(keys[~train])
+    first, held = np.flatnonzero(starts(plain)), held[starts(held)]
     times = np.diff(np.append(first, len(plain)))
+    if not len(held):
+        return plain[first], times
     return summed(np.concatenate([plain[first], held]), np.concatenate([times, np.zeros(len(held), np.int64)]))
 
 
@@ -240,68 +325,77 @@ def _words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, out_ends
 
 
-def _asked(kind: int, parts: int, with_counts: bool):
-    """For mapInArrow over (block, trains, text): the task's distinct keys, by part."""
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each sequence: by two context bytes and the group of the third."""
+    return (mix((keys >> U64(8 * (DEPTH - 1))) * U64(SPLIT) + (keys >> U64(8 * (DEPTH - 2))) % U64(SPLIT)) % U64(parts)).astype(np.int32)
+
+
+def _asked(parts: int):
+    """For mapInArrow over (block, trains, text): the task's distinct sequences and words, by part."""
+
+    def told(kind: int, block: int, keys: np.ndarray, counts: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(parts + 1))
+        for p in np.flatnonzero(np.diff(edges)):
+            at = order[edges[p] : edges[p + 1]]
+            values = [kind, int(p), block, *pack(keys[at]), squeeze(counts[at])]
+            types = [pa.int32()] * 3 + [pa.binary()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["kind", "part", "block", "prefixes", "sizes", "low", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, block = Gathered(), None
+        found, words, block = Gathered(), Gathered(), None
         for batch in batches:
             if batch.num_rows:
                 block = batch.column(0)[0].as_py()
             trains = np.asarray(batch.column(1)).astype(bool)
             data, ends = text_bytes(batch.column(2))
             for i, j in pieces(ends):
-                keys, key_ends = (sequences if kind == BYTES else _words)(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
-                found.add(*counted(keys, np.repeat(trains[i:j], np.diff(key_ends))))
+                for kind, into in ((sequences, found), (_words, words)):
+                    keys, key_ends = kind(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
+                    into.add(*counted(keys, np.repeat(trains[i:j], np.diff(key_ends))))
+        if block is None:
+            return
         keys, counts = found.result()
-        # byte sequences stay together by their two latest context bytes, words are spread by their hash
-        group = _pairs(keys) if kind == BYTES else keys
-        part = (mix(group) % U64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(parts + 1))
-        for p in range(parts):
-            at = order[edges[p] : edges[p + 1]]
-            if not len(at):
-                continue
-            row = [pa.array([p], pa.int32()), pa.array([block], pa.int32())]
-            names = ["part", "block"]
-            if kind == BYTES:
-                row += [pa.array([x]) for x in pack(keys[at])]
-                names += ["prefixes", "sizes", "low"]
-            else:
-                row.append(pa.array([keys[at].tobytes()]))
-                names.append("keys")
-            if with_counts:
-                row.append(pa.array([squeeze(counts[at]) if kind == BYTES else counts[at].tobytes()]))
-                names.append("counts")
-            yield pa.RecordBatch.from_arrays(row, names=names)
+        yield from told(BYTES, block, keys, counts, part_of(keys, parts))
+        keys, counts = words.result()
+        yield from told(WORD, block, keys, counts, (mix(keys) % U64(parts)).astype(np.int32))
 
     return run
 
 
-def _merged(table: pa.Table) -> pa.Table:
-    """For applyInArrow over the rows of a part (and some of its blocks): one row with all their sequences."""
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each part; rows come sorted by part, the first column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        part = batch.column(0).to_numpy()
+        edges = [*np.flatnonzero(starts(part)).tolist(), len(part)]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            if held and held[0].column(0)[0].as_py() != part[i]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _rows(table: pa.Table, *names: str) -> Iterator[tuple]:
+    """Values of the columns, row by row."""
+    for batch in table.select(names).to_batches():
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _merged(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The sequences that blocks ask for, with the sums of their counts."""
     found = Gathered()
-    for r in table.to_batches():
-        for k in range(r.num_rows):
-            x = {name: r.column(name)[k].as_py() for name in ("prefixes", "sizes", "low", "counts")}
-            found.add(unpack(x["prefixes"], x["sizes"], x["low"]), expand(x["counts"], np.int64))
-    keys, counts = found.result()
-    p, s, low = pack(keys)
-    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "prefixes": [p], "sizes": [s], "low": [low], "counts": [squeeze(counts)]})
-
-
-def _pairs(keys: np.ndarray) -> np.ndarray:
-    """The two latest context bytes."""
-    return keys >> U64(8 * (DEPTH - 1))
-
-
-def _subtrees(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys and counts of a merged part, whole subtrees of two context bytes at a time."""
-    keys = unpack(*(batch.column(name)[k].as_py() for name in ("prefixes", "sizes", "low")))
-    counts = expand(batch.column("counts")[k].as_py(), np.int64)
-    pair = _pairs(keys)
-    ends = np.append(np.flatnonzero(pair[1:] != pair[:-1]) + 1, len(keys)) if len(keys) else np.zeros(0, np.int64)
+    for *packed, counts in _rows(rows, "prefixes", "sizes", "low", "counts"):
+        found.add(unpack(*packed), expand(counts, np.int64))
+    return found.result()
+
+
+def _subtrees(keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Whole subtrees of TOP context bytes at a time."""
+    context = keys >> U64(8 * (DEPTH + 1 - TOP))
+    ends = np.append(np.flatnonzero(context[1:] != context[:-1]) + 1, len(keys)) if len(keys) else np.zeros(0, np.int64)
     start = 0
     while start < len(keys):
         fits = int(np.searchsorted(ends, start + WEIGH_KEYS, "right")) - 1
@@ -310,127 +404,132 @@ def _subtrees(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.nd
         start = end
 
 
-def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over merged parts: what the nodes of depth 2 add to those of depth 1."""
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over a part's rows: what its subtrees add to the nodes of depth TOP - 1."""
+    for table in _parts(batches):
+        for keys, counts in _subtrees(*_merged(table)):
+            for done, node, zeros, ones, spread in Subtrees(keys, counts).sums():
+                columns = [pa.array(node.view(np.int64)), pa.array(np.full(len(node), done, np.int32)), pa.array(zeros.astype(np.int64)), pa.array(ones.astype(np.int64)), pa.array(spread)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "done", "zeros", "ones", "spread"])
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (node, done, zeros, ones, spread): the same nodes with stop and weighted."""
     for batch in batches:
-        for k in range(batch.num_rows):
-            for keys, counts in _subtrees(batch, k):
-                level = weigh(keys, counts, 2)[0]
-                for done in range(8):
-                    parent = ((level.node[done] >> U64(16)) << U64(8)) | (level.node[done] & U64(255))
-                    node, at = np.unique(parent, return_inverse=True)
-                    sums = [np.bincount(at, x, minlength=len(node)) for x in (level.zeros[done], level.ones[done], level.weighted[done])]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(node.astype(np.int64)), pa.array(np.full(len(node), done, np.int32)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2])],
-                        names=["node", "done", "zeros", "ones", "spread"],
-                    )
-
-
-def top_levels(rows: list) -> list[Level]:
-    """Depths 0 and 1 from the sums for depth 1."""
-    none = np.zeros(0, U64), np.zeros(0, np.int64)
-    root, first = Level(*none), Level(*none)
-    for done in range(8):
-        mine = sorted((r for r in rows if r["done"] == done), key=lambda r: r["node"])
-        first.node[done] = np.array([r["node"] for r in mine], U64)
-        first.zeros[done], first.ones[done] = (np.array([r[x] for r in mine], np.int64) for x in ("zeros", "ones"))
-        settle(first, done, log_kt(first.zeros[done], first.ones[done]), np.array([r["spread"] for r in mine], float))
-        node, at = np.unique(first.node[done] & U64(255), return_inverse=True)
-        root.node[done] = node
-        root.zeros[done], root.ones[done] = (np.bincount(at, x, minlength=len(node)).astype(np.int64) for x in (first.zeros[done], first.ones[done]))
-        settle(root, done, log_kt(root.zeros[done], root.ones[done]), np.bincount(at, first.weighted[done], minlength=len(node)))
-    return [root, first]
+        zeros, ones, spread = (batch.column(k).to_numpy() for k in (2, 3, 4))
+        weighted, stop = settle(log_kt(zeros, ones), spread)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(stop), pa.array(weighted)], names=["node", "done", "zeros", "ones", "stop", "weighted"])
 
 
-def _predictions(tops: list[Level]):
-    """For mapInArrow over merged parts: the log10 probability of each sequence's last byte."""
+def _shorter(nodes: DataFrame) -> DataFrame:
+    """What nodes add to those of one byte less context: (node, done, zeros, ones, spread)."""
+    name = F.shiftleft(F.shiftrightunsigned("node", 16), 8).bitwiseOR(F.col("node").bitwiseAND(F.lit(255)))
+    return nodes.groupBy(name.alias("node"), "done").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("spread"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                found = [predict(keys, [*tops, *weigh(keys, counts, 2)]).astype(np.float32) for keys, counts in _subtrees(batch, k)]
-                values = np.concatenate(found) if found else np.zeros(0, np.float32)
-                row = [batch.column(name).slice(k, 1) for name in ("part", "prefixes", "sizes", "low")]
-                yield pa.RecordBatch.from_arrays([*row, pa.array([squeeze(values)])], names=["part", "prefixes", "sizes", "low", "values"])
 
-    return run
+def top_tables(rows: pa.Table) -> list[Table]:
+    """The tables of depths 0 and 1 from the sums for depth 1."""
+    node, done, zeros, ones = (rows.column(n).to_numpy() for n in ("node", "done", "zeros", "ones"))
+    weighted, stop = settle(log_kt(zeros, ones), rows.column("spread").to_numpy())
+    first = Table.of(node.astype(U64), done, zeros, ones, stop)
+    name, at = np.unique(done.astype(np.int64) << 8 | (node & 255), return_inverse=True)
+    zeros, ones, spread = (np.bincount(at, x, minlength=len(name)) for x in (zeros, ones, weighted))
+    zeros, ones = zeros.astype(np.int64), ones.astype(np.int64)
+    return [Table.of((name & 255).astype(U64), name >> 8, zeros, ones, settle(log_kt(zeros, ones), spread)[1]), first]
 
 
-def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (block, asked sequences, the part's sequences and values): the block's values."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            x = [batch.column(n)[k].as_py() for n in range(batch.num_columns)]
-            asked, known = unpack(*x[1:4]), unpack(*x[4:7])
-            values = expand(x[7], np.float32)[np.searchsorted(known, asked)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0]], pa.int32()), pa.array([BYTES], pa.int32()), *(pa.array([b], pa.binary()) for b in (*x[1:4], squeeze(values)))], names=["block", "kind", "prefixes", "sizes", "low", "values"])
+def _answers(tops: list[Table]):
+    """For mapInArrow over a part's rows: first the nodes of depth 2 (block -1), then what blocks ask for.
 
+    Every block gets the log10 probabilities of its sequences' last bytes.
+    """
 
-def _word_totals(table: pa.Table) -> pa.Table:
-    """For applyInArrow over the rows of a part: each block's words with their counts in all blocks.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _parts(batches):
+            above = table.filter(pa.compute.equal(table.column("block"), -1))
+            asked = table.filter(pa.compute.greater_equal(table.column("block"), 0))
+            node, done, zeros, ones, stop = (above.column(n).to_numpy() for n in ("node", "done", "zeros", "ones", "stop"))
+            tables = [*tops, Table.of(node.astype(U64), done, zeros, ones, stop)]
+            keys, counts = _merged(asked)
+            values = np.concatenate([Subtrees(k, c).logs(tables) for k, c in _subtrees(keys, counts)]).astype(np.float32) if len(keys) else np.zeros(0, np.float32)
+            for block, *packed in _rows(asked, "block", "prefixes", "sizes", "low"):
+                mine = squeeze(values[np.searchsorted(keys, unpack(*packed))])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([BYTES], pa.int32()), *(pa.array([b], pa.binary()) for b in (*packed, mine))], names=["block", "kind", "prefixes", "sizes", "low", "values"])
+
+    return run
+
+
+def _word_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over a part's rows: each block's words with their counts in all blocks.
 
     A row of block -1 tells how many tokens and distinct words the part has.
     """
-    asked = [np.frombuffer(x.as_py(), U64) for x in table.column("keys")]
-    counts = [np.frombuffer(x.as_py(), np.int64) for x in table.column("counts")]
-    keys, total = summed(np.concatenate(asked), np.concatenate(counts))
-    out = {"block": [-1], "kind": [WORD], "prefixes": [b""], "sizes": [b""], "low": [np.array([total.sum(), (total > 0).sum()], np.int64).tobytes()], "values": [b""]}
-    for block, mine in zip(table.column("block").to_pylist(), asked, strict=True):
-        out["block"].append(block)
-        out["kind"].append(WORD)
-        out["prefixes"].append(b"")
-        out["sizes"].append(b"")
-        out["low"].append(mine.tobytes())
-        out["values"].append(total[np.searchsorted(keys, mine)].tobytes())
-    return pa.table(out, schema=pa.schema([("block", pa.int32()), ("kind", pa.int32()), *((n, pa.binary()) for n in ("prefixes", "sizes", "low", "values"))]))
+    names = ["block", "kind", "prefixes", "sizes", "low", "values", "tokens", "distinct"]
+    types = [pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int64()]
+    for table in _parts(batches):
+        keys, total = _merged(table)
+        rows = [(-1, WORD, b"", b"", b"", b"", int(total.sum()), int((total > 0).sum()))]
+        for block, *packed in _rows(table, "block", "prefixes", "sizes", "low"):
+            rows.append((block, WORD, *packed, squeeze(total[np.searchsorted(keys, unpack(*packed))]), 0, 0))
+        for k in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64], strict=True), types, strict=True)], names=names)
 
 
 def _lookup(known: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
-    if len(keys) and (not len(known) or not np.array_equal(known[at], keys)):
+    """values at the keys' places in known; sorted keys find theirs far sooner."""
+    order = np.argsort(keys)
+    asked = keys[order]
+    at = np.minimum(np.searchsorted(known, asked), max(0, len(known) - 1))
+    if len(keys) and (not len(known) or not np.array_equal(known[at], asked)):
         raise RuntimeError("a block of documents was dealt out differently than before: write the input to a table first")
-    return values[at]
+    out = np.empty(len(keys), values.dtype)
+    out[order] = values[at]
+    return out
 
 
 def _scored(tokens: int, distinct: int):
-    """For applyInArrow over a block's documents and the values that it asked for."""
-
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        words: list[tuple[np.ndarray, np.ndarray]] = []
-        bytes_: list[tuple[np.ndarray, np.ndarray]] = []
-        kind = answers.column("kind").to_numpy()
-        for k in range(answers.num_rows):
-            x = {name: answers.column(name)[k].as_py() for name in ("prefixes", "sizes", "low", "values")}
-            if kind[k] == WORD:
-                words.append((np.frombuffer(x["low"], U64), np.frombuffer(x["values"], np.int64)))
-            else:
-                bytes_.append((unpack(x["prefixes"], x["sizes"], x["low"]), expand(x["values"], np.float32)))
-
-        def sorted_table(found: list, kind: type) -> tuple[np.ndarray, np.ndarray]:
-            keys = np.concatenate([k for k, _ in found]) if found else np.zeros(0, U64)
-            values = np.concatenate([v for _, v in found]) if found else np.zeros(0, kind)
-            order = np.argsort(keys)
-            return keys[order], values[order]
-
-        word_keys, word_counts = sorted_table(words, np.int64)
-        byte_keys, byte_values = sorted_table(bytes_, np.float32)
-        out: dict[str, list[np.ndarray]] = {n: [] for n in ("n_tokens", "n_known", "base_score", "score", "bits_per_byte")}
-        for batch in docs.to_batches():
-            data, ends = text_bytes(batch.column("text"))
-            for i, j in pieces(ends):
-                part, local = data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
-                keys, key_ends = _words(part, local)
-                counts = _lookup(word_keys, word_counts, keys)
-                logs = np.log10((counts + ALPHA) / (tokens + ALPHA * (distinct + 1)))
-                out["n_tokens"].append(np.diff(key_ends))
-                out["n_known"].append(np.add.reduceat((counts > 0).astype(np.int64), key_ends[:-1]))
-                out["base_score"].append(np.add.reduceat(logs, key_ends[:-1]))
-                keys, key_ends = sequences(part, local)
-                values = np.add.reduceat(_lookup(byte_keys, byte_values, keys).astype(float), key_ends[:-1])
-                out["score"].append(values)
-                out["bits_per_byte"].append(-values * np.log2(10) / np.diff(key_ends))
-        final = {name: np.concatenate(x) if x else np.zeros(0) for name, x in out.items()}
-        return pa.table({"id": docs.column("id"), "trains": docs.column("trains"), **{k: pa.array(v) for k, v in final.items()}})
+    """For mapInArrow over the rows of blocks, sorted: a block's answers come before its documents."""
+
+    def known(answers: list[pa.RecordBatch], kind: int, of: type) -> tuple[np.ndarray, np.ndarray]:
+        keys, values = [np.zeros(0, U64)], [np.zeros(0, of)]
+        for batch in answers:
+            for own, *packed, told in zip(*(batch.column(n).to_pylist() for n in ("kind", "prefixes", "sizes", "low", "values")), strict=True):
+                if own == kind:
+                    keys.append(unpack(*packed))
+                    values.append(expand(told, of))
+        keys, values = np.concatenate(keys), np.concatenate(values)
+        order = np.argsort(keys)
+        return keys[order], values[order]
+
+    def score(docs: pa.RecordBatch, words: tuple, sequences_: tuple) -> Iterator[pa.RecordBatch]:
+        data, ends = text_bytes(docs.column("text"))
+        for i, j in pieces(ends):
+            part, local = data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
+            keys, key_ends = _words(part, local)
+            counts = _lookup(*words, keys)
+            logs = np.log10((counts + ALPHA) / (tokens + ALPHA * (distinct + 1)))
+            byte_keys, byte_ends = sequences(part, local)
+            values = np.add.reduceat(_lookup(*sequences_, byte_keys).astype(float), byte_ends[:-1])
+            own = docs.slice(i, j - i)
+            columns = [own.column("id"), own.column("trains"), np.diff(key_ends), np.add.reduceat((counts > 0).astype(np.int64), key_ends[:-1]), np.add.reduceat(logs, key_ends[:-1]), values, -values * np.log2(10) / np.diff(byte_ends)]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["id", "trains", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, answers, words, found = None, [], None, None
+        for batch in batches:
+            block, ord_ = batch.column("block").to_numpy(), batch.column("ord").to_numpy()
+            edges = [*np.flatnonzero(starts(block * 2 + ord_)).tolist(), len(block)]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                if of != block[i]:
+                    of, answers, words, found = block[i], [], None, None
+                rows = batch.slice(i, j - i)
+                if ord_[i] == 0:
+                    answers.append(rows)
+                    continue
+                if words is None:
+                    words, found = known(answers, WORD, np.int64), known(answers, BYTES, np.float32)
+                    answers = []
+                yield from score(rows, words, found)
 
     return run
 
@@ -442,34 +541,47 @@ def score_documents(docs: DataFrame, trains, id_col: str = "doc_id", text_col: s
     of the lower-cased (A-Z) text and its end under the byte model, bits_per_byte its code length per byte,
     the end counted as one. base_score is that of a smoothed word model: tokens are [^\\x20\\x09-\\x0D]+ and
     one end; n_known of the n_tokens occur in training texts. Null and empty texts hold the end alone.
-    Repeated rows count each. Without training rows every bit has probability one half and base_score is 0.
-    docs must come from tables (its partitions must be the same when read again).
+    Repeated rows count each; very long texts are scored whole. Without training rows every bit has
+    probability one half and base_score is 0 for an empty vocabulary. An empty table gives an empty result;
+    other columns of docs take no part.
     """
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    (block,) = fresh(docs, "block")
-    rows = docs.select(F.spark_partition_id().alias(block), F.coalesce(trains, F.lit(False)).alias("trains"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id"))
-    source = rows.select(block, "trains", "text")
-
-    # sequences: counts are added up by part, for some blocks first and then for all
-    kind = f"part int, {_PACKED}, counts binary"
-    asked = source.mapInArrow(_asked(BYTES, parts, True), f"part int, block int, {_PACKED}, counts binary")
-    some = asked.groupBy("part", F.pmod("block", F.lit(16))).applyInArrow(_merged, kind)
-    merged = cut(some.groupBy("part").applyInArrow(_merged, kind))
-    sums = merged.mapInArrow(_tops, "node long, done int, zeros long, ones long, spread double").groupBy("node", "done")
-    tops = top_levels(sums.agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("spread").alias("spread")).collect())  # 256 contexts of 255 nodes at most
-    model = merged.mapInArrow(_predictions(tops), f"part int, {_PACKED}, values binary")
-    wanted = source.mapInArrow(_asked(BYTES, parts, False), f"part int, block int, {_PACKED}")
-    known = model.select("part", *[F.col(c).alias("known_" + c) for c in ("prefixes", "sizes", "low")], "values")
-    answer = f"block int, kind int, {_PACKED}, values binary"
-    sequences_back = wanted.join(known, "part").select("block", "prefixes", "sizes", "low", "known_prefixes", "known_sizes", "known_low", "values").mapInArrow(_answered, answer)
-
-    words_back = cut(source.mapInArrow(_asked(WORD, parts, True), "part int, block int, keys binary, counts binary").groupBy("part").applyInArrow(_word_totals, answer))
-    told = words_back.where("block = -1").select("low").collect()  # one row a part
-    tokens, distinct = (np.sum([np.frombuffer(bytes(r["low"]), np.int64) for r in told], axis=0) if told else (0, 0))
-    tokens, distinct = int(tokens), int(distinct)
-
-    answers = sequences_back.unionByName(words_back.where("block >= 0"))
+    docs = settled(docs)
+    rows = docs.select(F.spark_partition_id().alias("block"), F.coalesce(trains, F.lit(False)).alias("trains"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id"))
+    blocks = max(1, docs.rdd.getNumPartitions())
+    parts = max(shuffle_partitions(spark), blocks // PART_BLOCKS)
+    asked = cut(rows.select("block", "trains", "text").mapInArrow(_asked(parts), _ASKED))
+    dealt = lambda df: df.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "block")
+    columns = ["part", "block", "prefixes", "sizes", "low", "counts"]
+    found = asked.where(F.col("kind") == BYTES).select(*columns)
+
+    sums = dealt(found).mapInArrow(_sums, _NODE + ", spread double").groupBy("node", "done").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("spread").alias("spread"))
+    # at most 2**24 nodes of depth 2, in any corpus; at most 2**16 of depth 1 come to the driver
+    second = narrow_cut(sums.mapInArrow(_settled, _NODE + ", stop double, weighted double"), 1 << 16)
+    tops = top_tables(_shorter(second).toArrow())
+    groups = second.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1)))).mapInArrow(_placed(parts), "part int, block int, " + _NODE + ", stop double").distinct()
+    both = groups.unionByName(found, allowMissingColumns=True)
+    back = dealt(both).mapInArrow(_answers(tops), f"block int, kind int, {_PACKED}, values binary")
+
+    words = cut(dealt(asked.where(F.col("kind") == WORD).select(*columns)).mapInArrow(_word_answers, f"block int, kind int, {_PACKED}, values binary, tokens long, distinct long"))
+    told = words.where("block = -1").agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
+    tokens, distinct = told["tokens"] or 0, told["distinct"] or 0
+
+    answers = back.unionByName(words.where("block >= 0").drop("tokens", "distinct")).withColumn("ord", F.lit(0))
     kind = dict(rows.dtypes)["id"]
-    out = rows.withColumnRenamed(block, "block").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(tokens, distinct), f"id {kind}, trains boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    all_ = answers.unionByName(rows.withColumn("ord", F.lit(1)), allowMissingColumns=True)
+    out = all_.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "ord").mapInArrow(_scored(tokens, distinct), f"id {kind}, trains boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return out.select(F.col("id").alias(id_col), "trains", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
+
+
+def _placed(parts: int):
+    """For mapInArrow over nodes of depth 2 and a group of third bytes: the part that weights those sequences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair, group = batch.column("node").to_numpy().astype(U64) >> U64(8), batch.column("group").to_numpy().astype(U64)
+            part = part_of((pair << U64(8 * (DEPTH - 1))) | (group << U64(8 * (DEPTH - 2))), parts)
+            columns = [pa.array(part), pa.array(np.full(len(part), -1, np.int32)), *(batch.column(n) for n in ("node", "done", "zeros", "ones", "stop"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "node", "done", "zeros", "ones", "stop"])
+
+    return run

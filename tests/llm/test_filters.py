@@ -7,7 +7,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from cuelake.llm import decontaminate, lm, pii, quality, registry, topk, toxicity, url_filter
+from cuelake.llm import decontaminate, pii, quality, registry, topk, toxicity, url_filter
 from cuelake.session import table
 
 
@@ -116,54 +116,3 @@ def test_classifiers_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.score(docs, quality.train(docs, none)).where("score between 0 and 1").count() == 3
     assert toxicity.score(docs, toxicity.train(docs, none)).where("score between 0 and 1").count() == 3
-
-
-def test_word_model_and_normalised_bytes(spark):
-    texts = ["the cat sat", "the cat ran on", None, "the dog", "zebra zebra", ""]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2, "doc_id")
-    docs.write.mode("overwrite").parquet("/tmp/cuelake-lm-test")
-    docs = spark.read.parquet("/tmp/cuelake-lm-test")
-    got = {r["doc_id"]: r for r in lm.score_documents(docs, F.col("doc_id") < 4).collect()}
-    train = [w for t in texts[:4] for w in [*(t or "").split(), None]]
-    total, distinct = len(train), len(set(train))
-    for i, t in enumerate(texts):
-        tokens = [*(t or "").split(), None]
-        base = sum(math.log10((train.count(w) + 0.1) / (total + 0.1 * (distinct + 1))) for w in tokens)
-        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(tokens), sum(w in train for w in tokens), total)
-        assert abs(got[i]["base_score"] - base) < 1e-9 and got[i]["score"] < 0
-
-
-def test_context_tree_sums_to_one():
-    keys, _ = lm.sequences(np.frombuffer(b"abracadabra", np.uint8), np.array([0, 11]))
-    distinct, counts = lm.summed(keys, np.ones(len(keys), np.int64))
-    levels = lm.weigh(distinct, counts, 0)
-    for context in (keys[3], keys[7], np.uint64(5 << 40)):
-        every = (context >> np.uint64(8) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-        assert abs((10 ** lm.predict(every, levels)).sum() - 1) < 1e-9
-
-
-def test_context_beyond_five_bytes_tells(spark):
-    texts = ["qabcdefr"] * 30 + ["zabcdefs"] * 30 + ["qabcdefr", "qabcdefs"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2, "doc_id")
-    docs.write.mode("overwrite").parquet("/tmp/cuelake-lm-depth-test")
-    docs = spark.read.parquet("/tmp/cuelake-lm-depth-test")
-    got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs, F.col("doc_id") < 60).collect()}
-    keys, ends = lm.sequences(np.frombuffer("".join(texts).encode(), np.uint8), np.arange(len(texts) + 1) * 8)
-    levels = lm.weigh(*lm.summed(keys[: ends[60]], np.ones(ends[60], np.int64)), 0)
-    values = np.add.reduceat(lm.predict(keys, levels), ends[:-1])
-    assert all(abs(got[i] - values[i]) < 1e-4 for i in range(len(texts)))
-    # r or s is told by the byte seven before it only
-    assert got[60] > got[61] + 1
-
-
-def test_subtrees_and_squeezed_values(monkeypatch):
-    rng = np.random.default_rng(4)
-    keys = np.unique(rng.integers(0, 5, 400).astype(np.uint64) << np.uint64(8 * (lm.DEPTH - 1)) | rng.integers(0, 1 << 40, 400).astype(np.uint64))
-    assert np.array_equal(lm.unpack(*lm.pack(keys)), keys) and len(lm.unpack(*lm.pack(keys[:0]))) == 0
-    batch = lm.pa.RecordBatch.from_arrays([lm.pa.array([x]) for x in (*lm.pack(keys), lm.squeeze(np.arange(len(keys))))], names=["prefixes", "sizes", "low", "counts"])
-    for most in (1, 150, 10**6):
-        monkeypatch.setattr(lm, "WEIGH_KEYS", most)
-        parts = list(lm._subtrees(batch, 0))
-        assert np.array_equal(np.concatenate([k for k, _ in parts]), keys) and np.array_equal(np.concatenate([c for _, c in parts]), np.arange(len(keys)))
-        pairs = [set(lm._pairs(k).tolist()) for k, _ in parts]
-        assert sum(map(len, pairs)) == len(set.union(*pairs)) == 5
