@@ -4,8 +4,9 @@ Each window of consecutive words has a minimiser, the least hash among its short
 Consecutive windows with the same minimiser travel as one packed string (a super-k-mer) to the bucket of
 that minimiser, where sorting the windows counts them. Equal windows have equal minimisers, so a minimiser
 that occurs once in the corpus needs no trip at all: counts of minimisers, which are small, decide first
-which super-k-mers travel. Windows of a very frequent minimiser travel one by one, to the bucket of the
-window itself, and equal ones are joined within a task before they do.
+which super-k-mers travel. A very frequent minimiser would gather too much in one bucket, so its windows are
+counted as 128-bit hashes instead, with partial sums before they travel, and the repeated ones are joined
+back to their places.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelake.llm.common import CHUNK_BYTES, U64, Words, fresh, pieces, run_hashes, signed, text_bytes
+from cuelake.llm.common import CHUNK_BYTES, U64, Words, cut, fresh, pieces, run_hashes, settled, signed, text_bytes
 
-#: A minimiser that starts more super-k-mers than this has its windows dealt out one by one.
+#: A minimiser that starts more super-k-mers than this has its windows counted by their hashes.
 HOT = 200
+#: The places of one window are joined to its hashes in so many groups.
+SALTS = 8
 _POSITION_BITS = U64(26)
 
 
@@ -95,59 +98,64 @@ def _minimisers(width: int) -> Callable:
     return run
 
 
-def _travellers(width: int) -> Callable:
-    """For mapInArrow over (row, text, numbers): the wanted super-k-mers, packed, for their buckets.
+def _marked(kmers: SuperKmers, texts: int, marks: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The super-k-mers with the marked numbers; ends are those of each text's marks."""
+    first = np.searchsorted(kmers.text, np.arange(texts))
+    return np.repeat(first, np.diff(ends)) + marks[ends[0] : ends[-1]]
 
-    numbers: super-k-mers of the text; -n - 1 stands for one of a frequent minimiser, whose windows go alone.
-    """
+
+def _travellers(width: int) -> Callable:
+    """For mapInArrow over (row, text, numbers): the wanted super-k-mers, packed, for their buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(0).to_numpy()
-            wanted = batch.column(2)
+            rows, wanted = batch.column(0).to_numpy(), batch.column(2)
             marks, mark_ends = wanted.values.to_numpy(), wanted.offsets.to_numpy()
             for i, j, part, local, kmers in _found(batch.column(1), width):
                 # (packed words) -> bucket, windows, rows, starts
                 held: dict[bytes, tuple[int, int, list[int], list[int]]] = {}
-                first = np.searchsorted(kmers.text, np.arange(j - i + 1))
-                value = signed(kmers.value)
-                for k in range(j - i):
-                    mine = marks[mark_ends[i + k] : mark_ends[i + k + 1]]
-                    if not len(mine):
-                        continue
-                    words = part[local[k] : local[k + 1]].tobytes().split()
-                    row = int(rows[i + k])
-                    for mark in mine.tolist():
-                        n = first[k] + (mark if mark >= 0 else -mark - 1)
-                        at, many = int(kmers.at[n]), int(kmers.windows[n])
-                        steps = [(at, many)] if mark >= 0 else [(at + s, 1) for s in range(many)]
-                        for start, windows in steps:
-                            packed = b" ".join(words[start : start + windows + width - 1])
-                            known = held.get(packed)
-                            if known is None:
-                                bucket = int(value[n]) if mark >= 0 else hash_bytes(packed)
-                                held[packed] = known = (bucket, windows, [], [])
-                            known[2].append(row)
-                            known[3].append(start)
+                at, many, value, text = kmers.at.tolist(), kmers.windows.tolist(), signed(kmers.value).tolist(), kmers.text.tolist()
+                words, of = [], -1
+                for n in _marked(kmers, j - i, marks, mark_ends[i : j + 1]).tolist():
+                    if text[n] != of:
+                        of = text[n]
+                        words = part[local[of] : local[of + 1]].tobytes().split()
+                    packed = b" ".join(words[at[n] : at[n] + many[n] + width - 1])
+                    known = held.setdefault(packed, (value[n], many[n], [], []))
+                    known[2].append(int(rows[i + of]))
+                    known[3].append(at[n])
                 if held:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([x[0] for x in held.values()], pa.int64()),
-                            pa.array(list(held), pa.binary()),
-                            pa.array([x[1] for x in held.values()], pa.int32()),
-                            pa.array([x[2] for x in held.values()], pa.list_(pa.int64())),
-                            pa.array([x[3] for x in held.values()], pa.list_(pa.int32())),
-                        ],
-                        names=["bucket", "packed", "windows", "rows", "starts"],
-                    )
+                    columns = zip(*held.values(), strict=True)
+                    types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+                    arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([arrays[0], pa.array(list(held), pa.binary()), *arrays[1:]], names=["bucket", "packed", "windows", "rows", "starts"])
 
     return run
 
 
-def hash_bytes(x: bytes) -> int:
-    import xxhash
+def _hashed(width: int) -> Callable:
+    """For mapInArrow over (row, text, numbers): every window of the wanted super-k-mers, as two hashes."""
 
-    return xxhash.xxh3_64_intdigest(x) - (1 << 63)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, wanted = batch.column(0).to_numpy(), batch.column(2)
+            marks, mark_ends = wanted.values.to_numpy(), wanted.offsets.to_numpy()
+            data, ends = text_bytes(batch.column(1))
+            for i, j in pieces(ends):
+                if mark_ends[i] == mark_ends[j]:
+                    continue
+                words = Words(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
+                values = words.hashes()
+                kmers = SuperKmers(values, words.of_text, width)
+                n = _marked(kmers, j - i, marks, mark_ends[i : j + 1])
+                many = kmers.windows[n]
+                text = np.repeat(kmers.text[n], many)
+                start = np.repeat(kmers.at[n], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                at = words.of_text[text] + start
+                one, two = (signed(run_hashes(values, width, seed)[at]) for seed in (1, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(rows[i + text]), pa.array(start.astype(np.int32))], names=["one", "two", "row", "from"])
+
+    return run
 
 
 def _count(width: int) -> Callable:
@@ -247,22 +255,26 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = 35, kep
     repeated if its words also start anywhere else, in the same document too. Windows are judged on the
     input. Null and empty texts have no words; texts shorter than a window stay whole; repeated rows repeat
     each other's windows. Windows are compared by two independent 64-bit hashes of their words. Input
-    columns named like a result are replaced.
+    columns named like a result are replaced. An empty table gives an empty result.
     """
+    docs = settled(docs)
     results = {"n_words", "n_removed", kept_col.lower()}
     keep = [c for c in docs.columns if c.lower() not in results or c == text_col]
     row, spans = fresh(docs, "_row", "_spans")
     keyed = docs.select(F.monotonically_increasing_id().alias(row), F.coalesce(F.col(text_col), F.lit("")).alias("_" + row), *[F.col(f"`{c}`").alias(f"_c{n}") for n, c in enumerate(keep)])
     text = "_" + row
     minimisers = keyed.select(row, text).mapInArrow(_minimisers(width), "minimiser long, row long, number int")
-    often = minimisers.groupBy("minimiser").agg(F.count("*").alias("n")).where("n > 1")
-    mark = F.when(F.col("n") > HOT, -F.col("number") - 1).otherwise(F.col("number"))
-    wanted = minimisers.join(often, "minimiser").groupBy(F.col("row").alias(row)).agg(F.collect_list(mark).alias(spans))
-    found = keyed.join(wanted, row).mapInArrow(
-        _picked(_travellers(width), [0, 1, len(keep) + 2]), "bucket long, packed binary, windows int, rows array<long>, starts array<int>"
-    )
+    # as a table of its own, so that the join below can split the rows of a frequent minimiser
+    often = cut(minimisers.groupBy("minimiser").agg(F.count("*").alias("n")).where("n > 1"))
+    marks = lambda few: F.sort_array(F.collect_list(F.when((F.col("n") <= HOT) == F.lit(few), F.col("number"))))
+    wanted = minimisers.join(often, "minimiser").groupBy(F.col("row").alias(row)).agg(marks(True).alias("_few"), marks(False).alias("_many"))
+    asked = keyed.join(wanted, row)
+    found = asked.where(F.size("_few") > 0).mapInArrow(_picked(_travellers(width), [0, 1, len(keep) + 2]), "bucket long, packed binary, windows int, rows array<long>, starts array<int>")
     ranges = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(width), "row long, `from` int, `to` int")
-    gone = ranges.groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("from", "to")).alias(spans))
+    hashed = asked.where(F.size("_many") > 0).mapInArrow(_picked(_hashed(width), [0, 1, len(keep) + 3]), "one long, two long, row long, `from` int")
+    again = hashed.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    places = hashed.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(again, ["one", "two", "salt"]).select("row", "from", (F.col("from") + width).cast("int").alias("to"))
+    gone = ranges.unionByName(places).groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("from", "to")).alias(spans))
     joined = keyed.join(gone, row, "left")
     fields = [T.StructField(f"c{n}", f.dataType) for n, f in enumerate(joined.schema.fields[:-1])]
     n = len(fields)
