@@ -15,20 +15,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuelake.llm.common import shuffle_partitions
+
 #: Rows whose slices are held together, and queries that are added together.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 64
 #: Bits kept of a quantised attribute and of a query's weight.
 ROW_BITS, WEIGHT_BITS = 5, 4
-#: Queries sent to the tasks at a time: at 64 attributes of 8 bytes, 2 MB at most.
-QUERY_ROWS = 4096
+#: Queries that a task holds, about: at 64 attributes of 8 bytes, 8 MB.
+QUERY_ROWS = 16_384
 
 
-def quantise(batch: pa.RecordBatch, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, floor(scale * x)) of the batch's usable vectors, for each vector length.
+def quantise(ids: pa.Array, lists: pa.ListArray, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, ids, floor(scale * x)) of the usable vectors, for each vector length.
 
     Null ids, null vectors, empty ones and those that hold a null or a component that isn't finite are left out.
     """
-    ids, lists = batch.column(0), batch.column(1)
     ends = lists.offsets.to_numpy()
     flat = lists.values.cast(pa.float64())
     numbers = flat.to_numpy(zero_copy_only=False)  # nulls become nan
@@ -38,7 +39,8 @@ def quantise(batch: pa.RecordBatch, scale: int) -> Iterator[tuple[np.ndarray, np
         at = np.flatnonzero(usable & (sizes == d))
         matrix = numbers[ends[at][:, None] + np.arange(d)]
         fine = np.isfinite(matrix).all(axis=1)
-        yield np.asarray(ids.take(pa.array(at[fine]))).astype(np.int64), np.floor(matrix[fine] * scale).astype(np.int64)
+        at = at[fine]
+        yield at, np.asarray(ids.take(pa.array(at))).astype(np.int64), np.floor(matrix[fine] * scale).astype(np.int64)
 
 
 def bitmaps(flags: np.ndarray) -> np.ndarray:
@@ -143,59 +145,76 @@ def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray,
     return scores[order], ids[order]
 
 
-def scan(numbers: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, k: int, scale: int):
-    """A function for mapInArrow: the task's k best rows of each query."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in query_ids]
-        floor = np.full(len(query_ids), np.iinfo(np.int64).min)
-
-        def use(ids: np.ndarray, values: np.ndarray) -> None:
-            block = SlicedBlock(ids, values)
-            for i in range(0, len(query_ids), BLOCK_QUERIES):
-                part = slice(i, i + BLOCK_QUERIES)
-                own = np.zeros((len(query_ids[part]), len(block.rows) * 64), np.uint8)
-                own[:, : len(ids)] = query_ids[part][:, None] == ids[None, :]
-                rows = block.candidates(vectors[part], bitmaps(own), floor[part], k)
-                flags = np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little")
-                for q in np.flatnonzero(flags.any(axis=1)):
-                    at = np.flatnonzero(flags[q])
-                    scores = values[at] @ vectors[i + q]
-                    s, v = best_rows(np.concatenate([found[i + q][0], scores]), np.concatenate([found[i + q][1], ids[at]]), k)
-                    found[i + q] = s, v
-                    if len(s) == k:
-                        floor[i + q] = s[-1]
-
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            for ids, values in quantise(batch, scale):
-                if len(ids) and values.shape[1] == vectors.shape[1]:
-                    held.append((ids, values))
-            while sum(len(x) for x, _ in held) >= BLOCK_ROWS:
-                ids, values = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-                use(ids[:BLOCK_ROWS], values[:BLOCK_ROWS])
-                held = [(ids[BLOCK_ROWS:], values[BLOCK_ROWS:])]
-        if sum(len(x) for x, _ in held):
-            use(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
-        n = [len(s) for s, _ in found]
-        if sum(n):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(numbers, n)), pa.array(np.repeat(query_ids, n)), pa.array(np.concatenate([v for _, v in found])), pa.array(np.concatenate([s for s, _ in found]))],
-                names=["query_no", "query_id", "vec_id", "score"],
-            )
-
-    return run
-
-
-def pack_queries(scale: int):
-    """A function for mapInArrow: the usable query vectors, as blocks of at most QUERY_ROWS."""
+class Search:
+    """Queries of one vector length and their k best rows so far."""
+
+    def __init__(self, numbers: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.numbers, self.ids, self.vectors, self.k = numbers, ids, vectors, k
+        none = np.zeros(0, np.int64)
+        self.found = [(none, none)] * len(ids)
+        self.floor = np.full(len(ids), np.iinfo(np.int64).min)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, ids: np.ndarray, values: np.ndarray) -> None:
+        self.held.append((ids, values))
+        self.waiting += len(ids)
+        if self.waiting >= BLOCK_ROWS:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.waiting:
+            return
+        ids, values = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.waiting = [], 0
+        for at in range(0, len(ids), BLOCK_ROWS):
+            self._use(ids[at : at + BLOCK_ROWS], values[at : at + BLOCK_ROWS])
+
+    def _use(self, ids: np.ndarray, values: np.ndarray) -> None:
+        block = SlicedBlock(ids, values)
+        for i in range(0, len(self.ids), BLOCK_QUERIES):
+            part = slice(i, i + BLOCK_QUERIES)
+            own = np.zeros((len(self.ids[part]), len(block.rows) * 64), np.uint8)
+            own[:, : len(ids)] = self.ids[part][:, None] == ids[None, :]
+            rows = block.candidates(self.vectors[part], bitmaps(own), self.floor[part], self.k)
+            flags = np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little")
+            for q in np.flatnonzero(flags.any(axis=1)):
+                at = np.flatnonzero(flags[q])
+                scores = values[at] @ self.vectors[i + q]
+                s, v = best_rows(np.concatenate([self.found[i + q][0], scores]), np.concatenate([self.found[i + q][1], ids[at]]), self.k)
+                self.found[i + q] = s, v
+                if len(s) == self.k:
+                    self.floor[i + q] = s[-1]
+
+    def result(self) -> pa.RecordBatch:
+        self.flush()
+        n = [len(s) for s, _ in self.found]
+        columns = [np.repeat(self.numbers, n), np.repeat(self.ids, n), *(np.concatenate([x[c] for x in self.found]) for c in (1, 0))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_no", "query_id", "vec_id", "score"])
+
+
+def scan(k: int, scale: int):
+    """A function for mapInArrow over (is_row, query_no, id, v), queries first: the task's k best rows of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        searches: dict[int, Search] | None = None
         for batch in batches:
-            for ids, values in quantise(batch, scale):
-                for i in range(0, len(ids), QUERY_ROWS):
-                    part = values[i : i + QUERY_ROWS]
-                    yield pa.RecordBatch.from_arrays([pa.array([len(part)], pa.int64()), pa.array([ids[i : i + QUERY_ROWS].tobytes()]), pa.array([np.ascontiguousarray(part).tobytes()])], names=["n", "ids", "vectors"])
+            split = int(np.searchsorted(batch.column(0).to_numpy(zero_copy_only=False), True))
+            queries, rows = batch.slice(0, split), batch.slice(split)
+            if queries.num_rows:
+                numbers = queries.column(1).to_numpy()
+                for at, ids, values in quantise(queries.column(2), queries.column(3), scale):
+                    asked.setdefault(values.shape[1], []).append((numbers[at], ids, values))
+            if rows.num_rows:
+                if searches is None:
+                    searches = {d: Search(*(np.concatenate(x) for x in zip(*parts, strict=True)), k) for d, parts in asked.items()}
+                for _, ids, values in quantise(rows.column(2), rows.column(3), scale):
+                    if len(ids) and values.shape[1] in searches:
+                        searches[values.shape[1]].add(ids, values)
+        for search in (searches or {}).values():
+            if len(search.ids):
+                yield search.result()
 
     return run
 
@@ -205,27 +224,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
 
     Ties go to the smaller id. Rows with the query's id are never its results. Vectors that are null, empty
     or hold a null or a component that isn't finite take no part, as rows or as queries; vectors are only
-    compared with vectors of their length. Repeated rows count each; repeated queries are one query.
-    Scores must fit a long. Empty tables give an empty result.
+    compared with vectors of their length. Repeated rows count each; repeated queries are one query. Scores
+    must fit a long. Empty tables give an empty result; other columns take no part.
 
-    The queries go through the driver one block of at most QUERY_ROWS at a time; each block is one pass over
-    the vectors, whose tasks return k rows a query.
+    Queries are dealt into groups that a task can hold and rows into cells; each group meets each cell in one
+    task, which reads the cell's rows as a stream. Nothing goes through the driver but the count of queries.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).distinct()
-    n = asked.count()
-    packed = asked.repartition(max(1, -(-n // (QUERY_ROWS // 2)))).mapInArrow(pack_queries(scale), "n long, ids binary, vectors binary")
-    parts, first = [], 0
-    kind = "query_no long, query_id long, vec_id long, score long"
-    for block in packed.toLocalIterator():
-        ids = np.frombuffer(bytes(block["ids"]), np.int64)
-        values = np.frombuffer(bytes(block["vectors"]), np.int64).reshape(block["n"], -1)
-        parts.append(rows.mapInArrow(scan(np.arange(first, first + len(ids)), ids, values, k, scale), kind))
-        first += len(ids)
-    spark = vectors.sparkSession
-    found = spark.createDataFrame([], kind) if not parts else parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    groups = max(1, -(-asked.count() // QUERY_ROWS))
+    cells = max(1, -(-shuffle_partitions(vectors.sparkSession) // groups))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    number = F.xxhash64("id", "v")
+    told = asked.withColumn("query_no", number).withColumn("group", F.pmod("query_no", F.lit(groups)).cast("int")).withColumn("cell", every(cells)).withColumn("is_row", F.lit(False))
+    held = rows.withColumn("query_no", F.lit(0).cast("long")).withColumn("cell", F.pmod(number, F.lit(cells)).cast("int")).withColumn("group", every(groups)).withColumn("is_row", F.lit(True))
+    both = told.unionByName(held).repartitionById(groups * cells, F.col("cell") * groups + F.col("group")).sortWithinPartitions("is_row")
+    found = both.select("is_row", "query_no", "id", "v").mapInArrow(scan(k, scale), "query_no long, query_id long, vec_id long, score long")
     order = Window.partitionBy("query_no", "query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
