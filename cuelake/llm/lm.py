@@ -258,6 +258,12 @@ def expand(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
+def rounded(logs: np.ndarray) -> np.ndarray:
+    """As 32-bit numbers whose last byte is zero, which compresses; off by 2**-16 of the value at most."""
+    bits = logs.astype(np.float32).view(np.uint32)
+    return ((bits + np.uint32(0x80)) & np.uint32(0xFFFFFF00)).view(np.float32)
+
+
 def pack(keys: np.ndarray) -> list[bytes]:
     """Sorted keys as their high parts, how many keys each has, and the low 32 bits, all squeezed."""
     high = (keys >> U64(32)).astype(np.uint32)
@@ -285,23 +291,30 @@ class Gathered:
     """Keys with counts, added up now and then so that a task holds little more than the distinct ones."""
 
     def __init__(self) -> None:
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        self.waiting = 0
+        self.keys, self.counts = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.many = 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.keys.append(keys)
-        self.counts.append(counts)
-        self.waiting += len(keys)
-        if len(self.keys) > 1 and self.waiting > max(2_000_000, 2 * len(self.keys[0])):
+        self.waiting.append((keys, counts))
+        self.many += len(keys)
+        if self.many > 1_000_000:
             self.result()
 
     def result(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.keys:
-            return np.zeros(0, U64), np.zeros(0, np.int64)
-        keys, counts = summed(np.concatenate(self.keys), np.concatenate(self.counts))
-        self.keys, self.counts, self.waiting = [keys], [counts], 0
-        return keys, counts
+        if self.waiting:
+            keys, counts = summed(*(np.concatenate(x) for x in zip(*self.waiting, strict=True)))
+            self.waiting, self.many = [], 0
+            at = np.searchsorted(self.keys, keys)
+            known = np.zeros(len(keys), bool)
+            inside = at < len(self.keys)
+            known[inside] = self.keys[at[inside]] == keys[inside]
+            self.counts[at[known]] += counts[known]
+            if len(self.keys):
+                self.keys, self.counts = np.insert(self.keys, at[~known], keys[~known]), np.insert(self.counts, at[~known], counts[~known])
+            else:
+                self.keys, self.counts = keys, counts
+        return self.keys, self.counts
 
 
 def counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -451,7 +464,7 @@ def _answers(tops: list[Table]):
             node, done, zeros, ones, stop = (above.column(n).to_numpy() for n in ("node", "done", "zeros", "ones", "stop"))
             tables = [*tops, Table.of(node.astype(U64), done, zeros, ones, stop)]
             keys, counts = _merged(asked)
-            values = np.concatenate([Subtrees(k, c).logs(tables) for k, c in _subtrees(keys, counts)]).astype(np.float32) if len(keys) else np.zeros(0, np.float32)
+            values = rounded(np.concatenate([np.zeros(0), *(Subtrees(k, c).logs(tables) for k, c in _subtrees(keys, counts))]))
             for block, *packed in _rows(asked, "block", "prefixes", "sizes", "low"):
                 mine = squeeze(values[np.searchsorted(keys, unpack(*packed))])
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([BYTES], pa.int32()), *(pa.array([b], pa.binary()) for b in (*packed, mine))], names=["block", "kind", "prefixes", "sizes", "low", "values"])
@@ -487,6 +500,18 @@ def _lookup(known: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarr
     return out
 
 
+def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (block, id, trains, text): the documents, compressed, some in a row."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        for i, j in pieces(text_bytes(batch.column(3))[1]):
+            rows = batch.slice(i, j - i).select(["id", "trains", "text"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+                out.write_batch(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "docs"])
+
+
 def _scored(tokens: int, distinct: int):
     """For mapInArrow over the rows of blocks, sorted: a block's answers come before its documents."""
 
@@ -529,7 +554,9 @@ def _scored(tokens: int, distinct: int):
                 if words is None:
                     words, found = known(answers, WORD, np.int64), known(answers, BYTES, np.float32)
                     answers = []
-                yield from score(rows, words, found)
+                for bundle in rows.column("docs"):
+                    for docs in pa.ipc.open_stream(bundle.as_buffer()):
+                        yield from score(docs, words, found)
 
     return run
 
@@ -538,8 +565,8 @@ def score_documents(docs: DataFrame, trains, id_col: str = "doc_id", text_col: s
     """(id, trains, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), a row for each of docs.
 
     trains: a column that tells which rows the models learn from (null: not). score is the log10 probability
-    of the lower-cased (A-Z) text and its end under the byte model, bits_per_byte its code length per byte,
-    the end counted as one. base_score is that of a smoothed word model: tokens are [^\\x20\\x09-\\x0D]+ and
+    of the lower-cased (A-Z) text and its end under the byte model (each byte's share to 2**-16 of its value),
+    bits_per_byte its code length per byte, the end counted as one. base_score is that of a smoothed word model: tokens are [^\\x20\\x09-\\x0D]+ and
     one end; n_known of the n_tokens occur in training texts. Null and empty texts hold the end alone.
     Repeated rows count each; very long texts are scored whole. Without training rows every bit has
     probability one half and base_score is 0 for an empty vocabulary. An empty table gives an empty result;
@@ -569,7 +596,8 @@ def score_documents(docs: DataFrame, trains, id_col: str = "doc_id", text_col: s
 
     answers = back.unionByName(words.where("block >= 0").drop("tokens", "distinct")).withColumn("ord", F.lit(0))
     kind = dict(rows.dtypes)["id"]
-    all_ = answers.unionByName(rows.withColumn("ord", F.lit(1)), allowMissingColumns=True)
+    bundles = rows.select("block", "id", "trains", "text").mapInArrow(_bundles, "block int, docs binary").withColumn("ord", F.lit(1))
+    all_ = answers.unionByName(bundles, allowMissingColumns=True)
     out = all_.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "ord").mapInArrow(_scored(tokens, distinct), f"id {kind}, trains boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return out.select(F.col("id").alias(id_col), "trains", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
 

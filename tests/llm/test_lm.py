@@ -72,7 +72,7 @@ def test_scores_equal_the_recursion(written):
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         assert got[i]["trains"] == (i < 5)
-        assert got[i]["score"] == pytest.approx(plain.log10(t), rel=1e-5)
+        assert got[i]["score"] == pytest.approx(plain.log10(t), rel=2e-5)
         assert got[i]["bits_per_byte"] == pytest.approx(-got[i]["score"] * math.log2(10) / (len((t or "").encode()) + 1))
 
 
@@ -102,7 +102,7 @@ def test_without_rows_or_training_rows(spark, written):
     assert lm.score_documents(docs.limit(0), F.lit(True)).count() == 0
     got = lm.score_documents(docs, F.lit(None).cast("boolean")).collect()
     assert {(r["n_known"], r["train_tokens"]) for r in got} == {(0, 0)}
-    assert all(r["score"] == pytest.approx(-8 * math.log10(2) * (len((r_text or "").encode()) + 1), rel=1e-5) for r in got for r_text in [written[1][r["doc_id"]]])
+    assert all(r["score"] == pytest.approx(-8 * math.log10(2) * (len((r_text or "").encode()) + 1), rel=2e-5) for r in got for r_text in [written[1][r["doc_id"]]])
 
 
 def test_probabilities_sum_to_one():
