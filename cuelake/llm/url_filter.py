@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import LOWER, UPPER, fresh
+from cuelake.llm.common import LOWER, UPPER, fresh, settled
 from cuelake.llm.components import components
 
 #: Rule tables up to so many rows are broadcast (about 100 bytes each); longer ones are joined by a shuffle.
@@ -117,11 +117,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
     one without ://, has an empty host and path, fits no rule and gets the default. Repeated pages are
     judged alike; empty tables give an empty result. An input column named like a result is replaced.
     """
-    row, addr = fresh(pages, "_row", "_address")
+    pages = settled(pages)
+    row, addr, told, said = fresh(pages, "_row", "_address", "_told", "_said")
     url = F.col(url_col)
     judged = ["host", "path", "rule", "alias_group", "verdict"]
-    keep = [c for c in pages.columns if c.lower() not in judged and c != html_col]
-    places = pages.select(F.monotonically_increasing_id().alias(row), *[F.col(f"`{c}`") for c in keep], host_of(url).alias("host"), path_of(url).alias("path"), address_of(url).alias(addr))
+    keep = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in judged and c != html_col]
+    places = pages.select(F.monotonically_increasing_id().alias(row), *keep, host_of(url).alias("host"), path_of(url).alias("path"), address_of(url).alias(addr))
     own = match_rules(places.select(row, "host", "path"), rules, row)
     links = None
     if html_col is not None and html_col in pages.columns:
@@ -129,16 +130,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
     if redirects is not None:
         more = redirects.select(address_of(F.col("src")).alias("src"), address_of(F.col("dst")).alias("dst"))
         links = more if links is None else links.unionByName(more)
-    out = places.join(own.withColumnRenamed("verdict", "_own"), row, "left")
+    out = places.join(own.withColumnRenamed("verdict", told), row, "left")
     if links is None:
-        return out.select(*keep, "host", "path", "rule", F.lit(None).cast("string").alias("alias_group"), F.coalesce("_own", F.lit(default)).alias("verdict"))
+        return out.select(*keep, "host", "path", "rule", F.lit(None).cast("string").alias("alias_group"), F.coalesce(told, F.lit(default)).alias("verdict"))
     groups = components(links)
     nodes = groups.select("node", "component", host_of(F.concat(F.lit("x://"), F.col("node"))).alias("host"), path_of(F.concat(F.lit("x://"), F.col("node"))).alias("path"))
-    said = match_rules(nodes, rules, "node").withColumnRenamed("verdict", "_said")
     decided = (
-        nodes.join(said, "node")
+        nodes.join(match_rules(nodes, rules, "node"), "node")
         .groupBy("component")
-        .agg(F.min("_said").alias("_group_verdict"))  # 'allow' sorts before 'block'
+        .agg(F.min("verdict").alias(said))  # 'allow' sorts before 'block'
     )
-    by_node = groups.join(decided, "component", "left").select(F.col("node").alias(addr), F.col("component").alias("alias_group"), "_group_verdict")
-    return out.join(by_node, addr, "left").select(*keep, "host", "path", "rule", "alias_group", F.coalesce("_own", "_group_verdict", F.lit(default)).alias("verdict"))
+    by_node = groups.join(decided, "component", "left").select(F.col("node").alias(addr), F.col("component").alias("alias_group"), said)
+    return out.join(by_node, addr, "left").select(*keep, "host", "path", "rule", "alias_group", F.coalesce(told, said, F.lit(default)).alias("verdict"))
