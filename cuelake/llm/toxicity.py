@@ -172,7 +172,8 @@ def calibrate(held: DataFrame) -> IsotonicRegressionModel | None:
     n = F.sum("rows")
     steps = fit(rows).transform(rows).groupBy("prediction").agg((F.sum(F.col("raw") * F.col("rows")) / n).alias("raw"), ((F.sum(F.col("label") * F.col("rows")) + 0.5) / (n + 1)).alias("label"), n.alias("rows"))
     ends = held.sparkSession.createDataFrame([(0.0, 0.0, 1e-9), (1.0, 1.0, 1e-9)], "raw double, label double, rows double")
-    return fit(steps.select("raw", "label", "rows").unionByName(ends))
+    # a step at 0 or 1 itself would be averaged with the end
+    return fit(steps.select("raw", "label", "rows").where("0 < raw and raw < 1").unionByName(ends))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:

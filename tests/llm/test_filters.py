@@ -1,5 +1,6 @@
 """Addresses, benchmark leaks, personal data, searches and models against plain versions."""
 
+import datetime as dt
 import math
 import random
 import re
@@ -53,6 +54,30 @@ def test_links_in_html(spark):
     assert {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, rules).collect()} == {1: "block", 2: "block"}
 
 
+def test_query_on_pages_with_links_and_odd_columns(spark, tmp_path):
+    canonical = '<link rel="canonical" href="%s">'
+    rows = [
+        (1, "http://a.com/one", canonical % "/two"),
+        (1, "http://a.com/one", canonical % "/two"),  # repeated
+        (2, "http://a.com/two", '<meta http-equiv="refresh" content="0; url=http://bad.net/x">'),
+        (3, "http://bad.net/x", None),
+        (4, "http://example.net/en/" + "y" * 20_000, canonical % "http://bad.net/x"),
+        (5, None, canonical % "http://bad.net/x"),
+        (None, "http://c.org/" + "z/" * 5_000, "<p>none</p>"),
+        (7, "", ""),
+    ]
+    pages = spark.createDataFrame([(*r, "k", "k", "k") for r in rows], "page_id long, url string, html string, _own string, _ROW string, Verdict string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    got = registry.op1_url_filter(spark, str(tmp_path)).collect()
+    # the allowed address in the group lets its aliases through, but not what its own rule blocks
+    want = [(1, "allow")] * 2 + [(2, "allow"), (3, "block"), (4, "allow"), (5, "allow"), (7, "allow"), (None, "allow")]
+    assert sorted(((r["page_id"], r["verdict"]) for r in got), key=str) == sorted(want, key=str)
+    rules = spark.createDataFrame(registry.URL_RULES, "host string, path string, verdict string")
+    out = url_filter.filter_urls(pages, rules.where("verdict = 'block'"))
+    assert {"_own", "_ROW"} <= set(out.columns)
+    assert {r["page_id"]: r["verdict"] for r in out.collect()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", None: "allow", 7: "allow"}
+
+
 def test_leaks_by_both_ways(spark, monkeypatch):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, "Short item"), (3, None), (4, "!!")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x ONE two, three four five six seven eight nine ten y"), (2, "a short ITEM here"), (3, None), (4, ""), (5, "one two three")], "doc_id long, text string")
@@ -62,10 +87,52 @@ def test_leaks_by_both_ways(spark, monkeypatch):
         got = decontaminate.find_contamination(docs, bench, "doc_id").collect()
         assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in got} == want
     assert sorted(r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()) == [3, 4, 5]
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    got = decontaminate.find_contamination(docs, bench, "doc_id").collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in got} == want
     spans = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, bench, remove="spans").collect()}
     assert "two" not in spans[1] and spans[1].startswith("x") and spans[1].endswith("y") and spans[5] == "one two three" and spans[3] is None
 
 
+def brute_leaks(text, items, width=10):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    own, hit, found = words(text), set(), set()
+    for item, told in items:
+        theirs = words(told)
+        size = min(width, len(theirs))
+        windows = {tuple(theirs[k : k + size]) for k in range(len(theirs) - size + 1)} if theirs else set()
+        for k in range(len(own) - size + 1):
+            if tuple(own[k : k + size]) in windows:
+                hit.update(range(k, k + size))
+                found.add(str(item))
+    return len(own), len(hit), sorted(found)
+
+
+def test_leaks_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    common = [f"c{n}" for n in range(10)]
+    items = [(n, " ".join([*(f"w{rng.randrange(30)}" for _ in range(rng.randrange(0, 25))), *(common if n % 2 else [])])) for n in range(12)]
+    items += [(3, items[3][1]), (50, None), (51, " "), (52, "Lone"), (53, "two Words")]
+    texts = [None, "", "... !", "w1 " * 20_000, "lone", " ".join(common)]
+    for _ in range(60):
+        text = [f"w{rng.randrange(30)}" for _ in range(rng.randrange(40))]
+        for _ in range(rng.randrange(3)):
+            text += (rng.choice(items)[1] or "").upper().split() if rng.random() < 0.8 else common
+        texts.append(rng.choice([" ", ", ", "\n"]).join(text))
+    texts += texts[6:9]  # repeated rows
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, HIT string, len int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {i: brute_leaks(t, items) for i, t in enumerate(texts)}
+    for most in (500_000, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
+        got = decontaminate.find_contamination(docs, bench, "doc_id").collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in got} == want
+        kept = decontaminate.decontaminate(docs, bench)
+        assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [i for i, w in want.items() if not w[1]]
+    assert decontaminate.find_contamination(docs.limit(0), bench, "doc_id").count() == 0
+    assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(texts)
+
+
 def test_pseudonyms_go_back_and_stay_valid(spark):
     text = "card 4111 1111 1111 1111, born 1999-02-28, ssn 123-45-6789, call +1 555 123 4567, a.b1@example.com at 192.168.1.20"
     docs = spark.createDataFrame([(1, text, "k"), (2, "again 4111 1111 1111 1111", "k"), (3, None, None), (4, "", "")], "doc_id long, text string, PII string")
@@ -81,6 +148,47 @@ def test_pseudonyms_go_back_and_stay_valid(spark):
     assert back[1] == text
 
 
+def test_dates_are_one_to_one():
+    p = pii.Permuter(b"key")
+    days = [dt.date.fromordinal(n) for n in range(pii.FIRST_DAY, pii.LAST_DAY + 1)]
+    for shape, change, chosen in (
+        ("{y:04d}-{m:02d}-{d:02d}", pii.date_ymd, days),
+        ("{d:02d}.{m:02d}.{y:04d}", pii.date_dmy, days),
+        ("{m:02d}/{d:02d}/{y:04d}", pii.date_dmy, [x for x in days if x.day > 12]),
+    ):
+        chosen = chosen[:: 7 if change is pii.date_ymd else 1]
+        shown = [shape.format(y=x.year, m=x.month, d=x.day) for x in chosen]
+        new = [change(p, x) for x in shown]
+        assert None not in new and len(set(new)) == len(shown)
+        assert [change(p, x, back=True) for x in new[::11]] == shown[::11]
+    assert pii.date_ymd(p, "1999-02-30") is None and pii.date_dmy(p, "31.12.1899") is None
+
+
+def test_pseudonyms_equal_a_plain_search(spark):
+    p = pii.Permuter(b"k")
+    clear = "4111 1111 1111 1112 and 0000000000000000, v1.22.3.4 version 10.2.3.4, 1.2.3.4, 300.1.1.1, 000-12-3456, 1999-13-01"
+    cases = [
+        (clear, clear, []),
+        ("pay 5500005555555559", "pay " + pii.card(p, "5500005555555559"), ["card"]),
+        ("at 10.20.30.40 or 10.20.30.40", "at {0} or {0}".format(pii.address(p, "10.20.30.40")), ["ip", "ip"]),
+        ("mail Ann_1@x.org.", f"mail {pii.email(p, 'Ann_1@x.org')}.", ["email"]),
+        ("01/31/2019 31/01/2019", f"{pii.date_dmy(p, '01/31/2019')} {pii.date_dmy(p, '31/01/2019')}", ["date", "date"]),
+        ("DE89 3704 0044 0532 0130 00", pii.iban(p, "DE89 3704 0044 0532 0130 00"), ["iban"]),
+        ("x " * 100_000 + "123-45-6789", "x " * 100_000 + pii.ssn(p, "123-45-6789"), ["ssn"]),
+        (None, None, []),
+        ("", "", []),
+    ]
+    rows = [(i % len(cases), cases[i % len(cases)][0], "c") for i in range(2 * len(cases))]  # each twice
+    docs = spark.createDataFrame(rows, "doc_id long, text string, C0 string")
+    got = pii.pseudonymise(docs, b"k").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        _, text, kinds = cases[r["doc_id"]]
+        assert r["text"] == text and [s["kind"] for s in r["pii"]] == kinds and r["C0"] == "c"
+        assert all(cases[r["doc_id"]][0][: s["start"]] == text[: s["start"]] for s in r["pii"][:1])
+    assert pii.pseudonymise(docs.limit(0), b"k").count() == 0
+
+
 def test_permutations_are_one_to_one():
     p = pii.Permuter(b"key")
     for n in (1, 2, 10, 1000):
@@ -101,6 +209,21 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_in_many_groups_with_repeats(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_ROWS", 16)
+    rng = random.Random(4)
+    rows = [(i, [float(rng.randrange(3)) for _ in range(4)]) for i in range(120)]
+    rows += [rows[7], rows[8], (7, [9.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, ID string")
+    queries = df.where("vec_id < 60").unionByName(df.where("vec_id < 3"))
+    got = topk.top_k(df, queries, k=5).groupBy("query_id").agg(F.collect_list(F.struct("score", "vec_id")).alias("r")).collect()
+    assert len(got) == 60
+    for r in got:
+        own = {tuple(v) for i, v in rows if i == r["query_id"]}
+        want = [(int(s), i) for v in own for s, i in sorted(((1024 * 1024 * sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != r["query_id"]), key=lambda x: (-x[0], x[1]))[:5]]
+        assert sorted((x["score"], x["vec_id"]) for x in r["r"]) == sorted(want)
+
+
 def test_classifiers_tell_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = table(spark, sf, "labels")
@@ -111,6 +234,44 @@ def test_classifiers_tell_held_out_labels(spark):
         assert out.where("score < 0 or score > 1 or score is null").count() == 0 and out.count() == 1000
 
 
+def test_repeated_ids_take_one_row_of_the_samples(spark):
+    texts = [(1, f"good plain words number {n}") for n in range(3000)] + [(n, "you !!! STUPID 123 $$$" if n % 3 else "a calm line of text") for n in range(2, 60)] + [(None, "x"), (2, None), (3, "")]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in texts], "doc_id long, text string, SCORE string, Features int")
+    labels = spark.createDataFrame([(n, int(n % 3 == 0), int(n % 3 > 0)) for n in range(60)] * 2 + [(None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
+    chosen = docs.where("doc_id is not null").select("doc_id").distinct().count()
+    seen = []
+    fit = quality.fit
+    quality.fit = lambda positive, unlabelled, prior: seen.append((len(positive), len(unlabelled))) or fit(positive, unlabelled, prior)
+    try:
+        model = quality.train(docs, labels)
+    finally:
+        quality.fit = fit
+    assert seen[0][1] == chosen and seen[0][0] <= 20
+    for scored in (quality.score(docs, model), toxicity.score(docs, toxicity.train(docs, labels))):
+        assert [c for c in scored.columns if c.lower() == "score"] == ["score"] and scored.count() == len(texts)
+        assert scored.where("score between 0 and 1").count() == len(texts)
+        assert scored.limit(0).count() == 0
+
+
+def test_letters_count_alike_at_every_length():
+    lexicon = toxicity.Lexicon({}, {})
+    at = toxicity.NAMES.index("capital_share")
+    short, long_ = (lexicon.features(("AB12 3. cd " * 100)[:n]) for n in (253, 264))
+    assert short[at] == long_[at] == 0.5
+
+
+def test_calibration_keeps_the_order(spark):
+    rng = random.Random(2)
+    raw = [round(rng.random(), 2) for _ in range(500)]
+    rows = spark.createDataFrame([(x, float(rng.random() < x**2)) for x in raw], "raw double, label double")
+    model = toxicity.calibrate(rows)
+    at = [n / 50 for n in range(51)]
+    got = [r["prediction"] for r in model.transform(spark.createDataFrame([(x,) for x in at], "raw double")).orderBy("raw").collect()]
+    assert got[0] == 0 and got[-1] == 1 and all(a < b for a, b in zip(got, got[1:]))
+    assert all(abs(p - x**2) < 0.15 for p, x in zip(got, at))
+    assert toxicity.calibrate(rows.where("label = 1")) is None
+
+
 def test_classifiers_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None), (3, "")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
