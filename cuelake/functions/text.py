@@ -244,7 +244,14 @@ def fold_path(path: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """A sort key for numbers inside text, without case and accents."""
-    plain = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    runs = F.regexp_extract_all(plain, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda x: F.when(F.regexp_like(x, F.lit("^[0-9]")), F.lpad(F.regexp_replace(x, "^0+(?=.)", ""), 20, "0")).otherwise(x)), "")
+    """A sort key that orders numbers inside text by value, of any length, without case and accents.
+
+    Before its digits a number has how many there are, so a longer one sorts behind.
+    """
+    runs = F.regexp_extract_all(text, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+
+    def key(run: Column) -> Column:
+        digits = F.regexp_replace(run, "^0+(?=.)", "")
+        return F.when(F.regexp_like(run, F.lit("^[0-9]")), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(run)
+
+    return F.collate(F.array_join(F.transform(runs, key), ""), "UNICODE_CI_AI")

@@ -1,7 +1,7 @@
 """Joins that Spark has no name for: priority lookups, intervals, as-of and nearest rows.
 
-Interval and as-of joins deal rows out by key and time band, hence a long key is split over tasks and no pair
-of rows meets that cannot match.
+Interval joins, and as-of joins that are given a width, deal rows out by key and time band, hence a long key is
+split over tasks; no pair of rows meets that cannot match.
 """
 
 from __future__ import annotations
@@ -54,27 +54,69 @@ def overlap_join(a: DataFrame, b: DataFrame, key: str, width: int = 1024) -> Dat
     return both.withColumn("clip_start", first).withColumn("clip_end", last).drop("_band")
 
 
-def asof_forward(points: DataFrame, rows: DataFrame, key: str, point: str, start: str, id_: str) -> DataFrame:
-    """For each point the row that starts next after it, if some row started at or before it; one sort, no pairs."""
-    return _asof(points, rows, key, point, start, id_, forward=True)
+def asof_forward(points: DataFrame, rows: DataFrame, key: str, point: str, start: str, id_: str, width: int | None = None) -> DataFrame:
+    """For each point the row that starts next after it, if some row started at or before it; no pairs."""
+    return _asof(points, rows, key, point, start, id_, width, F.when(F.col("_back").isNotNull(), F.col("_ahead")))
 
 
-def asof_backward(points: DataFrame, rows: DataFrame, key: str, point: str, start: str, id_: str) -> DataFrame:
+def asof_backward(points: DataFrame, rows: DataFrame, key: str, point: str, start: str, id_: str, width: int | None = None) -> DataFrame:
     """The row that started last at or before each point."""
-    return _asof(points, rows, key, point, start, id_, forward=False)
+    return _asof(points, rows, key, point, start, id_, width, F.col("_back"))
 
 
-def _asof(points: DataFrame, rows: DataFrame, key: str, point: str, start: str, id_: str, forward: bool) -> DataFrame:
+def asof_next(points: DataFrame, rows: DataFrame, key: str, point: str, start: str, id_: str, width: int | None = None) -> DataFrame:
+    """The row that starts next after each point, whatever stands before it."""
+    return _asof(points, rows, key, point, start, id_, width, F.col("_ahead"))
+
+
+def _asof(points: DataFrame, rows: DataFrame, key: str, point: str, start: str, id_: str, width: int | None, told: Column) -> DataFrame:
+    """width: a long key is split into bands of so much time; each band's first and last row are carried on to
+    the bands around it, so that a key is as many tasks as it has bands. Without it a key is one group."""
     # points sort behind the rows of the same time, so that those count as started
     a = points.select(key, F.col(point).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(dict(rows.dtypes)[id_]).alias("_id"))
     b = rows.select(key, F.col(start).alias("_t"), F.lit(0).alias("_side"), F.col(id_).alias("_id"))
-    order = Window.partitionBy(key).orderBy("_t", "_side", "_id")
+    both = a.unionByName(b).withColumn("_band", F.floor(F.col("_t") / width) if width else F.lit(0).cast("long"))
+    order = Window.partitionBy(key, "_band").orderBy("_t", "_side", "_id")
     back = F.last("_id", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     ahead = F.first("_id", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    both = a.unionByName(b).withColumn("_back", back)
-    if forward:
-        both = both.withColumn("_ahead", F.when(F.col("_back").isNotNull(), ahead))
-    return both.where("_side = 1").select(key, F.col("_t").alias(point), F.col("_ahead" if forward else "_back").alias(id_))
+    both = both.withColumns({"_back": back, "_ahead": ahead})
+    if width:
+        at = F.when(F.col("_side") == 0, F.struct("_t", "_id"))
+        ends = both.groupBy(key, "_band").agg(F.min(at)["_id"].alias("_first"), F.max(at)["_id"].alias("_last"))
+        bands = Window.partitionBy(key).orderBy("_band")
+        before = F.last("_last", ignorenulls=True).over(bands.rowsBetween(Window.unboundedPreceding, -1))
+        after = F.first("_first", ignorenulls=True).over(bands.rowsBetween(1, Window.unboundedFollowing))
+        around = ends.select(F.col(key).alias("_key"), F.col("_band").alias("_b"), before.alias("_before"), after.alias("_after"))
+        both = both.where("_side = 1").join(around, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_band") == F.col("_b")))
+        both = both.withColumns({"_back": F.coalesce("_back", "_before"), "_ahead": F.coalesce("_ahead", "_after")})
+    return both.where("_side = 1").select(key, F.col("_t").alias(point), told.alias(id_))
+
+
+def next_active(points: DataFrame, rows: DataFrame, key: str, point: str, id_: str, behind: int, start: str = "start", end: str = "end", width: int = 1024) -> DataFrame:
+    """Of the rows that start after `point - behind`, the first that has not ended at the point.
+
+    Those that started by then hold the point, so an interval join finds them; else it is the next to start.
+    """
+    near = rows.select(key, id_, F.col(start).alias("_s"), F.least(F.col(end), F.col(start) + (behind - 1)).alias("_e"))
+    now = interval_join(points, near, key, point, "_s", "_e", width).groupBy(key, point).agg(F.min_by(id_, F.struct("_s", id_)).alias("_now"))
+    ahead = asof_next(points, rows, key, point, start, id_, 64 * width).withColumnRenamed(id_, "_next")
+    return points.join(now, [key, point], "left").join(ahead, [key, point], "left").select(key, point, F.coalesce("_now", "_next").alias(id_))
+
+
+def nearest_point(points: DataFrame, areas: DataFrame, id_: str, x: str, y: str, block: int = 1000) -> DataFrame:
+    """Points (x, y) with the area (id_, _x, _y) that is nearest; ties to the smaller id.
+
+    Areas meet the points in blocks of so many, each block as one list, and the best of all blocks counts.
+    """
+    listed = areas.select("_x", "_y", F.col(id_).alias("_id"))
+    blocks = max(1, -(-listed.count() // block))
+    held = listed.groupBy(F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int").alias("_block")).agg(F.collect_list(F.struct("_x", "_y", "_id")).alias("_areas"))
+    distance = lambda a: F.pow(F.col(x) - a["_x"], 2.0) + F.pow(F.col(y) - a["_y"], 2.0)
+    best = F.array_min(F.transform("_areas", lambda a: F.struct(distance(a).alias("d"), a["_id"].alias("id"))))
+    met = points.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(held, "_block").withColumn("_best", best)
+    if blocks == 1:
+        return met.select(*points.columns, F.col("_best.id").alias(id_))
+    return met.groupBy(*points.columns).agg(F.min("_best")["id"].alias(id_))
 
 
 def nearest_join(points: DataFrame, rows: DataFrame, key: str, point: str, at: str, id_: str, width: int, tolerance: int) -> DataFrame:

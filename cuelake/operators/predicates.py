@@ -94,3 +94,57 @@ def violations(rows: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """A row for every rule that a row breaks."""
     broken = F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]), lambda x: x.isNotNull())
     return rows.withColumn("rule", F.explode(broken))
+
+
+# fixed values: audio codecs of each container
+CODECS = {"webm_vp9": ["opus"], "mp3_audio": ["mp3"], "aac_audio": ["aac"], "mp4_h264": ["aac", "mp2", "mp3"], "mp4_hevc": ["aac", "mp2", "mp3"], "mov_prores": ["aac", "mp2", "mp3"]}
+
+
+def export_rules() -> dict[str, Column]:
+    """What must not hold of export options; include_video and include_audio are not null."""
+    video, audio = F.col("include_video"), F.col("include_audio")
+    allowed = F.lit(False)
+    for container, codecs in CODECS.items():
+        allowed = allowed | ((F.col("container") == container) & F.coalesce(F.col("audio_codec").isin(codecs), F.lit(False)))
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    return {
+        "directory": blank("output_dir"),
+        "stem": blank("output_stem"),
+        "streams": ~video & ~audio,
+        "container": F.col("container").isin("mp3_audio", "aac_audio") & video,
+        "dimensions": video & (F.col("resolution") == "custom") & ((F.col("custom_width") < 2) | (F.col("custom_height") < 2)),
+        "frame rate": video & (F.isnan("frame_rate") | ~F.col("frame_rate").between(1, 120)),
+        "codec": audio & ~allowed,
+        "sample rate": ~F.col("sample_rate").between(8000, 192000),
+    }
+
+
+def output_fault(expected_us: Column, tolerance: int = 200_000) -> Column:
+    """C27: 'streams' for a stream too many or too few, 'no duration', 'duration' if it is off by more, or empty."""
+    off = F.abs(F.col("duration_us") - F.greatest(expected_us, F.lit(0)))
+    rules = [("streams", (F.col("has_video") != F.col("want_video")) | (F.col("has_audio") != F.col("want_audio"))), ("no duration", F.col("duration_us") <= 0), ("duration", off > tolerance)]
+    return first_reason(rules)
+
+
+# fixed values: quality codes, profiles and speed arguments of the encoders
+CRF = {"mp4_h264": (28, 23, 20, 17), "mp4_hevc": (28, 23, 20, 17), "webm_vp9": (40, 34, 28, 24)}
+PROFILE = (0, 2, 3, 3)
+SPEED = {
+    "mp4": ("-preset veryfast", "-preset medium", "-preset slow"),
+    "webm": ("-deadline good -cpu-used 8", "-deadline good -cpu-used 4", "-deadline best -cpu-used 2"),
+}
+QUALITIES, SPEEDS = ("low", "medium", "high", "very_high"), ("fast", "balanced", "quality")
+
+
+def encoder_codes(rows: DataFrame) -> DataFrame:
+    """Rows (container, quality, speed) with crf (0 where a container has none), profile and speed_args."""
+    spark = rows.sparkSession
+    quality = [(c, q, codes[n]) for c, codes in CRF.items() for n, q in enumerate(QUALITIES)]
+    profile = [("mov_prores", q, PROFILE[n]) for n, q in enumerate(QUALITIES)]
+    speed = [(c, s, args[n]) for c, args in SPEED.items() for n, s in enumerate(SPEEDS)]
+    out = rows.withColumn("_family", F.substring_index("container", "_", 1))
+    # a dozen rows each
+    out = out.join(F.broadcast(spark.createDataFrame(quality, "container string, quality string, crf int")), ["container", "quality"], "left")
+    out = out.join(F.broadcast(spark.createDataFrame(profile, "container string, quality string, profile int")), ["container", "quality"], "left")
+    out = out.join(F.broadcast(spark.createDataFrame(speed, "_family string, speed string, speed_args string")), ["_family", "speed"], "left")
+    return out.drop("_family").na.fill(0, ["crf"]).na.fill("", ["speed_args"])

@@ -1,26 +1,34 @@
 """Event detection in per-frame probability series.
 
-A series is (context, frame, p). Every step is partitioned by the context; long contexts are the unit of work,
-hence one context should hold one recording.
+A series is (context, frame, p). The windowed medians, which cost most, are dealt out by blocks of frames; the
+steps after them are partitioned by the context.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions.mathx import array_median, logit, sigmoid
+from cuelake.operators.documents import FEATURE_ORDER, MODEL_KEYS
+from cuelake.session import cut
 
-# fixed values: the names and order of an event's features
+#: The features' columns here, in the order of documents.FEATURE_ORDER, which has the names of a model file.
 FEATURES = ["logit", "z", "log_area", "log_width", "concentration", "left_slope", "right_slope", "asymmetry", "prominence", "neighbour_mass"]
 
 
+#: Frames of a block, as a multiple of the window's radius.
+BLOCK_WINDOWS = 40
+
+
 @dataclass(frozen=True)
 class Detector:
-    """Parameters of the detector; the defaults are those of the default model."""
+    """Parameters of the detector."""
 
+    # fixed values: those of the default model
     eps: float = 1e-6
     window: int = 50
     least_p: float = 0.1
@@ -43,6 +51,19 @@ class Detector:
     def threshold(self) -> float:
         return self.false_positive / (self.false_positive + self.false_negative)
 
+    @classmethod
+    def from_model(cls, text: str) -> Detector:
+        """From a model file's JSON; ValueError for keys, features or values that documents.model_errors refuses."""
+        m = json.loads(text)
+        unknown = sorted(set(m) - set(MODEL_KEYS))
+        if unknown or m["model_version"] != 1 or m["classifier"]["feature_order"] != FEATURE_ORDER or m.get("calibration"):
+            raise ValueError(f"unknown keys {unknown}, or another version, order of features or a calibration")
+        return cls(
+            m["epsilon"], m["robust_window_radius"], m["candidate_probability_threshold"], m["candidate_robust_threshold"], m["peak_radius"], m["event_probability_floor"], m["event_relative_floor"], m["event_robust_floor"],
+            m["event_boundary_patience"], m["neighbor_radius"], m["classifier"]["intercept"], tuple(m["classifier"]["coefficients"]), m["false_positive_cost"], m["false_negative_cost"], m["minimum_event_distance"],
+            m["short_shot_midpoint"], m["short_shot_softness"],
+        ).checked()
+
     def checked(self) -> Detector:
         """Raises ValueError for values that make no sense."""
         if len(self.weights) != len(FEATURES):
@@ -61,13 +82,20 @@ def clean_probability(p: Column) -> Column:
 
 
 def robust_z(series: DataFrame, d: Detector = Detector(), context: str = "context", frame: str = "frame", p: str = "p") -> DataFrame:
-    """Adds logit, base (windowed median of p) and z. Windows shrink at the ends."""
-    near = Window.partitionBy(context).orderBy(frame).rowsBetween(-d.window, d.window)
+    """Adds logit, base (windowed median of p) and z. Windows shrink at the ends.
+
+    frame counts a context's rows without a gap. A context is dealt out in blocks of frames, each with the
+    window's frames around it, so that one long recording makes many tasks.
+    """
+    width = BLOCK_WINDOWS * d.window
+    block = F.floor(F.col(frame) / width)
     rows = series.withColumn(p, clean_probability(F.col(p))).withColumn("logit", logit(F.col(p), d.eps))
-    rows = rows.withColumn("_l", F.collect_list("logit").over(near)).withColumn("_p", F.collect_list(p).over(near))
+    rows = rows.withColumn("_own", block).withColumn("_block", F.explode(F.array_distinct(F.array(*[F.floor((F.col(frame) + k) / width) for k in (-d.window, 0, d.window)]))))
+    near = Window.partitionBy(context, "_block").orderBy(frame).rowsBetween(-d.window, d.window)
+    rows = rows.withColumn("_l", F.collect_list("logit").over(near)).withColumn("_p", F.collect_list(p).over(near)).where("_own = _block")
     rows = rows.withColumn("_m", array_median(F.col("_l"))).withColumn("base", array_median(F.col("_p")))
     spread = array_median(F.transform("_l", lambda x: F.abs(x - F.col("_m"))))
-    return rows.withColumn("z", (F.col("logit") - F.col("_m")) / (F.lit(1.4826) * spread + d.eps)).drop("_l", "_m", "_p")
+    return rows.withColumn("z", (F.col("logit") - F.col("_m")) / (F.lit(1.4826) * spread + d.eps)).drop("_l", "_p", "_m", "_own", "_block")
 
 
 def local_peaks(rows: DataFrame, d: Detector = Detector(), context: str = "context", frame: str = "frame", p: str = "p") -> DataFrame:
@@ -189,7 +217,7 @@ def short_shots(events: DataFrame, d: Detector = Detector()) -> DataFrame:
 def detect(series: DataFrame, d: Detector = Detector()) -> DataFrame:
     """(context, cut_frame, confidence, event_start, event_end, score) from (context, frame, p)."""
     d = d.checked()
-    rows = robust_z(series, d).persist()  # read by four steps; spills to disk
+    rows = cut(robust_z(series, d))  # read by four steps
     peaks = local_peaks(rows, d)
     events = event_features(rows, merge_intervals(expand_peaks(rows, peaks, d)), d)
     final = short_shots(suppress(score_events(events, d), d.distance), d)

@@ -1,7 +1,8 @@
 """Hierarchies given as (id, name, parent): closures, paths, cascades.
 
-Closures grow by one join a level: the frontier of each round is joined with the nodes by their key, and
-rounds end when no frontier is left, hence as many as the tree is deep. A node that meets itself stops.
+Closures grow by one join a level: the frontier of each round is joined with the links by their key, and
+rounds end when no frontier is left, hence as many as the tree is deep. A node that meets itself stops. The
+links and every round are written to the checkpoint folder, so that no round repeats the ones before.
 """
 
 from __future__ import annotations
@@ -14,22 +15,17 @@ from pyspark.sql import functions as F
 
 from cuelake.session import cut
 
-#: From this depth on every round is written to the checkpoint folder, so that plans stay small.
-PLAIN_ROUNDS = 8
-
 
 def ancestors(nodes: DataFrame) -> DataFrame:
     """M2: (id, ancestor, depth), each node itself included at depth 0; ends at missing parents and cycles."""
-    parents = nodes.select(F.col("id").alias("_id"), F.col("parent").alias("_parent"))
-    known = nodes.select(F.col("id").alias("_known"))
+    known = nodes.select(F.col("id").alias("_parent")).distinct()
+    links = cut(nodes.where("parent is not null").select(F.col("id").alias("_id"), F.col("parent").alias("_parent")).join(known, "_parent", "left_semi").select("_id", "_parent"))
     level = nodes.select("id", F.col("id").alias("ancestor"), F.array("id").alias("_seen"))
     found = []
     for depth in count():
         found.append(level.select("id", "ancestor", F.lit(depth).cast("long").alias("depth")))
-        up = level.join(parents, level["ancestor"] == parents["_id"]).where("_parent is not null and not array_contains(_seen, _parent)")
-        level = up.join(known, up["_parent"] == known["_known"]).select("id", F.col("_parent").alias("ancestor"), F.concat("_seen", F.array("_parent")).alias("_seen"))
-        if depth >= PLAIN_ROUNDS:
-            level = cut(level)
+        up = level.join(links, level["ancestor"] == links["_id"]).where("not array_contains(_seen, _parent)")
+        level = cut(up.select("id", F.col("_parent").alias("ancestor"), F.concat("_seen", F.array("_parent")).alias("_seen")))
         if level.isEmpty():
             break
     return reduce(DataFrame.unionByName, found)

@@ -55,24 +55,22 @@ def join_point_in_interval(spark, sf):
 
 @query("join_asof_forward", f"{_WITH}, {_NEXT} SELECT track AS track_id, frame, CASE WHEN n > 0 THEN s // 2000 END AS next_sequence FROM following")
 def join_asof_forward(spark, sf):
-    out = joins.asof_forward(probes(spark, sf), cues(spark, sf).select("track", "start", "sequence").distinct(), "track", "frame", "start", "sequence")
+    out = joins.asof_forward(probes(spark, sf), cues(spark, sf).select("track", "start", "sequence").distinct(), "track", "frame", "start", "sequence", width=1 << 20)
     return out.select(F.col("track").alias("track_id"), "frame", F.col("sequence").alias("next_sequence"))
 
 
 @query("join_next_active", f"""{_WITH}
 SELECT p.track, p.frame, min(c.sequence) AS sequence FROM probes p JOIN cues c ON c.track = p.track AND c.start > p.frame - 2000 AND c."end" >= p.frame GROUP BY ALL""")
 def join_next_active(spark, sf):
-    # the earliest row with end >= frame among those that start after frame - 2000
     rows = cues(spark, sf).select("track", "sequence", "start", "end").distinct()
-    far = joins.interval_join(probes(spark, sf), rows.select("track", "sequence", (F.col("start") - 10**6).alias("low"), (F.col("start") + 1999).alias("high"), "end"), "track", "frame", "low", "high", width=10**6)
-    return far.where(F.col("end") >= F.col("frame")).groupBy("track", "frame").agg(F.min("sequence").alias("sequence"))
+    return joins.next_active(probes(spark, sf), rows, "track", "frame", "sequence", behind=2000, width=4096).where("sequence is not null")
 
 
 @query("join_follow", f"{_WITH}, {_CURRENT}, {_NEXT} SELECT track, frame, coalesce(cue, CASE WHEN n > 0 THEN s // 2000 END) AS sequence FROM current JOIN following USING (track, frame)")
 def join_follow(spark, sf):
     rows, asked = cues(spark, sf).select("track", "sequence", "start", "end").distinct(), probes(spark, sf)
     now = joins.interval_latest(asked, rows, "track", "frame", "sequence", width=4096).withColumnRenamed("sequence", "now")
-    ahead = joins.asof_forward(asked, rows, "track", "frame", "start", "sequence")
+    ahead = joins.asof_forward(asked, rows, "track", "frame", "start", "sequence", width=1 << 20)
     return now.join(ahead, ["track", "frame"]).select("track", "frame", F.coalesce("now", "sequence").alias("sequence"))
 
 
@@ -152,11 +150,9 @@ def join_reconcile(spark, sf):
 
 @query("join_nearest_point", """SELECT c_custkey, arg_min(r_regionkey, pow(c_acctbal / 1000 - r_regionkey * 2, 2) + pow(c_nationkey - r_regionkey * 5, 2) + r_regionkey / 1e6) AS region FROM customer, region GROUP BY c_custkey""")
 def join_nearest_point(spark, sf):
-    # five fixed areas: their list travels with the plan, no pairs of rows are made
-    areas = F.array(*[F.struct(F.lit(r["r_regionkey"]).alias("k")) for r in table(spark, sf, "region").orderBy("r_regionkey").limit(1000).collect()])
-    distance = lambda a: F.pow(F.col("c_acctbal") / 1000 - a["k"] * 2, 2.0) + F.pow(F.col("c_nationkey") - a["k"] * 5, 2.0)
-    best = F.array_min(F.transform(areas, lambda a: F.struct(distance(a).alias("d"), a["k"].alias("k"))))
-    return table(spark, sf, "customer").select("c_custkey", best["k"].alias("region"))
+    areas = table(spark, sf, "region").select(F.col("r_regionkey").alias("region"), (F.col("r_regionkey") * 2).alias("_x"), (F.col("r_regionkey") * 5).alias("_y"))
+    points = table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("x"), F.col("c_nationkey").alias("y"))
+    return joins.nearest_point(points, areas, "region", "x", "y").select("c_custkey", "region")
 
 
 @query("join_anti_orphans", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")

@@ -161,23 +161,11 @@ def prj_media_info(spark, sf):
     return table(spark, sf, "part").select("p_partkey", video.alias("video"), F.concat_ws(" - ", F.concat((size * 1000).cast("string"), F.lit(" Hz")), kind, channels).alias("audio"))
 
 
-@query("chk_options", """SELECT p_partkey, rule FROM part, (VALUES ('size'), ('price'), ('matrix')) r(rule) WHERE (rule = 'size' AND NOT p_size BETWEEN 2 AND 48) OR (rule = 'price' AND p_retailprice > 1900) OR (rule = 'matrix' AND p_brand = 'Brand#11' AND p_size % 2 = 0)""")
-def chk_options(spark, sf):
-    rules = {"size": ~F.col("p_size").between(2, 48), "price": F.col("p_retailprice") > 1900, "matrix": (F.col("p_brand") == "Brand#11") & (F.col("p_size") % 2 == 0)}
-    return predicates.violations(table(spark, sf, "part"), rules).select("p_partkey", "rule")
-
-
 @query("chk_ranges", "SELECT p_partkey, p_size BETWEEN 1 AND 40 AS fine, least(greatest(p_size, 5), 20) AS held FROM part")
 def chk_ranges(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.col("p_size").between(1, 40).alias("fine"), F.least(F.greatest(F.col("p_size"), F.lit(5)), F.lit(20)).alias("held"))
 
 
-@query("chk_output_tolerance", "SELECT l_orderkey, count(*) AS n, count(*) FILTER (abs(l_extendedprice - l_quantity * 1000) > 20000 OR l_quantity <= 0) AS bad FROM lineitem GROUP BY l_orderkey")
-def chk_output_tolerance(spark, sf):
-    off = (F.abs(F.col("l_extendedprice") - F.col("l_quantity") * 1000) > 20000) | (F.col("l_quantity") <= 0)
-    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(off).alias("bad"))
-
-
 @query("chk_referential", """SELECT 'nation without region' AS problem, count(*) AS n FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region) UNION ALL SELECT 'repeated name', count(*) FROM (SELECT p_name FROM part GROUP BY p_name HAVING count(*) > 1)""")
 def chk_referential(spark, sf):
     orphans = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left_anti")
@@ -210,15 +198,6 @@ def agg_coverage(spark, sf):
     return table(spark, sf, "orders").groupBy("o_custkey").agg(F.when(n == F.count("*"), "all").when(n > 0, "some").otherwise("none").alias("coverage"))
 
 
-@query("agg_decay_counter", """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
-w AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS c FROM e GROUP BY 1 UNION ALL SELECT w.user_id, e.k, CASE WHEN w.c + 1 >= 20 THEN (w.c + 1) // 2 ELSE w.c + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1)
-SELECT user_id, arg_max(c, k) AS counter FROM w GROUP BY 1""")
-def agg_decay_counter(spark, sf):
-    # halving at 20 makes the count after n uses a plain function of n
-    n = F.count("*")
-    return table(spark, sf, "events").groupBy("user_id").agg(F.when(n < 20, n).otherwise(10 + (n - 20) % 10).cast("long").alias("counter"))
-
-
 @query("agg_sum_duration", "SELECT l_orderkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total FROM lineitem GROUP BY 1")
 def agg_sum_duration(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("total"))
@@ -397,26 +376,6 @@ def top_authority(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.max_by("event_id", F.struct(F.col("value") > 50, F.col("event_id"))).alias("holder"))
 
 
-@query("srt_cues", "SELECT doc_id FROM documents ORDER BY lang, doc_id")
-def srt_cues(spark, sf):
-    return table(spark, sf, "documents").orderBy("lang", "doc_id").select("doc_id")
-
-
-@query("srt_shots", "SELECT p_partkey, p_type FROM part ORDER BY p_type DESC, p_partkey")
-def srt_shots(spark, sf):
-    return table(spark, sf, "part").orderBy(fx.natural_key(F.col("p_type")).desc(), "p_partkey").select("p_partkey", "p_type")
-
-
-@query("srt_priority", "SELECT o_orderkey FROM orders ORDER BY o_orderstatus = 'P', o_orderpriority, o_orderkey")
-def srt_priority(spark, sf):
-    return table(spark, sf, "orders").orderBy(F.col("o_orderstatus") == "P", "o_orderpriority", "o_orderkey").select("o_orderkey")
-
-
-@query("srt_locale", "SELECT p_partkey FROM part ORDER BY p_name, p_partkey")
-def srt_locale(spark, sf):
-    return table(spark, sf, "part").orderBy(F.collate("p_name", "UNICODE"), "p_partkey").select("p_partkey")
-
-
 # ---- sets ------------------------------------------------------------------------------------
 
 def _pairs(spark, sf):
@@ -455,15 +414,6 @@ def set_intersect(spark, sf):
     return _pairs(spark, sf).select("o_custkey", _text(F.array_intersect("a", "b")).alias("members"))
 
 
-@query("set_reconcile", f"""WITH {_SETS} SELECT o_custkey, array_to_string(list_sort(list_distinct(list_concat(list_filter(a, lambda x: NOT (list_contains(b, x) AND x <> '1-URGENT')), list_filter(['1-URGENT', '2-HIGH'], lambda x: NOT list_contains(b, x))))), '|') AS members FROM s""")
-def set_reconcile(spark, sf):
-    typed = F.array(F.lit("1-URGENT"), F.lit("2-HIGH"))
-    shared = F.filter("b", lambda x: x != "2-HIGH")
-    rows = _pairs(spark, sf).withColumn("t", F.array(F.lit("1-URGENT")))
-    kept = F.array_except("a", F.array_except("b", "t"))
-    return rows.select("o_custkey", _text(F.array_distinct(F.concat(kept, F.array_except(typed, "b")))).alias("members"))
-
-
 @query("set_distinct", "SELECT p_name, min(p_partkey) AS first FROM part GROUP BY 1")
 def set_distinct(spark, sf):
     rows = table(spark, sf, "part").select("p_name", "p_partkey")

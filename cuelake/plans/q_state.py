@@ -146,10 +146,11 @@ def hist_restore(spark, sf):
     return history.apply(after, history.diff(before, after, "c_custkey"), "c_custkey", back=True).select("c_custkey", "c_name", "c_acctbal")
 
 
-@query("hist_time_travel", "SELECT user_id, arg_max(value, event_id) AS value FROM events WHERE event_id <= 500 GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'click'")
+@query("hist_time_travel", "SELECT user_id, arg_max(value, event_id) AS value FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events) GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'click'")
 def hist_time_travel(spark, sf):
     log = table(spark, sf, "events").select("user_id", "event_id", "value", F.when(F.col("event_type") == "click", "delete").otherwise("set").alias("op"))
-    return history.as_of(log, "user_id", "event_id", 500).select("user_id", "value")
+    half = table(spark, sf, "events").agg(F.expr("max(event_id) div 2")).first()[0] or 0
+    return history.as_of(log, "user_id", "event_id", half).select("user_id", "value")
 
 
 @query("hist_append", "WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) SELECT user_id, event_id, CASE WHEN k = 40 THEN 'base' ELSE 'entry' END AS role FROM r WHERE k <= 40")
@@ -189,20 +190,6 @@ def dml_stack_view(spark, sf):
     return history.stack_view(rows, "o_custkey", "o_orderkey", "start", "stop")
 
 
-@query("dml_items", "SELECT l_orderkey, count(*) FILTER (o_orderstatus = 'F') AS hidden, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
-def dml_items(spark, sf):
-    off = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderstatus") == "F").alias("off"))
-    return table(spark, sf, "lineitem").join(off, "l_orderkey").groupBy("l_orderkey").agg(F.count_if("off").alias("hidden"), F.count("*").alias("n"))
-
-
-@query("ver_upgrade", "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 4 ELSE 2 END AS version, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END AS segment FROM customer")
-def ver_upgrade(spark, sf):
-    rows = table(spark, sf, "customer").withColumnRenamed("c_custkey", "id")
-    new = rows.where("id % 2 = 0").select("id", F.lit(4).alias("version"), F.col("c_mktsegment").alias("segment"))
-    old = rows.where("id % 2 = 1").select("id", F.lit(2).alias("version"))
-    return new.unionByName(old, allowMissingColumns=True).na.fill("", ["segment"])
-
-
 # ---- streams ---------------------------------------------------------------------------------
 
 @query("str_rate_limit", """WITH RECURSIVE e AS (SELECT event_type, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
@@ -246,12 +233,6 @@ def str_journal(spark, sf):
     return table(spark, sf, "events").withColumn("k", k).where("k <= 200").select("event_type", "event_id")
 
 
-@query("str_retry", "SELECT event_id, CASE WHEN value >= 30 THEN 1 WHEN value >= 10 THEN 2 ELSE 3 END AS attempts, value >= 3 AS done FROM events")
-def str_retry(spark, sf):
-    v = F.col("value")
-    return table(spark, sf, "events").select("event_id", F.when(v >= 30, 1).when(v >= 10, 2).otherwise(3).alias("attempts"), (v >= 3).alias("done"))
-
-
 @query("str_tumbling", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY ALL")
 def str_tumbling(spark, sf):
     events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -298,12 +279,6 @@ def fn_codec_from_path(spark, sf):
     return table(spark, sf, "part").select("p_partkey", codec_of(path).alias("codec"))
 
 
-@query("sink_autosave", "SELECT user_id, count(*) AS n FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type GROUP BY 1")
-def sink_autosave(spark, sf):
-    rows = table(spark, sf, "events").select("user_id", "event_id", F.sha2("event_type", 256).alias("hash"))
-    return rules.changes_only(rows, "user_id", "event_id", "hash").groupBy("user_id").agg(F.count("*").alias("n"))
-
-
 @query("fn_incident_clip", "SELECT doc_id, length(left(text, 4096)) AS size, CAST(least(greatest(n_chars, 1), 10000) AS BIGINT) AS times FROM documents")
 def fn_incident_clip(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.length(F.left("text", F.lit(4096))).alias("size"), F.least(F.greatest("n_chars", F.lit(1)), F.lit(10000)).alias("times"))

@@ -85,3 +85,18 @@ def parse_ass(files: DataFrame) -> DataFrame:
     cues = said.select("path", "_at", parse_ass_time(get("start")).alias("start_us"), parse_ass_time(get("end")).alias("end_us"), get("layer").try_cast("int").alias("layer"), get("style").alias("style"), get("name").alias("speaker"), whole("text").alias("raw_text"))
     kept = cues.withColumn("plain_text", clean_plain_text(F.col("raw_text"))).where("end_us > start_us and plain_text <> ''")
     return _numbered(kept, "_at").select("path", "sequence", "start_us", "end_us", "layer", "style", "speaker", "raw_text", "plain_text")
+
+
+def scan(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A1: (cues, tracks) of files (path, content as bytes), the encoding and kind of each found out.
+
+    tracks: (path, codec, n_cues, notice); a file without content or cues has a notice and no cues, never an
+    error. cues: (path, sequence, start_us, end_us, layer, style, speaker, raw_text, plain_text).
+    """
+    texts = files.select("path", codec_of(F.col("path")).alias("codec"), decode_text(F.col("content")).alias("content"))
+    ass = F.col("codec").isin("ass", "ssa")
+    cues = parse_ass(texts.where(ass)).unionByName(parse_srt(texts.where(~ass)), allowMissingColumns=True)
+    counts = cues.groupBy("path").agg(F.count("*").alias("n_cues"))
+    notice = F.when(F.col("content").isNull(), "unreadable").when(F.col("n_cues") == 0, "no cues")
+    tracks = texts.join(counts, "path", "left").withColumn("n_cues", F.coalesce("n_cues", F.lit(0).cast("long")))
+    return cues, tracks.select("path", "codec", "n_cues", notice.alias("notice"))

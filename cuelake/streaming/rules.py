@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructField, StructType
+
+from cuelake.functions.mathx import stall_seconds
+from cuelake.functions.timecode import progress_us
+
+
+def _parse(schema: str) -> StructType:
+    return StructType.fromDDL(schema)
 
 
 def _codes(column: pa.Array) -> np.ndarray:
@@ -98,36 +107,131 @@ def rate_limited_stream(events: DataFrame, key: str, time: str, seconds: int) ->
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, first_ts timestamp_ntz", "opened long", "append", GroupStateTimeout.NoTimeout)
 
 
-def _risen(least: float):
-    """For mapInArrow over (key, order, value), sorted: the rows that are told; only the last told value is held."""
+def _risen(least: float, apart: float = 0):
+    """For mapInArrow over (key, order, value), sorted: the rows that are told; only the last told row is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begun, of, last = False, None, None
+        begun, of, last, place = False, None, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             values, kept = batch.column(2).to_pylist(), []
+            places = batch.column(1).to_pylist() if apart else None
             for i, j in _runs(batch.column(0)):
                 key = batch.column(0)[i].as_py()
                 if not begun or key != of:
-                    begun, of, last = True, key, values[i]
+                    begun, of, last, place = True, key, values[i], places and places[i]
                     kept.append(i)
                     i += 1
                 for k in range(i, j):
                     v = values[k]
-                    if v is not None and last is not None and (v != v or float(v) >= float(last) + least):
+                    if v is not None and last is not None and (v != v or float(v) >= float(last) + least) and (not apart or places[k] - place >= apart):
                         kept.append(k)
-                        last = v
+                        last, place = v, places and places[k]
             yield batch.take(pa.array(kept, pa.int64()))
 
     return run
 
 
-def throttled(rows: DataFrame, key: str, order: str, value: str, least: float) -> DataFrame:
-    """Of a rising value the rows that are at least so much above the last one told."""
+def throttled(rows: DataFrame, key: str, order: str, value: str, least: float, apart: float = 0) -> DataFrame:
+    """Of a rising value the rows that are at least so much above the last one told, and at least so
+    many places of the order after it."""
     held = rows.select(key, order, value)
     dealt = held.repartition(key).sortWithinPartitions(key, order, value)
-    return dealt.mapInArrow(_risen(least), held.schema)
+    return dealt.mapInArrow(_risen(least, apart), held.schema)
+
+
+def folded(rows: DataFrame, key: str, order: str, columns: list[str], init: Callable, step: Callable, finish: Callable, schema: str) -> DataFrame:
+    """(key, schema): what finish makes of a state that step carries through a key's rows in order.
+
+    Rows are read as a sorted stream and only one state is held, so a key may be as long as it likes; equal
+    places in the order are taken by the columns' values. Null keys are one key.
+    """
+    held = rows.select(key, order, *columns)
+    kind = held.schema[key].dataType
+    fields = StructType([StructField(key, kind), *_parse(schema)])
+    arrow = to_arrow_schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, of, state = False, None, None
+
+        def told() -> pa.RecordBatch:
+            found = [(of, *row) for row in finish(state)]
+            return pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], f.type) for n, f in enumerate(arrow)], schema=arrow)
+
+        for batch in batches:
+            values = [batch.column(n).to_pylist() for n in range(2, batch.num_columns)]
+            for i, j in _runs(batch.column(0)) if batch.num_rows else []:
+                own = batch.column(0)[i].as_py()
+                if not begun or own != of:
+                    if begun:
+                        yield told()
+                    begun, of, state = True, own, init()
+                for k in range(i, j):
+                    step(state, tuple(v[k] for v in values))
+        if begun:
+            yield told()
+
+    return held.repartition(key).sortWithinPartitions(key, order, *columns).mapInArrow(run, fields)
+
+
+def snapshots(saves: DataFrame, folder: str, order: str, project: str, digest: str, most: int) -> DataFrame:
+    """(folder, place, project, digest): the snapshots left in each folder after all saves, newest first.
+
+    A save is skipped if its project's newest snapshot has the same digest; else it is written, or written
+    again under its name, and of all snapshots in the folder the newest `most` stay.
+    """
+
+    def step(state: list, row: tuple) -> None:
+        newest = next((s for s in state if s[0] == row[0]), None)
+        if newest != row:
+            state[:] = [row, *(s for s in state if s != row)][: max(1, most)]
+
+    kinds = dict(saves.dtypes)
+    out = f"place long, {project} {kinds[project]}, {digest} {kinds[digest]}"
+    return folded(saves, folder, order, [project, digest], list, step, lambda state: [(n, *s) for n, s in enumerate(state)], out)
+
+
+def progress(lines: DataFrame, job: str, order: str, time: str, line: str, duration: str, least: float = 0.001) -> DataFrame:
+    """O1: (job, order, kind, progress): what a tool's output lines tell, until it ends or stalls.
+
+    Of the rising share of the duration (us) that is done, the values at least so much above the last one told;
+    'end' for a closing line; 'stalled' for the first line that comes a bound after the last rise (twice the
+    duration's seconds and 8, within 20 to 60 s; 180 s once all but the last 100 ms is done), where a job ends.
+    """
+    of = Window.partitionBy(job).orderBy(order)
+    so_far = of.rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.select(job, order, F.unix_micros(time).alias("_t"), F.greatest(duration, F.lit(1).cast("long")).alias("_d"), F.col(line).alias("_l"))
+    rows = rows.withColumn("_us", F.greatest(F.coalesce(progress_us(F.col("_l")), F.lit(0).cast("long")), F.lit(0).cast("long")))
+    rows = rows.withColumn("_top", F.max("_us").over(so_far)).withColumn("_before", F.coalesce(F.max("_us").over(of.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
+    rose = F.when(F.col("_top") > F.col("_before"), F.col("_t"))
+    last = F.coalesce(F.last(rose, ignorenulls=True).over(of.rowsBetween(Window.unboundedPreceding, -1)), F.first("_t").over(of.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    bound = F.when(F.col("_before") >= F.col("_d") - 100_000, 180).otherwise(stall_seconds(F.col("_d"))) * 1_000_000
+    rows = rows.withColumn("_last", last).withColumn("_over", (F.col("_t") - F.col("_last") >= bound).cast("int")).withColumn("_ends", (F.col("_l") == "progress=end").cast("int"))
+    closed = F.coalesce(F.sum(F.col("_over") + F.col("_ends")).over(of.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_closed", closed).where("_closed = 0").withColumn("progress", F.least(F.col("_top") / F.col("_d"), F.lit(1.0)))
+    told = throttled(rows.where("_over = 0 and _ends = 0").select(job, order, "progress"), job, order, "progress", least).withColumn("kind", F.lit("progress"))
+    shut = rows.where("_over + _ends > 0").select(job, order, "progress", F.when(F.col("_over") == 1, "stalled").otherwise("end").alias("kind"))
+    return told.unionByName(shut).select(job, order, "kind", "progress")
+
+
+def retried(attempts: DataFrame, item: str, attempt: str, good: str, rounds: int = 3) -> DataFrame:
+    """(item, attempts, done, cpu_only): tries up to the first good one, of at most so many rounds.
+
+    Later rounds take only what has failed so far and leave out special hardware.
+    """
+    rows = attempts.where(F.col(attempt).between(1, rounds))
+    first = F.min(F.when(F.col(good), F.col(attempt)))
+    out = rows.groupBy(item).agg(first.alias("_first"), F.max(attempt).alias("_last"))
+    used = F.coalesce("_first", "_last")
+    return out.select(item, used.cast("long").alias("attempts"), F.col("_first").isNotNull().alias("done"), (used > 1).alias("cpu_only"))
+
+
+def windowed_counts(events: DataFrame, key: str, time: str, width: str, late: str) -> DataFrame:
+    """O12 over a table or a stream: (key, start, n) by tumbling windows; a stream drops what is later than `late`
+    behind the newest event that it has seen, and tells a window when that has passed its end."""
+    counted = events.withWatermark(time, late).groupBy(key, F.window(time, width).alias("_w")).agg(F.count("*").alias("n"))
+    return counted.select(key, F.col("_w.start").alias("start"), "n")
 
 
 def running_max(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
