@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from cuelake.llm.common import U64, fresh, mix, pieces, text_bytes
+from cuelake.llm.common import U64, fresh, merged, mix, pieces, text_bytes
 
 #: A chunk ends on average after so many bytes (a power of two).
 CHUNK = 1024
@@ -215,7 +215,7 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str
         for b in run(batches):
             yield pa.RecordBatch.from_arrays(b.columns, names=names)
 
-    out = near.mapInArrow(renamed, schema)
+    out = merged(near.mapInArrow(renamed, schema), docs)
     final = {**{c: names[n] for n, c in enumerate(keep)}, ids_col: names[len(keep)]}
     if decoded_col:
         final[decoded_col] = names[len(keep) + 1]

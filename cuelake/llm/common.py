@@ -67,6 +67,17 @@ def narrow_cut(df: DataFrame, rows: int) -> DataFrame:
     return cut(df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS))))
 
 
+#: Bytes of input, by Spark's estimate, under which tasks are joined.
+TASK_BYTES = 16 << 20
+
+
+def merged(df: DataFrame, like: DataFrame) -> DataFrame:
+    """df with its tasks joined where the input, like, is small for so many: small inputs in many parts make
+    many small files otherwise. Partitions of the usual sizes stay as they are."""
+    size = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(min(1 << 30, max(LEAST_FILES, -(-size // TASK_BYTES))))
+
+
 #: What a plan may hold whose rows come in the same order whenever they are read.
 _ORDERED = re.compile(r"[\s:+|-]*(?:Project|Filter|Relation|LogicalRDD|LocalRelation|OneRowRelation|Range|Generate|MapInArrow|LocalLimit)\b")
 

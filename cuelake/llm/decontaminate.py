@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import cut, fresh, kept, lower_ascii, settled
+from cuelake.llm.common import cut, fresh, kept, lower_ascii, merged, settled
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Up to so many distinct hashes (at most 32 MB in a task's hash table) go to all tasks; beyond it, hashes,
@@ -85,15 +85,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str, text_col
         ranges = F.sort_array(F.collect_list(F.when(F.col("at") >= 0, F.struct("at", (F.col("at") + F.col("len")).alias("to")))))
         covered = hits.groupBy("key").agg(F.max("n_words").cast("long").alias("n_words"), ranges.alias("found"))
         # joins touching and overlapping ranges, in order: a range either lengthens the open one or closes it
-        merged = F.expr("""aggregate(found, named_struct('done', CAST(array() AS array<struct<at:int,to:int>>), 'at', CAST(NULL AS int), 'to', CAST(NULL AS int)),
+        joined = F.expr("""aggregate(found, named_struct('done', CAST(array() AS array<struct<at:int,to:int>>), 'at', CAST(NULL AS int), 'to', CAST(NULL AS int)),
             (s, x) -> if(x.at <= s.to, named_struct('done', s.done, 'at', s.at, 'to', greatest(s.to, x.to)),
                 named_struct('done', if(s.at IS NULL, s.done, concat(s.done, array(named_struct('at', s.at, 'to', s.to)))), 'at', x.at, 'to', x.to)),
             s -> if(s.at IS NULL, s.done, concat(s.done, array(named_struct('at', s.at, 'to', s.to)))))""")
-        spans = covered.select("key", "n_words", merged.alias("spans"))
+        spans = covered.select("key", "n_words", joined.alias("spans"))
         pairs = windows.select(F.col("window").alias("text"), "item")
         items = hits.where("at >= 0").select("key", "text").distinct().join(pairs, "text").groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
         n_hit = F.expr("CAST(aggregate(spans, 0, (n, x) -> n + x.to - x.at) AS BIGINT)").alias("n_hit")
-        return cut(spans.join(items, "key", "left").select(F.col("key").alias(key), "n_words", n_hit, F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans"))
+        return cut(merged(spans.join(items, "key", "left").select(F.col("key").alias(key), "n_words", n_hit, F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans"), docs))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, remove: str = "documents") -> DataFrame:
@@ -111,7 +111,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     keyed = docs.withColumn(row, F.monotonically_increasing_id())
     hits = find_contamination(keyed, benchmark, row, text_col, item_col, item_text_col, width).where("n_hit > 0")
     if remove == "documents":
-        return keyed.join(hits.select(row), row, "left_anti").select(*docs.columns)
+        return merged(keyed.join(hits.select(row), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]), docs)
     both = keyed.join(hits.select(row, F.col("spans").alias(spans)), row, "left")
     any_word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     text = f"`{text_col}`"

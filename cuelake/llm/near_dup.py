@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import LOWER_BYTES, U64, Words, cut, fresh, mix, narrow_cut, pieces, run_hashes, settled, signed, text_bytes
+from cuelake.llm.common import LOWER_BYTES, U64, Words, cut, fresh, merged, mix, narrow_cut, pieces, run_hashes, settled, signed, text_bytes
 from cuelake.llm.components import components
 
 #: At a similarity of 0.85 a pair misses all bands with probability (1 - 0.85**5)**32, about 7e-9.
@@ -259,7 +259,7 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keyed = docs.select(row.cast("long").alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = dict(keyed.dtypes)["id"]
     bound = sketch_bound(percent)
-    sigs = cut(keyed.mapInArrow(_signatures(size), f"row long, id {kind}, n long, d1 long, d2 long, bands array<long>, sketch array<long>"))
+    sigs = cut(merged(keyed.mapInArrow(_signatures(size), f"row long, id {kind}, n long, d1 long, d2 long, bands array<long>, sketch array<long>"), keyed))
     rows = sigs.count()
     classes = narrow_cut(sigs.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "row")).alias("least")), rows).withColumn("node", F.col("least.row"))
     nodes = sigs.join(classes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "n", "bands", "sketch")
@@ -280,7 +280,7 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     own = pairs.select("leader", "part").distinct().select("leader", "part", F.col("leader").alias("node"), F.lit(None).cast("array<long>").alias("sketch"))
     # the leader's row sorts before those of its nodes, as the least node of a bucket leads
     told = own.unionByName(pairs).join(texts, "node").select("leader", "part", "node", "sketch", "text").repartition("leader", "part").sortWithinPartitions("leader", "part", "node")
-    spokes = cut(told.mapInArrow(_spokes(size, percent), "leader long, node long, sketch array<long>, n long, linked boolean, differ array<long>"))
+    spokes = cut(merged(told.mapInArrow(_spokes(size, percent), "leader long, node long, sketch array<long>, n long, linked boolean, differ array<long>"), keyed))
 
     # nodes of a leader that it doesn't link with all its others, in blocks of bounded size
     left = spokes.groupBy("leader").agg(F.count("*").alias("many"), F.sum(F.size("differ")).alias("elements"), F.bool_and("linked").alias("done")).where("many > 1 and not done")
@@ -309,4 +309,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     (row,) = fresh(docs, "_row")
     keyed = docs.withColumn(row, F.monotonically_increasing_id())
     found = find_near_duplicates(keyed, id_col, text_col, size, percent, row_col=row)
-    return keyed.join(found.where(~F.col("first")).select(F.col("row").alias(row)), row, "left_anti").select(*docs.columns)
+    left = keyed.join(found.where(~F.col("first")).select(F.col("row").alias(row)), row, "left_anti")
+    return merged(left.select(*[F.col(f"`{c}`") for c in docs.columns]), docs)

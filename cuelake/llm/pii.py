@@ -10,15 +10,18 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+import secrets
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cuelake.llm.common import merged
+
 ROUNDS = 8
 DIGITS, HEX, LOWER, UPPER = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Dates are permuted among the days of these years.
@@ -269,6 +272,12 @@ def replace(text: str, p: Permuter, back: bool = False) -> tuple[str, list[tuple
     return "".join([*out, text[done:]]), spans
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The secret in spark.cuelake.pii.key; without one a random key, so that nobody can invert what a run makes."""
+    given = spark.conf.get("spark.cuelake.pii.key", None)
+    return given.encode() if given else secrets.token_bytes(32)
+
+
 def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", spans_col: str | None = "pii", back: bool = False) -> DataFrame:
     """docs with the personal data of text_col replaced, and spans_col: array of (kind, start, end).
 
@@ -298,6 +307,6 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", spans_col:
                 spans = pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in found] for _, found in done], arrow)
                 yield pa.RecordBatch.from_arrays([*columns, spans], names=[f.name for f in schema.fields])
 
-    out = docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
+    out = merged(docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema), docs)
     names = {c: f"c{n}" for n, c in enumerate(keep)} | ({spans_col: "spans"} if spans_col else {})
     return out.select(*[F.col(v).alias(c) for c, v in names.items()])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import BLANKS, Words, cut, fresh, pieces, text_bytes
+from cuelake.llm.common import BLANKS, Words, fresh, merged, narrow_cut, pieces, text_bytes
 
 #: Bounds of the samples that the model is fitted on, taken by a hash of the id from all rows that qualify.
 POSITIVE_ROWS, UNLABELLED_ROWS = 8_000, 16_000
@@ -137,9 +137,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = F.xxhash64(F.col(id_col), F.lit(7))
     trusted = known.where("y = 1").orderBy(order).limit(POSITIVE_ROWS).select(F.col(id_col).alias("_id"), F.lit(1).alias("y"))
     web = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id", F.lit(11))).limit(UNLABELLED_ROWS).withColumn("y", F.lit(0))
-    chosen = cut(trusted.unionByName(web).groupBy("_id").agg(F.collect_set("y").alias("y")))  # at most the two bounds of rows
+    most = POSITIVE_ROWS + UNLABELLED_ROWS
+    chosen = narrow_cut(trusted.unionByName(web).groupBy("_id").agg(F.collect_set("y").alias("y")), most)  # at most the two bounds of rows
     found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
-    sample = cut(found.groupBy("_id", "y").agg(F.min("text").alias("text")))  # one row an id, whatever docs repeats
+    sample = narrow_cut(found.groupBy("_id", "y").agg(F.min("text").alias("text")), most)  # one row an id, whatever docs repeats
     return fit(_matrix(sample.where(F.array_contains("y", 1)), "text"), _matrix(sample.where(F.array_contains("y", 0)), "text"), min(max(prior, 0.01), 0.99))
 
 
@@ -162,5 +163,5 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
                 columns = [*batch.slice(i, j - i).columns[:-1], pa.array(model.score(x))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*(f"c{n}" for n in range(len(columns) - 1)), "score"])
 
-    out = plain.mapInArrow(run, kinds)
+    out = merged(plain.mapInArrow(run, kinds), docs)
     return out.select(*[F.col(f"c{n}").alias(c) for n, c in enumerate(keep)], F.col("score").alias(score_col))

@@ -44,9 +44,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cuelake.llm.pii import pseudonymise
+    from cuelake.llm.pii import pseudonymise, session_key
 
-    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), b"demonstration key")
+    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
     return out.select("doc_id", F.size("pii").cast("long").alias("n_replaced"), F.array_sort(F.array_distinct("pii.kind")).alias("kinds"), "pii", "text")
 
 

@@ -16,7 +16,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import cut, fresh
+from cuelake.llm.common import cut, fresh, narrow_cut
 
 #: The model is fitted on at most so many labelled rows, taken by a hash of the id.
 TRAIN_ROWS = 16_000
@@ -165,7 +165,7 @@ def calibrate(held: DataFrame) -> IsotonicRegressionModel | None:
     these points to (1, 1). So it keeps the order of the scores, within a step too.
     """
     fit = IsotonicRegression(featuresCol="raw", weightCol="rows").fit
-    rows = cut(held.groupBy("raw").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("rows")))
+    rows = narrow_cut(held.groupBy("raw").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("rows")), TRAIN_ROWS)
     both = rows.agg(F.max("label") > 0, F.min("label") < 1).first()
     if not (both[0] and both[1]):
         return None
@@ -186,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("long").alias("y"))
     chosen = known.orderBy(F.xxhash64("_id", F.lit(5)), "_id").limit(TRAIN_ROWS)
     found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
-    sample = cut(found.groupBy("_id", "y").agg(F.min("text").alias("text")))  # one row an id, whatever documents repeats
+    sample = narrow_cut(found.groupBy("_id", "y").agg(F.min("text").alias("text")), TRAIN_ROWS)  # one row an id, whatever documents repeats
     kinds = {r["y"] for r in sample.select("y").distinct().collect()}
     if len(kinds) < 2:
         return Model(Lexicon({}, {}), None, None, float(max(kinds, default=0)))
