@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cuelake.functions import timecode
-from cuelake.operators import joins, signal, trees
-from cuelake.sources import subtitles
+from cuelake.functions import text, timecode
+from cuelake.operators import documents, edits, joins, ordering, signal, trees
+from cuelake.sources import files, subtitles
 from cuelake.streaming import rules
 
 
@@ -71,7 +71,7 @@ def test_trees_with_cycles_and_missing_parents(spark):
 
 
 def test_trees_deeper_than_64_levels(spark):
-    nodes = spark.createDataFrame([(f"n{k}", str(k), f"n{k - 1}" if k else None) for k in range(100)], "id string, name string, parent string").coalesce(1).localCheckpoint()
+    nodes = spark.createDataFrame([(f"n{k}", str(k), f"n{k - 1}" if k else None) for k in range(100)], "id string, name string, parent string").coalesce(1)
     up = trees.ancestors(nodes).where("id = 'n99'").collect()
     assert sorted((r["depth"], r["ancestor"]) for r in up) == [(d, f"n{99 - d}") for d in range(100)]
     assert {r["id"]: r["parent"] for r in trees.repair(nodes).collect()} == {f"n{k}": f"n{k - 1}" if k else None for k in range(100)}
@@ -130,3 +130,124 @@ def test_rate_limit_as_a_stream(spark, sf_dir, tmp_path):
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
     batch = rules.rate_limited(spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "event_type", "ts", 3600)
     assert got == sorted(map(tuple, batch.select("event_type", F.col("first_ts").cast("timestamp_ntz")).collect()))
+
+
+def test_trees_of_200_levels(spark):
+    nodes = spark.createDataFrame([(f"n{k}", str(k), f"n{k - 1}" if k else None) for k in range(200)], "id string, name string, parent string").coalesce(1)
+    assert trees.ancestors(nodes).where("id = 'n199'").count() == 200
+    assert trees.cascade_delete(nodes, nodes.where("id = 'n3'")).count() == 3
+
+
+def test_nearest_of_many_areas(spark):
+    areas = spark.createDataFrame([(k, float(k % 50), float(k // 50)) for k in range(1500)], "area long, _x double, _y double")
+    points = spark.createDataFrame([(n, n * 1.37 % 50, n * 0.61 % 30) for n in range(60)], "p long, x double, y double")
+    got = {r["p"]: r["area"] for r in joins.nearest_point(points, areas, "area", "x", "y").collect()}
+    for n in range(60):
+        x, y = n * 1.37 % 50, n * 0.61 % 30
+        assert got[n] == min(range(1500), key=lambda k: ((x - k % 50) ** 2 + (y - k // 50) ** 2, k))
+
+
+def test_next_row_far_ahead_and_as_of_over_bands(spark):
+    hours = 3_600_000
+    rows = spark.createDataFrame([("a", 0, 0, 100), ("a", 1, 50, 60), ("a", 2, 2 * hours, 2 * hours + 5), ("b", 0, 7, 9)], "k string, id long, start long, end long")
+    points = spark.createDataFrame([("a", 55), ("a", 70), ("a", 101), ("a", 3 * hours), ("b", 1), ("c", 1)], "k string, t long")
+    got = {(r["k"], r["t"]): r["id"] for r in joins.next_active(points, rows, "k", "t", "id", behind=60, width=16).collect()}
+    # the first row that starts within 60 before the point or later and has not ended
+    assert got == {("a", 55): 0, ("a", 70): 2, ("a", 101): 2, ("a", 3 * hours): None, ("b", 1): 0, ("c", 1): None}
+    for width in (None, 16, 10**9):
+        back = {(r["k"], r["t"]): r["id"] for r in joins.asof_backward(points, rows, "k", "t", "start", "id", width).collect()}
+        assert back == {("a", 55): 1, ("a", 70): 1, ("a", 101): 1, ("a", 3 * hours): 2, ("b", 1): None, ("c", 1): None}
+        ahead = {(r["k"], r["t"]): r["id"] for r in joins.asof_forward(points, rows, "k", "t", "start", "id", width).collect()}
+        assert ahead == {("a", 55): 2, ("a", 70): 2, ("a", 101): 2, ("a", 3 * hours): None, ("b", 1): None, ("c", 1): None}
+
+
+def test_long_numbers_sort_by_value(spark):
+    names = ["x" + "9" * 25, "x1" + "0" * 25, "x07", "X8", "é2", "e10", "É1"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r["n"] for r in rows.orderBy(text.natural_key(F.col("n"))).collect()]
+    assert got == ["É1", "é2", "e10", "x07", "X8", "x" + "9" * 25, "x1" + "0" * 25]
+    placed = {r["n"]: r["position"] for r in ordering.positions(rows.withColumn("key", text.natural_key(F.col("n"))), F.col("key")).collect()}
+    assert [placed[n] for n in got] == list(range(len(got)))
+
+
+def test_detector_over_block_edges(spark, monkeypatch):
+    rows = series(spark, 400, 0.01, {k: 0.9 for k in range(37, 400, 61)})
+    want = sorted(map(tuple, signal.robust_z(rows).select("frame", "z", "base").collect()))
+    monkeypatch.setattr(signal, "BLOCK_WINDOWS", 1)
+    assert sorted(map(tuple, signal.robust_z(rows).select("frame", "z", "base").collect())) == want
+
+
+def test_model_file_of_a_detector():
+    import json
+
+    model = {
+        "model_version": 1, "model_origin": "x", "epsilon": 1e-6, "robust_window_radius": 50, "candidate_probability_threshold": 0.1, "peak_radius": 2, "candidate_robust_threshold": 2.5, "event_probability_floor": 0.03, "event_relative_floor": 0.15,
+        "event_robust_floor": 1.5, "event_boundary_patience": 2, "neighbor_radius": 2, "classifier": {"feature_order": documents.FEATURE_ORDER, "intercept": -2.5, "coefficients": [0.55, 0.0, -0.3, -0.6, 2.2, 0.75, 0.75, -0.4, 1.1, -0.12]},
+        "calibration": None, "false_positive_cost": 1.0, "false_negative_cost": 2.0, "minimum_event_distance": 3, "short_shot_midpoint": 2.0, "short_shot_softness": 2.0,
+    }
+    assert signal.Detector.from_model(json.dumps(model)) == signal.Detector()
+    with pytest.raises(ValueError):
+        signal.Detector.from_model(json.dumps(model | {"more": 1}))
+
+
+def test_upgrades_refuse_gaps_and_newer_versions(spark):
+    rows = spark.createDataFrame([(1, 1, "a"), (2, 2, "a"), (3, 3, "a"), (4, 4, "a"), (5, 5, "a"), (6, None, "a")], "id long, version int, x string")
+    got = {r["id"]: (r["version"], r["x"], r["error"], r["migrated"]) for r in documents.upgraded(rows, {1: {}, 3: {"x": F.lit("new")}}, 4).collect()}
+    assert got[3] == (4, "new", None, True) and got[4] == (4, "a", None, False)
+    assert got[1][2] == got[2][2] == got[6][2] == documents.NO_CHAIN and got[5][2] == documents.UNSUPPORTED
+
+
+def test_snapshots_keep_the_newest(spark):
+    saves = [("d", 0, "p", "one"), ("d", 1, "p", "one"), ("d", 2, "p", "two"), ("d", 3, "p", "three"), ("d", 4, "q", "other"), ("e", 0, "p", "one"), ("e", 1, "q", "x"), ("e", 2, "p", "one")]
+    rows = spark.createDataFrame(saves, "d string, n long, p string, h string")
+    got = sorted((r["d"], r["place"], r["p"], r["h"]) for r in rules.snapshots(rows, "d", "n", "p", "h", 2).collect())
+    assert got == [("d", 0, "q", "other"), ("d", 1, "p", "three"), ("e", 0, "q", "x"), ("e", 1, "p", "one")]
+
+
+def test_progress_stalls_and_ends(spark):
+    lines = [("a", 0, 0, "out_time_us=0"), ("a", 1, 1, "out_time_us=5000"), ("a", 2, 2, "out_time_us=500000"), ("a", 3, 3, "out_time=N/A"), ("a", 4, 4, "progress=end"), ("a", 5, 5, "out_time_us=900000"), ("b", 0, 0, "out_time_us=10"), ("b", 1, 30, "fps=1"), ("b", 2, 31, "progress=end")]
+    rows = spark.createDataFrame(lines, "job string, n long, s long, line string").withColumn("ts", F.timestamp_seconds("s")).withColumn("d", F.lit(1_000_000).cast("long"))
+    got = sorted((r["job"], r["n"], r["kind"], r["progress"]) for r in rules.progress(rows, "job", "n", "ts", "line", "d", 0.01).collect())
+    assert got == [("a", 0, "progress", 0.0), ("a", 2, "progress", 0.5), ("a", 4, "end", 0.5), ("b", 0, "progress", 1e-05), ("b", 1, "stalled", 1e-05)]
+
+
+def test_windows_of_a_stream_drop_late_rows(spark, tmp_path):
+    schema = "k string, ts timestamp"
+    for n, rows in enumerate([[("a", 10), ("a", 50), ("b", 130)], [("a", 700), ("a", 20)], [("a", 40), ("a", 2000)]]):
+        spark.createDataFrame(rows, "k string, s long").select("k", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
+    target = tmp_path / "watched"
+    target.mkdir()
+    query = rules.windowed_counts(spark.readStream.schema(schema).parquet(str(target)), "k", "ts", "60 seconds", "100 seconds").writeStream.format("memory").queryName("late_rows").outputMode("append").start()
+    try:
+        for n in range(3):
+            for part in (tmp_path / f"in{n}").glob("*.parquet"):
+                part.rename(target / f"{n}.parquet")
+            query.processAllAvailable()
+        got = sorted((r["k"], int(r["start"].timestamp()) % 100_000, r["n"]) for r in spark.table("late_rows").select("k", "start", "n").collect())
+    finally:
+        query.stop()
+    # 20 comes in time for no one: the watermark stood at 30 then and passed the window's end at 600 before 40
+    assert [(k, n) for k, _, n in got if k == "b"] == [("b", 1)]
+    assert sum(n for k, _, n in got if k == "a") == 4
+
+
+def test_fingerprints_and_names(spark):
+    import hashlib
+
+    body = bytes(range(256)) * 10_000
+    rows = spark.createDataFrame([("f", bytearray(body), len(body), 1_700_000_000), ("s", bytearray(b"ab"), 2, 5)], "path string, content binary, length long, s long").withColumn("modificationTime", F.timestamp_seconds("s"))
+    got = {r["path"]: r["fingerprint"] for r in files.fingerprint(rows).collect()}
+    head = lambda n, t: n.to_bytes(8, "little") + t.to_bytes(8, "little")
+    assert got["f"] == hashlib.sha256(head(len(body), 1_700_000_000) + body[: 1 << 20] + body[-(1 << 20) :]).hexdigest()
+    assert got["s"] == hashlib.sha256(head(2, 5) + b"ab").hexdigest()
+    taken = spark.createDataFrame([("a-1.mp4",), ("a-2.mp4",), ("b-1",), ("a-1",)] + [(f"full-{n}.x",) for n in range(1, 1001)], "name string")
+    asked = spark.createDataFrame([("a.mp4",), ("a",), ("b",), ("full.x",), (".hidden",)], "name string")
+    free = {r["name"]: r["free"] for r in edits.next_free_names(asked, taken).collect()}
+    assert free == {"a.mp4": "a-3.mp4", "a": "a-2", "b": "b-2", "full.x": None, ".hidden": "hidden-1"}
+
+
+def test_scan_tells_of_files_without_cues(spark):
+    rows = [("a.srt", bytearray(b"00:00:01,000 --> 00:00:02,000\nHi\n")), ("b.ass", bytearray(b"[Events]\n")), ("c.srt", None), ("d.vtt", bytearray(b""))]
+    cues, tracks = subtitles.scan(spark.createDataFrame(rows, "path string, content binary"))
+    assert [(r["path"], r["plain_text"]) for r in cues.collect()] == [("a.srt", "Hi")]
+    assert {r["path"]: (r["n_cues"], r["notice"]) for r in tracks.collect()} == {"a.srt": (1, None), "b.ass": (0, "no cues"), "c.srt": (0, "unreadable"), "d.vtt": (0, "no cues")}
