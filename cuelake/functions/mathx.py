@@ -164,22 +164,36 @@ def bitrate_ladder() -> Column:
     return F.array_distinct(F.flatten(F.array(*[F.sequence(F.lit(a), F.lit(b), F.lit(s)) for a, b, s in LADDER])))
 
 
-def frame_score(red: Column, green: Column, blue: Column, width: int, height: int) -> Column:
-    """K7: how much a frame shows: 0.6 for detail (variance of the Laplacian of its luma) and 0.4 for the entropy of
-    its 4096 colours; the channels are arrays of bytes, row by row."""
+def _once(value: Column, f) -> Column:
+    """f of a value that it uses several times but that is made once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def detail_score(red: Column, green: Column, blue: Column, width: int, height: int) -> Column:
+    """V / (v + 1000) for the variance v of the Laplacian of a frame's luma; channels are arrays, row by row."""
     luma = F.zip_with(F.zip_with(red, green, lambda r, g: r * 77 + g * 150), blue, lambda x, b: F.shiftright(x + b * 29, 8))
     inner = [r * width + c for r in range(1, height - 1) for c in range(1, width - 1)]
 
-    def detail(y: Column) -> Column:
+    def edges(y: Column) -> Column:
         at = lambda k: F.get(y, k)
         return F.transform(F.array(*map(F.lit, inner)), lambda k: at(k - width) + at(k - 1) + at(k + 1) + at(k + width) - at(k) * 4)
 
-    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda s, x: s + f(x))
-    # bound once by a lambda over a single value
-    edges = F.element_at(F.transform(F.array(luma), detail), 1)
-    mean = total(edges, lambda x: x) / len(inner)
-    variance = F.greatest(total(edges, lambda x: x * x) / len(inner) - mean * mean, F.lit(0.0))
+    def variance(xs: Column) -> Column:
+        total = lambda f: F.aggregate(xs, F.lit(0.0), lambda s, x: s + f(x))
+        mean = total(lambda x: x) / len(inner)
+        return F.greatest(total(lambda x: x * x) / len(inner) - mean * mean, F.lit(0.0))
+
+    return _once(_once(_once(luma, edges), variance), lambda v: v / (v + 1000))
+
+
+def colour_score(red: Column, green: Column, blue: Column) -> Column:
+    """Entropy of the frame's 4096 colours (four bits a channel) as a share of 12 bits."""
     bins = F.zip_with(F.zip_with(red, green, lambda r, g: F.shiftright(r, 4) * 256 + F.shiftright(g, 4) * 16), blue, lambda x, b: x + F.shiftright(b, 4))
-    shares = F.element_at(F.transform(F.array(bins), lambda b: F.transform(F.array_distinct(b), lambda v: F.size(F.filter(b, lambda w: w == v)) / F.size(b))), 1)
-    entropy = -total(shares, lambda p: p * F.log2(p))
-    return F.lit(0.6) * variance / (variance + 1000) + F.lit(0.4) * F.least(F.greatest(entropy / 12, F.lit(0.0)), F.lit(1.0))
+    shares = _once(bins, lambda b: F.transform(F.array_distinct(b), lambda v: F.size(F.filter(b, lambda w: w == v)) / F.size(b)))
+    entropy = -F.aggregate(shares, F.lit(0.0), lambda s, p: s + p * F.log2(p))
+    return F.least(F.greatest(entropy / 12, F.lit(0.0)), F.lit(1.0))
+
+
+def frame_score(red: Column, green: Column, blue: Column, width: int, height: int) -> Column:
+    """K7: how much a frame shows: 0.6 for its detail and 0.4 for its colours."""
+    return F.lit(0.6) * detail_score(red, green, blue, width, height) + F.lit(0.4) * colour_score(red, green, blue)

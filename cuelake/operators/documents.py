@@ -87,3 +87,17 @@ def read_workspaces(files: DataFrame, current: int = 4) -> DataFrame:
     out = upgraded(rows, steps, current)
     known = F.col("error").isNull() & ~F.col("_bad")
     return out.select("path", "version", F.when(known, F.coalesce("project_id", minted)).alias("project_id"), "workspace", (F.col("migrated") & ~F.col("_bad")).alias("migrated"), F.when(F.col("_bad"), "malformed").otherwise(F.col("error")).alias("error"))
+
+
+def preferences(rows: DataFrame, defaults: Mapping[str, str], json: str = "json", lines: str = "lines") -> DataFrame:
+    """Rows with a column for each default: from a JSON document, else from `key=value` lines, else the default.
+
+    A document that can be read counts alone: what it leaves out has its default, whatever the lines say.
+    """
+    doc = F.from_json(json, F.lit("map<string,string>"))
+    pairs = F.transform(F.filter(F.split(F.coalesce(lines, F.lit("")), r"\r?\n"), lambda x: F.contains(x, F.lit("="))), lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.trim(F.regexp_replace(x, "^[^=]*=", "")).alias("v")))
+    # of repeated keys the last line counts
+    told = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))
+    out = rows.withColumn("_doc", F.when(F.json_object_keys(json).isNotNull(), doc)).withColumn("_told", told)
+    pick = lambda k: F.when(F.col("_doc").isNotNull(), F.try_element_at("_doc", F.lit(k))).otherwise(F.try_element_at("_told", F.lit(k)))
+    return out.withColumns({k: F.coalesce(pick(k), F.lit(v)) for k, v in defaults.items()}).drop("_doc", "_told")

@@ -148,3 +148,15 @@ def encoder_codes(rows: DataFrame) -> DataFrame:
     out = out.join(F.broadcast(spark.createDataFrame(profile, "container string, quality string, profile int")), ["container", "quality"], "left")
     out = out.join(F.broadcast(spark.createDataFrame(speed, "_family string, speed string, speed_args string")), ["_family", "speed"], "left")
     return out.drop("_family").na.fill(0, ["crf"]).na.fill("", ["speed_args"])
+
+
+def with_item_state(rows: DataFrame) -> DataFrame:
+    """Usable, shown, offline and virtual of items (enabled, hidden, path_exists, kind, bound_to); nulls are defaults.
+
+    Items are enabled and shown unless told otherwise; an item without its file is offline, unless it has none of
+    its own because it is a stream of another; only enabled items that are not offline are usable.
+    """
+    virtual = F.col("bound_to").isNotNull() & (F.col("kind") != "video")
+    offline = ~virtual & ~F.coalesce("path_exists", F.lit(True))
+    enabled, hidden = F.coalesce("enabled", F.lit(True)), F.coalesce("hidden", F.lit(False))
+    return rows.withColumns({"usable": enabled & ~offline, "shown": ~hidden, "offline": offline, "virtual": virtual})

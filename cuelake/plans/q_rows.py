@@ -100,12 +100,6 @@ def flt_media_search(spark, sf):
     return table(spark, sf, "part").where(F.contains(F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")), F.lit("brand#1"))).select("p_partkey")
 
 
-@query("flt_item_state", "SELECT o_orderkey, o_orderstatus IS DISTINCT FROM 'F' AS enabled, coalesce(o_orderstatus = 'P', FALSE) AS hidden FROM orders")
-def flt_item_state(spark, sf):
-    state = F.col("o_orderstatus")
-    return table(spark, sf, "orders").select("o_orderkey", F.coalesce(state != "F", F.lit(True)).alias("enabled"), F.coalesce(state == "P", F.lit(False)).alias("hidden"))
-
-
 @query("flt_selected", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def flt_selected(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").where("quality = 1"), "doc_id", "left_semi")
@@ -166,14 +160,6 @@ def chk_ranges(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.col("p_size").between(1, 40).alias("fine"), F.least(F.greatest(F.col("p_size"), F.lit(5)), F.lit(20)).alias("held"))
 
 
-@query("chk_referential", """SELECT 'nation without region' AS problem, count(*) AS n FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region) UNION ALL SELECT 'repeated name', count(*) FROM (SELECT p_name FROM part GROUP BY p_name HAVING count(*) > 1)""")
-def chk_referential(spark, sf):
-    orphans = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left_anti")
-    repeated = table(spark, sf, "part").groupBy("p_name").count().where("count > 1")
-    told = lambda rows, what: rows.agg(F.count("*").alias("n")).select(F.lit(what).alias("problem"), "n")
-    return told(orphans, "nation without region").unionByName(told(repeated, "repeated name"))
-
-
 # ---- aggregations ----------------------------------------------------------------------------
 
 @query("agg_merge_cues", """WITH c AS (SELECT conv_id AS track_id, turn, role, (turn // 2) * 2000000 AS start_us FROM conversations),
@@ -217,14 +203,6 @@ def agg_interval_coverage(spark, sf):
     return rows.where("b - a >= 1").select("user_id", (F.col("a") - 20).alias("first"), (F.col("b") - 20).alias("last"))
 
 
-@query("agg_entropy", """WITH b AS (SELECT vec_id, CAST(floor(x * 8) AS INT) AS bin, count(*) AS n FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY ALL), t AS (SELECT *, n / sum(n) OVER (PARTITION BY vec_id) AS p FROM b) SELECT vec_id, round(-sum(p * log2(p)), 5) AS entropy FROM t GROUP BY 1""")
-def agg_entropy(spark, sf):
-    bins = F.transform("embedding", lambda x: F.floor(x * 8).cast("int"))
-    counts = F.transform(F.array_distinct("b"), lambda v: F.size(F.filter("b", lambda w: w == v)) / F.size("b"))
-    rows = table(spark, sf, "embeddings").select("vec_id", bins.alias("b")).where("size(b) > 0").withColumn("p", counts)
-    return rows.select("vec_id", F.round(-F.aggregate("p", F.lit(0.0), lambda s, p: s + p * F.log2(p)), 5).alias("entropy"))
-
-
 @query("agg_laplacian_var", """WITH g AS (SELECT vec_id, CAST(e[r * 8 + c + 1] AS DOUBLE) * 4 - e[(r - 1) * 8 + c + 1] - e[(r + 1) * 8 + c + 1] - e[r * 8 + c] - e[r * 8 + c + 2] AS l FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE len(embedding) = 64), range(1, 7) a(r), range(1, 7) b(c))
 SELECT vec_id, round(v / (v + 1000), 6) AS detail FROM (SELECT vec_id, greatest(avg(l * l) - avg(l) * avg(l), 0) AS v FROM g GROUP BY 1)""")
 def agg_laplacian_var(spark, sf):

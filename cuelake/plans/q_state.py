@@ -209,11 +209,6 @@ def str_latest(spark, sf):
     return rules.latest(table(spark, sf, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
 
 
-@query("str_queue_status", "SELECT user_id, arg_max(event_type, event_id) AS status, count(*) AS n FROM events GROUP BY 1")
-def str_queue_status(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("status"), F.count("*").alias("n"))
-
-
 @query("str_change_only", "SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before IS NULL OR before <> event_type")
 def str_change_only(spark, sf):
     return rules.changes_only(table(spark, sf, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type").select("event_id")
@@ -260,17 +255,6 @@ def src_parse_srt(spark, sf):
     return parse_srt(files.select(F.col("conv_id").alias("path"), F.array_join("r.b", "").alias("content"))).select("path", "sequence", "start_us", "end_us")
 
 
-@query("src_probe_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def src_probe_json(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
-
-
-@query("fn_kv_overlay", "SELECT p_partkey, CAST(p_size AS VARCHAR) AS interval, '20' AS snapshots FROM part")
-def fn_kv_overlay(spark, sf):
-    given = F.str_to_map(F.concat(F.lit("interval="), F.col("p_size").cast("string"), F.lit("\nother=1")), F.lit("\n"), F.lit("="))
-    return table(spark, sf, "part").select("p_partkey", *[F.coalesce(F.try_element_at(given, F.lit(k)), F.lit(v)).alias(k) for k, v in (("interval", "5"), ("snapshots", "20"))])
-
-
 @query("fn_codec_from_path", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'ass' WHEN 1 THEN 'webvtt' WHEN 2 THEN 'subrip' ELSE 'ssa' END AS codec FROM part")
 def fn_codec_from_path(spark, sf):
     from cuelake.sources.subtitles import codec_of

@@ -39,19 +39,27 @@ def share_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back, which cuts its lineage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where that is unset and all tasks
-    run in this process, as in tests, a folder of our own is set; elsewhere other machines could not read it.
-    Files go when the driver drops the frame, if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    Only where that is unset and all tasks run in this process, as in tests, a folder of our own is set;
+    elsewhere other machines could not read it.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="cuelake-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and read it back, which cuts its lineage.
+
+    Files go when the driver drops the frame, if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

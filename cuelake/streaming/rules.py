@@ -227,6 +227,23 @@ def retried(attempts: DataFrame, item: str, attempt: str, good: str, rounds: int
     return out.select(item, used.cast("long").alias("attempts"), F.col("_first").isNotNull().alias("done"), (used > 1).alias("cpu_only"))
 
 
+# fixed values: the states of an exported item, and those that end it
+QUEUE_ENDS = ("completed", "failed", "cancelled")
+
+
+def queue_status(log: DataFrame, item: str, order: str, status: str) -> DataFrame:
+    """(item, status, started, ended, late): each item's first ending state, else its latest state.
+
+    started and ended are places in the log; late counts what is reported after the end, which changes nothing.
+    """
+    ends = F.col(status).isin(*QUEUE_ENDS)
+    place = F.when(ends, F.col(order))
+    first = log.groupBy(item).agg(F.min(place).alias("ended"), F.min(F.when(F.col(status) == "running", F.col(order))).alias("started"), F.min_by(status, place).alias("_end"), F.max_by(status, order).alias("_last"))
+    after = log.join(first.select(item, "ended"), item).where(F.col(order) > F.col("ended")).groupBy(item).agg(F.count("*").alias("late"))
+    out = first.join(after, item, "left")
+    return out.select(item, F.coalesce("_end", "_last").alias(status), "started", "ended", F.coalesce("late", F.lit(0).cast("long")).alias("late"))
+
+
 def windowed_counts(events: DataFrame, key: str, time: str, width: str, late: str) -> DataFrame:
     """O12 over a table or a stream: (key, start, n) by tumbling windows; a stream drops what is later than `late`
     behind the newest event that it has seen, and tells a window when that has passed its end."""
