@@ -1,12 +1,13 @@
 """Quality scores by positive-unlabelled learning.
 
 The classifier sees trusted positives and unlabelled web text and minimises the non-negative unbiased risk
-(Kiryo and others 2017) with an estimated class prior; labelled negatives only enter that estimate.
+(Kiryo and others 2017) with an estimated class prior; labelled negatives, where there are any, only enter that
+estimate.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -86,22 +87,35 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     """
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros((0, BINS - 1)), np.zeros((0, BINS)), 0.0, prior)
+    return _descend(positive, unlabelled, prior, _non_negative)
+
+
+def _non_negative(g: np.ndarray, p: np.ndarray, is_positive: np.ndarray, prior: float) -> np.ndarray:
+    """The gradient of the non-negative risk in each row's output g; p is its probability."""
+    n_p = is_positive.sum()
+    n_u = len(g) - n_p
+    as_negative = np.logaddexp(0, g)  # loss of calling a row negative
+    rest = as_negative[~is_positive].mean() - prior * as_negative[is_positive].mean()
+    toward = np.where(is_positive, -prior * p / n_p, p / n_u)
+    return np.where(is_positive, -prior * (1 - p) / n_p, 0.0) + toward if rest >= 0 else -toward
+
+
+def _apart(g: np.ndarray, p: np.ndarray, is_positive: np.ndarray, prior: float) -> np.ndarray:
+    """The gradient of the plain logistic loss that tells positives from unlabelled rows."""
+    return np.where(is_positive, (p - 1) / is_positive.sum(), p / (~is_positive).sum()) / 2
+
+
+def _descend(positive: np.ndarray, unlabelled: np.ndarray, prior: float, gradient: Callable) -> Model:
     both = np.concatenate([positive, unlabelled])
     edges = np.quantile(both, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
     model = Model(edges, np.zeros((both.shape[1], BINS)), float(np.log(prior / (1 - prior))), prior)
     flat = model.bins(both) + np.arange(both.shape[1]) * BINS
     is_positive = np.arange(len(both)) < len(positive)
-    n_p, n_u = len(positive), len(unlabelled)
     theta = np.concatenate([model.weights.ravel(), [model.bias]])
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
         g = theta[flat].sum(axis=1) + theta[-1]
-        p = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
-        as_negative = np.logaddexp(0, g)  # loss of calling a row negative
-        rest = as_negative[~is_positive].mean() - prior * as_negative[is_positive].mean()
-        d = np.where(is_positive, -prior * (1 - p) / n_p, 0.0)
-        toward = np.where(is_positive, -prior * p / n_p, p / n_u)
-        d = d + toward if rest >= 0 else -toward
+        d = gradient(g, 1 / (1 + np.exp(-np.clip(g, -40, 40))), is_positive, prior)
         grad = np.bincount(flat.ravel(), np.repeat(d, flat.shape[1]), minlength=len(theta))
         grad[-1] = d.sum()
         grad[:-1] += PENALTY * theta[:-1]
@@ -112,6 +126,27 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     return model
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows, from both alone.
+
+    A score that tells the two apart is fitted on half of the rows. Of the other half, the share of unlabelled
+    rows above any score is at least the prior times that of positives, and where the score is best it is no
+    more; so the least ratio over the scores that a tenth or more of the positives reach, each with its
+    sampling error added, estimates the prior. It is 1 if either half is empty.
+    """
+    if len(positive) < 4 or len(unlabelled) < 4:
+        return 1.0
+    shuffle = np.random.default_rng(1).permutation  # rows may come in an order
+    positive, unlabelled = shuffle(positive), shuffle(unlabelled)
+    model = _descend(positive[::2], unlabelled[::2], 0.5, _apart)
+    p, u = np.sort(model.score(positive[1::2])), np.sort(model.score(unlabelled[1::2]))
+    at = np.quantile(p, np.linspace(0, 0.9, 46), method="lower")
+    above = lambda x: 1 - np.searchsorted(x, at, "left") / len(x)
+    ratio = above(u) / above(p)
+    error = np.sqrt(ratio / (len(u) * above(p)) + ratio**2 / (len(p) * above(p)))
+    return float(np.clip(np.min(ratio + error), 0.0, 1.0))
+
+
 def _matrix(rows: DataFrame, text_col: str) -> np.ndarray:
     """Features of a bounded sample, as one matrix on the driver."""
 
@@ -132,8 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Without positives or without documents every score is the prior.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y"))
-    share = known.agg(F.avg((F.col("y") == 1).cast("double")).alias("p"), F.count("*").alias("n")).first()
-    prior = ((share["p"] or 0.0) * share["n"] + 1) / (share["n"] + 2)
+    share = known.agg(F.count_if(F.col("y") == 1).alias("p"), F.count("*").alias("n")).first()
     order = F.xxhash64(F.col(id_col), F.lit(7))
     trusted = known.where("y = 1").orderBy(order).limit(POSITIVE_ROWS).select(F.col(id_col).alias("_id"), F.lit(1).alias("y"))
     web = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id", F.lit(11))).limit(UNLABELLED_ROWS).withColumn("y", F.lit(0))
@@ -141,7 +175,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = narrow_cut(trusted.unionByName(web).groupBy("_id").agg(F.collect_set("y").alias("y")), most)  # at most the two bounds of rows
     found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
     sample = narrow_cut(found.groupBy("_id", "y").agg(F.min("text").alias("text")), most)  # one row an id, whatever docs repeats
-    return fit(_matrix(sample.where(F.array_contains("y", 1)), "text"), _matrix(sample.where(F.array_contains("y", 0)), "text"), min(max(prior, 0.01), 0.99))
+    positive, unlabelled = (_matrix(sample.where(F.array_contains("y", y)), "text") for y in (1, 0))
+    # labelled negatives tell the prior better than any estimate from positives and unlabelled rows
+    prior = (share["p"] + 1) / (share["n"] + 2) if share["p"] < share["n"] or not share["n"] else estimate_prior(positive, unlabelled)
+    return fit(positive, unlabelled, min(max(prior, 0.01), 0.99))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -253,6 +253,22 @@ def test_repeated_ids_take_one_row_of_the_samples(spark):
         assert scored.limit(0).count() == 0
 
 
+def test_prior_from_positives_and_unlabelled_rows(spark):
+    rng = np.random.default_rng(8)
+    good, bad = (lambda n: rng.normal(1, 0.5, (n, 3))), (lambda n: rng.normal(-1, 0.5, (n, 3)))
+    for share in (0.2, 0.5, 0.8):
+        n = int(4000 * share)
+        assert abs(quality.estimate_prior(good(1500), rng.permutation(np.concatenate([good(n), bad(4000 - n)]))) - share) < 0.08
+    assert quality.estimate_prior(good(1), bad(5)) == 1
+    # labels without negatives: the prior comes from the texts
+    docs = spark.createDataFrame([(n, "a calm line of plain words goes here" if n % 4 else "!!! 123 $$$ ### 99") for n in range(800)], "doc_id long, text string")
+    labels = docs.where("doc_id % 4 > 0 and doc_id % 3 = 0").select("doc_id", F.lit(1).alias("quality"))
+    model = quality.train(docs, labels)
+    assert 0.6 < model.prior < 0.9
+    scored = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    assert min(scored[n] for n in range(800) if n % 4) > max(scored[n] for n in range(0, 800, 4))
+
+
 def test_letters_count_alike_at_every_length():
     lexicon = toxicity.Lexicon({}, {})
     at = toxicity.NAMES.index("capital_share")
