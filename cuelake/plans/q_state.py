@@ -237,7 +237,7 @@ def str_tumbling(spark, sf):
 @query("str_windows", """WITH s AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS opens FROM events),
 g AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM s) SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, k""")
 def str_windows(spark, sf):
-    """Session windows by the stream's own operators; the sources are read as a stream in the tests."""
+    """Session windows over a table; tumbling ones with a watermark and late rows are read as a stream in the tests."""
     events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return events.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuelake.functions import text, timecode
-from cuelake.operators import documents, edits, joins, ordering, signal, trees
+from cuelake.operators import documents, edits, history, joins, ordering, sets, signal, trees
 from cuelake.sources import files, subtitles
 from cuelake.streaming import rules
 
@@ -251,3 +251,34 @@ def test_scan_tells_of_files_without_cues(spark):
     cues, tracks = subtitles.scan(spark.createDataFrame(rows, "path string, content binary"))
     assert [(r["path"], r["plain_text"]) for r in cues.collect()] == [("a.srt", "Hi")]
     assert {r["path"]: (r["n_cues"], r["notice"]) for r in tracks.collect()} == {"a.srt": (1, None), "b.ass": (0, "no cues"), "c.srt": (0, "unreadable"), "d.vtt": (0, "no cues")}
+
+
+def test_groups_at_the_tip_and_rows_on_one_side(spark):
+    log = spark.createDataFrame([("p", 1, None), ("p", 2, "g"), ("p", 3, "g"), ("p", 4, None), ("p", 5, None), ("p", 6, "g"), ("q", 1, "g")], "project string, n long, grp string")
+    got = sorted((r["project"], r["first"], r["last"], r["n"]) for r in history.grouped_tip(log, "project", "n", "grp").collect())
+    assert got == [("p", 1, 1, 1), ("p", 2, 3, 2), ("p", 4, 4, 1), ("p", 5, 5, 1), ("p", 6, 6, 1), ("q", 1, 1, 1)]
+    a, b = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "k long, v string"), spark.createDataFrame([(1, "x"), (3, "y")], "k long, v string")
+    assert sorted(map(tuple, sets.symmetric_difference_rows(a, b).collect())) == [(2, None), (3, "y")]
+
+
+def test_ranks_over_ranges(spark):
+    rows = spark.createDataFrame([(n, float(n % 7)) for n in range(100)], "id long, v double")
+    got = {r["id"]: r["rank"] for r in ordering.competition_rank(rows, "v", "rank").collect()}
+    assert all(got[n] == 1 + sum(m % 7 < n % 7 for m in range(100)) for n in range(100))
+    assert ordering.positions(rows.limit(0), F.col("v"), F.col("id")).count() == 0
+
+
+def test_keywords_and_stacks_of_odd_rows(spark):
+    held = spark.createDataFrame([("a", ["k2", "k1", " "]), ("b", None), ("c", ["k1"])], "item string, keywords array<string>")
+    chosen = spark.createDataFrame([("a", ["k1"]), ("a", ["k1"]), ("d", ["k9"]), ("c", ["k1"])], "item string, given array<string>")
+    got = {r["item"]: (r["keywords"], r["changed"]) for r in edits.assign_keywords(held, chosen, "off").collect()}
+    assert got == {"a": (["k2"], True), "b": ([], False), "c": ([], True)}
+    got = {r["item"]: (r["keywords"], r["changed"]) for r in edits.assign_keywords(held, chosen, "append").collect()}
+    assert got["a"] == (["k1", "k2"], True) and got["c"] == (["k1"], False) and got["d"] == (["k9"], True)
+    stacks = spark.createDataFrame([("w", "i1", n, f"i{n}") for n in (1, 2, 3, 4)], "board string, stack string, ord long, item string")
+    one = lambda item: spark.createDataFrame([("w", item)], "board string, item string")
+    told = lambda rows: sorted((r["stack"], r["item"]) for r in rows.collect())
+    assert told(edits.split_stacks(stacks, one("i3"))) == [("i1", "i1"), ("i1", "i2"), ("i3", "i3"), ("i3", "i4")]
+    assert told(edits.split_stacks(stacks, one("i2"), drop=True)) == [("i3", "i3"), ("i3", "i4")]
+    assert told(edits.split_stacks(stacks, one("i1"))) == told(stacks)
+    assert edits.cancel_stacks(stacks, one("i2")).count() == 0 and edits.cancel_stacks(stacks, one("zz")).count() == 4
