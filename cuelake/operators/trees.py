@@ -1,15 +1,12 @@
 """Hierarchies given as (id, name, parent): closures, paths, cascades.
 
-Closures grow by one join a level: the frontier of each round is joined with the links by their key, and
-rounds end when no frontier is left, hence as many as the tree is deep. A node that meets itself stops. The
-links and every round are written to the checkpoint folder, so that no round repeats the ones before.
+Closures double: when all ancestors nearer than a distance are known, and the node at just that distance, joining
+the two gives all that are nearer than twice as far. A tree takes as many rounds as its depth has binary digits;
+each is written to the checkpoint folder, so that no round repeats the ones before.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import count
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,18 +14,24 @@ from cuelake.session import cut
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
-    """M2: (id, ancestor, depth), each node itself included at depth 0; ends at missing parents and cycles."""
-    known = nodes.select(F.col("id").alias("_parent")).distinct()
-    links = cut(nodes.where("parent is not null").select(F.col("id").alias("_id"), F.col("parent").alias("_parent")).join(known, "_parent", "left_semi").select("_id", "_parent"))
-    level = nodes.select("id", F.col("id").alias("ancestor"), F.array("id").alias("_seen"))
-    found = []
-    for depth in count():
-        found.append(level.select("id", "ancestor", F.lit(depth).cast("long").alias("depth")))
-        up = level.join(links, level["ancestor"] == links["_id"]).where("not array_contains(_seen, _parent)")
-        level = cut(up.select("id", F.col("_parent").alias("ancestor"), F.concat("_seen", F.array("_parent")).alias("_seen")))
-        if level.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, found)
+    """M2: (id, ancestor, depth), each node itself included at depth 0; ends at missing parents and cycles.
+
+    Of a node on a cycle, or below one, every other node that its way up meets is told once. Repeated ids count
+    once; null ids are no nodes.
+    """
+    ids = nodes.where("id is not null").select("id").distinct()
+    links = nodes.where("parent is not null and id is not null and id <> parent").select(F.col("id").alias("_id"), F.col("parent").alias("_up")).distinct()
+    jump = cut(links.join(ids.select(F.col("id").alias("_up")), "_up", "left_semi").select("_id", "_up"))
+    found = ids.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("long").alias("depth"))
+    reach = 1
+    while not jump.isEmpty():
+        further = jump.join(found, jump["_up"] == found["id"]).select(F.col("_id").alias("id"), "ancestor", (F.col("depth") + reach).alias("depth"))
+        found = cut(found.unionByName(further))
+        twice = jump.join(jump.select(F.col("_id").alias("_up"), F.col("_up").alias("_top")), "_up").select("_id", F.col("_top").alias("_up")).distinct()
+        # who is met again has been told, with all beyond
+        jump = cut(twice.join(found.select(F.col("id").alias("_id"), F.col("ancestor").alias("_up")), ["_id", "_up"], "left_anti"))
+        reach *= 2
+    return found.groupBy("id", "ancestor").agg(F.min("depth").alias("depth"))
 
 
 def descendants(nodes: DataFrame) -> DataFrame:
