@@ -67,8 +67,8 @@ def narrow_cut(df: DataFrame, rows: int) -> DataFrame:
     return cut(df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS))))
 
 
-#: Bytes of input, by Spark's estimate, under which tasks are joined.
-TASK_BYTES = 16 << 20
+#: Bytes of input, by Spark's estimate (which takes long texts for short ones), under which tasks are joined.
+TASK_BYTES = 8 << 20
 
 
 def merged(df: DataFrame, like: DataFrame) -> DataFrame:
