@@ -79,3 +79,21 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc
        least(d.doc_id, coalesce(m, d.doc_id)) = d.doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) x ON x.a = d.doc_id
 """
+
+#: The plain digests of the table's rows, and the length of the template's blocks.
+SQL["op12_chat"] = r"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+    SELECT *, lag(role) OVER w IS DISTINCT FROM role OR row_number() OVER w = 1 AS begins,
+           length(replace(replace(replace(replace(text, '\', '\\'), '### ', '#\## '), '<next>', '<\next>'), '</turn>', '<\/turn>')) AS n_text,
+           length(replace(replace(replace(replace(role, '\', '\\'), '### ', '#\## '), '<next>', '<\next>'), '</turn>', '<\/turn>')) AS n_role
+    FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n_text + CASE WHEN begins THEN n_role + 4 + 2 + 8 ELSE 6 END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""

@@ -113,8 +113,63 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """docs with the texts of a tenth of the ids replaced: from word a on, p words in a loop up to the old length."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = docs.withColumn("_words", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)))
+    n = F.size("_words")
+    cut = words.withColumn("_a", F.when(n > 0, g % n).cast("int")).withColumn("_p", (1 + F.floor((n - F.col("_a")) / (3 + g % 8))).cast("int"))
+    times = F.ceil((n - F.col("_a")) / F.col("_p")).cast("int")
+    loop = F.flatten(F.array_repeat(F.slice("_words", F.col("_a") + 1, F.col("_p")), times))
+    text = F.array_join(F.slice(F.concat(F.slice("_words", F.lit(1), F.col("_a")), loop), F.lit(1), n), " ")
+    return cut.withColumn("text", F.when(F.col("_a").isNotNull(), text).otherwise(F.col("text"))).drop("_words", "_a", "_p")
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuelake.llm.runs import find_runs
+
+    found = find_runs(looped(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("less"))))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), told.alias("told"), "collapsed")
+    length, period = F.col("best.length"), -F.col("best.less")
+    return out.select(
+        "doc_id",
+        "n_runs",
+        (-F.col("best.before")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.col("told").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuelake.llm.chat import format_conversations, read_loss, read_turns
+
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    read = format_conversations(turns).select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_near_dedup, op3_quality, op4_pii, op5_decontaminate, op6_lm_score, op7_substring, op8_toxicity, op9_bpe, op10_topk)}
+    return {f.__name__: f for f in (op1_url_filter, op2_near_dedup, op3_quality, op4_pii, op5_decontaminate, op6_lm_score, op7_substring, op8_toxicity, op9_bpe, op10_topk, op11_runs, op12_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
