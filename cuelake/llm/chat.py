@@ -99,10 +99,9 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", order_col:
     cut = merged.select(conv, F.flatten(F.transform("blocks", pieces)).alias("pieces"))
     sized = cut.select(conv, "pieces", F.transform("pieces", lambda p: F.char_length(p["text"]).cast("long")).alias("sizes"))
     placed = sized.select(conv, "pieces", "sizes", running_sums(F.col("sizes")).alias("starts"))
-    spans = F.filter(
-        F.transform("pieces", lambda p, i: F.when(p["loss"], F.struct(F.get("starts", i).alias("start"), F.get("sizes", i).alias("length")))),
-        lambda s: s.isNotNull(),
-    )
+    # zipped outside of the lambda, which would otherwise sum the sizes again for each piece
+    zipped = F.filter(F.arrays_zip("pieces", "starts", "sizes"), lambda z: z["pieces"]["loss"])
+    spans = F.transform(zipped, lambda z: F.struct(z["starts"].alias("start"), z["sizes"].alias("length")))
     return placed.select(
         F.col(conv).alias(conv_col),
         F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"),
