@@ -97,3 +97,42 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(n_text + CASE WHEN begins THEN n_role + 4 + 2 + 8 ELSE 6 END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+#: A node is a distinct chain of digests; sums over subtrees meet the nodes below in the rebuilt prefixes of their
+#: smallest members.
+SQL["op13_trie"] = r"""
+WITH RECURSIVE t AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos,
+           sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+    FROM conversations WHERE conv_id IS NOT NULL),
+bits(i, v) AS (SELECT 0::BIGINT, 0::BIGINT UNION ALL SELECT i + 1, i + 1 FROM bits WHERE i < 255),
+crc AS (
+    SELECT i, list_reduce([v, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS v
+    FROM bits),
+c0 AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM t),
+walk AS (
+    SELECT conv_id, s, 1 AS spot, 4294967295::BIGINT AS v FROM c0
+    UNION ALL
+    SELECT conv_id, s, spot + 1, xor(crc.v, walk.v // 256) FROM walk JOIN crc ON crc.i = xor(walk.v, ascii(substr(s, spot, 1))) % 256 WHERE spot <= length(s)),
+c AS (SELECT conv_id, (4294967295 - v) % 4 AS h FROM walk WHERE spot = length(s) + 1),
+r AS (
+    SELECT c.conv_id, pos, k, words FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND pos < h
+    UNION ALL SELECT c.conv_id, pos, k, words FROM c JOIN t ON t.conv_id = c.conv_id AND pos >= h),
+p AS (
+    SELECT conv_id, row_number() OVER w AS depth, string_agg(k, '') OVER w AS prefix, words FROM r
+    WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)
+    UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+last AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+n AS (
+    SELECT prefix, any_value(p.depth) AS depth, min(p.conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+           count(*) FILTER (WHERE last.depth > p.depth) AS longer,
+           sha256(coalesce(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) FILTER (WHERE last.depth = p.depth), '')) AS ends_sha256
+    FROM p JOIN last USING (conv_id) GROUP BY prefix),
+below AS (
+    SELECT p.prefix, sum((n.n_convs - 1) * n.words) AS saved, count(*) FILTER (WHERE n.longer = 0) AS n_leaves,
+           count(*) FILTER (WHERE n.depth = p.depth + 1) AS n_children
+    FROM n JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.prefix)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN below USING (prefix) LEFT JOIN n AS up ON n.depth > 0 AND up.prefix = left(n.prefix, length(n.prefix) - 64)
+"""

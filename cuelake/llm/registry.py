@@ -168,8 +168,20 @@ def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuelake.llm.trie import encode_turns, prefix_trie, sequences
+
+    turns = encode_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    h = fold("conv_id", 4)
+    convs = turns.select("conv_id").distinct()
+    heads = convs.where(h > 0).select(F.col("conv_id").alias("c"), h.alias("h"), (F.col("conv_id") - F.col("conv_id") % 20).alias("conv_id"))
+    taken = heads.join(turns.where("pos < 3"), "conv_id").where("pos < h").select(F.col("c").alias("conv_id"), "pos", "turn")
+    rebuilt = turns.where(F.col("pos") >= h).unionByName(taken)
+    return prefix_trie(sequences(rebuilt, convs)).withColumnRenamed("ends", "ends_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_near_dedup, op3_quality, op4_pii, op5_decontaminate, op6_lm_score, op7_substring, op8_toxicity, op9_bpe, op10_topk, op11_runs, op12_chat)}
+    return {f.__name__: f for f in (op1_url_filter, op2_near_dedup, op3_quality, op4_pii, op5_decontaminate, op6_lm_score, op7_substring, op8_toxicity, op9_bpe, op10_topk, op11_runs, op12_chat, op13_trie)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -34,18 +34,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 def encode_turns(turns: DataFrame, conv_col: str = "conv_id", order_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, pos, turn): the turns with their place in the conversation from 0 and (id, words) from a dictionary.
 
-    Turns stand by order_col, nulls first, ties by role, then text. A null role or text is empty. Rows without a
-    conversation id belong to no conversation and are left out; repeated rows are turns of their own. The dictionary is
-    keyed by SHA-256 of role and text, so each text is hashed where it is read and isn't shuffled for it.
+    Turns stand by order_col, nulls first, ties by the SHA-256 of role and text. A null role or text is empty. Rows
+    without a conversation id belong to no conversation and are left out; repeated rows are turns of their own. That
+    SHA-256 is the key of the dictionary too: texts are read and hashed in one place and never shuffled.
     """
     role, text = (F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in (role_col, text_col))
     rows = turns.select(F.col(f"`{conv_col}`").alias("conv_id"), F.col(f"`{order_col}`").alias("turn"), role.alias("role"), text.alias("text")).where("conv_id is not null")
     key = F.unhex(F.sha2(F.concat(F.char_length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")).cast("binary"), 256))
     words = F.regexp_count("text", F.lit(WORD)).cast("long")
-    # of equal turn numbers only the text's beginning and its hash decide first; whole texts would be sorted otherwise
-    place = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    placed = rows.select("conv_id", key.alias("key"), words.alias("words"), (F.row_number().over(place) - 1).cast("long").alias("pos"))
-    placed = cut(placed)
+    hashed = rows.select("conv_id", "turn", key.alias("key"), words.alias("words"))
+    place = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "key")
+    placed = cut(hashed.select("conv_id", "key", "words", (F.row_number().over(place) - 1).cast("long").alias("pos")))
     # numbers that are written once are the same for all who read them
     known = cut(placed.groupBy("key").agg(F.first("words").alias("words")).withColumn("id", F.monotonically_increasing_id()))
     return placed.drop("words").join(known, "key").select("conv_id", "pos", F.struct("id", "words").alias("turn"))
