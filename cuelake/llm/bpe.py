@@ -8,6 +8,7 @@ by a fingerprint of their lines first, so that copies and near copies meet in on
 """
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,6 +28,9 @@ ROLLING = 16
 #: Bytes of encoded chunks that a worker holds: texts, ids (4 bytes each) and what each entry takes besides. When full
 #: it starts afresh, and only reuse is lost.
 HELD_BYTES, ENTRY_BYTES = 32 << 20, 400
+#: Blanks in a row from which on a piece goes to the library: the ranked form's pattern would need too deep a stack.
+BLANK_RUN = 50_000
+_LONG_BLANKS = re.compile(r"(?<!\s)\s{%d}" % BLANK_RUN)
 _NONE = np.zeros(0, np.int32)
 _GEAR = mix(np.arange(1, 257, dtype=U64))
 
@@ -39,14 +43,20 @@ class Codec:
             model = json.load(f)
         self.special = sorted(t["content"] for t in model["added_tokens"])
         self.plain = self._ranked(model)
-        self.library = None if self.plain else Tokenizer.from_file(path)
-        if self.library:
-            self.library.no_truncation()
-            self.library.no_padding()
+        self.path, self._library = path, None
         self.held: dict[bytes, tuple[int, int, np.ndarray]] = {}
         self.held_bytes = 0
         self.reused = self.encoded = 0
 
+    @property
+    def library(self) -> Tokenizer:
+        """The library's form of the model, read when it is first needed."""
+        if self._library is None:
+            self._library = Tokenizer.from_file(self.path)
+            self._library.no_truncation()
+            self._library.no_padding()
+        return self._library
+
     @staticmethod
     def _ranked(model: dict) -> tiktoken.Encoding | None:
         """The same model by ranks, which is several times faster, if its ids follow its merges."""
@@ -72,12 +82,12 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         """The whole text in one go, as 32-bit ids."""
-        if self.library:
+        if not self.plain or (len(text) > BLANK_RUN and _LONG_BLANKS.search(text)):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
         return self.plain.encode_to_numpy(text, allowed_special="all").view(np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
-        if self.library:
+        if not self.plain:
             return self.library.decode(ids.tolist(), skip_special_tokens=False)
         return self.plain.decode_bytes(ids.tolist()).decode("utf-8", "replace")
 

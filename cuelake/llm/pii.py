@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from cuelake.llm.common import merged
 
 ROUNDS = 8
+#: Characters that are permuted as one number; longer values are permuted in chained blocks of so many.
+BLOCK = 512
 DIGITS, HEX, LOWER, UPPER = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Dates are permuted among the days of these years.
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
@@ -60,8 +62,31 @@ class Permuter:
             if value < n:
                 return value
 
+    def _blocks(self, value: str, tweak: str, back: bool, change: Callable[[str, str], str]) -> str:
+        """change(part, tweak) over blocks of a long value, from left to right and then from right to left.
+
+        Each block's tweak holds a digest of the neighbour that was changed before, so every character of the
+        result depends on the whole value; both passes can be taken back in the opposite order.
+        """
+        if len(value) <= BLOCK:
+            return change(value, tweak)
+        parts = ["", *(value[k : k + BLOCK] for k in range(0, len(value), BLOCK)), ""]
+        passes = [(0, range(1, len(parts) - 1)), (1, range(len(parts) - 2, 0, -1))]
+        for turn, order in [(n, reversed(order)) for n, order in reversed(passes)] if back else passes:
+            for k in order:
+                beside = hashlib.blake2b(parts[k + (1 if turn else -1)].encode(), key=self.key, digest_size=16).hexdigest()
+                parts[k] = change(parts[k], f"{tweak}:{len(value)}:{turn}:{k}:{beside}")
+        return "".join(parts)
+
     def text(self, value: str, alphabet: str, tweak: str, back: bool = False) -> str:
         """A string over the alphabet, of the same length."""
+        return self._blocks(value, tweak, back, lambda part, t: self._text(part, alphabet, t, back))
+
+    def mixed(self, value: str, tweak: str, back: bool = False) -> str:
+        """Letters and digits permuted within their kind and place; other characters stay."""
+        return self._blocks(value, tweak, back, lambda part, t: self._mixed(part, t, back))
+
+    def _text(self, value: str, alphabet: str, tweak: str, back: bool) -> str:
         base, number = len(alphabet), 0
         for c in value:
             number = number * base + alphabet.index(c)
@@ -72,8 +97,7 @@ class Permuter:
             out.append(alphabet[rest])
         return "".join(reversed(out))
 
-    def mixed(self, value: str, tweak: str, back: bool = False) -> str:
-        """Letters and digits permuted within their kind and place; other characters stay."""
+    def _mixed(self, value: str, tweak: str, back: bool) -> str:
         kinds = [next((a for a in (DIGITS, LOWER, UPPER) if c in a), None) for c in value]
         n, number = 1, 0
         for c, a in zip(value, kinds, strict=True):
@@ -286,7 +310,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", spans_col:
     check or start with 0, and four one-digit numbers with dots, or four after a letter, "version " or
     "release ", which are versions more often than addresses. Null texts stay null, with no spans, empty
     ones empty. Equal values get equal pseudonyms under a key; back=True gives the originals again. Very
-    long texts are done whole, repeated rows alike, an empty table stays empty. An input column named like
+    long texts and values are done whole, repeated rows alike, an empty table stays empty. An input column named like
     spans_col is replaced. Whoever has the key can invert the pseudonyms, hence it has no default.
     """
     keep = [c for c in docs.columns if spans_col is None or c.lower() != spans_col.lower()]

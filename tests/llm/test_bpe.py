@@ -79,3 +79,14 @@ def test_empty_table_and_decode(spark):
 def test_library_is_used_for_other_models(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     assert bpe.Codec(path).library is not None
+
+
+def test_very_long_runs_equal_the_library(spark):
+    """Runs of one character for which a backtracking pattern would need a deep stack, alone and between words."""
+    n = 2_000_000
+    texts = [*("a " + c * n + "b c" for c in (" ", "\n", "\t")), " \n" * n, "x" * n]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in bpe.encode(docs, PATH, decoded_col="decoded").select("doc_id", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("h"), (F.col("decoded") == F.col("text")).alias("same")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["h"] == hashlib.sha256(",".join(map(str, expected(t))).encode()).hexdigest(), i
+        assert got[i]["same"]

@@ -293,3 +293,22 @@ def test_classifiers_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.score(docs, quality.train(docs, none)).where("score between 0 and 1").count() == 3
     assert toxicity.score(docs, toxicity.train(docs, none)).where("score between 0 and 1").count() == 3
+
+
+def test_pii_values_of_any_length():
+    p = pii.Permuter(b"k")
+    for n in (511, 512, 513, 3_600, 1_000_000):
+        for text, kind in [("at " + "0a1b" * (n // 4 + 8) + " end", "secret"), ("token=" + "Zz9_" * (n // 4 + 2), "secret"), ("mail " + "a.B7" * (n // 4) + "@x.org", "email"), ("-" * n + " " + "9" * n + " and 123-45-6789", "ssn")]:
+            new, spans = pii.replace(text, p)
+            assert [s[0] for s in spans] == [kind] and len(new) == len(text) and new != text
+            assert pii.replace(new, p, back=True)[0] == text
+
+
+def test_pii_long_values_depend_on_every_character():
+    """A change at either end changes the pseudonym at both ends, and equal values stay equal."""
+    p = pii.Permuter(b"k")
+    value = "0123456789abcdef" * 100
+    changed = [p.text(v, pii.HEX, "t") for v in (value, "1" + value[1:], value[:-1] + "0")]
+    assert changed[0] == p.text(value, pii.HEX, "t") and len({c[:512] for c in changed}) == 3 and len({c[-512:] for c in changed}) == 3
+    mixed = [p.mixed(v, "t") for v in ("Ab1-" * 300, "Bb1-" * 1 + "Ab1-" * 299)]
+    assert all(m[3::4] == "-" * 300 and m[0::4].isupper() and m[2::4].isdigit() for m in mixed) and mixed[0][-400:] != mixed[1][-400:]
