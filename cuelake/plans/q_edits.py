@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from cuelake.functions import text as fx
 from cuelake.operators import documents, edits, ordering, predicates, sets
 from cuelake.plans.catalog import query
-from cuelake.session import table
-from cuelake.streaming import rules
+from cuelake.session import stream_table, table
+from cuelake.sources import sinks
+from cuelake.streaming import rules, timed
 
 # ---- keywords, stacks, items -----------------------------------------------------------------
 
@@ -351,21 +352,42 @@ def sink_autosave(spark, sf):
 _LINES = """e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, CASE WHEN event_id % 41 = 0 THEN 'progress=end' WHEN event_id % 5 = 0 THEN 'fps=3' ELSE 'u' END AS l, CASE WHEN event_id % 41 = 0 OR event_id % 5 = 0 THEN 0 ELSE CAST(floor(value * 100000) AS BIGINT) END AS us FROM events)"""
 
 
-@query("str_progress", f"""WITH RECURSIVE {_LINES},
+_PROGRESS = f"""{_LINES},
 a AS (SELECT *, greatest(max(us) OVER (PARTITION BY user_id ORDER BY k ROWS UNBOUNDED PRECEDING), 0) AS top, coalesce(max(us) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e),
 b AS (SELECT *, coalesce(max(CASE WHEN top > before THEN t END) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), first_value(t) OVER (PARTITION BY user_id ORDER BY k)) AS last FROM a),
 c AS (SELECT *, t - last >= CASE WHEN before >= 9900000 THEN 180000000 ELSE 28000000 END AS over, l = 'progress=end' AS ends FROM b),
 d AS (SELECT *, coalesce(sum(CASE WHEN over OR ends THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS closed, least(top / 10000000.0, 1) AS p FROM c),
 o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k) AS n FROM d WHERE closed = 0 AND NOT over AND NOT ends),
-w AS (SELECT user_id, n, p AS told, TRUE AS kept FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.n, CASE WHEN o.p >= w.told + 0.05 THEN o.p ELSE w.told END, o.p >= w.told + 0.05 FROM w JOIN o ON o.user_id = w.user_id AND o.n = w.n + 1)
-SELECT user_id, event_id, 'progress' AS kind, round(p, 6) AS progress FROM w JOIN o USING (user_id, n) WHERE kept UNION ALL SELECT user_id, event_id, CASE WHEN over THEN 'stalled' ELSE 'end' END, round(p, 6) FROM d WHERE closed = 0 AND (over OR ends)""")
-def str_progress(spark, sf):
+w AS (SELECT user_id, n, p AS told, TRUE AS kept FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.n, CASE WHEN o.p >= w.told + 0.05 THEN o.p ELSE w.told END, o.p >= w.told + 0.05 FROM w JOIN o ON o.user_id = w.user_id AND o.n = w.n + 1)"""
+_TOLD = """SELECT user_id, event_id, 'progress' AS kind, round(p, 6) AS progress FROM w JOIN o USING (user_id, n) WHERE kept UNION ALL SELECT user_id, event_id, CASE WHEN over THEN 'stalled' ELSE 'end' END, round(p, 6) FROM d WHERE closed = 0 AND (over OR ends)"""
+
+
+def _tool_lines(events):
     # the tables' events are hours apart, so a millisecond stands for a second
-    events = table(spark, sf, "events").withColumn("ts", F.timestamp_micros(F.expr("unix_micros(CAST(ts AS TIMESTAMP)) div 1000")))
+    events = events.withColumn("ts", F.timestamp_micros(F.expr("unix_micros(CAST(ts AS TIMESTAMP)) div 1000")))
     n = F.col("event_id")
     line = F.when(n % 41 == 0, "progress=end").when(n % 5 == 0, "fps=3").otherwise(F.concat(F.lit("out_time_us="), F.floor(F.col("value") * 100000).cast("string")))
-    rows = events.select("user_id", "event_id", "ts", line.alias("line"), F.lit(10_000_000).cast("long").alias("duration"))
-    return rules.progress(rows, "user_id", "event_id", "ts", "line", "duration", least=0.05).select("user_id", "event_id", "kind", F.round("progress", 6).alias("progress"))
+    return events.select("user_id", "event_id", "ts", line.alias("line"), F.lit(10_000_000).cast("long").alias("duration"))
+
+
+@query("str_progress", f"WITH RECURSIVE {_PROGRESS} {_TOLD}")
+def str_progress(spark, sf):
+    rows = rules.progress(_tool_lines(table(spark, sf, "events")), "user_id", "event_id", "ts", "line", "duration", least=0.05)
+    return rows.select("user_id", "event_id", "kind", F.round("progress", 6).alias("progress"))
+
+
+_DAILY = "(SELECT * REPLACE (user_id * 1000 + dayofyear(ts) AS user_id) FROM events))"
+
+
+@query("str_progress_stream", f"""WITH RECURSIVE {_PROGRESS.replace("events)", _DAILY)},
+l AS (SELECT user_id, max(top) AS top, coalesce(max(CASE WHEN top > before THEN t END), min(t)) AS rose, sum(CASE WHEN over OR ends THEN 1 ELSE 0 END) AS shut FROM c GROUP BY 1)
+{_TOLD} UNION ALL SELECT user_id, NULL, 'stalled', round(least(top / 10000000.0, 1), 6) FROM l WHERE shut = 0 AND (rose + CASE WHEN top >= 9900000 THEN 180000000 ELSE 28000000 END + 999) // 1000 <= (SELECT max(t) // 1000 FROM e)""")
+def str_progress_stream(spark, sf):
+    """Each user's lines of a day as a job, read as a stream: timers also tell the jobs that fall silent."""
+    events = stream_table(spark, sf, "events").withColumn("user_id", F.col("user_id") * 1000 + F.dayofyear("ts"))
+    rows = timed.watched_progress(_tool_lines(events), "user_id", "event_id", "ts", "line", "duration", least=0.05)
+    out = timed.read_all(rows, sinks.shared_folder(spark, "progress"))
+    return out.select("user_id", "event_id", "kind", F.round("progress", 6).alias("progress"))
 
 
 @query("str_retry", """WITH a AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, value > 60 AS good FROM events), t AS (SELECT * FROM a WHERE k <= 3), f AS (SELECT user_id, min(k) FILTER (good) AS first, max(k) AS last FROM t GROUP BY 1)

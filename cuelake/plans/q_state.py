@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from cuelake.operators import history, trees
 from cuelake.plans.catalog import query
-from cuelake.session import table
-from cuelake.streaming import rules
+from cuelake.session import stream_table, table
+from cuelake.sources import sinks
+from cuelake.streaming import rules, timed
 
 
 def tree(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,6 +200,17 @@ def str_rate_limit(spark, sf):
     return rules.rate_limited(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "event_type", "ts", 3600).withColumn("first_ts", F.col("first_ts").cast("timestamp_ntz"))
 
 
+@query("str_rate_limit_stream", """WITH RECURSIVE e AS (SELECT event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
+w AS (SELECT event_type, k, t AS opened FROM e WHERE k = 1 UNION ALL SELECT e.event_type, e.k, CASE WHEN e.t < w.opened + 3600000000 THEN w.opened ELSE e.t END FROM w JOIN e ON e.event_type = w.event_type AND e.k = w.k + 1),
+g AS (SELECT event_type, opened, count(*) - 1 AS suppressed FROM w GROUP BY ALL)
+SELECT event_type, 'first' AS kind, make_timestamp(opened) AS at, 0 AS suppressed FROM g
+UNION ALL SELECT event_type, 'flush', make_timestamp(opened + 3600000000), suppressed FROM g WHERE suppressed > 0 AND (opened + 3600000000 + 999) // 1000 <= (SELECT epoch_us(max(ts)) // 1000 FROM events)""")
+def str_rate_limit_stream(spark, sf):
+    """The table's files as a stream with event-time timers; a window that the newest event hasn't passed stays open."""
+    out = timed.rate_limited_flushes(stream_table(spark, sf, "events"), "event_type", "ts", 3600)
+    return timed.read_all(out, sinks.shared_folder(spark, "rates")).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 @query("str_running_max", "SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS progress FROM events")
 def str_running_max(spark, sf):
     return rules.running_max(table(spark, sf, "events"), "user_id", "event_id", "value").select("event_id", "progress")

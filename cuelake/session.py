@@ -67,3 +67,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the provided tables; nothing is read until an action runs."""
     share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a stream of its files."""
+    schema = table(spark, sf_dir, name).schema
+    # a pattern, as a stream takes a plain path for a folder and a table may be a single file
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
