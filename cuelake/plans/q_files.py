@@ -9,7 +9,7 @@ from cuelake.functions import mathx as mx
 from cuelake.operators import documents, layouts, predicates
 from cuelake.plans.catalog import query
 from cuelake.session import table
-from cuelake.sources import files, sinks
+from cuelake.sources import commits, files, sinks
 from cuelake.streaming import rules
 
 _ASCII = "regexp_replace(text, '[^ -~]', '', 'g')"
@@ -127,12 +127,25 @@ def sink_merge(spark, sf):
     return sinks.merged_manifest(clips, "o_custkey").select("o_custkey", "total_us", "clip", "offset_us")
 
 
-@query("sink_snapshot", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 2 = 1")
+@query("sink_merge_rows", """WITH c AS (SELECT o_custkey % 5 AS target, o_orderkey, coalesce(sum(CAST(floor(o_totalprice) AS BIGINT)) OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM orders)
+SELECT target, l_orderkey AS clip, l_linenumber, before + l_linenumber AS at_us, row_number() OVER (PARTITION BY target ORDER BY before + l_linenumber, l_orderkey) - 1 AS place FROM lineitem JOIN c ON l_orderkey = o_orderkey""")
+def sink_merge_rows(spark, sf):
+    """Lines as rows of clips, written in order into five targets and read back by their place in the files."""
+    folder = sinks.shared_folder(spark, "merged")
+    clips = table(spark, sf, "orders").select((F.col("o_custkey") % 5).alias("target"), F.col("o_orderkey").alias("clip"), F.col("o_orderdate").alias("ord"), F.floor("o_totalprice").alias("duration_us"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("clip"), F.col("l_linenumber").cast("long").alias("at_us"), "l_linenumber")
+    sinks.write_merged(clips, rows, "target", folder)
+    return sinks.read_merged(spark, folder, "target")
+
+
+@query("sink_snapshot", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 2 = 1 AND c_custkey % 3 > 0")
 def sink_snapshot(spark, sf):
+    """Each state is made from the one that the folder holds; rows of a write that failed never show."""
     folder = sinks.shared_folder(spark, "snapshot")
-    state = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
-    sinks.write_snapshot(state, folder)
-    return sinks.write_snapshot(state.where("c_custkey % 2 = 1"), folder)
+    state = sinks.write_snapshot(table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), folder)
+    state = sinks.write_snapshot(state.where("c_custkey % 2 = 1"), folder)
+    state.write.parquet(f"{folder}/{commits.DATA}failed")
+    return sinks.write_snapshot(state.where("c_custkey % 3 > 0"), folder)
 
 
 @query("sink_blob_cache", f"SELECT sha256(doc_id || ':' || doc_id % 7) AS cache_key, sha256({_ASCII}) AS content FROM documents WHERE doc_id % 10 <> 0")
