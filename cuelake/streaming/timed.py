@@ -47,9 +47,9 @@ class _Timed(StatefulProcessor):
         return timer_values.getCurrentProcessingTimeInMs() * 1000
 
     def frame(self, key: tuple, rows: list[tuple], names: list[str]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=names)
-        out.insert(0, self.key, [key[0]] * len(rows))
-        return out
+        # plain objects, as pandas' own strings reach Arrow in pieces, which Spark doesn't take
+        columns = zip([self.key, *names], [[key[0]] * len(rows), *([r[n] for r in rows] for n in range(len(names)))], strict=True)
+        return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in columns})
 
     def close(self) -> None:
         pass
