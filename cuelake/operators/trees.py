@@ -62,16 +62,54 @@ def depth_first(nodes: DataFrame, order: str = "name") -> DataFrame:
     return up.groupBy("id").agg(F.max("depth").alias("depth"), F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("depth", "_key")))), lambda x: x["_key"]).alias("place"))
 
 
+def _jumps(nodes: DataFrame) -> DataFrame:
+    """(id, up): each node once with a parent that is a node too, or null; of repeated ids the smallest parent."""
+    once = nodes.where("id is not null").groupBy("id").agg(F.min(F.when(F.col("parent") != F.col("id"), F.col("parent"))).alias("_up"))
+    known = once.select(F.col("id").alias("_known"))
+    return once.join(known, F.col("_up") == F.col("_known"), "left").select("id", F.col("_known").alias("up"))
+
+
+def reached(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id): the nodes that are seeds or stand below one, by a flag and a pointer a node that doubles its distance.
+
+    A seed need not be a node itself: its children are reached. Cycles end when pointers have gone as far as there are
+    nodes. Rows are never more than the nodes.
+    """
+    marks = seeds.select("id").where("id is not null").distinct().withColumn("_seed", F.lit(True))
+    raw = nodes.where("id is not null and parent is not null").select("id", F.col("parent").alias("_raw"))
+    own = raw.join(marks.select(F.col("id").alias("_raw")), "_raw", "left_semi").select("id").unionByName(marks.select("id")).distinct().withColumn("flag", F.lit(True))
+    held = cut(_jumps(nodes).join(own, "id", "left").select("id", F.coalesce("flag", F.lit(False)).alias("flag"), "up"))
+    n, reach = held.count(), 1
+    while reach < n and not held.where("not flag and up is not null").isEmpty():
+        above = held.select(F.col("id").alias("up"), F.col("flag").alias("_flag"), F.col("up").alias("_next"))
+        # who is flagged needs no pointer any more, but leads those below to its flag
+        held = cut(held.join(above, "up", "left").select("id", (F.col("flag") | F.coalesce("_flag", F.lit(False))).alias("flag"), F.col("_next").alias("up")))
+        reach *= 2
+    return held.where("flag").select("id")
+
+
+def above(nodes: DataFrame, matching: DataFrame) -> DataFrame:
+    """(id): the nodes in matching and all above them; flags go up along pointers that double their distance."""
+    marks = matching.select("id").where("id is not null").distinct().withColumn("flag", F.lit(True))
+    held = cut(_jumps(nodes).join(marks, "id", "left").select("id", F.coalesce("flag", F.lit(False)).alias("flag"), "up"))
+    n, reach = held.count(), 1
+    while reach < 2 * n and not held.where("flag and up is not null").isEmpty():
+        told = held.where("flag and up is not null").select(F.col("up").alias("id"), F.lit(True).alias("_told")).distinct()
+        next_ = held.select(F.col("id").alias("up"), F.col("up").alias("_next"))
+        flagged = held.join(told, "id", "left").select("id", (F.col("flag") | F.coalesce("_told", F.lit(False))).alias("flag"), "up")
+        held = cut(flagged.join(next_, "up", "left").select("id", "flag", F.col("_next").alias("up")))
+        reach *= 2
+    return held.where("flag").select("id")
+
+
 def keep_with_ancestors(nodes: DataFrame, matching: DataFrame) -> DataFrame:
     """M8: the nodes whose id is in matching, and all above them."""
-    ids = ancestors(nodes).join(matching.select("id"), "id", "left_semi").select(F.col("ancestor").alias("id")).distinct()
-    return nodes.join(ids, "id", "left_semi")
+    return nodes.join(above(nodes, matching), "id", "left_semi")
 
 
 def cascade_delete(nodes: DataFrame, removed: DataFrame) -> DataFrame:
     """Nodes without the removed ones and all below them."""
-    below = ancestors(nodes).join(removed.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id").distinct()
-    return nodes.join(below, "id", "left_anti")
+    return nodes.join(reached(nodes, removed), "id", "left_anti")
 
 
 def move(nodes: DataFrame, moved: DataFrame, target: str) -> DataFrame:
@@ -99,3 +137,49 @@ def from_paths(rows: DataFrame, path: str = "path") -> DataFrame:
     key = lambda p: F.sha2(F.array_join(p, ">"), 256)
     made = steps.select(key(F.col("p")).alias("id"), F.element_at("p", -1).alias("name"), F.when(F.size("p") > 1, key(F.slice("p", 1, F.size("p") - 1))).alias("parent"))
     return made.distinct()
+
+
+def merge_paths(nodes: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """M6: keyword paths put into a tree: (id, name, parent, synonyms) with what was missing, and (path, id) of their ends.
+
+    nodes: (id, name, parent, synonyms); paths: (path, names, synonyms), names from the top. Along a path the child of
+    that name is taken; of several with one parent and name the one with the smallest id. Where there is none, nodes are
+    made, with a hash of parent and name as id, so equal paths meet. A path's synonyms join those of its end, each once: old ones
+    first, then by path. Paths without names, or with a null among them, end nowhere. Each level of the existing tree
+    that paths still follow is one join; what has left it is finished in one step.
+    """
+    known = cut(nodes.where("id is not null").groupBy(F.col("parent").alias("_parent"), F.col("name").alias("_name")).agg(F.min("id").alias("_id")))
+    fine = (F.size("names") > 0) & ~F.exists("names", lambda n: n.isNull())
+    wanted = paths.where(F.coalesce(fine, F.lit(False)))
+    live = cut(wanted.select("names").distinct().select("names", F.lit(None).cast(dict(nodes.dtypes)["id"]).alias("at")))
+    ends, left, level = None, None, 1
+    while not live.isEmpty():
+        name = F.element_at("names", level)
+        child = F.col("at").eqNullSafe(F.col("_parent")) & (name == F.col("_name"))
+        step = cut(live.join(known, child, "left").select("names", "at", F.col("_id").alias("id")))
+        off = step.where("id is null").select("names", "at", F.lit(level).alias("level"))
+        done = step.where((F.col("id").isNotNull()) & (F.size("names") == level)).select("names", "id")
+        left = off if left is None else left.unionByName(off)
+        ends = done if ends is None else ends.unionByName(done)
+        live = step.where((F.col("id").isNotNull()) & (F.size("names") > level)).select("names", F.col("id").alias("at"))
+        level += 1
+    if left is None:
+        return nodes, paths.select("path", F.lit(None).cast("string").alias("id")).limit(0)
+    kind = "array<struct<id:string,name:string,parent:string>>"
+    start = F.struct(F.col("at").alias("at"), F.array().cast(kind).alias("made"))
+
+    def grow(acc, name):
+        id_ = F.sha2(F.concat(F.coalesce(acc["at"], F.lit("")), F.lit(">"), name), 256)
+        return F.struct(id_.alias("at"), F.array_append(acc["made"], F.struct(id_.alias("id"), name.alias("name"), acc["at"].alias("parent"))).alias("made"))
+
+    rest = F.slice("names", F.col("level"), F.size("names") - F.col("level") + 1)
+    grown = left.select("names", F.aggregate(rest, start, grow).alias("g"))
+    fresh = grown.select(F.explode("g.made").alias("n")).select("n.*").distinct()
+    reached_ends = wanted.join(ends.unionByName(grown.select("names", F.col("g.at").alias("id"))), "names")
+    leaves = reached_ends.select("path", "id")
+    words = reached_ends.select("id", "path", F.explode("synonyms").alias("w")).where("w is not null").groupBy("id", "w").agg(F.min("path").alias("first"))
+    added = words.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("first", "w"))).alias("_w")).select("id", F.col("_w.w").alias("_added"))
+    everyone = nodes.select("id", "name", "parent", "synonyms").unionByName(fresh.withColumn("synonyms", F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    out = everyone.join(added, "id", "left").select("id", "name", "parent", F.array_union(F.coalesce("synonyms", none), F.coalesce("_added", none)).alias("synonyms"))
+    return out, leaves

@@ -9,7 +9,7 @@ from cuelake.operators import history, trees
 from cuelake.plans.catalog import query
 from cuelake.session import stream_table, table
 from cuelake.sources import sinks
-from cuelake.streaming import rules, timed
+from cuelake.streaming import delivery, rules, timed
 
 
 def tree(spark: SparkSession, sf: str) -> DataFrame:
@@ -240,6 +240,31 @@ def str_journal(spark, sf):
     return table(spark, sf, "events").withColumn("k", k).where("k <= 200").select("event_type", "event_id")
 
 
+@query("str_delivery", """SELECT event_id AS event, 3 AS delivered, 1 + CAST(event_type = 'purchase' AS BIGINT) AS handled, CAST(event_type <> 'purchase' AS BIGINT) + CAST(event_type <> 'signup' AS BIGINT) AS ignored, CAST(event_type = 'signup' AS BIGINT) AS failed FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 200)
+UNION ALL SELECT NULL, 1, (SELECT count(*) FROM events), (SELECT count(*) FROM events WHERE event_type <> 'purchase'), 0""")
+def str_delivery(spark, sf):
+    """The newest reports, and a row with the numbers that two subscribers wrote (events, and events less purchases); a third
+    always fails."""
+
+    def broken(events, batch):
+        raise RuntimeError("no")
+
+    folder = sinks.shared_folder(spark, "delivery")
+    kind = F.col("event_type")
+    subscribers = {
+        "all": delivery.Subscriber(F.lit(True), delivery.table_sink(f"{folder}/all")),
+        "money": delivery.Subscriber(kind == "purchase", delivery.table_sink(f"{folder}/money")),
+        "broken": delivery.Subscriber(kind == "signup", broken),
+    }
+    delivery.deliver(stream_table(spark, sf, "events"), subscribers, "event_id", "event_id", folder).awaitTermination()
+    schema = table(spark, sf, "events").schema
+    every, money = (spark.read.schema(schema).parquet(f"{folder}/{n}").agg(F.count("*").alias(n)) for n in ("all", "money"))
+    both = every.select(F.col("all").alias("n"), F.lit(0).cast("long").alias("m")).unionByName(money.select(F.lit(0).cast("long").alias("n"), F.col("money").alias("m")))
+    wrote = both.agg(F.sum("n").alias("handled"), (F.sum("n") - F.sum("m")).alias("ignored"))
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    return delivery.journal(spark, folder).unionByName(wrote.select(F.lit(None).cast("long").alias("event"), one.alias("delivered"), "handled", "ignored", zero.alias("failed")))
+
+
 @query("str_tumbling", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY ALL")
 def str_tumbling(spark, sf):
     events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
