@@ -40,40 +40,42 @@ def _known(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
-def deliver(stream: DataFrame, subscribers: dict[str, Subscriber], event: str, order: str, folder: str, available_now: bool = True):
-    """Starts delivering the stream and returns the running query; log, reports and checkpoint stand in the folder.
+def deliver_batch(batch: DataFrame, number: int, subscribers: dict[str, Subscriber], event: str, order: str, folder: str) -> None:
+    """One batch to the subscribers, one after the other, with notes of it and reports in the folder.
 
-    Batches go to the subscribers one after the other. A subscriber that fails is noted and doesn't stop the others. A
-    batch that is run again, after the driver died, goes only to those that have no note of it, or a failure.
-    event: the column that names an event, order: the one by which the newest are told.
+    A subscriber that fails is noted and doesn't stop the others. A batch that comes again, after the driver died, goes only
+    to those that have no note of it, or a failure.
     """
-    spark = stream.sparkSession
-    log, reports = f"{folder}/log", f"{folder}/reports"
-
-    def run(batch: DataFrame, number: int) -> None:
-        held = batch.persist()
-        try:
-            noted = {r["subscriber"] for r in _known(spark, log, LOG).where((F.col("batch") == number) & ~F.col("failed")).collect()}
-            failed = {}
-            for name, s in subscribers.items():
-                if name in noted:
-                    continue
-                try:
-                    s.handle(held.where(F.coalesce(s.accepts, F.lit(False))), number)
-                except Exception as e:  # noqa: BLE001  what one subscriber raises is its report
-                    failed[name] = str(e)[:4096]
-                note = spark.createDataFrame([(number, name, name in failed, failed.get(name))], LOG)
-                note.coalesce(1).write.mode("append").parquet(log)
-            takes = {n: F.coalesce(s.accepts, F.lit(False)).cast("long") for n, s in subscribers.items()}
-            none = F.lit(0).cast("long")
-            handled = sum((c for n, c in takes.items() if n not in failed), none)
-            lost = sum((c for n, c in takes.items() if n in failed), none)
-            told = held.orderBy(F.desc(order)).limit(JOURNAL).select(F.col(event).alias("event"), F.col(order).alias("place"), F.lit(len(takes)).cast("long").alias("delivered"), handled.alias("handled"), lost.alias("failed"))
-            told.coalesce(1).write.mode("overwrite").parquet(f"{reports}/batch={number}")
-        finally:
-            held.unpersist()
-
-    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint")
+    spark, log = batch.sparkSession, f"{folder}/log"
+    held = batch.persist()
+    try:
+        noted = {r["subscriber"] for r in _known(spark, log, LOG).where((F.col("batch") == number) & ~F.col("failed")).collect()}
+        failed = {}
+        for name, s in subscribers.items():
+            if name in noted:
+                continue
+            try:
+                s.handle(held.where(F.coalesce(s.accepts, F.lit(False))), number)
+            except Exception as e:  # noqa: BLE001  what one subscriber raises is its report
+                failed[name] = str(e)[:4096]
+            note = spark.createDataFrame([(number, name, name in failed, failed.get(name))], LOG)
+            note.coalesce(1).write.mode("append").parquet(log)
+        takes = {n: F.coalesce(s.accepts, F.lit(False)).cast("long") for n, s in subscribers.items()}
+        none = F.lit(0).cast("long")
+        handled = sum((c for n, c in takes.items() if n not in failed), none)
+        lost = sum((c for n, c in takes.items() if n in failed), none)
+        newest = held.orderBy(F.desc(order)).limit(JOURNAL)
+        told = newest.select(F.col(event).alias("event"), F.col(order).alias("place"), F.lit(len(takes)).cast("long").alias("delivered"), handled.alias("handled"), lost.alias("failed"))
+        told.coalesce(1).write.mode("overwrite").parquet(f"{folder}/reports/batch={number}")
+    finally:
+        held.unpersist()
+
+
+def deliver(stream: DataFrame, subscribers: dict[str, Subscriber], event: str, order: str, folder: str, available_now: bool = True):
+    """Starts delivering the stream, see deliver_batch, and returns the running query; its checkpoint stands in the
+    folder too. event: the column that names an event, order: the one by which the newest are told."""
+    writer = stream.writeStream.foreachBatch(lambda batch, number: deliver_batch(batch, number, subscribers, event, order, folder))
+    writer = writer.option("checkpointLocation", f"{folder}/checkpoint")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

@@ -3,9 +3,10 @@
 import datetime as dt
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from cuelake.streaming import timed
+from cuelake.streaming import delivery, timed
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -80,3 +81,31 @@ def test_timers_by_the_clock(spark, tmp_path):
 def test_empty_stream(spark, tmp_path):
     source = stream(spark, f"{tmp_path}/in", [], "k string, ts timestamp")
     assert timed.read_all(timed.rate_limited_flushes(source, "k", "ts", 30), f"{tmp_path}/out").collect() == []
+
+
+def test_a_repeated_batch_is_delivered_once(spark, tmp_path):
+    """The driver dies after the first subscriber; the batch comes again and only the second one gets it."""
+    batch = spark.createDataFrame([(n, "a" if n % 3 else None) for n in range(300)], "n long, kind string")
+    calls = []
+
+    def first(events, batch):
+        calls.append(("first", batch, events.count()))
+
+    def dies(events, batch):
+        calls.append(("second", batch, events.count()))
+        if len(calls) == 2:
+            raise KeyboardInterrupt
+
+    def fails(events, batch):
+        raise ValueError("full " * 2_000)
+
+    people = {"first": delivery.Subscriber(F.lit(True), first), "second": delivery.Subscriber(F.col("kind") == "a", dies), "third": delivery.Subscriber(F.col("n") < 150, fails)}
+    with pytest.raises(KeyboardInterrupt):
+        delivery.deliver_batch(batch, 0, people, "n", "n", f"{tmp_path}/out")
+    delivery.deliver_batch(batch, 0, people, "n", "n", f"{tmp_path}/out")
+    assert calls == [("first", 0, 300), ("second", 0, 200), ("second", 0, 200)]
+    log = {r["subscriber"]: r for r in spark.read.parquet(f"{tmp_path}/out/log").collect()}
+    assert len(log) == 3 and log["third"]["failed"] and len(log["third"]["error"]) == 4096 and not log["second"]["failed"]
+    told = {r["event"]: tuple(r)[1:] for r in delivery.journal(spark, f"{tmp_path}/out").collect()}
+    assert len(told) == delivery.JOURNAL and min(told) == 100
+    assert told[299] == (3, 2 if 299 % 3 else 1, 1 if 299 % 3 else 2, 0) and told[120] == (3, 1, 1, 1)
