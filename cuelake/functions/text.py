@@ -203,8 +203,9 @@ def effective_output_name(name: Column) -> Column:
 
 
 def copy_suffix(name: Column, taken: Column) -> Column:
-    """I19: 'name copyNN' after so many copies."""
-    return F.concat(name, F.lit(" copy"), F.lpad((taken + 1).cast("string"), 2, "0"))
+    """I19: 'name copyNN' after so many copies; two digits at least."""
+    n = (taken + 1).cast("string")
+    return F.concat(name, F.lit(" copy"), F.lpad(n, F.greatest(F.lit(2), F.length(n)), F.lit("0")))
 
 
 def human_size(size: Column) -> Column:

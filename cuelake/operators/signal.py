@@ -7,12 +7,16 @@ steps after them are partitioned by the context.
 from __future__ import annotations
 
 import json
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelake.functions.mathx import array_median, logit, sigmoid
+from cuelake.functions.mathx import array_median, beta_calibrate, logit, sigmoid
 from cuelake.operators.documents import FEATURE_ORDER, MODEL_KEYS
 from cuelake.session import cut
 
@@ -46,6 +50,8 @@ class Detector:
     distance: int = 3
     midpoint: float = 2.0
     softness: float = 2.0
+    #: a, b and c of a beta calibration of scores, if there is one.
+    calibration: tuple[float, float, float] | None = None
 
     @property
     def threshold(self) -> float:
@@ -56,12 +62,15 @@ class Detector:
         """From a model file's JSON; ValueError for keys, features or values that documents.model_errors refuses."""
         m = json.loads(text)
         unknown = sorted(set(m) - set(MODEL_KEYS))
-        if unknown or m["model_version"] != 1 or m["classifier"]["feature_order"] != FEATURE_ORDER or m.get("calibration"):
-            raise ValueError(f"unknown keys {unknown}, or another version, order of features or a calibration")
+        if unknown or m["model_version"] != 1 or m["classifier"]["feature_order"] != FEATURE_ORDER:
+            raise ValueError(f"unknown keys {unknown}, or another version or order of features")
+        calibration = m.get("calibration")
+        if calibration is not None and sorted(calibration) != ["a", "b", "c"]:
+            raise ValueError(f"a calibration of {sorted(calibration)}")
         return cls(
             m["epsilon"], m["robust_window_radius"], m["candidate_probability_threshold"], m["candidate_robust_threshold"], m["peak_radius"], m["event_probability_floor"], m["event_relative_floor"], m["event_robust_floor"],
             m["event_boundary_patience"], m["neighbor_radius"], m["classifier"]["intercept"], tuple(m["classifier"]["coefficients"]), m["false_positive_cost"], m["false_negative_cost"], m["minimum_event_distance"],
-            m["short_shot_midpoint"], m["short_shot_softness"],
+            m["short_shot_midpoint"], m["short_shot_softness"], calibration and tuple(float(calibration[k]) for k in "abc"),
         ).checked()
 
     def checked(self) -> Detector:
@@ -72,6 +81,8 @@ class Detector:
             raise ValueError("a parameter is out of its range")
         if self.false_positive < 0 or self.false_negative < 0 or self.false_positive + self.false_negative == 0:
             raise ValueError("costs must not be negative, nor both zero")
+        if self.calibration and not all(math.isfinite(x) for x in self.calibration):
+            raise ValueError("the calibration is not finite")
         return self
 
 
@@ -171,11 +182,15 @@ def event_features(rows: DataFrame, events: DataFrame, d: Detector = Detector())
 
 
 def score_events(events: DataFrame, d: Detector = Detector()) -> DataFrame:
-    """Adds score and keeps events strictly above the threshold."""
+    """Adds score, calibrated if the model says how, and keeps events strictly above the threshold."""
     total = F.lit(d.intercept)
     for name, w in zip(FEATURES, d.weights, strict=True):
         total = total + F.lit(w) * F.col(name)
-    return events.withColumn("score", sigmoid(total)).where(F.col("score") > d.threshold)
+    score = sigmoid(total)
+    if d.calibration:
+        # by a lambda, as the raw score, a large expression, would be written out for each of its places otherwise
+        score = F.transform(F.array(score), lambda s: beta_calibrate(F.greatest(F.least(s, F.lit(1 - d.eps)), F.lit(d.eps)), *d.calibration, d.eps))[0]
+    return events.withColumn("score", score).where(F.col("score") > d.threshold)
 
 
 def chains(events: DataFrame, gap: float, context: str = "context", frame: str = "frame") -> DataFrame:
@@ -250,3 +265,65 @@ def stitch_windows(windows: DataFrame, stride: int = 50, head: int = 25) -> Data
     fixed = F.when(odd, F.transform("values", sigmoid)).otherwise(F.col("values"))
     centre = windows.select("context", "window_no", F.posexplode(F.slice(fixed, head + 1, stride)).alias("k", "p"))
     return centre.select("context", (F.col("window_no") * stride + F.col("k")).cast("long").alias("frame"), "p")
+
+
+#: Windows that a task makes from one block of frames.
+BLOCK_OF_WINDOWS = 40
+
+
+def infer_windows(frames: DataFrame, model: Callable[[np.ndarray], np.ndarray], length: int = 100, stride: int = 50, head: int = 25) -> DataFrame:
+    """(context, frame, p) of a model over overlapping windows of frames (context, frame, data).
+
+    data: an array of numbers, of one size in a recording; frames are numbered from 0 without gaps, else ValueError.
+    Window j holds the frames from j * stride - head on, `length` of them; before the first frame and after the last these
+    are repeated. model: windows (n, length, size) to values (n, at least head + stride); of a window the values from
+    head on count, for stride frames, none for frames that aren't there. A window with any value outside 0..1 holds log
+    odds and passes through the sigmoid as a whole. Frames are dealt out by blocks of windows with the frames beside
+    them, so a recording takes many tasks and each holds one block. Rows without a frame or context are left out.
+    """
+    size, after = BLOCK_OF_WINDOWS * stride, length - head - stride
+    kind = dict(frames.dtypes)["context"]
+    rows = frames.where("context is not null and frame is not null").select("context", F.col("frame").cast("long").alias("frame"), F.col("data").cast("array<float>").alias("data"))
+    blocks = F.array_distinct(F.transform(F.array(F.lit(-after), F.lit(0), F.lit(head)), lambda d: F.floor((F.col("frame") + d) / size)))
+    dealt = rows.select("context", F.explode(F.filter(blocks, lambda b: b >= 0)).alias("block"), "frame", "data")
+    dealt = dealt.repartition("context", "block").sortWithinPartitions("context", "block", "frame")
+
+    def one(context: object, block: int, numbers: list[np.ndarray], data: list[np.ndarray], arrow: pa.DataType) -> pa.RecordBatch:
+        at, values = np.concatenate(numbers), np.concatenate(data)
+        low = max(0, block * size - head)
+        if at[0] != low or np.any(np.diff(at) != 1):
+            raise ValueError(f"frames of {context!r} about {int(at[0])} have gaps or repeats")
+        firsts = np.arange(block * size, min((block + 1) * size, at[-1] + 1), stride)
+        if not len(firsts):
+            return pa.RecordBatch.from_arrays([pa.array([], arrow), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["context", "frame", "p"])
+        places = np.clip(firsts[:, None] - head + np.arange(length), 0, at[-1]) - low
+        raw = np.asarray(model(values[places]), np.float64)
+        odd = ((raw < 0) | (raw > 1)).any(axis=1)
+        centre = raw[:, head : head + stride]
+        p = np.where(odd[:, None], 1 / (1 + np.exp(-centre)), np.clip(centre, 0, 1)).ravel()
+        frame = (firsts[:, None] + np.arange(stride)).ravel()
+        there = frame <= at[-1]
+        return pa.RecordBatch.from_arrays([pa.array([context] * int(there.sum()), arrow), pa.array(frame[there]), pa.array(p[there])], names=["context", "frame", "p"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, numbers, data, arrow = None, [], [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            arrow = batch.column(0).type
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            edges = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if keys[i] != of:
+                    if of is not None:
+                        yield one(*of, numbers, data, arrow)
+                    of, numbers, data = keys[i], [], []
+                numbers.append(batch.column(2)[i:j].to_numpy())
+                flat = batch.column(3)[i:j].flatten().to_numpy(zero_copy_only=False)
+                if len(flat) % (j - i):
+                    raise ValueError(f"frames of {keys[i][0]!r} differ in size")
+                data.append(flat.reshape(j - i, -1))
+        if of is not None:
+            yield one(*of, numbers, data, arrow)
+
+    return dealt.mapInArrow(run, f"context {kind}, frame long, p double")

@@ -157,10 +157,10 @@ def fn_log_safe(spark, sf):
 
 
 @query("fn_stem", """
-SELECT p_partkey, p_name || ' copy' || lpad(CAST(p_size % 30 + 1 AS VARCHAR), 2, '0') AS copied, regexp_replace(p_name || '.mov', '\\.[^.]*$', '') || '_export' AS stem FROM part""")
+SELECT p_partkey, p_name || ' copy' || CASE WHEN p_partkey % 120 < 9 THEN '0' ELSE '' END || (p_partkey % 120 + 1) AS copied, regexp_replace(p_name || '.mov', '\\.[^.]*$', '') || '_export' AS stem FROM part""")
 def fn_stem(spark, sf):
     stem = F.concat(F.regexp_replace(F.concat("p_name", F.lit(".mov")), r"\.[^.]*$", ""), F.lit("_export"))
-    return _part(spark, sf).select("p_partkey", fx.copy_suffix(F.col("p_name"), F.col("p_size") % 30).alias("copied"), stem.alias("stem"))
+    return _part(spark, sf).select("p_partkey", fx.copy_suffix(F.col("p_name"), F.col("p_partkey") % 120).alias("copied"), stem.alias("stem"))
 
 
 @query("fn_human_units", """

@@ -1,5 +1,9 @@
 """Fixed vectors and odd inputs for operators."""
 
+import json
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,3 +286,60 @@ def test_keywords_and_stacks_of_odd_rows(spark):
     assert told(edits.split_stacks(stacks, one("i2"), drop=True)) == [("i3", "i3"), ("i3", "i4")]
     assert told(edits.split_stacks(stacks, one("i1"))) == told(stacks)
     assert edits.cancel_stacks(stacks, one("i2")).count() == 0 and edits.cancel_stacks(stacks, one("zz")).count() == 4
+
+
+def test_calibrated_model(spark):
+    rows = spark.createDataFrame([(float(z), *([0.0] * 9)) for z in range(-6, 7)], ", ".join(f"{n} double" for n in signal.FEATURES))
+    plain = {r["logit"]: r["score"] for r in signal.score_events(rows, signal.Detector(false_positive=0.0)).collect()}
+    held = {r["logit"]: r["score"] for r in signal.score_events(rows, signal.Detector(false_positive=0.0, calibration=(1.3, 0.8, 0.1))).collect()}
+    for z, p in plain.items():
+        p = min(max(p, 1e-6), 1 - 1e-6)
+        assert held[z] == pytest.approx(1 / (1 + math.exp(-(1.3 * math.log(p + 1e-6) - 0.8 * math.log(1 - p + 1e-6) - 0.1))))
+    with pytest.raises(ValueError, match="calibration"):
+        signal.Detector(calibration=(1.0, math.nan, 0.0)).checked()
+
+
+def test_model_files_with_a_calibration():
+    model = {
+        "model_version": 1, "model_origin": "x", "epsilon": 1e-6, "robust_window_radius": 50, "candidate_probability_threshold": 0.1, "peak_radius": 2, "candidate_robust_threshold": 2.5, "event_probability_floor": 0.03,
+        "event_relative_floor": 0.15, "event_robust_floor": 1.5, "event_boundary_patience": 2, "neighbor_radius": 2, "classifier": {"feature_order": documents.FEATURE_ORDER, "intercept": -2.5, "coefficients": [0.5] * 10},
+        "calibration": {"a": 1, "b": 2.5, "c": -0.5}, "false_positive_cost": 1.0, "false_negative_cost": 2.0, "minimum_event_distance": 3, "short_shot_midpoint": 2.0, "short_shot_softness": 2.0,
+    }
+    assert signal.Detector.from_model(json.dumps(model)).calibration == (1.0, 2.5, -0.5)
+    assert signal.Detector.from_model(json.dumps(model | {"calibration": None})).calibration is None
+    with pytest.raises(ValueError, match="calibration"):
+        signal.Detector.from_model(json.dumps(model | {"calibration": {"a": 1, "b": 2}}))
+
+
+@pytest.mark.parametrize("n", [1, 24, 50, 51, 99, 100, 2000, 2001, 4300])
+def test_windows_equal_one_pass(spark, n):
+    """Windows of one pass over all frames, with the first and last repeated, against those made block by block."""
+    data = [((k * 37) % 101 / 60 - 0.3, k) for k in range(n)]
+
+    def model(windows):
+        assert windows.shape[1:] == (100, 2)
+        return windows[:, :, 0] + 0.001 * (windows[:, :1, 1] - windows[:, -1:, 1])
+
+    padded, out = [data[0]] * 25 + data, []
+    while len(out) < n:
+        padded += [data[-1]] * max(0, 100 - len(padded))
+        values = [np.float32(x[0]) + 0.001 * (padded[0][1] - padded[99][1]) for x in padded[:100]]
+        odd = any(v < 0 or v > 1 for v in values)
+        out += [1 / (1 + math.exp(-v)) if odd else v for v in values[25:75]]
+        del padded[:50]
+    rows = [("a", k, list(map(float, d))) for k, d in enumerate(data)] + [("b", 0, [0.5, 0.0]), ("b", None, [1.0, 1.0])]
+    got = signal.infer_windows(spark.createDataFrame(rows, "context string, frame long, data array<double>").repartition(3), model).collect()
+    assert [r["p"] for r in sorted((r for r in got if r["context"] == "a"), key=lambda r: r["frame"])] == pytest.approx(out[:n], abs=1e-6)
+    assert [(r["frame"], r["p"]) for r in got if r["context"] == "b"] == [(0, pytest.approx(0.5))]
+
+
+def test_windows_refuse_gaps(spark):
+    rows = spark.createDataFrame([("a", 0, [0.0]), ("a", 2, [0.0])], "context string, frame long, data array<double>")
+    with pytest.raises(Exception, match="gaps or repeats"):
+        signal.infer_windows(rows, lambda w: w[:, :, 0]).collect()
+    assert signal.infer_windows(rows.limit(0), lambda w: w[:, :, 0]).collect() == []
+
+
+def test_copy_names_beyond_two_digits(spark):
+    rows = spark.createDataFrame([(n,) for n in (0, 8, 9, 98, 99, 998)], "n long").select(text.copy_suffix(F.lit("x"), F.col("n")))
+    assert [r[0] for r in rows.collect()] == ["x copy01", "x copy09", "x copy10", "x copy99", "x copy100", "x copy999"]
