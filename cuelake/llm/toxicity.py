@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +21,8 @@ from cuelake.llm.common import cut, fresh, narrow_cut
 
 #: The model is fitted on at most so many labelled rows, taken by a hash of the id.
 TRAIN_ROWS = 16_000
-#: Words and word stems of the learned lexicon, and documents that must hold one.
-LEXICON_WORDS, LEAST_DOCUMENTS = 3_000, 4
+#: Documents that must hold a word or word stem of the learned lexicon.
+LEAST_DOCUMENTS = 4
 STEM = 5
 TREES, DEPTH = 24, 4
 #: Words between a lexicon word and the second person that it is aimed at.
@@ -83,7 +84,10 @@ class Lexicon:
                 stem_weight = max(stem_weight, value)
             if form in SECOND_PERSON:
                 second.append(k)
-        aimed = sum(any(abs(k - s) <= NEAR for s in second) for k in at) if at and second else 0
+        # both lists ascend, so the first second person from NEAR words before on decides
+        second.append(n + NEAR + 1)
+        aimed = sum(second[bisect_left(second, k - NEAR)] <= k + NEAR for k in at)
+        second.pop()
         capitals = len(_CAPITALS.findall(text))
         shouted = len(_SHOUTED.findall(text))
         marks = len(_MARKS.findall(text))
@@ -118,15 +122,15 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_lexicon(sample: DataFrame) -> Lexicon:
     """Words and stems that toxic rows of the sample (y, text) hold far oftener than others.
 
-    Weights are smoothed log odds; a word needs LEAST_DOCUMENTS documents and odds of e**2 at least.
+    Weights are smoothed log odds; a word needs LEAST_DOCUMENTS documents and odds of e**2 at least. The sample's rows
+    (TRAIN_ROWS at most) bound the lexicon, which goes to the driver whole.
     """
     sizes = sample.groupBy("y").count().collect()  # two rows
     n = {r["y"]: r["count"] for r in sizes}
     odds = F.log((F.col("bad") + 0.5) / (n.get(1, 0) + 1)) - F.log((F.col("all") - F.col("bad") + 0.5) / (n.get(0, 0) + 1))
     found = (
         sample.select("y", "text").mapInArrow(_terms, "kind string, term string, y long").groupBy("kind", "term").agg(F.sum("y").alias("bad"), F.count("*").alias("all"))
-        .where(F.col("all") >= LEAST_DOCUMENTS).select("kind", "term", "bad", odds.alias("weight")).where("weight >= 2")
-        .orderBy(F.desc(F.col("weight") * F.sqrt("bad")), "kind", "term").limit(LEXICON_WORDS).collect()
+        .where(F.col("all") >= LEAST_DOCUMENTS).select("kind", "term", "bad", odds.alias("weight")).where("weight >= 2").collect()
     )
     return Lexicon({r["term"]: r["weight"] for r in found if r["kind"] == "w"}, {r["term"]: r["weight"] for r in found if r["kind"] == "s"})
 

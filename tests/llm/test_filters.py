@@ -1,6 +1,8 @@
 """Addresses, benchmark leaks, personal data, searches and models against plain versions."""
 
 import datetime as dt
+import random
+import time
 import math
 import random
 import re
@@ -312,3 +314,17 @@ def test_pii_long_values_depend_on_every_character():
     assert changed[0] == p.text(value, pii.HEX, "t") and len({c[:512] for c in changed}) == 3 and len({c[-512:] for c in changed}) == 3
     mixed = [p.mixed(v, "t") for v in ("Ab1-" * 300, "Bb1-" * 1 + "Ab1-" * 299)]
     assert all(m[3::4] == "-" * 300 and m[0::4].isupper() and m[2::4].isdigit() for m in mixed) and mixed[0][-400:] != mixed[1][-400:]
+
+
+def test_toxicity_aims_like_a_plain_comparison():
+    rng = random.Random(3)
+    lexicon = toxicity.Lexicon({"vile": 3.0, "fool": 2.5}, {"stupi": 2.2})
+    for _ in range(300):
+        words = rng.choices(["vile", "fool", "you", "dich", "word", "f00l", "stupidly", "A"], weights=[1, 1, 1, 1, 9, 1, 1, 3], k=rng.randrange(0, 60))
+        got = dict(zip(toxicity.NAMES, lexicon.features(" ".join(words)), strict=True))
+        forms = [toxicity.plain_form(w.lower())[0] for w in words]
+        at, second = [k for k, w in enumerate(forms) if w in lexicon.words], [k for k, w in enumerate(forms) if w in toxicity.SECOND_PERSON]
+        assert got["hits"] == len(at) and got["aimed"] == sum(any(abs(k - s) <= toxicity.NEAR for s in second) for k in at)
+    began = time.time()
+    assert dict(zip(toxicity.NAMES, lexicon.features("you vile word " * 333_333), strict=True))["aimed"] == 333_333
+    assert time.time() - began < 20
