@@ -184,9 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most TRAIN_ROWS documents of labels; a fifth of them is kept for the calibration.
 
     Null ids and labels are left out, null texts count as empty; of repeated ids one row is taken. If one class
-    is absent, every score is that class, or 0 without any labelled document. The lexicon holds the
-    LEXICON_WORDS terms of most weight among those that qualify; that bounds the model, not the rows, and left
-    none out where it was measured (720 terms qualify on 10,000 documents, 2,913 on 51,282).
+    is absent, every score is that class, or 0 without any labelled document. The lexicon holds
+    every term that qualifies (720 on 10,000 documents, 2,913 on 51,282).
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("long").alias("y"))
     chosen = known.orderBy(F.xxhash64("_id", F.lit(5)), "_id").limit(TRAIN_ROWS)

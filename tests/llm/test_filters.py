@@ -1,11 +1,10 @@
 """Addresses, benchmark leaks, personal data, searches and models against plain versions."""
 
 import datetime as dt
-import random
-import time
 import math
 import random
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
