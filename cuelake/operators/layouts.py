@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuelake.operators.trees import above
+from cuelake.session import cut
+
 # fixed values: a layout document's fields, and the bounds of a split's ratio
 LAYOUT_XML = "focused string, panels struct<panel: array<struct<_id: string, _type: string>>>, nodes struct<node: array<struct<_id: string, _parent: string, _kind: string, _axis: string, _ratio: double, _tabs: string>>>"
 RATIO = (0.05, 0.95)
@@ -15,10 +18,10 @@ RATIO = (0.05, 0.95)
 def parse_layouts(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, panels, tabs) of XML documents (doc, xml); a null or blank document has none.
 
-    nodes: (doc, id, parent, kind, axis, ratio), panels: (doc, id, type), tabs: (doc, area, panel).
+    nodes: (doc, id, parent, kind, axis, ratio, place), place being the number in the document, panels: (doc, id, type), tabs: (doc, area, panel).
     """
     read = files.where("trim(xml) <> ''").select("doc", F.from_xml(F.col("xml"), F.lit(LAYOUT_XML)).alias("x"))
-    nodes = read.select("doc", F.explode("x.nodes.node").alias("n")).select("doc", F.col("n._id").alias("id"), F.nullif(F.col("n._parent"), F.lit("")).alias("parent"), F.col("n._kind").alias("kind"), F.col("n._axis").alias("axis"), F.col("n._ratio").alias("ratio"), F.col("n._tabs").alias("_tabs"))
+    nodes = read.select("doc", F.posexplode("x.nodes.node").alias("place", "n")).select("doc", "place", F.col("n._id").alias("id"), F.nullif(F.col("n._parent"), F.lit("")).alias("parent"), F.col("n._kind").alias("kind"), F.col("n._axis").alias("axis"), F.col("n._ratio").alias("ratio"), F.col("n._tabs").alias("_tabs"))
     panels = read.select("doc", F.explode("x.panels.panel").alias("p")).select("doc", F.col("p._id").alias("id"), F.col("p._type").alias("type"))
     tabs = nodes.where("kind = 'area'").select("doc", F.col("id").alias("area"), F.explode(F.filter(F.split(F.coalesce("_tabs", F.lit("")), " "), lambda x: x != "")).alias("panel"))
     return nodes.drop("_tabs"), panels, tabs
@@ -51,3 +54,95 @@ def problems(nodes: DataFrame, panels: DataFrame, tabs: DataFrame) -> DataFrame:
         told(roots, "root"), told(orphans, "root"),
     ]
     return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _followed(held: DataFrame, step, goes_on: Column) -> DataFrame:
+    """held (doc, id, up, ...) with up followed by doubling its distance: step(joined) where up is another row's id.
+
+    goes_on: which rows can be stepped over. Ends after as many rounds as the number of rows has binary digits, also on cycles.
+    """
+    n, reach = held.count(), 1
+    while reach <= n:
+        over = held.where(goes_on).select("doc", F.col("id").alias("up"), F.struct(*[c for c in held.columns if c not in ("doc", "id")]).alias("_o"))
+        joined = held.join(over, ["doc", "up"], "left")
+        if joined.where("_o is not null").isEmpty():
+            return held
+        held = cut(step(joined))
+        reach *= 2
+    return held
+
+
+def rectangles(nodes: DataFrame) -> DataFrame:
+    """(doc, id, kind, x, y, width, height): where each node lies in the unit square.
+
+    A split hands its first child (by place) the ratio of its width (axis x) or height (y), the other the rest. Each node's
+    map to its parent is composed with the parent's own, at doubled distances, so deep layouts take few rounds. Nodes with
+    an unknown parent lie like roots; a null ratio is a half.
+    """
+    split = nodes.where("kind = 'split'").select("doc", F.col("id").alias("parent"), F.col("axis").alias("_axis"), F.coalesce("ratio", F.lit(0.5)).alias("_r"))
+    first = F.row_number().over(Window.partitionBy("doc", "parent").orderBy("place", "id")) == 1
+    rows = nodes.join(split, ["doc", "parent"], "left").withColumn("_first", first)
+    size = lambda axis: F.when(F.col("_axis") == axis, F.when(F.col("_first"), F.col("_r")).otherwise(1 - F.col("_r"))).otherwise(F.lit(1.0))
+    start = lambda axis: F.when((F.col("_axis") == axis) & ~F.col("_first"), F.col("_r")).otherwise(F.lit(0.0))
+    up = F.when(F.col("_r").isNotNull(), F.col("parent"))
+    own = cut(rows.select("doc", "id", up.alias("up"), start("x").alias("x"), start("y").alias("y"), size("x").alias("width"), size("y").alias("height")))
+
+    def composed(j: DataFrame) -> DataFrame:
+        o, there = F.col("_o"), F.col("_o").isNotNull()
+        within = lambda at, size: F.when(there, o[at] + o[size] * F.col(at)).otherwise(F.col(at)).alias(at)
+        scaled = lambda size: F.when(there, o[size] * F.col(size)).otherwise(F.col(size)).alias(size)
+        return j.select("doc", "id", o["up"].alias("up"), within("x", "width"), within("y", "height"), scaled("width"), scaled("height"))
+
+    found = _followed(own, composed, F.lit(True)).drop("up")
+    return nodes.select("doc", "id", "kind").join(found, ["doc", "id"])
+
+
+def pruned(nodes: DataFrame, tabs: DataFrame, fallback: str | int) -> DataFrame:
+    """The nodes of each layout without its empty areas; a split with one child left gives its place to it.
+
+    tabs: (doc, area, panel). A layout with no panel at all becomes one area, the fallback.
+    """
+    key = lambda c: F.struct(F.col("doc"), F.col(c).alias("id"))
+    keyed = nodes.select(key("id").alias("id"), F.when(F.col("parent").isNotNull(), key("parent")).alias("parent"))
+    filled = nodes.where("kind = 'area'").join(tabs.select("doc", F.col("area").alias("id")).distinct(), ["doc", "id"], "left_semi")
+    stay = above(keyed, filled.select(key("id").alias("id"))).select("id.doc", "id.id")
+    kept = nodes.join(stay, ["doc", "id"], "left_semi")
+    children = kept.where("parent is not null").groupBy("doc", F.col("parent").alias("id")).agg(F.count("*").alias("_n"))
+    held = kept.join(children, ["doc", "id"], "left").select("doc", "id", F.col("parent").alias("up"), "place", (F.coalesce("_n", F.lit(0)) == 1).alias("single"))
+
+    def over(j: DataFrame) -> DataFrame:
+        there, o = F.col("_o").isNotNull(), F.col("_o")
+        return j.select("doc", "id", F.when(there, o["up"]).otherwise(F.col("up")).alias("up"), F.when(there, o["place"]).otherwise(F.col("place")).alias("place"), "single")
+
+    moved = _followed(cut(held), over, F.col("single")).where("not single").select("doc", "id", F.col("up").alias("_up"), F.col("place").alias("_place"))
+    names = {"parent": F.col("_up"), "place": F.col("_place")}
+    out = kept.join(moved, ["doc", "id"]).select(*[names.get(c, F.col(c)).alias(c) for c in nodes.columns])
+    kinds = dict(nodes.dtypes)
+    alone = {"doc": F.col("doc"), "id": F.lit(fallback), "kind": F.lit("area"), "place": F.lit(0)}
+    empty = nodes.select("doc").distinct().join(out.select("doc").distinct(), "doc", "left_anti")
+    return out.unionByName(empty.select(*[alone.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in nodes.columns]))
+
+
+def with_ratios(nodes: DataFrame, changes: DataFrame) -> DataFrame:
+    """Splits named in changes (doc, split, ratio) get that ratio; areas and unknown names stay."""
+    news = changes.select("doc", F.col("split").alias("id"), F.col("ratio").alias("_ratio"))
+    set_ = F.when((F.col("kind") == "split") & F.col("_ratio").isNotNull(), F.col("_ratio")).otherwise(F.col("ratio"))
+    return nodes.join(news, ["doc", "id"], "left").withColumn("ratio", set_).select(*nodes.columns)
+
+
+def with_areas(nodes: DataFrame, changes: DataFrame) -> DataFrame:
+    """Areas named in changes (doc, area, split, axis, ratio, added, leads) are replaced by a split of themselves and a
+    new area, which comes first if leads is true. Each area may be named once; unknown ones change nothing."""
+    at = nodes.where("kind = 'area'").select("doc", F.col("id").alias("area"), F.col("parent").alias("_parent"), F.col("place").alias("_place"))
+    real = changes.join(at, ["doc", "area"])
+    none, kinds = F.lit(None), dict(nodes.dtypes)
+
+    def rows(**have: Column) -> DataFrame:
+        return real.select(*[have.get(c, none).cast(kinds[c]).alias(c) for c in nodes.columns])
+
+    doc, first, second = F.col("doc"), F.lit(0), F.lit(1)
+    split = rows(doc=doc, id=F.col("split"), parent=F.col("_parent"), kind=F.lit("split"), axis=F.col("axis"), ratio=F.col("ratio"), place=F.col("_place"))
+    added = rows(doc=doc, id=F.col("added"), parent=F.col("split"), kind=F.lit("area"), place=F.when(F.col("leads"), first).otherwise(second))
+    moved = rows(doc=doc, id=F.col("area"), parent=F.col("split"), kind=F.lit("area"), place=F.when(F.col("leads"), second).otherwise(first))
+    rest = nodes.join(real.select("doc", F.col("area").alias("id")), ["doc", "id"], "left_anti").select(*nodes.columns)
+    return rest.unionByName(split).unionByName(added).unionByName(moved)

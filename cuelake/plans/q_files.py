@@ -108,6 +108,32 @@ def tree_layout(spark, sf):
     return placed.groupBy("doc").agg(F.count_if(F.col("kind") == "area").alias("areas"), F.count_if(F.col("kind") == "split").alias("splits"), F.max("depth").alias("depth"))
 
 
+@query("tree_layout_rects", """WITH RECURSIVE d AS (SELECT c_custkey AS doc FROM customer),
+n AS (SELECT doc, i AS id, CASE WHEN i > 1 THEN i // 2 END AS parent, i % 2 = 0 AS first, i < 4 AS split, CASE WHEN (doc + i) % 2 = 0 THEN 'x' ELSE 'y' END AS axis, CASE WHEN i = 3 AND doc % 5 = 0 THEN 0.25 ELSE 0.1 + (doc * i % 8) / 10.0 END AS ratio FROM d, range(1, 8) r(i) WHERE NOT (doc % 4 = 0 AND i = 4)
+    UNION ALL SELECT doc, 8, 2, TRUE, TRUE, 'y', 0.3 FROM d WHERE doc % 4 = 0 UNION ALL SELECT doc, 9, 8, TRUE, FALSE, NULL, NULL FROM d WHERE doc % 4 = 0 UNION ALL SELECT doc, 4, 8, FALSE, FALSE, NULL, NULL FROM d WHERE doc % 4 = 0),
+t AS (SELECT doc, id FROM n WHERE NOT split AND doc % 7 > 0 AND (id = 9 OR (doc + id) % 3 > 0)),
+k AS (SELECT doc, id FROM t UNION SELECT n.doc, n.parent FROM k JOIN n ON n.doc = k.doc AND n.id = k.id WHERE n.parent IS NOT NULL),
+c AS (SELECT n.doc, n.parent AS id, count(*) AS kids FROM n JOIN k USING (doc, id) WHERE parent IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT n.doc, n.id, CAST(0 AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, CAST(1 AS DOUBLE) AS w, CAST(1 AS DOUBLE) AS h FROM n JOIN k USING (doc, id) WHERE parent IS NULL
+    UNION ALL SELECT n.doc, n.id, CASE WHEN kids = 2 AND p.axis = 'x' AND NOT n.first THEN r.x + r.w * p.ratio ELSE r.x END, CASE WHEN kids = 2 AND p.axis = 'y' AND NOT n.first THEN r.y + r.h * p.ratio ELSE r.y END,
+        CASE WHEN kids = 2 AND p.axis = 'x' THEN r.w * CASE WHEN n.first THEN p.ratio ELSE 1 - p.ratio END ELSE r.w END, CASE WHEN kids = 2 AND p.axis = 'y' THEN r.h * CASE WHEN n.first THEN p.ratio ELSE 1 - p.ratio END ELSE r.h END
+    FROM r JOIN n ON n.doc = r.doc AND n.parent = r.id JOIN k ON k.doc = n.doc AND k.id = n.id JOIN n p ON p.doc = r.doc AND p.id = r.id JOIN c ON c.doc = r.doc AND c.id = r.id)
+SELECT doc, id, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS width, round(h, 6) AS height FROM r JOIN n USING (doc, id) WHERE NOT split UNION ALL SELECT doc, 0, 0, 0, 1, 1 FROM d WHERE doc % 7 = 0""")
+def tree_layout_rects(spark, sf):
+    """Three levels of splits for each customer; some areas are split, some ratios set, empty areas pruned."""
+    i, doc = F.col("id"), F.col("doc")
+    ids = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(7).cast("long")))
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc")).select("doc", ids.alias("id"))
+    split = i < 4
+    nodes = rows.select("doc", "id", F.when(i > 1, F.floor(i / 2)).alias("parent"), F.when(split, "split").otherwise("area").alias("kind"), F.when(split, F.when((doc + i) % 2 == 0, "x").otherwise("y")).alias("axis"), F.when(split, 0.1 + (doc * i % 8) / 10).alias("ratio"), i.alias("place"))
+    more = rows.where("id = 4 and doc % 4 = 0").select("doc", i.alias("area"), F.lit(8).alias("split"), F.lit("y").alias("axis"), F.lit(0.3).alias("ratio"), F.lit(9).alias("added"), F.lit(True).alias("leads"))
+    nodes = layouts.with_areas(nodes, more)
+    nodes = layouts.with_ratios(nodes, rows.where("id = 3 and doc % 5 = 0").select("doc", i.alias("split"), F.lit(0.25).alias("ratio")))
+    tabs = nodes.where("kind = 'area' and doc % 7 > 0 and (id = 9 or (doc + id) % 3 > 0)").select("doc", i.alias("area"), F.lit("p").alias("panel"))
+    out = layouts.rectangles(layouts.pruned(nodes, tabs, 0)).where("kind = 'area'")
+    return out.select("doc", "id", *[F.round(c, 6).alias(c) for c in ("x", "y", "width", "height")])
+
+
 # ---- sinks -----------------------------------------------------------------------------------
 
 
