@@ -32,6 +32,13 @@ def layout_xml(panels: Column, nodes: Column, focused: Column) -> Column:
     return F.to_xml(F.struct(focused.alias("focused"), F.struct(panels.alias("panel")).alias("panels"), F.struct(nodes.alias("node")).alias("nodes")))
 
 
+def valid(files: DataFrame) -> DataFrame:
+    """The documents (doc, xml) that break no rule and can be written; one without a node has no root and can't."""
+    nodes, panels, tabs = parse_layouts(files)
+    bad = problems(nodes, panels, tabs).select("doc").distinct()
+    return files.join(nodes.select("doc").distinct(), "doc", "left_semi").join(bad, "doc", "left_anti")
+
+
 def problems(nodes: DataFrame, panels: DataFrame, tabs: DataFrame) -> DataFrame:
     """(doc, problem): every rule that a layout breaks.
 

@@ -83,10 +83,17 @@ def src_layout_xml(spark, sf):
     return joined(nodes, "id", "nodes").join(joined(panels, "id", "panels"), "doc").join(joined(tabs, "panel", "tabs"), "doc").join(ratio, "doc")
 
 
-@query("sink_layout_xml", "SELECT c_custkey AS doc, 3 AS nodes, 2 AS panels, TRUE AS focused FROM customer")
+@query("sink_layout_xml", "SELECT c_custkey AS doc, 'a b s' AS nodes, 2 AS panels, 'p' AS focused, c_custkey % 18 = 0 AS rewritten FROM customer WHERE c_custkey % 9 = 0")
 def sink_layout_xml(spark, sf):
-    back = F.from_xml(F.col("xml"), F.lit(layouts.LAYOUT_XML))
-    return _layouts(spark, sf).select("doc", back.alias("x")).select("doc", F.size("x.nodes.node").alias("nodes"), F.size("x.panels.panel").alias("panels"), (F.col("x.focused") == "p").alias("focused"))
+    """Written as a version and read back; layouts with a fault never get there."""
+    folder, files = sinks.shared_folder(spark, "layouts"), _layouts(spark, sf)
+    commits.commit(layouts.valid(files), folder)
+    held = commits.read(spark, folder)
+    changed = held.withColumn("xml", F.when(F.col("doc") % 2 == 0, F.replace("xml", F.lit("0.5"), F.lit("0.25"))).otherwise(F.col("xml")))
+    commits.commit(changed, folder, expect=0)
+    back = commits.read(spark, folder).select("doc", F.from_xml(F.col("xml"), F.lit(layouts.LAYOUT_XML)).alias("x"))
+    ratio = F.exists("x.nodes.node", lambda n: n["_ratio"] == 0.25)
+    return back.select("doc", F.array_join(F.array_sort("x.nodes.node._id"), " ").alias("nodes"), F.size("x.panels.panel").alias("panels"), F.col("x.focused").alias("focused"), F.coalesce(ratio, F.lit(False)).alias("rewritten"))
 
 
 @query("chk_referential", """SELECT c_custkey AS doc, problem FROM customer, (VALUES (1, 'split'), (2, 'root'), (3, 'split'), (4, 'docked'), (5, 'node'), (6, 'unknown'), (7, 'docked'), (8, 'panel')) v(k, problem) WHERE c_custkey % 9 = k""")

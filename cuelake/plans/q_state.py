@@ -114,9 +114,9 @@ def agg_subtree_any(spark, sf):
     return trees.ancestors(nodes).join(nodes.select("id", "name"), "id").groupBy(F.col("ancestor").alias("id")).agg(F.bool_or(F.col("name").like("%77%")).alias("any"))
 
 
-@query("flt_keyword_all", f"WITH RECURSIVE {_UP} SELECT o_orderkey FROM orders JOIN up ON up.id = 'c:' || o_custkey WHERE ancestor IN ('r:1', 'n:7') GROUP BY 1 HAVING count(DISTINCT ancestor) = (SELECT count(*) FROM tree WHERE id IN ('r:1', 'n:7') AND id = 'r:1' OR id = 'n:7')")
+@query("flt_keyword_all", f"WITH RECURSIVE {_UP} SELECT o_orderkey FROM orders JOIN up ON up.id = 'c:' || o_custkey WHERE ancestor IN ('r:2', 'n:7') GROUP BY 1 HAVING count(DISTINCT ancestor) = 2")
 def flt_keyword_all(spark, sf):
-    wanted = F.array(F.lit("r:1"), F.lit("n:7"))
+    wanted = F.array(F.lit("r:2"), F.lit("n:7"))
     have = trees.ancestors(tree(spark, sf)).groupBy("id").agg(F.collect_set("ancestor").alias("a"))
     return table(spark, sf, "orders").withColumn("id", F.concat(F.lit("c:"), "o_custkey")).join(have.where(F.size(F.array_except(wanted, "a")) == 0), "id", "left_semi").select("o_orderkey")
 
