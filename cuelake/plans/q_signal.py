@@ -173,12 +173,11 @@ def agg_event_features(spark, sf):
     )
 
 
-@query("sig_window_stitch", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64)
+@query("sig_window_stitch", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN vec_id % 3 = 0 THEN 0 ELSE CAST(x AS DOUBLE) END) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64)
 SELECT vec_id % 10 AS context, CAST((vec_id // 10) * 32 + i AS BIGINT) AS frame, round(CASE WHEN list_min(e) < 0 OR list_max(e) > 1 THEN 1 / (1 + exp(-e[17 + i])) ELSE e[17 + i] END, 6) AS p FROM v, range(32) t(i)""")
 def sig_window_stitch(spark, sf):
     """Every third window is all zeros, hence no log odds."""
-    scale = F.when(F.col("vec_id") % 3 == 0, 0.0).otherwise(1.0)
-    values = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * scale)
+    values = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(F.col("vec_id") % 3 == 0, 0.0).otherwise(x))
     rows = table(spark, sf, "embeddings").where("size(embedding) = 64").select((F.col("vec_id") % 10).alias("context"), F.expr("vec_id div 10").alias("window_no"), values.alias("values"))
     return signal.stitch_windows(rows, stride=32, head=16).select("context", "frame", F.round("p", 6).alias("p"))
 
