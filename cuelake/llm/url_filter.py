@@ -72,6 +72,12 @@ def resolve(base: Column, to: Column) -> Column:
     )
 
 
+def _step(rows: DataFrame, **columns: Column) -> DataFrame:
+    """A projection that stands by itself: the optimiser would put its expressions into every place where a later
+    step or filter names its columns, and texts that are taken apart in steps would multiply."""
+    return rows.select(F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def html_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst) addresses: each page and the targets of its canonical links and refresh redirects.
 
@@ -79,18 +85,21 @@ def html_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     those for & < > " and ' are undone. Pages without such a link give no row.
     """
     html, url = F.col(html_col), F.col(url_col)
-    every = lambda tag: F.regexp_extract_all(html, F.lit(tag), F.lit(0))
-    rel = r"(?is)<link\b[^>]*(?<![\w-])rel\s*=\s*(?:\"(?:[^\">]*\s)?canonical[\s\"]|'(?:[^'>]*\s)?canonical[\s']|canonical(?=[\s/>]))[^>]*>"
-    canonical = F.transform(every(rel), lambda tag: _attribute(tag, "href"))
-    refresh = r"(?is)<meta\b[^>]*(?<![\w-])http-equiv\s*=\s*[\"']?\s*refresh\b[^>]*>"
+    rel = r"<link\b[^>]*(?<![\w-])rel\s*=\s*(?:\"(?:[^\">]*\s)?canonical[\s\"]|'(?:[^'>]*\s)?canonical[\s']|canonical(?=[\s/>]))[^>]*>"
+    refresh = r"<meta\b[^>]*(?<![\w-])http-equiv\s*=\s*[\"']?\s*refresh\b[^>]*>"
     # seconds, then a url that may be named and quoted
     told = r"(?is)^\s*(?:[\d.]+\s*[;,\s]\s*(?:url\s*=\s*)?|[;,]?\s*url\s*=\s*)(?:\"([^\"]*)|'([^']*)|(.*))"
-    contents = F.transform(every(refresh), lambda tag: _attribute(tag, "content"))
-    redirect = F.transform(contents, lambda content: F.trim(F.concat(*[F.regexp_extract(content, told, k) for k in (1, 2, 3)])))
-    base = _attribute(F.regexp_extract(html, r"(?is)<base\b[^>]*(?<![\w-])href\s*=[^>]*>", 0), "href")
-    found = pages.where(html.rlike("(?i)canonical|http-equiv")).select(url.alias("url"), base.alias("base"), F.explode(F.array_distinct(F.concat(canonical, redirect))).alias("to"))
-    based = found.select("url", F.coalesce(resolve(F.col("url"), F.col("base")), F.col("url")).alias("base"), "to")
-    links = based.select(address_of(F.col("url")).alias("src"), address_of(resolve(F.col("base"), F.col("to"))).alias("dst"))
+    base = F.regexp_extract(html, r"(?is)<base\b[^>]*(?<![\w-])href\s*=[^>]*>", 0)
+    tags = F.regexp_extract_all(html, F.lit(f"(?is){rel}|{refresh}"), F.lit(0))
+    marked = pages.where(html.rlike("(?i)canonical|http-equiv")).select(url.alias("url"), base.alias("base"), tags.alias("tags"))
+    found = marked.select("url", "base", F.explode("tags").alias("tag"))
+    u, to = F.col("url"), F.col("to")
+    is_link = F.lower(F.substring("tag", 1, 5)) == "<link"
+    named = _step(found, url=u, base=_attribute(F.col("base"), "href"), is_link=is_link, to=F.when(is_link, _attribute(F.col("tag"), "href")).otherwise(_attribute(F.col("tag"), "content")))
+    redirect = F.trim(F.concat(*[F.regexp_extract(to, told, k) for k in (1, 2, 3)]))
+    based = _step(named, url=u, base=F.coalesce(resolve(u, F.col("base")), u), to=F.when(F.col("is_link"), to).otherwise(redirect))
+    resolved = _step(based, url=u, to=resolve(F.col("base"), to))
+    links = _step(resolved, src=address_of(u), dst=address_of(to))
     return links.where("src is not null and dst is not null and src <> dst").distinct()
 
 
@@ -131,9 +140,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
         more = redirects.select(address_of(F.col("src")).alias("src"), address_of(F.col("dst")).alias("dst"))
         links = more if links is None else links.unionByName(more)
     out = places.join(own.withColumnRenamed("verdict", told), row, "left")
-    if links is None:
+    groups = None if links is None else components(links)
+    if groups is None or groups.isEmpty():  # no aliases: every verdict is the page's own
         return out.select(*keep, "host", "path", "rule", F.lit(None).cast("string").alias("alias_group"), F.coalesce(told, F.lit(default)).alias("verdict"))
-    groups = components(links)
     nodes = groups.select("node", "component", host_of(F.concat(F.lit("x://"), F.col("node"))).alias("host"), path_of(F.concat(F.lit("x://"), F.col("node"))).alias("path"))
     decided = (
         nodes.join(match_rules(nodes, rules, "node"), "node")
