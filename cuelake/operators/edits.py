@@ -91,6 +91,39 @@ def split_stacks(stacks: DataFrame, chosen: DataFrame, order: str = "ord", drop:
     return _as_stacks(both.withColumn("_old", F.col("stack")).withColumn("_part", part), ["board", "_old", "_part"], order)
 
 
+def visible_rows(rows: DataFrame, stacks: DataFrame, order: str = "ord", ends: tuple[str, ...] = ("end",)) -> DataFrame:
+    """The rows (board, item, ...) that a board shows: of a collapsed stack its first item alone, with the ends of its
+    last one; all others as they are.
+
+    stacks: (board, stack, ord, item, expanded); null counts as collapsed. A last item without a row leaves the first
+    one's ends, a first item without a row hides the stack. Stacks don't share items.
+    """
+    closed = stacks.where(~F.coalesce("expanded", F.lit(False)))
+    edges = closed.groupBy("board", "stack").agg(F.min_by("item", order).alias("_first"), F.max_by("item", order).alias("_last"))
+    members = closed.select("board", "item", F.col("stack").alias("_stack")).distinct()
+    placed = rows.join(members, ["board", "item"], "left").join(edges.withColumnRenamed("stack", "_stack"), ["board", "_stack"], "left")
+    shown = placed.where((F.col("_stack").isNull()) | (F.col("item") == F.col("_first")))
+    wanted = edges.select("board", F.col("_last").alias("item")).distinct()
+    last = rows.join(wanted, ["board", "item"], "left_semi").groupBy("board", F.col("item").alias("_last")).agg(F.first(F.struct(*ends)).alias("_ends"))
+    out = shown.join(last, ["board", "_last"], "left")
+    return out.select(*[F.when(F.col("_ends").isNotNull(), F.col(f"_ends.{c}")).otherwise(F.col(c)).alias(c) if c in ends else F.col(f"`{c}`") for c in rows.columns])
+
+
+def visible_selection(selection: DataFrame, stacks: DataFrame, order: str = "ord") -> DataFrame:
+    """The selected (board, item), members of a collapsed stack stood for by its first item; each once."""
+    closed = stacks.where(~F.coalesce("expanded", F.lit(False)))
+    edges = closed.groupBy("board", "stack").agg(F.min_by("item", order).alias("_first"))
+    stands = closed.join(edges, ["board", "stack"]).select("board", "item", "_first").distinct()
+    return selection.join(stands, ["board", "item"], "left").select("board", F.coalesce("_first", "item").alias("item")).distinct()
+
+
+def selected_members(selection: DataFrame, stacks: DataFrame) -> DataFrame:
+    """The (board, item) that an edit of the selection reaches: a member of a collapsed stack stands for all of them."""
+    closed = stacks.where(~F.coalesce("expanded", F.lit(False))).select("board", "stack", "item").distinct()
+    hit = closed.join(selection, ["board", "item"], "left_semi").select("board", "stack").distinct()
+    return selection.select("board", "item").unionByName(closed.join(hit, ["board", "stack"], "left_semi").select("board", "item")).distinct()
+
+
 def set_enabled(items: DataFrame, chosen: DataFrame, enabled: bool) -> DataFrame:
     """Items (id, kind, bound_to, enabled) after the chosen ids were switched, with a flag `changed`.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["q_text", "q_signal", "q_time", "q_math", "q_joins", "q_rows", "q_state", "q_edits", "q_files", "q_replay", "q_bins"]
+MODULES = ["q_text", "q_signal", "q_time", "q_math", "q_joins", "q_rows", "q_state", "q_edits", "q_files", "q_replay", "q_bins", "q_items"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
