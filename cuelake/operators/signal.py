@@ -13,10 +13,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cuelake.functions.mathx import array_median, beta_calibrate, logit, sigmoid
+from cuelake.functions.mathx import beta_calibrate, logit, sigmoid
 from cuelake.operators.documents import FEATURE_ORDER, MODEL_KEYS
 from cuelake.session import cut
 
@@ -26,6 +28,8 @@ FEATURES = ["logit", "z", "log_area", "log_width", "concentration", "left_slope"
 
 #: Frames of a block, as a multiple of the window's radius.
 BLOCK_WINDOWS = 40
+#: Numbers that a task sorts at once for windowed medians.
+SLAB_CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -92,21 +96,50 @@ def clean_probability(p: Column) -> Column:
     return F.when(bad, 0.0).otherwise(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
 
 
+def _sliding_medians(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The median of the values up to radius places away, and the median distance from it; windows shrink at the ends.
+
+    A slab of windows is sorted at once, so that memory stays within SLAB_CELLS numbers whatever the radius.
+    """
+    n, width = len(values), 2 * radius + 1
+    # what lies beyond the ends sorts behind every value
+    windows = np.lib.stride_tricks.sliding_window_view(np.pad(values, radius, constant_values=np.inf), width)
+    at = np.arange(n)
+    counts = np.minimum(at, radius) + np.minimum(n - 1 - at, radius) + 1
+    middle, spread = np.empty(n), np.empty(n)
+    for start in range(0, n, max(1, SLAB_CELLS // width)):
+        part = slice(start, start + max(1, SLAB_CELLS // width))
+        rows, low, high = np.arange(len(at[part])), (counts[part] - 1) // 2, counts[part] // 2
+        held = np.sort(windows[part], axis=1)
+        middle[part] = (held[rows, low] + held[rows, high]) / 2
+        held = np.sort(np.abs(windows[part] - middle[part, None]), axis=1)
+        spread[part] = (held[rows, low] + held[rows, high]) / 2
+    return middle, spread
+
+
 def robust_z(series: DataFrame, d: Detector = Detector(), context: str = "context", frame: str = "frame", p: str = "p") -> DataFrame:
     """Adds logit, base (windowed median of p) and z. Windows shrink at the ends.
 
     frame counts a context's rows without a gap. A context is dealt out in blocks of frames, each with the
-    window's frames around it, so that one long recording makes many tasks.
+    window's frames around it, so that one long recording makes many tasks. An input column named like a result is
+    replaced.
     """
     width = BLOCK_WINDOWS * d.window
     block = F.floor(F.col(frame) / width)
-    rows = series.withColumn(p, clean_probability(F.col(p))).withColumn("logit", logit(F.col(p), d.eps))
-    rows = rows.withColumn("_own", block).withColumn("_block", F.explode(F.array_distinct(F.array(*[F.floor((F.col(frame) + k) / width) for k in (-d.window, 0, d.window)]))))
-    near = Window.partitionBy(context, "_block").orderBy(frame).rowsBetween(-d.window, d.window)
-    rows = rows.withColumn("_l", F.collect_list("logit").over(near)).withColumn("_p", F.collect_list(p).over(near)).where("_own = _block")
-    rows = rows.withColumn("_m", array_median(F.col("_l"))).withColumn("base", array_median(F.col("_p")))
-    spread = array_median(F.transform("_l", lambda x: F.abs(x - F.col("_m"))))
-    return rows.withColumn("z", (F.col("logit") - F.col("_m")) / (F.lit(1.4826) * spread + d.eps)).drop("_l", "_p", "_m", "_own", "_block")
+    rows = series.drop("logit", "base", "z").withColumn(p, clean_probability(F.col(p)).cast("double")).withColumn("logit", logit(F.col(p), d.eps))
+    spread = rows.withColumn("_own", block).withColumn("_block", F.explode(F.array_distinct(F.array(*[F.floor((F.col(frame) + k) / width) for k in (-d.window, 0, d.window)]))))
+    names, radius, eps = rows.columns, d.window, d.eps
+
+    def medians(group: pa.Table) -> pa.Table:
+        group = group.sort_by(frame)
+        logits = group["logit"].to_numpy()
+        middle, away = _sliding_medians(logits, radius)
+        base, _ = _sliding_medians(group[p].to_numpy(), radius)
+        told = group.select(names).append_column("base", pa.array(base)).append_column("z", pa.array((logits - middle) / (1.4826 * away + eps)))
+        return told.filter(pc.equal(group["_own"], group["_block"]))
+
+    schema = StructType([*rows.schema.fields, StructField("base", DoubleType()), StructField("z", DoubleType())])
+    return spread.groupBy(context, "_block").applyInArrow(medians, schema)
 
 
 def local_peaks(rows: DataFrame, d: Detector = Detector(), context: str = "context", frame: str = "frame", p: str = "p") -> DataFrame:

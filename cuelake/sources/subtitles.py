@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -100,3 +100,38 @@ def scan(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     notice = F.when(F.col("content").isNull(), "unreadable").when(F.col("n_cues") == 0, "no cues")
     tracks = texts.join(counts, "path", "left").withColumn("n_cues", F.coalesce("n_cues", F.lit(0).cast("long")))
     return cues, tracks.select("path", "codec", "n_cues", notice.alias("notice"))
+
+
+def read_cue_files(spark: SparkSession, folder: str, wanted: DataFrame | None = None, pattern: str = "*") -> DataFrame:
+    """A1: (path, content) of the files below folder whose names fit the pattern; path is relative to the folder.
+
+    wanted (path) names the files to read instead of all; of those that are not there the content is null, and repeated
+    or null paths count once or not at all. Files are listed and read as binary, so none fails for what it holds; one
+    file is one row, which a worker holds whole. Spark lists no empty files, nor those whose name starts with _ or a dot:
+    they count as not there.
+    """
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(folder)
+    root = place.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/") + "/"
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    found = found.select(F.substring(F.col("path"), F.lit(len(root) + 1), F.length("path")).alias("path"), "content")
+    if wanted is None:
+        return found
+    return wanted.select("path").where("path is not null").distinct().join(found, "path", "left")
+
+
+def load_cue_files(spark: SparkSession, folder: str, wanted: DataFrame | None = None, pattern: str = "*") -> tuple[DataFrame, DataFrame]:
+    """A1: (cues, tracks) of the cue files below a folder, as scan tells them from read_cue_files.
+
+    A wanted file that is not there, or empty, has the notice 'missing or empty', codec 'unknown' and no cues.
+    """
+    files = read_cue_files(spark, folder, wanted, pattern)
+    cues, tracks = scan(files)
+    gone = F.col("notice").eqNullSafe("unreadable")
+    return cues, tracks.withColumns({"codec": F.when(gone, "unknown").otherwise(F.col("codec")), "notice": F.when(gone, "missing or empty").otherwise(F.col("notice"))})
+
+
+def existing(spark: SparkSession, folder: str, asked: DataFrame, path: str = "path") -> DataFrame:
+    """Asked with exists: whether its path, relative to the folder, names a file below it that read_cue_files lists. No file is opened."""
+    there = read_cue_files(spark, folder).select(F.col("path").alias("_there")).distinct().withColumn("exists", F.lit(True))
+    return asked.drop("exists").join(there, F.col(path) == F.col("_there"), "left").drop("_there").withColumn("exists", F.coalesce("exists", F.lit(False)))

@@ -181,6 +181,30 @@ def test_detector_over_block_edges(spark, monkeypatch):
     assert sorted(map(tuple, signal.robust_z(rows).select("frame", "z", "base").collect())) == want
 
 
+def test_windowed_medians_like_a_plain_search(spark, monkeypatch):
+    import random
+    import statistics
+
+    rng = random.Random(4)
+    rows = [(c, f, rng.choice([0.1, 0.2, rng.random(), None, float("nan"), 7.0]), "x") for c, n in (("a", 1), ("b", 2), ("c", 61), (None, 5)) for f in range(n)]
+    data = spark.createDataFrame(rows, "context string, frame long, p double, base string").repartition(3)
+    d = signal.Detector(window=3)
+    for cells in (1 << 20, 8):  # one slab, a window a slab
+        monkeypatch.setattr(signal, "SLAB_CELLS", cells)
+        out = signal.robust_z(data, d)
+        got = {(r["context"], r["frame"]): r for r in out.collect()}
+        assert len(got) == len(rows) and out.columns.count("base") == 1
+        for c in ("a", "b", "c", None):
+            line = [got[c, f] for f in range(sum(r[0] == c for r in rows))]
+            for k, r in enumerate(line):
+                near = line[max(0, k - 3) : k + 4]
+                middle = statistics.median(x["logit"] for x in near)
+                away = statistics.median(abs(x["logit"] - middle) for x in near)
+                assert r["base"] == pytest.approx(statistics.median(x["p"] for x in near))
+                assert r["z"] == pytest.approx((r["logit"] - middle) / (1.4826 * away + d.eps))
+    assert signal.robust_z(data.limit(0), d).count() == 0
+
+
 def test_model_file_of_a_detector():
     import json
 
