@@ -265,10 +265,20 @@ def str_delivery(spark, sf):
     return delivery.journal(spark, folder).unionByName(wrote.select(F.lit(None).cast("long").alias("event"), one.alias("delivered"), "handled", "ignored", zero.alias("failed")))
 
 
+def _windows(spark: SparkSession, sf: str, slide: str | None = None) -> DataFrame:
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    counted = rules.windowed_counts(events, "event_type", "ts", "1 hour", "10 minutes", slide)
+    return counted.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query("str_tumbling", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY ALL")
 def str_tumbling(spark, sf):
-    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return events.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+    return _windows(spark, sf)
+
+
+@query("str_sliding", "SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS start, count(*) AS n FROM events, range(4) r(k) GROUP BY ALL")
+def str_sliding(spark, sf):
+    return _windows(spark, sf, "15 minutes")
 
 
 @query("str_windows", """WITH s AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS opens FROM events),

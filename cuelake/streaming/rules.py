@@ -244,10 +244,11 @@ def queue_status(log: DataFrame, item: str, order: str, status: str) -> DataFram
     return out.select(item, F.coalesce("_end", "_last").alias(status), "started", "ended", F.coalesce("late", F.lit(0).cast("long")).alias("late"))
 
 
-def windowed_counts(events: DataFrame, key: str, time: str, width: str, late: str) -> DataFrame:
-    """O12 over a table or a stream: (key, start, n) by tumbling windows; a stream drops what is later than `late`
-    behind the newest event that it has seen, and tells a window when that has passed its end."""
-    counted = events.withWatermark(time, late).groupBy(key, F.window(time, width).alias("_w")).agg(F.count("*").alias("n"))
+def windowed_counts(events: DataFrame, key: str, time: str, width: str, late: str, slide: str | None = None) -> DataFrame:
+    """O12 over a table or a stream: (key, start, n) by tumbling windows, or by windows that start every slide; a stream
+    drops what is later than `late` behind the newest event that it has seen, and tells a window when that has passed its
+    end. Events without a time are in no window."""
+    counted = events.withWatermark(time, late).groupBy(key, F.window(time, width, slide).alias("_w")).agg(F.count("*").alias("n"))
     return counted.select(key, F.col("_w.start").alias("start"), "n")
 
 
