@@ -28,6 +28,8 @@ FEATURES = ["logit", "z", "log_area", "log_width", "concentration", "left_slope"
 
 #: Frames of a block, as a multiple of the window's radius.
 BLOCK_WINDOWS = 40
+#: Islands that start within so many frames are read together.
+ISLAND_FRAMES = 4096
 #: Numbers that a task sorts at once for windowed medians.
 SLAB_CELLS = 1 << 20
 
@@ -151,36 +153,57 @@ def local_peaks(rows: DataFrame, d: Detector = Detector(), context: str = "conte
     return marked.where(F.col("_peak") & (F.col(p) >= d.least_p) & (F.col("z") >= d.least_z)).drop("_peak")
 
 
+def _reach(p: np.ndarray, z: np.ndarray, need: float, d: Detector) -> int:
+    """How many places outwards from a peak its event reaches; p and z are those of the rows from the peak on."""
+    last, start, size = -1, 0, 64
+    while start < len(p):
+        part = slice(start, start + size)
+        hits = np.flatnonzero((p[part] >= need) | (z[part] >= d.expand_z)) + start
+        far = np.flatnonzero(np.diff(hits, prepend=last) > d.patience)
+        if len(far):
+            hits = hits[: far[0]]
+        last = int(hits[-1]) if len(hits) else last
+        start, size = min(start + size, len(p)), 2 * size
+        if len(far) or start - 1 - last >= d.patience:
+            break
+    return last + 1
+
+
 def expand_peaks(rows: DataFrame, peaks: DataFrame, d: Detector = Detector()) -> DataFrame:
     """(context, frame, start, end) of each peak: outwards while rows qualify, until `patience` misses in a row.
 
     A row qualifies if p reaches both the floor and a share of the peak's p, or z the floor of z. Rows below
     both floors qualify for no peak, so runs of `patience` of them cut a context into islands that no peak
-    leaves; each peak walks both ways within its island only, as a fold.
+    leaves. Islands with a peak are dealt out by the block of frames in which they start; there each peak looks both
+    ways as far as its event goes, and no row is copied for it.
     """
     order = Window.partitionBy("context").orderBy("frame")
     weak = F.when((F.col("p") >= d.floor) | (F.col("z") >= d.expand_z), 0).otherwise(1)
-    marked = rows.select("context", "frame", "p", "z").withColumn("_weak", weak)
+    top = peaks.select("context", "frame", F.col("p").alias("_peak")).distinct()
+    marked = rows.select("context", "frame", "p", "z").join(top, ["context", "frame"], "left").withColumn("_weak", weak)
     marked = marked.withColumn("_stop", (F.sum("_weak").over(order.rowsBetween(1 - d.patience, 0)) == d.patience).cast("int"))
     marked = marked.withColumn("_island", F.sum("_stop").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    held = marked.groupBy("context", "_island").agg(F.array_sort(F.collect_list(F.struct("frame", "p", "z"))).alias("_rows"))
-    placed = peaks.select("context", "frame", F.col("p").alias("_peak")).join(marked.select("context", "frame", "_island"), ["context", "frame"])
-    both = placed.join(held, ["context", "_island"])
-    need = F.greatest(F.lit(d.floor), F.lit(d.relative) * F.col("_peak"))
-    at = F.expr("array_position(transform(_rows, r -> r.frame), frame)").cast("int")
-    both = both.withColumn("_at", at).withColumn("_need", need)
-
-    def walk(side: str, step: int) -> Column:
-        fold = f"""aggregate({side}, named_struct('last', _at, 'at', _at, 'misses', 0),
-            (s, r) -> if(s.misses >= {d.patience}, s, if(r.p >= _need OR r.z >= {d.expand_z}D,
-                named_struct('last', s.at + {step}, 'at', s.at + {step}, 'misses', 0),
-                named_struct('last', s.last, 'at', s.at + {step}, 'misses', s.misses + 1))), s -> s.last)"""
-        return F.expr(fold)
-
-    left = "if(_at > 1, reverse(slice(_rows, 1, _at - 1)), slice(_rows, 1, 0))"
-    right = "slice(_rows, _at + 1, size(_rows))"
-    ends = both.withColumn("_from", walk(left, -1)).withColumn("_to", walk(right, 1))
-    return ends.select("context", "frame", F.expr("_rows[_from - 1].frame").alias("start"), F.expr("_rows[_to - 1].frame").alias("end"))
+    island = Window.partitionBy("context", "_island")
+    held = marked.withColumns({"_first": F.min("frame").over(island), "_any": F.max("_peak").over(island)}).where("_any is not null")
+    held = held.select("context", "frame", "p", "z", "_peak", "_first", F.floor(F.col("_first") / ISLAND_FRAMES).alias("_block"))
+
+    def ends(group: pa.Table) -> pa.Table:
+        group = group.sort_by("frame")
+        frames, p, z, first = (group[c].to_numpy() for c in ("frame", "p", "z", "_first"))
+        at = np.flatnonzero(pc.is_valid(group["_peak"]).to_numpy())
+        tops = group["_peak"].to_numpy()
+        starts, stops = [], []
+        for k in at:
+            low, high = np.searchsorted(first, first[k], "left"), np.searchsorted(first, first[k], "right")
+            need = max(d.floor, d.relative * tops[k])
+            starts.append(frames[k - _reach(p[low:k][::-1], z[low:k][::-1], need, d)])
+            stops.append(frames[k + _reach(p[k + 1 : high], z[k + 1 : high], need, d)])
+        told = group.select(["context", "frame"]).take(pa.array(at))
+        return told.append_column("start", pa.array(starts, pa.int64())).append_column("end", pa.array(stops, pa.int64()))
+
+    kinds = dict(rows.dtypes)
+    out = held.groupBy("context", "_block").applyInArrow(ends, f"context {kinds['context']}, frame {kinds['frame']}, start long, end long")
+    return out.withColumns({c: F.col(c).cast(kinds["frame"]) for c in ("start", "end")})
 
 
 def merge_intervals(rows: DataFrame, context: str = "context", start: str = "start", end: str = "end") -> DataFrame:

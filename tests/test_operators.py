@@ -205,6 +205,33 @@ def test_windowed_medians_like_a_plain_search(spark, monkeypatch):
     assert signal.robust_z(data.limit(0), d).count() == 0
 
 
+def test_peaks_expand_like_a_plain_walk(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    d = signal.Detector()
+    rows = [(c, f, rng.choice([0.0, 0.01, 0.05, 0.2, 0.9]) if c != "all" else 0.5, rng.choice([-1.0, 0.0, 1.5, 2.0]) if c == "some" else 0.0) for c, n in (("some", 300), ("none", 250), ("all", 700), ("one", 1)) for f in range(n)]
+    data = spark.createDataFrame(rows, "context string, frame long, p double, z double").repartition(3)
+    tops = [(c, f, p) for c, f, p, _ in rows if rng.random() < 0.15 and p > 0.01]
+    want = []
+    for c, f, top in tops:
+        line = [r for r in rows if r[0] == c]
+        ends = []
+        for step in (-1, 1):
+            at, last, misses = f + step, f, 0
+            while 0 <= at < len(line) and misses < d.patience:
+                hit = line[at][2] >= max(d.floor, d.relative * top) or line[at][3] >= d.expand_z
+                last, misses = (at, 0) if hit else (last, misses + 1)
+                at += step
+            ends.append(last)
+        want.append((c, f, *ends))
+    peaks = spark.createDataFrame(tops, "context string, frame long, p double")
+    for frames in (4096, 16):
+        monkeypatch.setattr(signal, "ISLAND_FRAMES", frames)
+        assert sorted(map(tuple, signal.expand_peaks(data, peaks, d).collect())) == sorted(want)
+    assert signal.expand_peaks(data, peaks.limit(0), d).count() == 0 and signal.expand_peaks(data.limit(0), peaks, d).count() == 0
+
+
 def test_model_file_of_a_detector():
     import json
 
