@@ -104,7 +104,7 @@ def dml_annotate_fields(spark, sf):
     out = None
     for field, value in values.items():
         done = annotations.annotate(notes, wanted.withColumn("value", value), field)
-        rows = done.select(F.lit(field).alias("field"), "item", "rating", "retained", "excluded", F.coalesce("colour", F.lit("")).alias("colour"), F.coalesce("label", F.lit("")).alias("label"), F.coalesce("title", F.lit("")).alias("title"), "changed")
+        rows = done.select(F.lit(field).alias("field"), "item", F.col("rating").cast("long").alias("rating"), "retained", "excluded", F.coalesce("colour", F.lit("")).alias("colour"), F.coalesce("label", F.lit("")).alias("label"), F.coalesce("title", F.lit("")).alias("title"), "changed")
         out = rows if out is None else out.unionByName(rows)
     return out
 
