@@ -109,3 +109,29 @@ def test_a_repeated_batch_is_delivered_once(spark, tmp_path):
     told = {r["event"]: tuple(r)[1:] for r in delivery.journal(spark, f"{tmp_path}/out").collect()}
     assert len(told) == delivery.JOURNAL and min(told) == 100
     assert told[299] == (3, 2 if 299 % 3 else 1, 1 if 299 % 3 else 2, 0) and told[120] == (3, 1, 1, 1)
+
+
+def test_jobs_share_the_state_of_their_group(spark, tmp_path, monkeypatch):
+    """State and calls grow with the groups, not with the jobs; each job goes on where it stopped."""
+    monkeypatch.setattr(timed, "GROUPS", 3, raising=False)
+    us, schema = "out_time_us={}".format, "job long, n long, ts timestamp, line string"
+    source = stream(spark, f"{tmp_path}/in", [(k, k, at(k / 10), us(1_000_000 + k)) for k in range(60)] + [(None, None, at(1), us(1))], schema)
+    out = timed.watched_progress(source.withColumn("d", F.lit(10_000_000).cast("long")), "job", "n", "ts", "line", "d")
+
+    def run():
+        q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"])
+
+    assert run() <= 4
+    # even jobs end, the first ten fall silent, the others are told again; what comes after an end is ignored
+    stream(spark, f"{tmp_path}/in", [(k, 100, at(10), "progress=end" if k % 2 == 0 else us(6_000_000)) for k in range(10, 60)] + [(10, 101, at(11), us(9_000_000)), (999, 1, at(32), us(2))], schema)
+    assert run() <= 4
+    got = {}
+    for r in spark.read.parquet(f"{tmp_path}/out").collect():
+        got.setdefault(r["job"], []).append((r["n"], r["kind"], round(r["progress"], 2)))
+    assert len(got) == 62 and got[999] == [(1, "progress", 0.0)]
+    assert sorted(got[None], key=str) == [(None, "progress", 0.0), (None, "stalled", 0.0)]
+    for k in range(60):
+        want = [(k, "progress", 0.1)] + ([(None, "stalled", 0.1)] if k < 10 else [(100, "end", 0.1)] if k % 2 == 0 else [(100, "progress", 0.6)])
+        assert sorted(got[k], key=str) == sorted(want, key=str), k
