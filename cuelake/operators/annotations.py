@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from cuelake.functions.mathx import half_up, rating
 from cuelake.operators.edits import assign_keywords
@@ -107,13 +108,34 @@ def _held_gone(rows: DataFrame, key: str, held: Column, gone: DataFrame) -> Data
     return rows.join(each.groupBy(key).agg(F.collect_set("id").alias("_gone")), key, "left")
 
 
+def gone_keywords(nodes: DataFrame, removed: DataFrame) -> DataFrame:
+    """(id): the removed (id) nodes and all below them in nodes (id, parent, ...); an id that is no node removes nothing."""
+    return reached(nodes.select("id", "parent"), removed.select("id").join(nodes.select("id"), "id", "left_semi").distinct())
+
+
+def mark_uses(uses: DataFrame, gone: DataFrame) -> DataFrame:
+    """Uses (board, keyword, ...) with a flag `gone`: whether the keyword is one of gone (id).
+
+    Boards as rows, the form for boards with very many keywords: one is dealt out over many tasks and no array of it is made.
+    """
+    ids = gone.select(F.col("id").alias("keyword"), F.lit(True).alias("gone")).distinct()
+    return uses.drop("gone").join(ids, "keyword", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+
+
+@F.udf(ArrayType(IntegerType()), useArrow=True)
+def _places_left(names: list[str] | None, gone: list[str] | None) -> list[int]:
+    """The places of the names that are not gone; nulls go too. By hash, as array_contains would compare all with all."""
+    away = {None, *(gone if gone is not None else ())}
+    return [k for k, name in enumerate(names if names is not None else ()) if name not in away]
+
+
 def delete_keywords(nodes: DataFrame, removed: DataFrame, boards: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, boards, annotations) without the removed (id) keywords and all below them in nodes (id, parent, ...).
 
     They leave recents, counters and the keywords of annotations (item, keywords, ...), each with a flag `changed`. An id
-    that is no node removes nothing.
+    that is no node removes nothing. A board is one row here; mark_uses takes boards of any size.
     """
-    gone = reached(nodes.select("id", "parent"), removed.select("id").join(nodes.select("id"), "id", "left_semi").distinct())
+    gone = gone_keywords(nodes, removed)
     left = nodes.join(gone, "id", "left_anti").select(*nodes.columns)
     hit = F.col("_gone").isNotNull()
     rows = _held_gone(annotations, "item", F.col("keywords"), gone).withColumn("changed", hit)
@@ -121,6 +143,12 @@ def delete_keywords(nodes: DataFrame, removed: DataFrame, boards: DataFrame, ann
     rows = rows.select(*[kept.alias(c) if c == "keywords" else F.col(f"`{c}`") for c in annotations.columns], "changed")
     names = F.array_distinct(F.concat(F.coalesce("recents", F.array().cast("array<string>")), F.coalesce(F.map_keys("counters"), F.array().cast("array<string>"))))
     out = _held_gone(boards, "board", names, gone).withColumn("changed", hit)
-    new = {"recents": F.filter("recents", lambda k: ~F.array_contains("_gone", k)), "counters": F.map_filter("counters", lambda k, n: ~F.array_contains("_gone", k))}
+    keys, counts = F.map_keys("counters"), F.map_values("counters")
+    out = out.withColumns({"_recent": _places_left("recents", "_gone"), "_counted": _places_left(keys, "_gone")})
+    taken = lambda values, places: F.transform(places, lambda k: values[k])
+    new = {
+        "recents": F.when(F.col("recents").isNotNull(), taken(F.col("recents"), "_recent")),
+        "counters": F.when(F.col("counters").isNotNull(), F.map_from_arrays(taken(keys, "_counted"), taken(counts, "_counted"))),
+    }
     out = out.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(f"`{c}`") for c in boards.columns], "changed")
     return left, out, rows

@@ -124,3 +124,21 @@ def test_collapsed_stacks(spark):
     assert sorted(map(tuple, edits.visible_selection(picked, stacks).collect())) == [("b", 1), ("b", 6), ("b", 55), ("c", 2)]
     assert sorted(map(tuple, edits.selected_members(picked, stacks).collect())) == [("b", 1), ("b", 2), ("b", 4), ("b", 6), ("b", 55), ("c", 2)]
     assert edits.visible_rows(rows, stacks.limit(0)).count() == 8 and edits.visible_rows(rows.limit(0), stacks).count() == 0
+
+
+def test_keywords_deleted_from_large_boards(spark):
+    """Two hundred thousand keywords a board, half of them deleted: comparing all with all would take hours."""
+    n = 200_000
+    nodes = spark.range(n).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") > 1, (F.col("id") % 2).cast("string")).alias("parent"))
+    names = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: k.cast("string"))
+    one = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: k.cast("long"))
+    boards = spark.range(1).select("id", F.concat(names, F.array(F.lit("3"), F.lit("2"), F.lit("3"))).alias("recents"), F.map_from_arrays(names, one).alias("counters")).withColumnRenamed("id", "board")
+    notes = spark.createDataFrame([], "item string, keywords array<string>")
+    removed = spark.createDataFrame([("0",)], "id string")
+    _, b, _ = annotations.delete_keywords(nodes, removed, boards, notes)
+    sums = b.select(F.size("recents"), F.slice("recents", -2, 2), F.size("counters"), F.aggregate(F.map_values("counters"), F.lit(0).cast("long"), lambda s, x: s + x), "changed")
+    # what is twice in recents stays so
+    assert tuple(sums.first()) == (n // 2 + 2, ["3", "3"], n // 2, n * n // 4, True)
+    uses = nodes.select(F.lit("p").alias("board"), F.col("id").alias("keyword"))
+    marked = annotations.mark_uses(uses.unionByName(spark.createDataFrame([("q", None), ("q", "3")], "board string, keyword string")), annotations.gone_keywords(nodes, removed))
+    assert {r["board"]: (r["n"], r["gone"]) for r in marked.groupBy("board").agg(F.count_if(~F.col("gone")).alias("n"), F.max("gone").alias("gone")).collect()} == {"p": (n // 2, True), "q": (2, False)}
