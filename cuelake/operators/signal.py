@@ -34,6 +34,11 @@ ISLAND_FRAMES = 4096
 SLAB_CELLS = 1 << 20
 
 
+#: Cells of distance frames in a block of suppression, the share of a block that is read on each side of it, and
+#: how much wider the next blocks are.
+SETTLE_CELLS, SETTLE_HALO, SETTLE_GROWTH = 8192, 8, 16
+
+
 @dataclass(frozen=True)
 class Detector:
     """Parameters of the detector."""
@@ -257,16 +262,79 @@ def chains(events: DataFrame, gap: float, context: str = "context", frame: str =
     return marked.withColumn("_chain", F.sum("_far").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_far")
 
 
+def _settle(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+    """Rows by (context, block), those known to stay (_sure) before the others, strongest first: of the others with a frame
+    from _low to _high those that stay (_sure) or are open still. _edge_low, _edge_high: the nearest frames not sent here.
+
+    An event whose stronger neighbours are all refused is kept, one with a kept neighbour is refused; whatever a row beyond the edges or
+    an open event might decide stays open. Kept events are distance apart, so a cell of that many frames holds one.
+    """
+    of, kept, low_open, high_open = None, {}, {}, {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
+        take, sure = [], []
+        for k, (context, block, known, f, low, high, edge_low, edge_high) in enumerate(zip(*(column(n).to_pylist() for n in ("_context", "_block", "_sure", "_frame", "_low", "_high", "_edge_low", "_edge_high")), strict=True)):
+            if of != (context, block):
+                of, kept, low_open, high_open = (context, block), {}, {}, {}
+            c = f // distance
+            if known:
+                kept[c] = f
+                continue
+            if c in kept or f - kept.get(c - 1, f - distance) < distance or kept.get(c + 1, f + distance) - f < distance:
+                continue
+            open_ = c in low_open or f - high_open.get(c - 1, f - distance) < distance or low_open.get(c + 1, f + distance) - f < distance
+            if open_ or f - edge_low < distance or edge_high - f < distance:
+                low_open[c], high_open[c] = min(f, low_open.get(c, f)), max(f, high_open.get(c, f))
+                settled = False
+            else:
+                kept[c], settled = f, True
+            if low <= f < high:
+                take.append(k)
+                sure.append(settled)
+        told = batch.take(pa.array(take, pa.int64()))
+        yield told.set_column(told.schema.get_field_index("_sure"), "_sure", pa.array(sure, pa.bool_()))
+
+
 def suppress(events: DataFrame, distance: int = 3, context: str = "context", score: str = "score", peak: str = "peak", prominence: str = "prominence", frame: str = "frame") -> DataFrame:
-    """Of events nearer than distance the strongest, chosen greedily.
+    """Of events nearer than distance the strongest, chosen greedily; of equals the earliest. Events without a frame go.
 
-    Events of different chains never compete, so a fold covers one chain, not a whole context.
+    Whether an event stays depends on stronger ones nearby only, so a context is dealt out by blocks of frames, each with some
+    of the frames around it. What these don't settle, as strengths rise on and on up to the edge, is dealt out again in
+    blocks SETTLE_GROWTH times as wide, beside what stays for sure; the last block holds the open events of a rise that spans it all.
     """
-    key = F.struct((-F.col(score)).alias("a"), (-F.col(peak)).alias("b"), (-F.col(prominence)).alias("c"), F.col(frame).cast("long").alias("f"), F.struct(*events.columns).alias("row"))
-    ranked = chains(events, distance, context, frame).groupBy(context, "_chain").agg(F.array_sort(F.collect_list(key)).alias("_e"))
-    kept = F.expr(f"aggregate(_e, CAST(array() AS array<bigint>), (k, e) -> if(exists(k, x -> abs(x - e.f) < {distance}), k, concat(k, array(e.f))))")
-    left = ranked.withColumn("_kept", kept).select(F.explode(F.expr("filter(_e, e -> array_contains(_kept, e.f))")).alias("_e"))
-    return left.select("_e.row.*")
+    rows = events.where(F.col(frame).isNotNull())
+    if distance <= 0:
+        return rows
+    inner = {"_context": F.col(context), "_frame": F.col(frame).cast("long"), "_sure": F.lit(False)}
+    rank = [(-F.col(c)).asc_nulls_first() for c in (score, peak, prominence)]
+    left = cut(rows.withColumns(inner))
+    ends = left.agg(F.min("_frame"), F.max("_frame")).first()
+    width, done = SETTLE_CELLS * distance, None
+    while left is not None:
+        whole = ends[0] is None or (ends[1] - ends[0]) < width
+        halo = 0 if whole else width // SETTLE_HALO
+        start = ends[0] or 0
+        at = F.col("_frame") - start
+        blocks = F.array(F.lit(0).cast("long")) if whole else F.array_distinct(F.array(*[F.floor((at + d) / width) for d in (-halo, 0, halo)]))
+        dealt = left.withColumn("_block", F.explode(blocks)).withColumn("_low", F.col("_block") * width + start).withColumn("_high", F.col("_low") + width)
+        far = F.lit(1 << 62)
+        edges = {"_edge_low": -far if whole else F.col("_low") - halo - 1, "_edge_high": far if whole else F.col("_high") + halo}
+        dealt = dealt.withColumns(edges).repartition("_context", "_block").sortWithinPartitions("_context", "_block", F.desc("_sure"), *rank, "_frame")
+        settled = dealt.mapInArrow(lambda batches: _settle(batches, distance), dealt.schema)
+        if whole:
+            sure, left = settled, None
+        else:
+            held = cut(settled)
+            sure, open_ = held.where("_sure"), held.where("not _sure")
+            names = left.columns
+            left = None if open_.isEmpty() else open_.select(*names)
+        done = sure if done is None else done.unionByName(sure)
+        if left is not None:
+            left = left.unionByName(done.select(*names))
+        width *= SETTLE_GROWTH
+    return done.select(*[F.col(f"`{c}`") for c in events.columns])
 
 
 def short_shots(events: DataFrame, d: Detector = Detector()) -> DataFrame:

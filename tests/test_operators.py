@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -394,3 +395,28 @@ def test_windows_refuse_gaps(spark):
 def test_copy_names_beyond_two_digits(spark):
     rows = spark.createDataFrame([(n,) for n in (0, 8, 9, 98, 99, 998)], "n long").select(text.copy_suffix(F.lit("x"), F.col("n")))
     assert [r[0] for r in rows.collect()] == ["x copy01", "x copy09", "x copy10", "x copy99", "x copy100", "x copy999"]
+
+
+@pytest.mark.parametrize("shape", ["random", "rise", "waves", "copies"])
+def test_suppression_in_blocks(spark, monkeypatch, shape):
+    """Blocks of few frames, so that what they leave open is dealt out again, against the plain greedy choice."""
+    for name, value in (("SETTLE_CELLS", 8), ("SETTLE_GROWTH", 4)):
+        monkeypatch.setattr(signal, name, value, raising=False)
+    rng = random.Random(shape)
+    value = {"random": lambda f: rng.random(), "rise": lambda f: f / 1000, "waves": lambda f: abs(f % 90 - 45) / 45, "copies": lambda f: (f // 20 * 7 % 11) / 11}[shape]
+    rows = [(c, f, value(f), 0.0, 0.0) for c in ("a", None) for f in range(-50, 700) if rng.random() < 0.8] + [("a", None, 1.0, 0.0, 0.0), ("b", 5, None, 0.0, 0.0), ("b", 6, 9.0, 0.0, 0.0)]
+    rng.shuffle(rows)
+    events = spark.createDataFrame(rows, "context string, frame long, score double, peak double, prominence double")
+    for distance in (1, 4):
+        want = {"b": [5] if distance > 1 else [5, 6]}
+        for c in ("a", None):
+            kept = []
+            for s, f in sorted((-r[2], r[1]) for r in rows if r[0] == c and r[1] is not None):
+                if all(abs(f - x) >= distance for x in kept):
+                    kept.append(f)
+            want[c] = sorted(kept)
+        got = {}
+        for r in signal.suppress(events, distance).collect():
+            got.setdefault(r["context"], []).append(r["frame"])
+        assert {c: sorted(f) for c, f in got.items()} == want
+    assert "collect_list" not in signal.suppress(events, 4)._jdf.queryExecution().toString()
