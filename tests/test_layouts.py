@@ -56,3 +56,35 @@ def test_pruning_without_panels_and_replaced_areas(spark):
     got = rects(layouts.with_ratios(more, spark.createDataFrame([(1, "s", 0.2), (1, "a", 0.9), (9, "s", 0.1)], "doc long, split string, ratio double")))
     assert got[1, "a"] == (0, 0, 0.2, 1) and got[1, "new"] == (0.2, 0, 0.8, 0.3) and got[1, "b"] == (0.2, 0.3, 0.8, 0.7)
     assert got[2, "a"] == (0, 0, 0.4, 1) and got[2, "new"] == (0.4, 0, 0.6, 1) and len(got) == 8
+
+
+def test_each_document_is_read_once(spark):
+    """However many rules look at it, and by more than one task though it comes from one."""
+    from pyspark.sql import functions as F
+
+    files = spark.range(0, 64, 1, 1).select(F.col("id").alias("doc"), F.lit('<ROW><focused>p</focused><panels><panel id="p" type="t"/></panels><nodes><node id="a" kind="area" tabs="p"/></nodes></ROW>').alias("xml"))
+    nodes, panels, tabs = layouts.parse_layouts(files)
+    found = layouts.problems(nodes, panels, tabs)
+    for out in (nodes, panels, tabs, found):
+        assert "from_xml" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert nodes.rdd.getNumPartitions() > 1
+    assert nodes.count() == panels.count() == tabs.count() == 64 and found.count() == 0
+
+
+def test_rules_of_odd_layouts(spark):
+    rows = [
+        split(1, "s", None, "x", 0.5), area(1, "a", "s"), area(1, "b", "s"),
+        split(2, None, None, "x", 0.5), area(2, " ", None),
+        split(3, "s", None, "x", 0.5), split(3, "s", "s", "y", None), area(3, "s", "s"),
+        area(4, "a", "gone"), split(5, "s", None, "x", 0.96), area(5, "a", "s"), area(6, "a", None), split(6, "t", "a", "y", 0.05),
+    ]
+    nodes = spark.createDataFrame(rows, NODES)
+    panels = spark.createDataFrame([(1, "p", "t"), (1, "q", "t"), (2, None, "t"), (2, "r", " "), (6, "p", "t"), (6, "p", "t"), (8, "p", None)], "doc long, id string, type string")
+    tabs = spark.createDataFrame([(1, "a", "p"), (1, "b", "q"), (2, "x", None), (6, "a", "p"), (6, "t", "p"), (7, "a", "p")], TABS)
+    got = {}
+    for r in layouts.problems(nodes, panels, tabs).collect():
+        got.setdefault(r["doc"], []).append(r["problem"])
+    assert {k: sorted(v) for k, v in got.items()} == {
+        2: ["docked", "node", "panel", "root", "split", "unknown"], 3: ["node", "split"], 4: ["root"], 5: ["split"],
+        6: ["docked", "panel", "root", "split"], 7: ["unknown"], 8: ["docked", "panel"],
+    }
