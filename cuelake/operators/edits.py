@@ -9,6 +9,8 @@ from cuelake.functions import text as fx
 
 # fixed values: most characters of a file's name, and tries for a free one
 NAME_LENGTH, TRIES = 120, 1000
+#: Over so many keys the rows whose key is null are dealt out.
+SPREAD = 1 << 16
 
 
 def assign_keywords(annotations: DataFrame, chosen: DataFrame, mode: str, keywords: str = "keywords", given: str = "given") -> DataFrame:
@@ -133,8 +135,11 @@ def set_enabled(items: DataFrame, chosen: DataFrame, enabled: bool) -> DataFrame
     wanted = asked.withColumn("_asked", F.lit(True))
     out = items.join(wanted, "id", "left")
     if not enabled:
-        videos = items.where("kind = 'video'").select("id").join(asked, "id", "left_semi").select(F.col("id").alias("bound_to"), F.lit(True).alias("_follows")).distinct()
-        out = out.join(videos, "bound_to", "left")
+        videos = items.where("kind = 'video'").select("id").join(asked, "id", "left_semi").select(F.col("id").alias("bound_to"), F.lit(True).alias("_follows"), F.pmod(F.hash("id"), F.lit(1)).alias("_spread")).distinct()
+        # items bound to nothing match nothing, but by a null key alone they would all fall to one task; the videos' 0 is no
+        # literal, as the optimiser would take it out of the key
+        spread = F.when(F.col("bound_to").isNull(), F.pmod(F.hash("id"), F.lit(SPREAD)) + 1).otherwise(0)
+        out = out.withColumn("_spread", spread).join(videos, ["bound_to", "_spread"], "left")
     else:
         out = out.withColumn("_follows", F.lit(None).cast("boolean"))
     hit = F.coalesce(F.col("_asked") | F.col("_follows"), F.col("_asked"), F.col("_follows"), F.lit(False))

@@ -142,3 +142,19 @@ def test_keywords_deleted_from_large_boards(spark):
     uses = nodes.select(F.lit("p").alias("board"), F.col("id").alias("keyword"))
     marked = annotations.mark_uses(uses.unionByName(spark.createDataFrame([("q", None), ("q", "3")], "board string, keyword string")), annotations.gone_keywords(nodes, removed))
     assert {r["board"]: (r["n"], r["gone"]) for r in marked.groupBy("board").agg(F.count_if(~F.col("gone")).alias("n"), F.max("gone").alias("gone")).collect()} == {"p": (n // 2, True), "q": (2, False)}
+
+
+def test_items_bound_to_nothing_are_spread(spark):
+    """They match no video, so they needn't meet in one task."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for key, value in zip(held, ("-1", "false"), strict=True):
+        spark.conf.set(key, value)
+    try:
+        rows = spark.range(4000).select(F.concat(F.lit("v"), "id").alias("id"), F.lit("video").alias("kind"), F.when(F.col("id") % 100 == 7, "v3").alias("bound_to"), F.lit(True).alias("enabled"))
+        out = edits.set_enabled(rows, rows.where("id in ('v3', 'v4')"), False)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 4000 and max(sizes) < 2000
+        assert sorted(r["id"] for r in out.where("changed").collect()) == sorted(["v3", "v4", *(f"v{k}" for k in range(7, 4000, 100))])
+    finally:
+        for key, value in held.items():
+            spark.conf.set(key, value)
