@@ -88,3 +88,29 @@ def test_rules_of_odd_layouts(spark):
         2: ["docked", "node", "panel", "root", "split", "unknown"], 3: ["node", "split"], 4: ["root"], 5: ["split"],
         6: ["docked", "panel", "root", "split"], 7: ["unknown"], 8: ["docked", "panel"],
     }
+
+
+def test_documents_are_written_by_the_tasks_that_read_them(spark, monkeypatch):
+    """What deals out the keys of documents stands below the writing of all XML: one file's task writes none, not even to look at it."""
+    from pyspark.sql import functions as F
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    parsed, real = [], layouts.cut
+    monkeypatch.setattr(layouts, "cut", lambda df: parsed.append(plan(df)) or real(df))
+    node = F.struct(F.lit("a").alias("_id"), F.when(F.col("doc") % 2 == 0, "gone").alias("_parent"), F.lit("area").alias("_kind"), F.lit("p").alias("_tabs"))
+    panel = F.struct(F.lit("p").alias("_id"), F.lit("t").alias("_type"))
+    keys = layouts.dealt(spark.range(0, 64, 1, 1).select(F.col("id").alias("doc")))
+    files = keys.select("doc", layouts.layout_xml(F.array(panel), F.array(node), F.lit("p")).alias("xml"))
+    good = layouts.valid(files, deal=False)
+    below = lambda text: text.split("RepartitionByExpression", 1)[1]
+    assert "to_xml" in parsed[0] and "to_xml" not in below(parsed[0]) and parsed[0].count("RepartitionByExpression") == 1
+    assert "to_xml" in plan(good) and "to_xml" not in below(plan(good))
+    assert {r["doc"] for r in good.collect()} == set(range(1, 64, 2))
+
+
+def test_blank_documents_hold_nothing(spark):
+    rows = [(1, None), (2, ""), (3, " \n"), (4, '<ROW><nodes><node id="a" kind="area"/></nodes></ROW>'), (5, "<ROW><focused>p</focused></ROW>")]
+    files = spark.createDataFrame(rows, "doc long, xml string")
+    nodes, panels, tabs = layouts.parse_layouts(files)
+    assert [r["doc"] for r in nodes.collect()] == [4] and panels.count() == tabs.count() == 0
+    assert [r["doc"] for r in layouts.valid(files).collect()] == [4]
