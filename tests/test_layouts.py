@@ -114,3 +114,15 @@ def test_blank_documents_hold_nothing(spark):
     nodes, panels, tabs = layouts.parse_layouts(files)
     assert [r["doc"] for r in nodes.collect()] == [4] and panels.count() == tabs.count() == 0
     assert [r["doc"] for r in layouts.valid(files).collect()] == [4]
+
+
+def test_links_of_a_tree_are_not_broadcast_by_a_guess(spark, monkeypatch):
+    """A frame that was cut counts as small as the file it came from, however many rows it has."""
+    from cuelake.operators import trees
+
+    plans, real = [], trees.cut
+    monkeypatch.setattr(trees, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    nodes = spark.range(6).selectExpr("id", "nullif(id, 0) - 1 AS parent")
+    got = {(r["id"], r["ancestor"], r["depth"]) for r in trees.ancestors(nodes).collect()}
+    assert got == {(k, k - d, d) for k in range(6) for d in range(k + 1)}
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans[1:])
